@@ -13,11 +13,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, FloatType
 
+from eventide.operators import baseline as B
 from eventide.operators import conflict as C
+from eventide.operators import coverage as CV
+from eventide.operators import detect as D
 from eventide.operators import graph as G
-from eventide.operators.events import accepted_rows, valid_events
+from eventide.operators.events import accepted_rows, stamp_intervals, valid_events
 from eventide.plans import params as P
-from eventide.plans.views import EVENT_COLUMNS, v_actor_updates, v_interactions
+from eventide.plans.views import (EVENT_COLUMNS, table, v_actor_updates, v_interactions,
+                                  v_interval_events)
+from eventide.session import scratch_path
+from eventide.sources import model_state as MS
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -150,3 +156,90 @@ def q_conflict_anomaly(spark, sf_dir):
 @register("conflict_anomaly_all_pairs")
 def q_conflict_anomaly_all_pairs(spark, sf_dir):
     return rounded(C.conflict_anomaly(edges(spark, sf_dir), P.AS_OF, P.DAYS, P.THRESHOLD, until=P.AS_OF))
+
+
+# ---------------------------------------------------------------------------
+# interval log: stamping, counts, baseline, model, detection, coverage
+# ---------------------------------------------------------------------------
+
+def interval_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return valid_events(v_interval_events(spark, sf_dir), text_cols=P.METRIC_COLUMNS)
+
+
+def _counts(spark, sf_dir):
+    return B.interval_counts(interval_events(spark, sf_dir), P.METRIC_COLUMNS)
+
+
+def _model(spark, sf_dir, dense=False):
+    counts = _counts(spark, sf_dir)
+    sig = B.significant_types(counts, P.MIN_TOTAL)
+    fn = B.baseline_dense if dense else B.baseline_sparse
+    return fn(counts, sig, P.BASELINE_START, P.BASELINE_END)
+
+
+@register("interval_stamp")
+def q_interval_stamp(spark, sf_dir):
+    ev = table(spark, sf_dir, "events").select("event_id", "ts")
+    return stamp_intervals(ev, "ts").select("event_id", "interval_ts", "interval_key", "interval_timestamp")
+
+
+@register("interval_counts")
+def q_interval_counts(spark, sf_dir):
+    return _counts(spark, sf_dir)
+
+
+@register("interval_counts_grouping_sets")
+def q_interval_counts_grouping_sets(spark, sf_dir):
+    return B.interval_counts_grouping_sets(interval_events(spark, sf_dir), P.METRIC_COLUMNS)
+
+
+@register("significant_types")
+def q_significant_types(spark, sf_dir):
+    return B.significant_types(_counts(spark, sf_dir), P.MIN_TOTAL)
+
+
+@register("event_baseline_dense")
+def q_event_baseline_dense(spark, sf_dir):
+    return rounded(_model(spark, sf_dir, dense=True))
+
+
+@register("event_baseline_sparse")
+def q_event_baseline_sparse(spark, sf_dir):
+    return rounded(_model(spark, sf_dir))
+
+
+@register("model_state_json")
+def q_model_state_json(spark, sf_dir):
+    """Model → JSON lines text → parsed back (the text itself differs between engines)."""
+    return rounded(MS.parse_model_json(MS.model_json_lines(_model(spark, sf_dir))))
+
+
+@register("model_state_roundtrip")
+def q_model_state_roundtrip(spark, sf_dir):
+    path = scratch_path(spark, "model_state")
+    MS.write_model_state(_model(spark, sf_dir), path)
+    return rounded(MS.read_model_state(spark, path))
+
+
+@register("interval_anomalies")
+def q_interval_anomalies(spark, sf_dir):
+    alerts = D.interval_anomalies(interval_events(spark, sf_dir), _model(spark, sf_dir),
+                                  P.DETECT_START, P.DETECT_END, P.METRIC_COLUMNS, P.Z_LIMIT)
+    return rounded(alerts)
+
+
+@register("running_stats")
+def q_running_stats(spark, sf_dir):
+    ev = table(spark, sf_dir, "events")
+    return rounded(B.running_stats(ev, "event_type", "value"))
+
+
+@register("skipped_intervals")
+def q_skipped_intervals(spark, sf_dir):
+    return CV.skipped_intervals(spark, interval_events(spark, sf_dir), P.LOG_START, P.LOG_END)
+
+
+@register("missing_days")
+def q_missing_days(spark, sf_dir):
+    days = table(spark, sf_dir, "events").select(F.to_date("ts").alias("day"))
+    return CV.missing_days(spark, days, P.MONTH_FIRST, P.MONTH_LAST)

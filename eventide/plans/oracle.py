@@ -112,3 +112,57 @@ def _anomaly(pair: bool) -> str:
 
 oracle("conflict_anomaly", _anomaly(True))
 oracle("conflict_anomaly_all_pairs", _anomaly(False))
+
+# interval log ------------------------------------------------------------------
+
+_IEV = (f"SELECT event_id, ts, interval_ts, {na_sql('event_root_code')} AS event_root_code, "
+        f"{na_sql('quad_class')} AS quad_class FROM v_interval_events")
+_IEV_F = f"SELECT * FROM ({_IEV}) WHERE event_root_code IS NOT NULL AND event_root_code <> ''"
+_COUNTS = " UNION ALL ".join(
+    f"SELECT '{c}' AS metric_col, {c} AS metric_val, '{c}_' || {c} AS metric_key, interval_ts, count(*) AS n "
+    f"FROM iev WHERE {c} IS NOT NULL GROUP BY {c}, interval_ts" for c in P.METRIC_COLUMNS)
+_SIG = f"SELECT metric_key, CAST(sum(n) AS BIGINT) AS total FROM counts GROUP BY metric_key HAVING sum(n) > {P.MIN_TOTAL}"
+_SPINE = (f"SELECT unnest(generate_series({sql_ts(P.BASELINE_START)}, {sql_ts(P.BASELINE_END)}, "
+          f"INTERVAL 15 MINUTE)) AS interval_ts")
+_DENSE = ("SELECT s.metric_key, coalesce(c.n, 0) AS n FROM sig s CROSS JOIN spine sp LEFT JOIN counts c "
+          "ON c.metric_key = s.metric_key AND c.interval_ts = sp.interval_ts")
+_MODEL = ("SELECT metric_key, avg(n) AS mean, stddev_samp(n) AS std_dev, CAST(sum(n) AS BIGINT) AS total_occurrences "
+          "FROM dense GROUP BY metric_key")
+_MODEL_OUT = (f"SELECT metric_key, round(mean, {R}) AS mean, round(std_dev, {R}) AS std_dev, total_occurrences "
+              f"FROM model")
+
+
+def interval_sql(sql: str, **extra: str) -> str:
+    return with_views(sql, "v_interval_events", extra={"iev": _IEV_F, "counts": _COUNTS, **extra})
+
+
+oracle("interval_stamp", with_views(
+    "SELECT event_id, time_bucket(INTERVAL '15 minutes', ts) AS interval_ts, "
+    "strftime(time_bucket(INTERVAL '15 minutes', ts), '%Y%m%d%H%M%S') AS interval_key, "
+    "strftime(time_bucket(INTERVAL '15 minutes', ts), '%Y-%m-%dT%H:%M:%S') || '+00:00' AS interval_timestamp "
+    "FROM events"))
+oracle("interval_counts", interval_sql("SELECT * FROM counts"))
+oracle("interval_counts_grouping_sets", ORACLE["interval_counts"])
+oracle("significant_types", interval_sql(_SIG))
+_MODEL_CTES = {"sig": _SIG, "spine": _SPINE, "dense": _DENSE, "model": _MODEL}
+oracle("event_baseline_dense", interval_sql(_MODEL_OUT, **_MODEL_CTES))
+oracle("event_baseline_sparse", ORACLE["event_baseline_dense"])
+oracle("model_state_json", ORACLE["event_baseline_dense"])
+oracle("model_state_roundtrip", ORACLE["event_baseline_dense"])
+oracle("interval_anomalies", interval_sql(
+    f"SELECT c.interval_ts, c.metric_key, c.n AS current_count, round(m.mean, {R}) AS mean, "
+    f"round(m.std_dev, {R}) AS std_dev, round((c.n - m.mean) / m.std_dev, {R}) AS z_score "
+    f"FROM counts c JOIN model m ON c.metric_key = m.metric_key "
+    f"WHERE c.interval_ts >= {sql_ts(P.DETECT_START)} AND c.interval_ts < {sql_ts(P.DETECT_END)} "
+    f"AND m.std_dev > 0 AND abs((c.n - m.mean) / m.std_dev) > {P.Z_LIMIT}", **_MODEL_CTES))
+oracle("running_stats", with_views(
+    f"SELECT event_type, count(value) AS n, round(avg(value), {R}) AS mean, "
+    f"round(coalesce(stddev_samp(value), 0.0), {R}) AS std_dev FROM events GROUP BY event_type"))
+oracle("skipped_intervals", interval_sql(
+    f"SELECT interval_ts FROM (SELECT unnest(generate_series({sql_ts(P.LOG_START)}, {sql_ts(P.LOG_END)}, "
+    f"INTERVAL 15 MINUTE)) AS interval_ts) sp WHERE interval_ts < {sql_ts(P.LOG_END)} "
+    f"AND interval_ts NOT IN (SELECT interval_ts FROM iev)"))
+oracle("missing_days", with_views(
+    f"SELECT strftime(day, '%Y-%m-%d') AS day FROM (SELECT unnest(generate_series(DATE '{P.MONTH_FIRST}', "
+    f"DATE '{P.MONTH_LAST}', INTERVAL 1 DAY)) AS day) cal "
+    f"WHERE CAST(day AS DATE) NOT IN (SELECT CAST(ts AS DATE) FROM events)"))
