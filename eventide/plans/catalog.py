@@ -14,16 +14,25 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, FloatType
 
 from eventide.operators import baseline as B
+from eventide.operators import briefing as BR
 from eventide.operators import conflict as C
 from eventide.operators import coverage as CV
 from eventide.operators import detect as D
+from eventide.operators import fusion as FU
 from eventide.operators import graph as G
+from eventide.operators import mentions as M
+from eventide.operators import triples as T
 from eventide.operators.events import accepted_rows, stamp_intervals, valid_events
 from eventide.plans import params as P
 from eventide.plans.views import (EVENT_COLUMNS, table, v_actor_updates, v_interactions,
-                                  v_interval_events)
-from eventide.session import scratch_path
+                                  v_interval_events, v_prices, v_triples)
+from eventide.session import checkpoint_root, scratch_path
+from eventide.sources import export as EX
+from eventide.sources import interval_log as IL
 from eventide.sources import model_state as MS
+from eventide.sources import prices as PR
+from eventide.sources import samples as SA
+from eventide.sources import sparql as SP
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -243,3 +252,122 @@ def q_skipped_intervals(spark, sf_dir):
 def q_missing_days(spark, sf_dir):
     days = table(spark, sf_dir, "events").select(F.to_date("ts").alias("day"))
     return CV.missing_days(spark, days, P.MONTH_FIRST, P.MONTH_LAST)
+
+
+# ---------------------------------------------------------------------------
+# mentions, countries, prices, briefing, samples
+# ---------------------------------------------------------------------------
+
+def _documents(spark, sf_dir):
+    return table(spark, sf_dir, "documents")
+
+
+@register("entity_mentions")
+def q_entity_mentions(spark, sf_dir):
+    found = M.mentions(_documents(spark, sf_dir), P.TERMS, ["text"])
+    return M.mention_counts(spark, found, P.TERMS)
+
+
+@register("entity_first_mentions")
+def q_entity_first_mentions(spark, sf_dir):
+    found = M.mentions(_documents(spark, sf_dir), P.TERMS, ["text"])
+    return M.first_mentions(found, P.FIRST_K).select("entity", "priority", "rank", "doc_id")
+
+
+@register("first_tracked_entity")
+def q_first_tracked_entity(spark, sf_dir):
+    checkpoint_root(spark)
+    # the hits are read three times; a reliable checkpoint keeps the text scan to one pass
+    found = M.mentions(_documents(spark, sf_dir), P.TERMS, ["text"], keep=["source"]).checkpoint()
+    return M.first_tracked_entity(found, P.FIRST_K, show_col="source")
+
+
+@register("country_pattern")
+def q_country_pattern(spark, sf_dir):
+    return T.country_bindings(v_triples(spark, sf_dir))
+
+
+@register("country_nodes")
+def q_country_nodes(spark, sf_dir):
+    return T.merge_countries(G.empty_graph(spark)["countries"], T.country_bindings(v_triples(spark, sf_dir)))
+
+
+@register("sparql_bindings_flatten")
+def q_sparql_bindings_flatten(spark, sf_dir):
+    path = scratch_path(spark, "bindings")
+    SP.write_bindings(T.country_bindings(v_triples(spark, sf_dir)), path)
+    return SP.read_bindings(spark, path)
+
+
+@register("prices_scan")
+def q_prices_scan(spark, sf_dir):
+    path = scratch_path(spark, "prices")
+    PR.write_prices(v_prices(spark, sf_dir), path)
+    return PR.read_prices(spark, path)
+
+
+def _signal(spark, sf_dir):
+    rows = valid_events(v_interactions(spark, sf_dir, with_ticker=True), text_cols=EVENT_COLUMNS)
+    return FU.event_signal(rows, key="ticker")
+
+
+def _trading_days(spark, sf_dir):
+    """Prices on weekdays only: events on a weekend meet the previous trading day."""
+    return v_prices(spark, sf_dir).filter(~F.dayofweek("price_date").isin(1, 7))
+
+
+@register("prices_events_daily")
+def q_prices_events_daily(spark, sf_dir):
+    return FU.prices_with_events(_trading_days(spark, sf_dir), _signal(spark, sf_dir))
+
+
+@register("prices_events_asof")
+def q_prices_events_asof(spark, sf_dir):
+    return FU.events_with_latest_price(_signal(spark, sf_dir), _trading_days(spark, sf_dir))
+
+
+@register("briefing_rows")
+def q_briefing_rows(spark, sf_dir):
+    e = edges(spark, sf_dir)
+    anomalies = C.conflict_anomaly(e, P.AS_OF, P.DAYS, P.THRESHOLD, until=P.AS_OF)
+    return rounded(BR.briefing_rows(e, anomalies))
+
+
+@register("column_profile")
+def q_column_profile(spark, sf_dir):
+    return SA.column_profile(table(spark, sf_dir, "lineitem"))
+
+
+@register("news_sample")
+def q_news_sample(spark, sf_dir):
+    return SA.sample_rows(_documents(spark, sf_dir), "doc_id", P.FIRST_K)
+
+
+# ---------------------------------------------------------------------------
+# real formats: land derived data in the shared scratch area and read it back
+# ---------------------------------------------------------------------------
+
+@register("event_scan_positional")
+def q_event_scan_positional(spark, sf_dir):
+    path = scratch_path(spark, "exports")
+    EX.write_export_tsv(v_interactions(spark, sf_dir), path)
+    return valid_events(EX.read_export_tsv(spark, path)).select(*EVENT_COLUMNS)
+
+
+@register("event_zip_scan")
+def q_event_zip_scan(spark, sf_dir):
+    path = scratch_path(spark, "zips")
+    src = v_interactions(spark, sf_dir).withColumn(
+        "stamp", F.concat(F.substring("sqldate", 1, 4), F.lit("0101000000")))
+    EX.write_export_zips(src.repartition("stamp"), path, "stamp").collect()
+    EX.land_bad_archives(path)
+    return valid_events(EX.read_export_zips(spark, path)).select(*EVENT_COLUMNS)
+
+
+@register("interval_log_roundtrip")
+def q_interval_log_roundtrip(spark, sf_dir):
+    path = scratch_path(spark, "interval_log")
+    clean = clean_interactions(spark, sf_dir).withColumn(
+        "interval_ts", F.to_timestamp_ntz("sqldate", F.lit("yyyyMMdd")))
+    IL.write_interval_log(clean, path)
+    return IL.read_interval_log(spark, path).select("interval_timestamp", *EVENT_COLUMNS)

@@ -166,3 +166,100 @@ oracle("missing_days", with_views(
     f"SELECT strftime(day, '%Y-%m-%d') AS day FROM (SELECT unnest(generate_series(DATE '{P.MONTH_FIRST}', "
     f"DATE '{P.MONTH_LAST}', INTERVAL 1 DAY)) AS day) cal "
     f"WHERE CAST(day AS DATE) NOT IN (SELECT CAST(ts AS DATE) FROM events)"))
+
+# mentions ----------------------------------------------------------------------
+
+_TERMS = "SELECT * FROM (VALUES " + ", ".join(f"('{t}', {i})" for i, t in enumerate(P.TERMS)) + \
+    ") t(entity, priority)"
+_FOUND = " UNION ALL ".join(
+    f"SELECT '{t}' AS entity, {i} AS priority, doc_id, source FROM documents WHERE {whole_word_sql('text', t)}"
+    for i, t in enumerate(P.TERMS))
+_M = {"terms": _TERMS, "found": _FOUND}
+
+oracle("entity_mentions", with_views(
+    "SELECT t.entity, t.priority, CAST(coalesce(c.n, 0) AS BIGINT) AS n_mentions FROM terms t LEFT JOIN "
+    "(SELECT entity, count(*) AS n FROM found GROUP BY entity) c ON c.entity = t.entity", extra=_M))
+oracle("entity_first_mentions", with_views(
+    f"SELECT entity, priority, rank, doc_id FROM (SELECT entity, priority, doc_id, "
+    f"CAST(row_number() OVER (PARTITION BY entity ORDER BY doc_id) AS BIGINT) AS rank FROM found) "
+    f"WHERE rank <= {P.FIRST_K}", extra=_M))
+oracle("first_tracked_entity", with_views(
+    f"SELECT entity, n_mentions, rank, doc_id, coalesce(source, '(No XML content)') AS content FROM ("
+    f"SELECT f.entity, CAST(w.n AS BIGINT) AS n_mentions, f.doc_id, f.source, "
+    f"CAST(row_number() OVER (ORDER BY f.doc_id) AS BIGINT) AS rank FROM found f JOIN "
+    f"(SELECT priority, count(*) AS n FROM found GROUP BY priority ORDER BY priority LIMIT 1) w "
+    f"ON f.priority = w.priority) WHERE rank <= {P.FIRST_K}", extra=_M))
+
+# triples -----------------------------------------------------------------------
+
+_BINDINGS = (
+    "SELECT c.s AS uri, n.o AS name, i.o AS iso_code, cl.o AS capital FROM "
+    "(SELECT s FROM v_triples WHERE p = 'type' AND o = 'Country') c "
+    "JOIN (SELECT s, o FROM v_triples WHERE p = 'label' AND lang = 'en') n ON n.s = c.s "
+    "LEFT JOIN (SELECT s, o FROM v_triples WHERE p = 'isoCode') i ON i.s = c.s "
+    "JOIN (SELECT s, o FROM v_triples WHERE p = 'capital') cap ON cap.s = c.s "
+    "JOIN (SELECT s, o FROM v_triples WHERE p = 'label' AND lang = 'en') cl ON cl.s = cap.o")
+oracle("country_pattern", with_views("SELECT * FROM b", "v_triples", extra={"b": _BINDINGS}))
+oracle("sparql_bindings_flatten", ORACLE["country_pattern"])
+oracle("country_nodes", with_views(
+    "SELECT name, iso_code, capital, uri, 'Country' AS type, 'Unknown' AS region FROM (SELECT *, row_number() "
+    "OVER (PARTITION BY name ORDER BY uri DESC NULLS LAST, iso_code DESC NULLS LAST, capital DESC NULLS LAST) "
+    "AS rn FROM b) WHERE rn = 1", "v_triples", extra={"b": _BINDINGS}))
+
+# prices --------------------------------------------------------------------------
+
+_CLEAN_T = (f"SELECT ticker, {', '.join(f'{na_sql(c)} AS {c}' for c in EVENT_COLUMNS)} FROM v_interactions_t")
+_SIGNAL = ("SELECT ticker, CAST(strptime(sqldate, '%Y%m%d') AS DATE) AS event_date, count(*) AS n_events, "
+           "count(*) FILTER (WHERE TRY_CAST(goldstein_scale AS DOUBLE) < 0) AS n_conflicts "
+           "FROM cleant WHERE event_root_code IS NOT NULL AND event_root_code <> '' GROUP BY ALL")
+_TRADING = "SELECT * FROM v_prices WHERE dayofweek(price_date) NOT IN (0, 6)"
+_P = {"cleant": _CLEAN_T, "sig": _SIGNAL, "tp": _TRADING}
+
+oracle("prices_scan", with_views("SELECT * FROM v_prices", "v_prices"))
+oracle("prices_events_daily", with_views(
+    "SELECT p.ticker, p.price_date, p.open, p.high, p.low, p.close, p.volume, s.n_events, s.n_conflicts "
+    "FROM tp p JOIN sig s ON s.ticker = p.ticker AND s.event_date = p.price_date",
+    "v_interactions_t", "v_prices", extra=_P))
+oracle("prices_events_asof", with_views(
+    "SELECT s.ticker, s.event_date, s.n_events, s.n_conflicts, p.price_date, p.close "
+    "FROM sig s ASOF LEFT JOIN tp p ON s.ticker = p.ticker AND s.event_date >= p.price_date",
+    "v_interactions_t", "v_prices", extra=_P))
+
+# briefing ------------------------------------------------------------------------
+
+_cut = days_before(P.AS_OF, P.DAYS)
+_ANOM = (f"SELECT src, dst, (recent_count / {float(P.DAYS)} - mean) / std_dev AS z_score, "
+         f"(recent_count / {float(P.DAYS)} - mean) / std_dev > {float(P.THRESHOLD)} AS is_anomaly FROM ("
+         f"SELECT src, dst, avg(daily_count) AS mean, greatest(coalesce(stddev_samp(daily_count), 0.0), 1.0) AS std_dev, "
+         f"coalesce(sum(CASE WHEN date >= '{_cut}' THEN daily_count END), 0) AS recent_count FROM daily GROUP BY src, dst)")
+_TOPC = ("SELECT src AS actor, string_agg(dst || ' (' || CAST(n AS VARCHAR) || ')', ', ' ORDER BY r) "
+         "AS top_counterparties FROM (SELECT src, dst, n, row_number() OVER (PARTITION BY src ORDER BY n DESC, dst) "
+         "AS r FROM (SELECT src, dst, count(*) AS n FROM edges GROUP BY src, dst)) WHERE r <= 3 GROUP BY src")
+oracle("briefing_rows", graph_sql(
+    f"SELECT d.actor, d.n_interactions, t.top_counterparties, CAST(coalesce(a.n_alerts, 0) AS BIGINT) AS n_alerts, "
+    f"round(a.max_conflict_z, {R}) AS max_conflict_z, d.actor || ': ' || CAST(d.n_interactions AS VARCHAR) || "
+    f"' interactions; top counterparties: ' || coalesce(t.top_counterparties, 'none') || '; conflict alerts: ' || "
+    f"CAST(coalesce(a.n_alerts, 0) AS VARCHAR) AS briefing "
+    f"FROM (SELECT src AS actor, count(*) AS n_interactions FROM edges GROUP BY src) d "
+    f"LEFT JOIN topc t ON t.actor = d.actor LEFT JOIN (SELECT src AS actor, count(*) FILTER (WHERE is_anomaly) "
+    f"AS n_alerts, max(z_score) AS max_conflict_z FROM anom GROUP BY src) a ON a.actor = d.actor",
+    conf=_conf(), daily=_DAILY, anom=_ANOM, topc=_TOPC))
+
+# samples -------------------------------------------------------------------------
+
+_LI = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice",
+       "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"]
+_keep = sorted(set(range(5)) | set(range(len(_LI) - 5, len(_LI))))
+oracle("column_profile", with_views(" UNION ALL ".join(
+    f"SELECT CAST({i} AS BIGINT) AS ordinal, '{_LI[i]}' AS column_name, CAST({_LI[i]} AS VARCHAR) AS value, "
+    f"CAST({len(_LI)} AS BIGINT) AS n_columns FROM f" for i in _keep),
+    extra={"f": "SELECT * FROM lineitem ORDER BY ALL LIMIT 1"}))
+oracle("news_sample", f"SELECT * FROM documents ORDER BY doc_id LIMIT {P.FIRST_K}")
+
+# real formats ----------------------------------------------------------------------
+
+oracle("event_scan_positional", ORACLE["valid_events"])
+oracle("event_zip_scan", ORACLE["valid_events"])
+oracle("interval_log_roundtrip", with_views(
+    "SELECT strftime(strptime(sqldate, '%Y%m%d'), '%Y-%m-%dT%H:%M:%S') || '+00:00' AS interval_timestamp, * "
+    "FROM clean", "v_interactions", extra={"clean": CLEAN_F}))

@@ -25,11 +25,13 @@ def _pad2(c) -> F.Column:
     return F.lpad(c.cast("string"), 2, "0")
 
 
-def v_interactions(spark: SparkSession, sf_dir: str, with_id: bool = False) -> DataFrame:
+def v_interactions(spark: SparkSession, sf_dir: str, with_id: bool = False,
+                   with_ticker: bool = False) -> DataFrame:
     """lineitem ⋈ orders ⋈ customer ⋈ nation ⋈ supplier ⋈ nation as event rows (A1/A4).
 
     ``with_id`` adds ``event_id`` = source file name + Parquet row index of the line
-    item, a unique and replay-stable key (Q20).
+    item, a unique and replay-stable key (Q20). ``with_ticker`` adds the part's brand as
+    ``ticker``, the key that links an event to a price series.
     """
     li_cols = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity",
                "l_discount", "l_tax", "l_shipdate"]
@@ -51,6 +53,9 @@ def v_interactions(spark: SparkSession, sf_dir: str, with_id: bool = False) -> D
     j = (li.join(orders, li.l_orderkey == orders.o_orderkey)
          .join(cust, F.col("o_custkey") == F.col("c_custkey"))
          .join(supp, F.col("l_suppkey") == F.col("s_suppkey")))
+    if with_ticker:
+        part = table(spark, sf_dir, "part").select("p_partkey", F.col("p_brand").alias("ticker"))
+        j = j.join(part, F.col("l_partkey") == F.col("p_partkey"))
     code = _pad2(F.lit(1) + F.col("l_partkey") % 20)
     out = [
         F.date_format("l_shipdate", "yyyyMMdd").alias("sqldate"),
@@ -69,6 +74,8 @@ def v_interactions(spark: SparkSession, sf_dir: str, with_id: bool = False) -> D
     ]
     if with_id:
         out.append(F.col("event_id"))
+    if with_ticker:
+        out.append(F.col("ticker"))
     return j.select(*out)
 
 
@@ -199,6 +206,11 @@ UNION ALL SELECT 'region/' || CAST(r_regionkey AS VARCHAR), 'label', r_name,
 }
 
 
+SQL_VIEWS["v_interactions_t"] = (
+    SQL_VIEWS["v_interactions"].replace("SELECT strftime", "SELECT pt.p_brand AS ticker, strftime", 1)
+    + "\nJOIN part pt ON l.l_partkey = pt.p_partkey")
+
+
 def with_views(sql: str, *names: str, extra: dict[str, str] | None = None) -> str:
     """Prefix ``sql`` with CTEs for the named views (and extra named CTEs, in order)."""
     ctes = [f"{n} AS ({SQL_VIEWS[n]}\n)" for n in names]

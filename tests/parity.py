@@ -74,6 +74,7 @@ def compare(spark, name: str, query, sql: str, sf_dir: str, con=None) -> dict:
         order_d = sorted(range(len(d_cols)), key=lambda i: d_cols[i])
         ss = sorted(repr(tuple(_norm(r[i]) for i in order_s)) for r in s_rows)
         dd = sorted(repr(tuple(_norm(r[i]) for i in order_d)) for r in d_rows)
-        out["only_spark"] = [x for x in ss if x not in set(dd)][:3]
-        out["only_oracle"] = [x for x in dd if x not in set(ss)][:3]
+        sset, dset = set(ss), set(dd)
+        out["only_spark"] = [x for x in ss if x not in dset][:3]
+        out["only_oracle"] = [x for x in dd if x not in sset][:3]
     return out
