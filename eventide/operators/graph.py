@@ -157,3 +157,18 @@ def empty_graph(spark) -> dict[str, DataFrame]:
         "interactions": spark.createDataFrame([], INTERACTION_SCHEMA),
         "impacts": spark.createDataFrame([], IMPACT_SCHEMA),
     }
+
+
+def dangling_edges(interactions: DataFrame, actors: DataFrame) -> DataFrame:
+    """Interaction edges whose source or target is not an actor node; empty for a graph
+    built by this module, since edges and actors come from the same accepted rows (J4)."""
+    names = actors.select(F.col("name"))
+    missing_src = interactions.join(names, interactions.src == names.name, "left_anti")
+    missing_dst = interactions.join(names, interactions.dst == names.name, "left_anti")
+    return missing_src.unionByName(missing_dst)
+
+
+def reset_graph(spark, root: str) -> None:
+    """Replace every graph table under ``root`` by an empty table of the same schema."""
+    for name, df in empty_graph(spark).items():
+        df.write.mode("overwrite").parquet(f"{root}/{name}")

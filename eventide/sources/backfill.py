@@ -28,7 +28,7 @@ def backfill_days(spark: SparkSession, source: DataFrame, path: str, first: str,
     days that were missing before the write (those without source rows stay missing)."""
     # The calendar is a parameter, so its missing days are a bounded list; fixing it before
     # the write keeps the answer stable and keeps the write from reading its own target.
-    todo = [r[0] for r in missing_days(spark, existing_days(spark, path, day_col), first, last, day_col).collect()]
+    todo = sorted(r[0] for r in missing_days(spark, existing_days(spark, path, day_col), first, last, day_col).collect())
     rows = source.filter(F.date_format(F.col(day_col), "yyyy-MM-dd").isin(todo))
     (rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .partitionBy(day_col).parquet(path))

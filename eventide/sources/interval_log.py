@@ -57,3 +57,30 @@ def read_interval_log(spark: SparkSession, path: str, fmt: str = "csv") -> DataF
     else:
         df = spark.read.schema(LOG_SCHEMA).parquet(path)
     return df.withColumn("interval_ts", parse_iso_utc("interval_timestamp"))
+
+
+# ---------------------------------------------------------------------------
+# batch resume marker (S6): a one-row table with the last processed interval
+# ---------------------------------------------------------------------------
+
+def last_processed(spark: SparkSession, marker: str):
+    """The stored high-watermark (``timestamp_ntz``) or ``None`` when nothing ran yet."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(marker)
+    if not p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p):
+        return None
+    row = spark.read.parquet(marker).head()
+    return row[0] if row else None
+
+
+def mark_processed(spark: SparkSession, marker: str, processed: DataFrame, ts_col: str = "interval_ts") -> None:
+    """Store the newest interval of ``processed`` as the marker (an aggregate, one row)."""
+    processed.agg(F.max(ts_col).alias("last_processed_timestamp")).write.mode("overwrite").parquet(marker)
+
+
+def unprocessed(spark: SparkSession, log: DataFrame, marker: str, ts_col: str = "interval_ts") -> DataFrame:
+    """Rows strictly after the marker; everything when there is no marker."""
+    wm = last_processed(spark, marker)
+    if wm is None:
+        return log
+    return log.filter(F.col(ts_col) > F.lit(wm).cast("timestamp_ntz"))

@@ -202,3 +202,54 @@ def test_zip_scan_skips_corrupt_and_empty(spark, tmp):
     assert len(got) == 2
     odd = [r for r in got if r.source_event_id != "x"][0]
     assert odd.source_event_id == "é\x85" and odd.sqldate is None  # 0x85 is not a line break
+
+
+def test_graph_reset_and_referential_check(spark, tmp):
+    df = rows(spark, {}, {"actor2_name": "GAMMA"}).withColumn("event_id", F.monotonically_increasing_id().cast("string"))
+    acc = accepted_rows(df)
+    assert G.dangling_edges(G.interaction_edges(acc), G.actor_nodes(acc.withColumn("o", F.lit(1)), "o")).count() == 0
+    G.reset_graph(spark, f"{tmp}/g")
+    for name in ("actors", "countries", "event_nodes", "interactions", "impacts"):
+        t = spark.read.parquet(f"{tmp}/g/{name}")
+        assert t.count() == 0 and t.schema == G.empty_graph(spark)[name].schema
+
+
+def test_article_file_short_rows(spark, tmp):
+    from eventide.sources.articles import read_article_file
+    import os
+    os.makedirs(f"{tmp}/a")
+    full = "\t".join(f"v{i}" for i in range(30))
+    short = "\t".join(f"w{i}" for i in range(20))
+    open(f"{tmp}/a/x.csv", "w").write(full + "\n" + short + "\n")
+    got = {r.record_id: r for r in read_article_file(spark, f"{tmp}/a").collect()}
+    assert got["v0"].organizations == "v19" and got["v0"].extras == "v29"
+    assert got["w0"].organizations == "w19" and got["w0"].persons is None and got["w0"].extras is None
+
+
+def test_backfill_skips_present_days(spark, tmp):
+    from eventide.sources.backfill import backfill_days
+    src = spark.createDataFrame([("2024-01-01", 1), ("2024-01-02", 2), ("2024-01-04", 4)], "d string, v int") \
+        .select(F.to_date("d").alias("day"), "v")
+    first = backfill_days(spark, src.filter(F.col("v") == 1), f"{tmp}/t", "2024-01-01", "2024-01-05")
+    assert [r.day for r in first.collect()] == ["2024-01-01", "2024-01-02", "2024-01-03", "2024-01-04", "2024-01-05"]
+    second = backfill_days(spark, src.withColumn("v", F.col("v") * 10), f"{tmp}/t", "2024-01-01", "2024-01-05")
+    assert "2024-01-01" not in [r.day for r in second.collect()]
+    got = {str(r.day): r.v for r in spark.read.parquet(f"{tmp}/t").collect()}
+    assert got == {"2024-01-01": 1, "2024-01-02": 20, "2024-01-04": 40}  # day 1 kept, empty day 3 absent
+
+
+def test_resume_marker(spark, tmp):
+    from eventide.sources.interval_log import mark_processed, unprocessed
+    log = spark.createDataFrame([("2024-01-01 00:00:00",), ("2024-01-01 00:15:00",), ("2024-01-01 00:30:00",)],
+                                "t string").select(F.to_timestamp_ntz("t").alias("interval_ts"))
+    assert unprocessed(spark, log, f"{tmp}/m").count() == 3
+    mark_processed(spark, f"{tmp}/m", log.limit(2).orderBy("interval_ts"))
+    assert unprocessed(spark, log, f"{tmp}/m").count() == 1
+
+
+def test_iso_parse_offsets(spark):
+    from eventide.sources.interval_log import parse_iso_utc
+    df = spark.createDataFrame([("2024-01-01T00:15:00+00:00",), ("2024-01-01T02:15:00+02:00",),
+                                ("2023-12-31T23:15:00-01:00",), ("2024-01-01T00:15:00Z",)], "s string")
+    got = {str(r[0]) for r in df.select(parse_iso_utc("s")).collect()}
+    assert got == {"2024-01-01 00:15:00"}
