@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from eventide.functions.text import MISSING_CONTENT, matches_whole_word
+from eventide.operators.partitioning import spread_for_cpu
 
 
 def term_table(spark: SparkSession, terms: list[str]) -> DataFrame:
@@ -28,6 +29,7 @@ def mentions(docs: DataFrame, terms: list[str], text_cols: list[str], id_col: st
                                                                        F.lit(i).alias("priority")))
                      for i, t in enumerate(terms)])
     keep = keep or []
+    docs = spread_for_cpu(docs.select(id_col, *keep, *text_cols))
     return (docs.select(id_col, *keep, F.explode(F.filter(hits, lambda h: h.isNotNull())).alias("m"))
             .select("m.entity", "m.priority", id_col, *keep))
 

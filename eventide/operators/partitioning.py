@@ -1,0 +1,14 @@
+"""Partition shaping helpers."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+
+
+def spread_for_cpu(df: DataFrame) -> DataFrame:
+    """Round-robin an under-partitioned input before CPU-heavy per-row work (regex over
+    whole texts). It only fires when the input has fewer partitions than the cluster's
+    default parallelism — a single-file input; a scan of a large table already has one
+    split per block and is left untouched, so no shuffle is added at scale."""
+    target = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(target) if df.rdd.getNumPartitions() < target else df

@@ -369,5 +369,6 @@ def q_interval_log_roundtrip(spark, sf_dir):
     path = scratch_path(spark, "interval_log")
     clean = clean_interactions(spark, sf_dir).withColumn(
         "interval_ts", F.to_timestamp_ntz("sqldate", F.lit("yyyyMMdd")))
-    IL.write_interval_log(clean, path)
-    return IL.read_interval_log(spark, path).select("interval_timestamp", *EVENT_COLUMNS)
+    # the fixture spans seven years at a few hundred rows per day: month partitions
+    IL.write_interval_log(clean, path, granularity="month")
+    return IL.read_interval_log(spark, path, granularity="month").select("interval_timestamp", *EVENT_COLUMNS)

@@ -14,8 +14,13 @@ from pyspark.sql import functions as F
 from eventide.functions.timefmt import stamp_iso_utc
 from eventide.plans.views import EVENT_COLUMNS
 
-LOG_SCHEMA = ("interval_timestamp string, " + ", ".join(f"{c} string" for c in EVENT_COLUMNS)
-              + ", interval_date date")
+LOG_COLUMNS = "interval_timestamp string, " + ", ".join(f"{c} string" for c in EVENT_COLUMNS)
+LOG_SCHEMA = LOG_COLUMNS + ", interval_date date"
+# partition granularity -> (partition column, its type, how it is derived from the interval)
+GRANULARITY = {
+    "day": ("interval_date", "date", lambda ts: F.to_date(ts)),
+    "month": ("interval_month", "string", lambda ts: F.date_format(ts, "yyyy-MM")),
+}
 
 
 def parse_iso_utc(s: Column | str) -> Column:
@@ -31,31 +36,37 @@ def parse_iso_utc(s: Column | str) -> Column:
     return local - F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), secs.cast("decimal(18,6)"))
 
 
-def write_interval_log(events: DataFrame, path: str, ts_col: str = "interval_ts", fmt: str = "csv") -> None:
+def write_interval_log(events: DataFrame, path: str, ts_col: str = "interval_ts", fmt: str = "csv",
+                       granularity: str = "day") -> None:
     """Write stamped rows, stamp first, one directory per interval day.
 
-    ``mode overwrite`` with dynamic partition overwrite replaces only the days present in
-    ``events``: a fresh run over a range clears that range (S7) without touching others.
+    ``mode overwrite`` with dynamic partition overwrite replaces only the partitions present
+    in ``events``: a fresh run over a range clears that range (S7) without touching others.
+    ``granularity="month"`` suits sparse logs, where day directories would hold tiny files.
     """
+    part_col, _, derive = GRANULARITY[granularity]
     out = events.select(stamp_iso_utc(ts_col).alias("interval_timestamp"), *EVENT_COLUMNS,
-                        F.to_date(ts_col).alias("interval_date"))
-    # Range partitioning by (day, stamp) gives each task a contiguous run of days, so the
-    # file count stays near days + tasks, and a heavy day can still span several tasks.
-    out = out.repartitionByRange("interval_date", "interval_timestamp")
+                        derive(F.col(ts_col)).alias(part_col))
+    # Range partitioning by (partition, stamp) gives each task a contiguous run of
+    # partitions, so the file count stays near partitions + tasks, and a heavy day can
+    # still span several tasks.
+    out = out.repartitionByRange(part_col, "interval_timestamp")
     w = (out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-         .partitionBy("interval_date"))
+         .partitionBy(part_col))
     if fmt == "csv":
         w.option("header", True).csv(path)
     else:
         w.parquet(path)
 
 
-def read_interval_log(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
+def read_interval_log(spark: SparkSession, path: str, fmt: str = "csv", granularity: str = "day") -> DataFrame:
     """All interval files as one frame with ``interval_ts`` parsed."""
+    part_col, part_type, _ = GRANULARITY[granularity]
+    schema = f"{LOG_COLUMNS}, {part_col} {part_type}"
     if fmt == "csv":
-        df = spark.read.schema(LOG_SCHEMA).option("header", True).csv(path)
+        df = spark.read.schema(schema).option("header", True).csv(path)
     else:
-        df = spark.read.schema(LOG_SCHEMA).parquet(path)
+        df = spark.read.schema(schema).parquet(path)
     return df.withColumn("interval_ts", parse_iso_utc("interval_timestamp"))
 
 

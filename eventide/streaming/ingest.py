@@ -23,9 +23,9 @@ from pyspark.sql.streaming import StreamingQuery
 from eventide.operators import graph as G
 from eventide.operators.events import accepted_rows, valid_events
 from eventide.plans.views import EVENT_COLUMNS
-from eventide.sources.interval_log import LOG_SCHEMA, parse_iso_utc
+from eventide.sources.interval_log import LOG_COLUMNS, parse_iso_utc
 
-LANDED_SCHEMA = LOG_SCHEMA.replace(", interval_date date", "")
+LANDED_SCHEMA = LOG_COLUMNS
 
 
 def landed_interval_files(spark: SparkSession, landing: str, glob: str = "*.csv",
