@@ -34,8 +34,10 @@ def parse_stamp_key(s: Column | str) -> Column:
 
 
 def stamp_from_path(path_col: Column | str) -> Column:
-    """Interval stamp taken from the 14-digit timestamp in a file name (P5 at scale)."""
-    return parse_stamp_key(F.regexp_extract(path_col, r"(\d{14})[^/]*$", 1))
+    """Interval stamp taken from the 14-digit timestamp in a file name (P5 at scale);
+    NULL when the name has none."""
+    key = F.regexp_extract(path_col, r"(\d{14})[^/]*$", 1)
+    return F.when(key != "", parse_stamp_key(key))
 
 
 def n_points(start: datetime, end: datetime, step_seconds: int = STEP_SECONDS) -> int:

@@ -1,8 +1,10 @@
 """Per-actor briefing rows (E2): the fused facts an analyst (or a model prompt) reads.
 
-One row per actor with its out-degree, its top counterparties, and its conflict alerts.
-Each list is bounded (top ``k`` per actor) before it is gathered, so no group collects
-an unbounded list.
+One row per actor with its out-degree, its top counterparties and its conflict alerts.
+All three come from one pre-aggregate of the edges per (src, dst, date) — pairs × days,
+far smaller than the edges — materialised once with a reliable checkpoint (each branch
+prunes it differently, so Spark would otherwise recompute it three times). Each list is
+bounded (top ``k`` per actor) before it is gathered.
 """
 
 from __future__ import annotations
@@ -10,9 +12,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from eventide.functions.numeric import to_double
+from eventide.operators.conflict import score_pairs
 
-def top_counterparties(interactions: DataFrame, k: int = 3) -> DataFrame:
-    pairs = interactions.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n"))
+
+def pair_days(interactions: DataFrame, until: str | None = None) -> DataFrame:
+    """Edges per (src, dst, date) and, among them, conflicts dated up to ``until``."""
+    conflict = to_double("goldstein_scale") < 0
+    if until is not None:
+        conflict = conflict & (F.col("date") <= until)
+    return interactions.groupBy("src", "dst", "date").agg(
+        F.count(F.lit(1)).alias("n"), F.count(F.when(conflict, F.lit(1))).alias("n_conflicts"))
+
+
+def top_counterparties(pairs: DataFrame, k: int = 3) -> DataFrame:
+    """``pairs``: (src, dst, n). Text ``"dst (n), ..."`` of the ``k`` largest per src."""
     w = Window.partitionBy("src").orderBy(F.col("n").desc(), F.col("dst").asc())
     top = pairs.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= k)
     return top.groupBy(F.col("src").alias("actor")).agg(
@@ -21,13 +35,17 @@ def top_counterparties(interactions: DataFrame, k: int = 3) -> DataFrame:
         .alias("top_counterparties"))
 
 
-def briefing_rows(interactions: DataFrame, anomalies: DataFrame, k: int = 3) -> DataFrame:
-    """``anomalies`` is the all-pairs output of :func:`eventide.operators.conflict.conflict_anomaly`."""
-    degree = interactions.groupBy(F.col("src").alias("actor")).agg(F.count(F.lit(1)).alias("n_interactions"))
-    alerts = anomalies.groupBy(F.col("src").alias("actor")).agg(
+def briefing_rows(interactions: DataFrame, as_of: str, days: int = 1, threshold: float = 3.0,
+                  until: str | None = None, k: int = 3) -> DataFrame:
+    pd_ = pair_days(interactions, until).checkpoint(eager=True)
+    pairs = pd_.groupBy("src", "dst").agg(F.sum("n").alias("n"))
+    degree = pairs.groupBy(F.col("src").alias("actor")).agg(F.sum("n").alias("n_interactions"))
+    daily = pd_.filter(F.col("n_conflicts") > 0).select("src", "dst", "date",
+                                                        F.col("n_conflicts").alias("daily_count"))
+    alerts = score_pairs(daily, as_of, days, threshold).groupBy(F.col("src").alias("actor")).agg(
         F.count(F.when(F.col("is_anomaly"), F.lit(1))).alias("n_alerts"),
         F.max("z_score").alias("max_conflict_z"))
-    out = (degree.join(top_counterparties(interactions, k), "actor", "left")
+    out = (degree.join(top_counterparties(pairs, k), "actor", "left")
            .join(alerts, "actor", "left")
            .withColumn("n_alerts", F.coalesce(F.col("n_alerts"), F.lit(0)).cast("bigint")))
     text = F.concat(F.col("actor"), F.lit(": "), F.col("n_interactions").cast("string"),

@@ -62,19 +62,25 @@ def recent_conflict_count(conflicts: DataFrame, as_of: str, days: int = 1) -> Da
     return conflicts.agg(F.count(F.when(F.col("date") >= cutoff, F.lit(1))).cast("bigint").alias("recent_count"))
 
 
+def score_pairs(daily: DataFrame, as_of: str, days: int = 1, threshold: float = 3.0) -> DataFrame:
+    """Baseline, recent per-day rate and one-sided z-score from daily conflict counts
+    (A10, A11, F10, F11, P18); both aggregates come from the one daily frame."""
+    if days <= 0:
+        raise ValueError("days must be positive")
+    base = conflict_baseline(daily, recent_from=days_before(as_of, days))
+    rate = F.col("recent_count").cast("double") / F.lit(float(days))
+    return (base.withColumn("recent_rate", rate)
+            .withColumn("z_score", (F.col("recent_rate") - F.col("mean")) / F.col("std_dev"))
+            .withColumn("is_anomaly", F.col("z_score") > F.lit(float(threshold))))
+
+
 def conflict_anomaly(edges: DataFrame, as_of: str, days: int = 1, threshold: float = 3.0,
                      actor1: str | None = None, actor2: str | None = None,
                      event_root_code: str | None = None, until: str | None = None) -> DataFrame:
-    """Pairs with a conflict history, their recent per-day rate and z-score.
+    """Pairs with a conflict history, their recent per-day rate and z-score.
 
     ``None`` actors mean all pairs. A pair without history yields no row, as in the
     reference; pairs with history but no recent conflicts get rate 0.
     """
-    if days <= 0:
-        raise ValueError("days must be positive")
     conflicts = conflict_edges(edges, actor1, actor2, event_root_code, until)
-    base = conflict_baseline(daily_conflict_counts(conflicts), recent_from=days_before(as_of, days))
-    rate = F.col("recent_count").cast("double") / F.lit(float(days))
-    return (base.withColumn("recent_rate", rate)
-            .withColumn("z_score", (F.col("recent_rate") - F.col("mean")) / F.col("std_dev"))
-            .withColumn("is_anomaly", F.col("z_score") > F.lit(float(threshold))))
+    return score_pairs(daily_conflict_counts(conflicts), as_of, days, threshold)

@@ -328,9 +328,8 @@ def q_prices_events_asof(spark, sf_dir):
 
 @register("briefing_rows")
 def q_briefing_rows(spark, sf_dir):
-    e = edges(spark, sf_dir)
-    anomalies = C.conflict_anomaly(e, P.AS_OF, P.DAYS, P.THRESHOLD, until=P.AS_OF)
-    return rounded(BR.briefing_rows(e, anomalies))
+    checkpoint_root(spark)
+    return rounded(BR.briefing_rows(edges(spark, sf_dir), P.AS_OF, P.DAYS, P.THRESHOLD, until=P.AS_OF))
 
 
 @register("column_profile")
@@ -359,7 +358,7 @@ def q_event_zip_scan(spark, sf_dir):
     path = scratch_path(spark, "zips")
     src = v_interactions(spark, sf_dir).withColumn(
         "stamp", F.concat(F.substring("sqldate", 1, 4), F.lit("0101000000")))
-    EX.write_export_zips(src.repartition("stamp"), path, "stamp").collect()
+    EX.write_export_zips(src.repartition("stamp"), path, "stamp").write.format("noop").mode("overwrite").save()
     EX.land_bad_archives(path)
     return valid_events(EX.read_export_zips(spark, path)).select(*EVENT_COLUMNS)
 

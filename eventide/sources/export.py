@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from eventide.functions.nulls import normalize_na
+from eventide.functions.timefmt import stamp_from_path
 
 EXPORT_WIDTH = 61
 
@@ -37,7 +38,9 @@ def export_schema(width: int = EXPORT_WIDTH) -> StructType:
 
 def _project(df: DataFrame, get) -> DataFrame:
     cols = [get(i).alias(n) for i, n in KEPT_COLUMNS.items()]
-    return normalize_na(df.select(get(0).alias("source_event_id"), *cols, "source_file"), NAMES)
+    out = df.select(get(0).alias("source_event_id"), *cols, "source_file",
+                    stamp_from_path("source_file").alias("interval_ts"))
+    return normalize_na(out, NAMES)
 
 
 def read_export_tsv(spark: SparkSession, path: str, encoding: str = "ISO-8859-1",

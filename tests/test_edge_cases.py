@@ -202,6 +202,7 @@ def test_zip_scan_skips_corrupt_and_empty(spark, tmp):
     assert len(got) == 2
     odd = [r for r in got if r.source_event_id != "x"][0]
     assert odd.source_event_id == "é\x85" and odd.sqldate is None  # 0x85 is not a line break
+    assert str(odd.interval_ts) == "2024-01-01 00:00:00"  # stamp from the file name
 
 
 def test_graph_reset_and_referential_check(spark, tmp):
