@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, FloatType
 
+from eventide.functions.timefmt import ntz
 from eventide.operators import baseline as B
 from eventide.operators import briefing as BR
 from eventide.operators import conflict as C
@@ -33,6 +34,9 @@ from eventide.sources import model_state as MS
 from eventide.sources import prices as PR
 from eventide.sources import samples as SA
 from eventide.sources import sparql as SP
+from eventide.streaming import detect as SD
+from eventide.streaming import ingest as SI
+from eventide.streaming import stats as SS
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -371,3 +375,60 @@ def q_interval_log_roundtrip(spark, sf_dir):
     # the fixture spans seven years at a few hundred rows per day: month partitions
     IL.write_interval_log(clean, path, granularity="month")
     return IL.read_interval_log(spark, path, granularity="month").select("interval_timestamp", *EVENT_COLUMNS)
+
+
+# ---------------------------------------------------------------------------
+# streaming twins: land derived data as files, run the stream to completion
+# (availableNow), read its sink; the batch oracle applies unchanged
+# ---------------------------------------------------------------------------
+
+def _full_event_columns(df: DataFrame) -> DataFrame:
+    return df.select("interval_ts", *[F.col(c) if c in df.columns else F.lit(None).cast("string").alias(c)
+                                      for c in EVENT_COLUMNS])
+
+
+@register("interval_anomalies_stream")
+def q_interval_anomalies_stream(spark, sf_dir):
+    model_path, landing = scratch_path(spark, "model"), scratch_path(spark, "landing")
+    out, ckpt = scratch_path(spark, "alerts"), scratch_path(spark, "alerts-ckpt")
+    _model(spark, sf_dir).write.parquet(model_path)
+    ev = interval_events(spark, sf_dir)
+    ts = F.col("interval_ts")
+    run = ev.filter((ts >= ntz(P.DETECT_START)) & (ts < ntz(P.DETECT_END)))
+    # range partitioning keeps every interval inside one landed file, so each
+    # micro-batch sees whole intervals
+    IL.write_interval_log(_full_event_columns(run), landing)
+    q = SD.start_interval_alerts(spark, landing, lambda: spark.read.parquet(model_path), out, ckpt,
+                                 P.METRIC_COLUMNS, P.Z_LIMIT, recursive=True, max_files=16)
+    q.awaitTermination()
+    return rounded(SD.read_alerts(spark, out))
+
+
+@register("running_stats_stream")
+def q_running_stats_stream(spark, sf_dir):
+    landing, out, ckpt = (scratch_path(spark, "events"), scratch_path(spark, "rs"),
+                          scratch_path(spark, "rs-ckpt"))
+    ev = table(spark, sf_dir, "events")
+    ev.select("event_type", "value", "ts").repartitionByRange(4, "ts").write.parquet(landing)
+    stream = spark.readStream.schema(ev.schema).option("maxFilesPerTrigger", 1).parquet(landing)
+
+    def keep(batch, batch_id):
+        (batch.withColumn("batch_id", F.lit(batch_id).cast("bigint")).write.mode("overwrite")
+         .option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(out))
+
+    q = (SS.running_stats_stream(stream, "event_type", "value").writeStream.outputMode("update")
+         .option("checkpointLocation", ckpt).foreachBatch(keep).trigger(availableNow=True).start())
+    q.awaitTermination()
+    emitted = spark.read.parquet(out)
+    latest = emitted.groupBy("event_type").agg(F.max_by(F.struct("n", "mean", "std_dev"), "batch_id").alias("s"))
+    return rounded(latest.select("event_type", "s.n", "s.mean", "s.std_dev"))
+
+
+@register("file_stream_ingest")
+def q_file_stream_ingest(spark, sf_dir):
+    landing, root, ckpt = scratch_path(spark, "landing"), scratch_path(spark, "graph"), scratch_path(spark, "ckpt")
+    clean = clean_interactions(spark, sf_dir).withColumn(
+        "interval_ts", F.to_timestamp_ntz("sqldate", F.lit("yyyyMMdd")))
+    IL.write_interval_log(clean, landing, granularity="month")
+    SI.start_graph_ingest(spark, landing, root, ckpt, recursive=True, max_files=200).awaitTermination()
+    return SI.read_graph(spark, root)["interactions"].drop("event_id")

@@ -263,3 +263,9 @@ oracle("event_zip_scan", ORACLE["valid_events"])
 oracle("interval_log_roundtrip", with_views(
     "SELECT strftime(strptime(sqldate, '%Y%m%d'), '%Y-%m-%dT%H:%M:%S') || '+00:00' AS interval_timestamp, * "
     "FROM clean", "v_interactions", extra={"clean": CLEAN_F}))
+
+# streaming twins --------------------------------------------------------------------
+
+oracle("interval_anomalies_stream", ORACLE["interval_anomalies"])
+oracle("running_stats_stream", ORACLE["running_stats"])
+oracle("file_stream_ingest", ORACLE["interaction_edges"])

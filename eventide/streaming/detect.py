@@ -25,6 +25,16 @@ from eventide.operators.events import valid_events
 from eventide.streaming.ingest import landed_interval_files
 
 
+ALERT_SCHEMA = ("interval_ts timestamp_ntz, metric_key string, current_count bigint, mean double, "
+                "std_dev double, z_score double, batch_id bigint")
+
+
+def read_alerts(spark: SparkSession, out: str) -> DataFrame:
+    """All alerts written by :func:`start_interval_alerts` (explicit schema: a run without
+    alerts leaves no data file to infer from)."""
+    return spark.read.schema(ALERT_SCHEMA).parquet(out).drop("batch_id")
+
+
 def score_batch(batch: DataFrame, model: DataFrame, cols: list[str], z_limit: float) -> DataFrame:
     clean = valid_events(batch, text_cols=cols)
     counts = interval_counts(clean, cols, "interval_ts").select("metric_key", "interval_ts", "n")

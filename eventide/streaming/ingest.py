@@ -29,11 +29,15 @@ LANDED_SCHEMA = LOG_COLUMNS
 
 
 def landed_interval_files(spark: SparkSession, landing: str, glob: str = "*.csv",
-                          clean_source: str | None = None, max_files: int | None = None) -> DataFrame:
+                          clean_source: str | None = None, max_files: int | None = None,
+                          recursive: bool = False) -> DataFrame:
     """Streaming frame over headed interval CSV files; ``clean_source`` may be ``delete``
-    or ``archive`` (the reference deletes processed files; removal is lazy, G8)."""
+    or ``archive`` (the reference deletes processed files; removal is lazy, G8);
+    ``recursive`` also picks up files in sub-directories (a partitioned landing area)."""
     r = (spark.readStream.schema(LANDED_SCHEMA).option("header", True)
          .option("pathGlobFilter", glob))
+    if recursive:
+        r = r.option("recursiveFileLookup", True)
     if clean_source:
         r = r.option("cleanSource", clean_source)
     if max_files:

@@ -5,6 +5,8 @@ from datetime import datetime
 
 from pyspark.sql import functions as F
 
+from eventide.functions.timefmt import ntz
+
 from eventide.operators import baseline as B
 from eventide.operators import detect as D
 from eventide.operators import graph as G
@@ -73,7 +75,7 @@ def test_interval_alert_stream_equals_batch(spark, tmp):
     model = B.baseline_sparse(counts, B.significant_types(counts, P.MIN_TOTAL), P.BASELINE_START, P.BASELINE_END)
     model_path = f"{tmp}/model"
     model.write.parquet(model_path)
-    det = ev.filter((F.col("interval_ts") >= F.lit(P.DETECT_START)) & (F.col("interval_ts") < F.lit(P.DETECT_END)))
+    det = ev.filter((F.col("interval_ts") >= ntz(P.DETECT_START)) & (F.col("interval_ts") < ntz(P.DETECT_END)))
     pdf = (det.select(F.concat(F.date_format("interval_ts", "yyyy-MM-dd'T'HH:mm:ss"), F.lit("+00:00"))
                       .alias("interval_timestamp"),
                       *[F.lit(None).cast("string").alias(c) if c not in P.METRIC_COLUMNS else F.col(c)
