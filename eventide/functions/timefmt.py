@@ -28,9 +28,42 @@ def stamp_iso_utc(ts: Column | str) -> Column:
     return F.concat(F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss"), F.lit("+00:00"))
 
 
+def _num(s: Column, start: int, length: int) -> Column:
+    return F.substring(s, start, length).try_cast("int")
+
+
+def _ntz_from_parts(s: Column, pos: list[int], lens: list[int]) -> Column:
+    """``timestamp_ntz`` from fixed-position digit fields; malformed text gives NULL (no
+    error under ANSI mode)."""
+    parts = [_num(s, p, n) for p, n in zip(pos, lens)]
+    while len(parts) < 6:
+        parts.append(F.lit(0))
+    return F.try_make_timestamp_ntz(*parts)
+
+
 def parse_stamp_key(s: Column | str) -> Column:
-    """Inverse of :func:`stamp_key` giving ``timestamp_ntz``."""
-    return F.to_timestamp_ntz(s, F.lit("yyyyMMddHHmmss"))
+    """Inverse of :func:`stamp_key` giving ``timestamp_ntz``; NULL when malformed."""
+    s = F.col(s) if isinstance(s, str) else s
+    return F.when(s.rlike(r"^\d{14}$"), _ntz_from_parts(s, [1, 5, 7, 9, 11, 13], [4, 2, 2, 2, 2, 2]))
+
+
+def parse_day(s: Column | str) -> Column:
+    """``yyyyMMdd`` text to a date; NULL when malformed."""
+    s = F.col(s) if isinstance(s, str) else s
+    return F.try_to_date(s, "yyyyMMdd")
+
+
+def day_start(s: Column | str) -> Column:
+    """``yyyyMMdd`` text to the ``timestamp_ntz`` of that midnight; NULL when malformed."""
+    s = F.col(s) if isinstance(s, str) else s
+    return F.when(s.rlike(r"^\d{8}$"), _ntz_from_parts(s, [1, 5, 7], [4, 2, 2]))
+
+
+def parse_iso_local(s: Column | str) -> Column:
+    """The ``yyyy-MM-ddTHH:mm:ss`` part of ISO-8601 text as ``timestamp_ntz``."""
+    s = F.col(s) if isinstance(s, str) else s
+    return F.when(s.rlike(r"^\d{4}-\d\d-\d\d[T ]\d\d:\d\d:\d\d"),
+                  _ntz_from_parts(s, [1, 6, 9, 12, 15, 18], [4, 2, 2, 2, 2, 2]))
 
 
 def stamp_from_path(path_col: Column | str) -> Column:

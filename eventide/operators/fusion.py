@@ -15,6 +15,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from eventide.functions.timefmt import parse_day
+
 
 def month_bucket(ts: Column) -> Column:
     return F.date_trunc("month", ts).cast("date")
@@ -62,7 +64,7 @@ def asof_join(left: DataFrame, right: DataFrame, key: str, left_ts: str, right_t
 
 def event_signal(rows: DataFrame, key: str | None = None) -> DataFrame:
     """Daily event signal: events and conflicts per day (and per ``key`` when given)."""
-    day = F.to_date(F.col("sqldate"), "yyyyMMdd").alias("event_date")
+    day = parse_day("sqldate").alias("event_date")
     conflict = F.col("goldstein_scale").try_cast("double") < 0
     keys = [F.col(key)] if key else []
     return rows.groupBy(*keys, day).agg(

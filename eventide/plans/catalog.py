@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, FloatType
 
-from eventide.functions.timefmt import ntz
+from eventide.functions.timefmt import day_start, ntz
 from eventide.operators import baseline as B
 from eventide.operators import briefing as BR
 from eventide.operators import conflict as C
@@ -371,7 +371,7 @@ def q_event_zip_scan(spark, sf_dir):
 def q_interval_log_roundtrip(spark, sf_dir):
     path = scratch_path(spark, "interval_log")
     clean = clean_interactions(spark, sf_dir).withColumn(
-        "interval_ts", F.to_timestamp_ntz("sqldate", F.lit("yyyyMMdd")))
+        "interval_ts", day_start("sqldate"))
     # the fixture spans seven years at a few hundred rows per day: month partitions
     IL.write_interval_log(clean, path, granularity="month")
     return IL.read_interval_log(spark, path, granularity="month").select("interval_timestamp", *EVENT_COLUMNS)
@@ -428,7 +428,7 @@ def q_running_stats_stream(spark, sf_dir):
 def q_file_stream_ingest(spark, sf_dir):
     landing, root, ckpt = scratch_path(spark, "landing"), scratch_path(spark, "graph"), scratch_path(spark, "ckpt")
     clean = clean_interactions(spark, sf_dir).withColumn(
-        "interval_ts", F.to_timestamp_ntz("sqldate", F.lit("yyyyMMdd")))
+        "interval_ts", day_start("sqldate"))
     IL.write_interval_log(clean, landing, granularity="month")
     SI.start_graph_ingest(spark, landing, root, ckpt, recursive=True, max_files=200).awaitTermination()
     return SI.read_graph(spark, root)["interactions"].drop("event_id")

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventide.functions.timefmt import stamp_iso_utc
+from eventide.functions.timefmt import parse_iso_local, stamp_iso_utc
 from eventide.plans.views import EVENT_COLUMNS
 
 LOG_COLUMNS = "interval_timestamp string, " + ", ".join(f"{c} string" for c in EVENT_COLUMNS)
@@ -27,12 +27,12 @@ def parse_iso_utc(s: Column | str) -> Column:
     """ISO-8601 text with ``Z`` or ``±hh:mm`` to UTC ``timestamp_ntz``, independent of the
     session time zone (F3)."""
     s = F.col(s) if isinstance(s, str) else s
-    local = F.to_timestamp_ntz(F.substring(s, 1, 19), F.lit("yyyy-MM-dd'T'HH:mm:ss"))
+    local = parse_iso_local(s)
     off = F.regexp_extract(s, r"([+-])(\d\d):(\d\d)$", 0)
     sign = F.when(F.substring(off, 1, 1) == "-", F.lit(-1)).otherwise(F.lit(1))
     hh = F.regexp_extract(s, r"([+-])(\d\d):(\d\d)$", 2)
     mm = F.regexp_extract(s, r"([+-])(\d\d):(\d\d)$", 3)
-    secs = F.when(off == "", F.lit(0)).otherwise(sign * (hh.cast("int") * 3600 + mm.cast("int") * 60))
+    secs = F.when(off == "", F.lit(0)).otherwise(sign * (hh.try_cast("int") * 3600 + mm.try_cast("int") * 60))
     return local - F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), secs.cast("decimal(18,6)"))
 
 

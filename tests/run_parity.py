@@ -14,7 +14,9 @@ from eventide.session import build_session  # noqa: E402
 
 sf = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
 names = sys.argv[2:]
-spark = build_session()
+import os  # noqa: E402
+tz = os.environ.get("PARITY_TZ")
+spark = build_session(extra={"spark.sql.session.timeZone": tz} if tz else None)
 qs, sqls = E.queries(), E.oracle_sql()
 con = duck(sf)
 bad = 0

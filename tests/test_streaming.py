@@ -5,7 +5,7 @@ from datetime import datetime
 
 from pyspark.sql import functions as F
 
-from eventide.functions.timefmt import ntz
+from eventide.functions.timefmt import day_start, ntz
 
 from eventide.operators import baseline as B
 from eventide.operators import detect as D
@@ -29,7 +29,7 @@ def land(pdf, landing, key_col):
 
 
 def interval_pdf(spark):
-    clean = clean_interactions(spark, SF).withColumn("interval_ts", F.to_timestamp_ntz("sqldate", F.lit("yyyyMMdd")))
+    clean = clean_interactions(spark, SF).withColumn("interval_ts", day_start("sqldate"))
     return (clean.select(F.concat(F.date_format("interval_ts", "yyyy-MM-dd'T'HH:mm:ss"), F.lit("+00:00"))
                          .alias("interval_timestamp"), *EVENT_COLUMNS,
                          F.date_format("interval_ts", "yyyyMMddHHmmss").alias("key"))
