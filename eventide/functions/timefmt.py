@@ -86,16 +86,20 @@ def n_steps(start: datetime, end: datetime, step_seconds: int = STEP_SECONDS) ->
 
 
 def spine(spark: SparkSession, start: datetime, end: datetime, step: str = STEP,
-          name: str = "interval_ts") -> DataFrame:
-    """Inclusive time spine as a one-column frame (D5); rows grow with the range only."""
-    return spark.range(1).select(
-        F.explode(F.sequence(ntz(start), ntz(end), F.expr(f"INTERVAL {step}"))).alias(name))
+          name: str = "interval_ts", step_seconds: int = STEP_SECONDS) -> DataFrame:
+    """Inclusive time spine as a one-column frame (D5). Points come from ``spark.range``,
+    so they are generated in parallel; the row count grows with the range only."""
+    n = n_points(start, end, step_seconds)
+    return spark.range(n).select(
+        (ntz(start) + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0),
+                                         (F.col("id") * step_seconds).cast("decimal(18,6)"))).alias(name))
 
 
 def day_spine(spark: SparkSession, first: str, last: str, name: str = "day") -> DataFrame:
-    """Inclusive calendar of dates between two ``yyyy-MM-dd`` strings."""
-    return spark.range(1).select(
-        F.explode(F.sequence(F.to_date(F.lit(first)), F.to_date(F.lit(last)))).alias(name))
+    """Inclusive calendar of dates between two ``yyyy-MM-dd`` strings (parallel rows)."""
+    d0 = datetime.strptime(first, "%Y-%m-%d")
+    n = (datetime.strptime(last, "%Y-%m-%d") - d0).days + 1
+    return spark.range(max(n, 0)).select(F.date_add(F.to_date(F.lit(first)), F.col("id").cast("int")).alias(name))
 
 
 def aligned(ts: Column | str, start: datetime, step_seconds: int = STEP_SECONDS) -> Column:
