@@ -53,3 +53,35 @@ def checkpoint_root(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh, unique directory path under the checkpoint root."""
     return f"{checkpoint_root(spark).rstrip('/')}/eventide/{name}-{uuid.uuid4().hex[:12]}"
+
+
+_SHIPPED: set[int] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``eventide`` importable in Python workers on every executor (``addPyFile``).
+
+    Operators that run Python on executors (``mapInPandas``, ``applyInPandasWithState``)
+    call this first; it zips the package on the driver once per SparkContext and lets
+    Spark distribute it, as ``--py-files`` would.
+    """
+    import os
+    import zipfile
+
+    import eventide
+
+    sc = spark.sparkContext
+    key = id(sc._jsc)
+    if key in _SHIPPED:
+        return
+    pkg_dir = os.path.dirname(os.path.abspath(eventide.__file__))
+    base = os.path.dirname(pkg_dir)
+    zpath = os.path.join(tempfile.mkdtemp(prefix="eventide-pyfiles-"), "eventide.zip")
+    with zipfile.ZipFile(zpath, "w", zipfile.ZIP_DEFLATED) as zf:
+        for dirpath, _, files in os.walk(pkg_dir):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(dirpath, f)
+                    zf.write(full, os.path.relpath(full, base))
+    sc.addPyFile(zpath)
+    _SHIPPED.add(key)

@@ -19,6 +19,7 @@ from pyspark.sql.types import StringType, StructField, StructType
 
 from eventide.functions.nulls import normalize_na
 from eventide.functions.timefmt import stamp_from_path
+from eventide.session import ship_package
 
 EXPORT_WIDTH = 61
 
@@ -95,10 +96,10 @@ def _unzip_lines(encoding: str):
                     members = [m for m in zf.infolist() if not m.is_dir()]
                     blobs = [zf.read(m) for m in members]
                 except (zipfile.BadZipFile, EOFError, OSError):
-                    yield pd.DataFrame({"source_file": [name], "status": ["bad_zip"], "line": [None]})
+                    yield pd.DataFrame({"source_file": [name], "status": ["bad_zip"], "line": [""]})
                     continue
                 if not blobs or all(len(b) == 0 for b in blobs):
-                    yield pd.DataFrame({"source_file": [name], "status": ["empty"], "line": [None]})
+                    yield pd.DataFrame({"source_file": [name], "status": ["empty"], "line": [""]})
                     continue
                 for blob in blobs:
                     # split on '\n' only: latin-1 0x85 is a line break for str.splitlines()
@@ -118,6 +119,7 @@ def scan_export_zips(spark: SparkSession, path: str, glob: str = ZIP_GLOB,
     A corrupt archive or an empty member is not an error: it is reported and skipped,
     as the reference skips such an interval.
     """
+    ship_package(spark)
     bins = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path).select("path", "content")
     return bins.mapInPandas(_unzip_lines(encoding), RAW_SCHEMA)
 
@@ -172,6 +174,7 @@ def write_export_zips(df: DataFrame, path: str, stamp_col: str, id_col: str | No
     """Land event rows as zipped exports, one archive per stamp and task batch; returns
     ``(file, rows)`` written. File writes go through the Hadoop-compatible Arrow file
     system of the path, so the target may be any shared store Arrow can open."""
+    ship_package(df.sparkSession)
     lines = export_lines(df.withColumn("stamp", F.col(stamp_col)), id_col=id_col, keep=["stamp"])
     return lines.mapInPandas(_zip_writer(path), "file string, rows long")
 

@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from eventide.session import ship_package
+
 STATE_SCHEMA = "n long, mean double, m2 double"
 
 
@@ -53,6 +55,7 @@ def _update(key_col: str, value_col: str):
 
 def running_stats_stream(stream: DataFrame, key_col: str, value_col: str) -> DataFrame:
     """Per-key running count, mean and sample std; emit mode ``update``."""
+    ship_package(stream.sparkSession)
     out_schema = f"{key_col} string, n long, mean double, std_dev double"
     return (stream.select(key_col, value_col).groupBy(key_col)
             .applyInPandasWithState(_update(key_col, value_col), out_schema, STATE_SCHEMA, "update",
