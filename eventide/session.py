@@ -23,13 +23,24 @@ SCALE_CONF = {
 }
 
 
+def _driver_memory() -> str:
+    """Local mode runs everything in the driver JVM: give it about half of the machine's
+    memory, capped at 16 GiB, so a small container is not overcommitted."""
+    import os
+    try:
+        total = os.sysconf("SC_PAGE_SIZE") * os.sysconf("SC_PHYS_PAGES")
+    except (ValueError, OSError, AttributeError):
+        return "4g"
+    return f"{max(1, min(16, int(total / 2**30 * 0.5)))}g"
+
+
 def build_session(master: str = "local[8]", app: str = "eventide",
                   shuffle_partitions: int = 8, extra: dict | None = None) -> SparkSession:
     builder = (SparkSession.builder.master(master).appName(app)
                .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
                .config("spark.ui.enabled", "false")
                .config("spark.ui.showConsoleProgress", "false")
-               .config("spark.driver.memory", "16g"))
+               .config("spark.driver.memory", _driver_memory()))
     for k, v in {**SCALE_CONF, **(extra or {})}.items():
         builder = builder.config(k, v)
     spark = builder.getOrCreate()
