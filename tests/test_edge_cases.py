@@ -254,3 +254,21 @@ def test_iso_parse_offsets(spark):
                                 ("2023-12-31T23:15:00-01:00",), ("2024-01-01T00:15:00Z",)], "s string")
     got = {str(r[0]) for r in df.select(parse_iso_utc("s")).collect()}
     assert got == {"2024-01-01 00:15:00"}
+
+
+def test_alert_message_wording(spark):
+    alerts = spark.createDataFrame([("event_root_code_04", 10, 2.0, 1.0, 8.0)],
+                                   "metric_key string, current_count long, mean double, std_dev double, z_score double")
+    msg = D.alert_messages(alerts).head().message
+    assert msg == "ALERT: Anomaly in 'event_root_code_04' (Z-Score: 8.00). Current: 10, Baseline Mean: 2.00"
+
+
+def test_model_document_roundtrip(spark, tmp):
+    model = spark.createDataFrame([("quad_class_1", 0.25, 0.5, 7), ("event_root_code_04", 1.5, 0.0, 3)],
+                                  "metric_key string, mean double, std_dev double, total_occurrences long")
+    doc = MS.model_document(model)
+    doc.coalesce(1).write.text(f"{tmp}/doc")
+    back = {r.metric_key: tuple(r)[1:] for r in MS.read_model_document(spark, f"{tmp}/doc").collect()}
+    assert back == {"quad_class_1": (0.25, 0.5, 7), "event_root_code_04": (1.5, 0.0, 3)}
+    with pytest.raises(ValueError):
+        MS.model_document(model, max_keys=1)
