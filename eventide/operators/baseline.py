@@ -83,6 +83,33 @@ def baseline_sparse(counts: DataFrame, significant: DataFrame, start: datetime,
                     F.col("s").alias("total_occurrences")))
 
 
+def sparse_model(counts: DataFrame, min_total: int, start: datetime, end: datetime,
+                 ts_col: str = "interval_ts", step_seconds: int = STEP_SECONDS) -> DataFrame:
+    """Significance test and zero-filled statistics in ONE aggregation over the counts.
+
+    Per key: the whole-log total (for the strict ``> min_total`` test, A3/A4) and the
+    in-spine sums ``S``, ``Q`` are conditional sums of the same group-by, so the counts
+    are read once and no join is needed. Equal to
+    ``baseline_sparse(counts, significant_types(counts, min_total), ...)``.
+    """
+    n = n_points(start, end, step_seconds)
+    if n < 1:
+        raise ValueError("empty spine")
+    ts = F.col(ts_col)
+    inside = (ts >= ntz(start)) & (ts <= ntz(end)) & aligned(ts, start, step_seconds)
+    agg = (counts.groupBy("metric_key")
+           .agg(F.sum("n").alias("total"),
+                F.coalesce(F.sum(F.when(inside, F.col("n"))), F.lit(0)).cast("bigint").alias("s"),
+                F.coalesce(F.sum(F.when(inside, F.col("n") * F.col("n"))), F.lit(0)).cast("bigint").alias("q"))
+           .filter(F.col("total") > F.lit(min_total)))
+    dec = "decimal(20,0)"
+    num = (F.lit(n).cast(dec) * F.col("q").cast(dec) - F.col("s").cast(dec) * F.col("s").cast(dec))
+    var = num.cast("double") / F.lit(float(n) * float(n - 1)) if n > 1 else F.lit(None).cast("double")
+    return agg.select("metric_key", (F.col("s") / F.lit(float(n))).alias("mean"),
+                      F.sqrt(F.greatest(var, F.lit(0.0))).alias("std_dev"),
+                      F.col("s").alias("total_occurrences"))
+
+
 def baseline_dense(counts: DataFrame, significant: DataFrame, start: datetime, end: datetime,
                    ts_col: str = "interval_ts", step: str = STEP) -> DataFrame:
     """The reference's formulation: a spine per significant type, left join, fill 0.
@@ -103,9 +130,9 @@ def build_baseline(events: DataFrame, cols: list[str], start: datetime, end: dat
                    min_total: int = 500, ts_col: str = "interval_ts", dense: bool = False) -> DataFrame:
     """Pass 2 as one job: counts → significant types → model rows."""
     counts = interval_counts(events, cols, ts_col)
-    sig = significant_types(counts, min_total)
-    fn = baseline_dense if dense else baseline_sparse
-    return fn(counts, sig, start, end, ts_col)
+    if dense:
+        return baseline_dense(counts, significant_types(counts, min_total), start, end, ts_col)
+    return sparse_model(counts, min_total, start, end, ts_col)
 
 
 def running_stats(df: DataFrame, key: str, value: str) -> DataFrame:

@@ -112,6 +112,21 @@ def graph_counts(actors: DataFrame, events: DataFrame, interactions: DataFrame,
         F.sum(F.when(F.col("kind") == "rel", F.col("n"))).cast("bigint").alias("rel_count"))
 
 
+def graph_counts_from_rows(rows: DataFrame) -> DataFrame:
+    """:func:`graph_counts` of the graph that accepted ``rows`` build, in one pass.
+
+    Each accepted row adds one event node, one interaction and two impacts, and names two
+    actor sides; so one group-by over the exploded actor names (a partial aggregate)
+    yields both the distinct actors and the row count.
+    """
+    per_actor = (rows.select(F.explode(F.array("actor1_name", "actor2_name")).alias("name"))
+                 .groupBy("name").agg(F.count(F.lit(1)).alias("sides")))
+    t = per_actor.agg(F.count(F.lit(1)).alias("actors"), F.sum("sides").alias("sides"))
+    n_rows = F.col("sides") / 2
+    return t.select((F.col("actors") + n_rows).cast("bigint").alias("node_count"),
+                    (n_rows * 3).cast("bigint").alias("rel_count"))
+
+
 def top_actors(interactions: DataFrame, k: int = 5) -> DataFrame:
     """Actors by out-degree, top ``k`` (A14, O2); ties broken by name."""
     return (interactions.groupBy(F.col("src").alias("actor"))

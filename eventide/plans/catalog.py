@@ -98,9 +98,7 @@ def q_impact_edges(spark, sf_dir):
 
 @register("graph_counts")
 def q_graph_counts(spark, sf_dir):
-    rows = accepted_rows(clean_interactions(spark, sf_dir, with_id=True))
-    actors = G.actor_nodes(rows, "sqldate")
-    return G.graph_counts(actors, G.event_nodes(rows), G.interaction_edges(rows), G.impact_edges(rows))
+    return G.graph_counts_from_rows(accepted_rows(clean_interactions(spark, sf_dir)))
 
 
 @register("actor_nodes")
@@ -185,9 +183,9 @@ def _counts(spark, sf_dir):
 
 def _model(spark, sf_dir, dense=False):
     counts = _counts(spark, sf_dir)
-    sig = B.significant_types(counts, P.MIN_TOTAL)
-    fn = B.baseline_dense if dense else B.baseline_sparse
-    return fn(counts, sig, P.BASELINE_START, P.BASELINE_END)
+    if dense:
+        return B.baseline_dense(counts, B.significant_types(counts, P.MIN_TOTAL), P.BASELINE_START, P.BASELINE_END)
+    return B.sparse_model(counts, P.MIN_TOTAL, P.BASELINE_START, P.BASELINE_END)
 
 
 @register("interval_stamp")
@@ -327,7 +325,8 @@ def q_prices_events_daily(spark, sf_dir):
 
 @register("prices_events_asof")
 def q_prices_events_asof(spark, sf_dir):
-    return FU.events_with_latest_price(_signal(spark, sf_dir), _trading_days(spark, sf_dir))
+    checkpoint_root(spark)
+    return FU.events_with_latest_price(_signal(spark, sf_dir), _trading_days(spark, sf_dir), materialize=True)
 
 
 @register("briefing_rows")

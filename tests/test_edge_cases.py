@@ -272,3 +272,25 @@ def test_model_document_roundtrip(spark, tmp):
     assert back == {"quad_class_1": (0.25, 0.5, 7), "event_root_code_04": (1.5, 0.0, 3)}
     with pytest.raises(ValueError):
         MS.model_document(model, max_keys=1)
+
+
+def test_sparse_model_equals_two_step(spark):
+    ts = ["2024-01-01 00:00:00", "2024-01-01 00:15:00", "2024-01-01 00:30:00", "2024-01-02 00:00:00"]
+    data = [(t, c) for t in ts for c in "AB"] + [(ts[0], "A")] * 3
+    df = spark.createDataFrame(data, "t string, event_root_code string").select(
+        F.to_timestamp_ntz("t").alias("interval_ts"), "event_root_code")
+    counts = B.interval_counts(df, ["event_root_code"])
+    a, b = datetime(2024, 1, 1), datetime(2024, 1, 1, 1, 0)
+    fused = sorted(map(tuple, B.sparse_model(counts, 4, a, b).collect()))
+    two = sorted(map(tuple, B.baseline_sparse(counts, B.significant_types(counts, 4), a, b).collect()))
+    assert fused == two and len(fused) == 1
+
+
+def test_graph_counts_from_rows_equals_tables(spark):
+    df = rows(spark, {}, {"actor2_name": "GAMMA"}, {"actor1_name": "BETA", "actor2_name": "BETA"}) \
+        .withColumn("event_id", F.monotonically_increasing_id().cast("string"))
+    acc = accepted_rows(df)
+    full = G.graph_counts(G.actor_nodes(acc.withColumn("o", F.lit(1)), "o"), G.event_nodes(acc),
+                          G.interaction_edges(acc), G.impact_edges(acc)).head()
+    fast = G.graph_counts_from_rows(acc).head()
+    assert tuple(full) == tuple(fast) == (3 + 3, 9)
