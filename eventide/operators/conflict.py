@@ -41,14 +41,21 @@ def daily_conflict_counts(conflicts: DataFrame) -> DataFrame:
     return conflicts.groupBy(*PAIR, "date").agg(F.count(F.lit(1)).alias("daily_count"))
 
 
-def conflict_baseline(daily: DataFrame, recent_from: str | None = None) -> DataFrame:
+def conflict_baseline(daily: DataFrame, recent_from: str | None = None, exclude_recent: bool = False) -> DataFrame:
     """Mean and floored sample std of daily counts over active days only (A10), plus the
-    count of conflicts on or after ``recent_from`` from the same frame (A11)."""
+    count of conflicts on or after ``recent_from`` from the same frame (A11).
+
+    As in the reference, the recent days are part of the baseline; ``exclude_recent``
+    keeps them out of it (Q6; a NULL date is never recent).
+    """
+    v = F.col("daily_count")
+    if exclude_recent and recent_from is not None:
+        v = F.when(F.col("date").isNull() | (F.col("date") < recent_from), F.col("daily_count"))
     aggs = [
-        F.avg("daily_count").alias("mean"),
-        std_floor(F.stddev_samp("daily_count")).alias("std_dev"),
-        F.sum("daily_count").cast("bigint").alias("total_events"),
-        F.count(F.lit(1)).alias("days_with_events"),
+        F.avg(v).alias("mean"),
+        std_floor(F.stddev_samp(v)).alias("std_dev"),
+        F.sum(v).cast("bigint").alias("total_events"),
+        F.count(v).alias("days_with_events"),
     ]
     if recent_from is not None:
         aggs.append(F.coalesce(F.sum(F.when(F.col("date") >= recent_from, F.col("daily_count"))),
@@ -62,12 +69,13 @@ def recent_conflict_count(conflicts: DataFrame, as_of: str, days: int = 1) -> Da
     return conflicts.agg(F.count(F.when(F.col("date") >= cutoff, F.lit(1))).cast("bigint").alias("recent_count"))
 
 
-def score_pairs(daily: DataFrame, as_of: str, days: int = 1, threshold: float = 3.0) -> DataFrame:
+def score_pairs(daily: DataFrame, as_of: str, days: int = 1, threshold: float = 3.0,
+                exclude_recent: bool = False) -> DataFrame:
     """Baseline, recent per-day rate and one-sided z-score from daily conflict counts
     (A10, A11, F10, F11, P18); both aggregates come from the one daily frame."""
     if days <= 0:
         raise ValueError("days must be positive")
-    base = conflict_baseline(daily, recent_from=days_before(as_of, days))
+    base = conflict_baseline(daily, recent_from=days_before(as_of, days), exclude_recent=exclude_recent)
     rate = F.col("recent_count").cast("double") / F.lit(float(days))
     return (base.withColumn("recent_rate", rate)
             .withColumn("z_score", (F.col("recent_rate") - F.col("mean")) / F.col("std_dev"))
@@ -76,11 +84,12 @@ def score_pairs(daily: DataFrame, as_of: str, days: int = 1, threshold: float =
 
 def conflict_anomaly(edges: DataFrame, as_of: str, days: int = 1, threshold: float = 3.0,
                      actor1: str | None = None, actor2: str | None = None,
-                     event_root_code: str | None = None, until: str | None = None) -> DataFrame:
+                     event_root_code: str | None = None, until: str | None = None,
+                     exclude_recent: bool = False) -> DataFrame:
     """Pairs with a conflict history, their recent per-day rate and z-score.
 
     ``None`` actors mean all pairs. A pair without history yields no row, as in the
     reference; pairs with history but no recent conflicts get rate 0.
     """
     conflicts = conflict_edges(edges, actor1, actor2, event_root_code, until)
-    return score_pairs(daily_conflict_counts(conflicts), as_of, days, threshold)
+    return score_pairs(daily_conflict_counts(conflicts), as_of, days, threshold, exclude_recent)

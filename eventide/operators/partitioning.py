@@ -6,9 +6,15 @@ from pyspark.sql import DataFrame
 
 
 def spread_for_cpu(df: DataFrame) -> DataFrame:
-    """Round-robin an under-partitioned input before CPU-heavy per-row work (regex over
-    whole texts). It only fires when the input has fewer partitions than the cluster's
-    default parallelism — a single-file input; a scan of a large table already has one
-    split per block and is left untouched, so no shuffle is added at scale."""
+    """Round-robin an input read from very few files before CPU-heavy per-row work (regex
+    over whole texts, compression). It only fires when the input comes from fewer files
+    than the cluster's default parallelism — e.g. a single-file table; a large table is
+    many files with one split per block and is left untouched, so no shuffle is added at
+    scale. The file list comes from the file index (metadata), nothing is executed.
+    """
     target = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(target) if df.rdd.getNumPartitions() < target else df
+    try:
+        n_files = len(df.inputFiles())
+    except Exception:  # not file based: leave as is
+        return df
+    return df.repartition(target) if 0 < n_files < target else df

@@ -361,7 +361,8 @@ def q_event_zip_scan(spark, sf_dir):
     path = scratch_path(spark, "zips")
     src = v_interactions(spark, sf_dir).withColumn(
         "stamp", F.concat(F.substring("sqldate", 1, 4), F.lit("0101000000")))
-    EX.write_export_zips(src.repartition("stamp"), path, "stamp").write.format("noop").mode("overwrite").save()
+    landed = EX.write_export_zips(src, path, "stamp")
+    landed.write.format("noop").mode("overwrite").save()
     EX.land_bad_archives(path)
     return valid_events(EX.read_export_zips(spark, path)).select(*EVENT_COLUMNS)
 

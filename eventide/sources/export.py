@@ -19,6 +19,7 @@ from pyspark.sql.types import StringType, StructField, StructType
 
 from eventide.functions.nulls import normalize_na
 from eventide.functions.timefmt import stamp_from_path
+from eventide.operators.partitioning import spread_for_cpu
 from eventide.session import ship_package
 
 EXPORT_WIDTH = 61
@@ -175,6 +176,9 @@ def write_export_zips(df: DataFrame, path: str, stamp_col: str, id_col: str | No
     ``(file, rows)`` written. File writes go through the Hadoop-compatible Arrow file
     system of the path, so the target may be any shared store Arrow can open."""
     ship_package(df.sparkSession)
+    # compression is Python work: spread a single-split input over the cores, then a local
+    # sort makes each Arrow batch hold one or two stamps (few archives, no key shuffle)
+    df = spread_for_cpu(df).sortWithinPartitions(stamp_col)
     lines = export_lines(df.withColumn("stamp", F.col(stamp_col)), id_col=id_col, keep=["stamp"])
     return lines.mapInPandas(_zip_writer(path), "file string, rows long")
 

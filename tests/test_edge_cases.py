@@ -294,3 +294,26 @@ def test_graph_counts_from_rows_equals_tables(spark):
                           G.interaction_edges(acc), G.impact_edges(acc)).head()
     fast = G.graph_counts_from_rows(acc).head()
     assert tuple(full) == tuple(fast) == (3 + 3, 9)
+
+
+def test_exclude_recent_option(spark):
+    df = rows(spark, {"sqldate": "20240101"}, {"sqldate": "20240102"}, {"sqldate": "20240110"},
+              {"sqldate": "20240110"}, {"sqldate": "20240110"})
+    e = G.interaction_edges(df)
+    parity = C.conflict_anomaly(e, as_of="20240110", days=1).head()
+    assert parity.days_with_events == 3 and parity.recent_count == 3
+    held_out = C.conflict_anomaly(e, as_of="20240110", days=1, exclude_recent=True).head()
+    assert held_out.days_with_events == 2 and held_out.mean == 1.0 and held_out.recent_count == 3
+    assert held_out.z_score == 2.0  # (3 - 1) / max(0, 1)
+
+
+def test_score_missing_scores_drops_to_zero(spark):
+    t = ["2024-01-01 00:00:00", "2024-01-01 00:15:00"]
+    df = spark.createDataFrame([(t[0], "A")] * 5, "t string, event_root_code string").select(
+        F.to_timestamp_ntz("t").alias("interval_ts"), "event_root_code")
+    model = spark.createDataFrame([("event_root_code_A", 5.0, 1.0, 100)], "metric_key string, mean double, "
+                                  "std_dev double, total_occurrences long")
+    a, b = datetime(2024, 1, 1), datetime(2024, 1, 1, 0, 30)
+    assert D.interval_anomalies(df, model, a, b, ["event_root_code"]).count() == 0
+    got = D.interval_anomalies(df, model, a, b, ["event_root_code"], score_missing=True).collect()
+    assert [(str(r.interval_ts), r.current_count, r.z_score) for r in got] == [("2024-01-01 00:15:00", 0, -5.0)]
