@@ -35,8 +35,27 @@ def top_counterparties(pairs: DataFrame, k: int = 3) -> DataFrame:
         .alias("top_counterparties"))
 
 
+def top_ticker(actor_tickers: DataFrame) -> DataFrame:
+    """``actor_tickers``: (actor, ticker) per event. The ticker each actor's events touch
+    most (ties: smallest name); a per-actor top-1 after a partial aggregate."""
+    counts = actor_tickers.groupBy("actor", "ticker").agg(F.count(F.lit(1)).alias("n"))
+    w = Window.partitionBy("actor").orderBy(F.col("n").desc(), F.col("ticker").asc())
+    return (counts.withColumn("r", F.row_number().over(w)).filter(F.col("r") == 1)
+            .select("actor", F.col("ticker").alias("top_ticker")))
+
+
+def latest_close(prices: DataFrame) -> DataFrame:
+    """Last close per ticker (partial ``max_by`` aggregate)."""
+    last = F.max_by(F.struct("price_date", "close"), "price_date")
+    return prices.groupBy("ticker").agg(last.alias("l")).select(
+        "ticker", F.col("l.price_date").alias("latest_close_date"), F.col("l.close").alias("latest_close"))
+
+
 def briefing_rows(interactions: DataFrame, as_of: str, days: int = 1, threshold: float = 3.0,
-                  until: str | None = None, k: int = 3) -> DataFrame:
+                  until: str | None = None, k: int = 3, actor_tickers: DataFrame | None = None,
+                  prices: DataFrame | None = None) -> DataFrame:
+    """One row per actor. With ``actor_tickers`` (actor, ticker) and ``prices`` it also
+    carries the actor's most-linked ticker and that ticker's latest close."""
     pd_ = pair_days(interactions, until).checkpoint(eager=True)
     pairs = pd_.groupBy("src", "dst").agg(F.sum("n").alias("n"))
     degree = pairs.groupBy(F.col("src").alias("actor")).agg(F.sum("n").alias("n_interactions"))
@@ -51,4 +70,8 @@ def briefing_rows(interactions: DataFrame, as_of: str, days: int = 1, threshold:
     text = F.concat(F.col("actor"), F.lit(": "), F.col("n_interactions").cast("string"),
                     F.lit(" interactions; top counterparties: "), F.coalesce(F.col("top_counterparties"), F.lit("none")),
                     F.lit("; conflict alerts: "), F.col("n_alerts").cast("string"))
-    return out.withColumn("briefing", text)
+    out = out.withColumn("briefing", text)
+    if actor_tickers is not None and prices is not None:
+        out = (out.join(top_ticker(actor_tickers), "actor", "left")
+               .join(latest_close(prices), F.col("top_ticker") == F.col("ticker"), "left").drop("ticker"))
+    return out

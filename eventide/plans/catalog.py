@@ -332,7 +332,10 @@ def q_prices_events_asof(spark, sf_dir):
 @register("briefing_rows")
 def q_briefing_rows(spark, sf_dir):
     checkpoint_root(spark)
-    return rounded(BR.briefing_rows(edges(spark, sf_dir), P.AS_OF, P.DAYS, P.THRESHOLD, until=P.AS_OF))
+    rows = accepted_rows(valid_events(v_interactions(spark, sf_dir, with_ticker=True), text_cols=EVENT_COLUMNS))
+    links = rows.select(F.col("actor1_name").alias("actor"), "ticker")
+    return rounded(BR.briefing_rows(G.interaction_edges(rows), P.AS_OF, P.DAYS, P.THRESHOLD, until=P.AS_OF,
+                                    actor_tickers=links, prices=v_prices(spark, sf_dir)))
 
 
 @register("column_profile")

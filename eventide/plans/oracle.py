@@ -235,15 +235,28 @@ _ANOM = (f"SELECT src, dst, (recent_count / {float(P.DAYS)} - mean) / std_dev AS
 _TOPC = ("SELECT src AS actor, string_agg(dst || ' (' || CAST(n AS VARCHAR) || ')', ', ' ORDER BY r) "
          "AS top_counterparties FROM (SELECT src, dst, n, row_number() OVER (PARTITION BY src ORDER BY n DESC, dst) "
          "AS r FROM (SELECT src, dst, count(*) AS n FROM edges GROUP BY src, dst)) WHERE r <= 3 GROUP BY src")
-oracle("briefing_rows", graph_sql(
+_ACC_T = ("SELECT * FROM cleant WHERE event_root_code IS NOT NULL AND event_root_code <> '' "
+          "AND coalesce(actor1_name, '') <> '' AND coalesce(actor2_name, '') <> '' AND coalesce(event_code, '') <> ''")
+_EDGES_T = ("SELECT actor1_name AS src, actor2_name AS dst, event_code, event_root_code AS root_code, quad_class, "
+            "goldstein_scale, avg_tone, sqldate AS date FROM acc")
+_TOPT = ("SELECT actor, ticker AS top_ticker FROM (SELECT actor1_name AS actor, ticker, row_number() OVER "
+         "(PARTITION BY actor1_name ORDER BY count(*) DESC, ticker) AS r FROM acc GROUP BY actor1_name, ticker) "
+         "WHERE r = 1")
+_LAST = ("SELECT ticker, arg_max(price_date, price_date) AS latest_close_date, arg_max(close, price_date) AS latest_close "
+         "FROM v_prices GROUP BY ticker")
+oracle("briefing_rows", with_views(
     f"SELECT d.actor, d.n_interactions, t.top_counterparties, CAST(coalesce(a.n_alerts, 0) AS BIGINT) AS n_alerts, "
     f"round(a.max_conflict_z, {R}) AS max_conflict_z, d.actor || ': ' || CAST(d.n_interactions AS VARCHAR) || "
     f"' interactions; top counterparties: ' || coalesce(t.top_counterparties, 'none') || '; conflict alerts: ' || "
-    f"CAST(coalesce(a.n_alerts, 0) AS VARCHAR) AS briefing "
+    f"CAST(coalesce(a.n_alerts, 0) AS VARCHAR) AS briefing, tt.top_ticker, lc.latest_close_date, "
+    f"round(lc.latest_close, {R}) AS latest_close "
     f"FROM (SELECT src AS actor, count(*) AS n_interactions FROM edges GROUP BY src) d "
     f"LEFT JOIN topc t ON t.actor = d.actor LEFT JOIN (SELECT src AS actor, count(*) FILTER (WHERE is_anomaly) "
-    f"AS n_alerts, max(z_score) AS max_conflict_z FROM anom GROUP BY src) a ON a.actor = d.actor",
-    conf=_conf(), daily=_DAILY, anom=_ANOM, topc=_TOPC))
+    f"AS n_alerts, max(z_score) AS max_conflict_z FROM anom GROUP BY src) a ON a.actor = d.actor "
+    f"LEFT JOIN topt tt ON tt.actor = d.actor LEFT JOIN lastc lc ON lc.ticker = tt.top_ticker",
+    "v_interactions_t", "v_prices",
+    extra={"cleant": _CLEAN_T, "acc": _ACC_T, "edges": _EDGES_T, "conf": _conf(), "daily": _DAILY, "anom": _ANOM,
+           "topc": _TOPC, "topt": _TOPT, "lastc": _LAST}))
 
 # samples -------------------------------------------------------------------------
 
