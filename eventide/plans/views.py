@@ -124,9 +124,13 @@ def v_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def v_triples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """RDF-style triples ``(s, p, o, lang)`` from nation and region (A5)."""
+    """RDF-style triples ``(s, p, o, lang)`` (A5): countries and regions from nation and
+    region, plus supplier and customer entities (type, English label, country link), so
+    the store — and every pattern's scan — grows with the data."""
     n = table(spark, sf_dir, "nation")
     r = table(spark, sf_dir, "region")
+    sup = table(spark, sf_dir, "supplier")
+    cus = table(spark, sf_dir, "customer")
     s = F.concat(F.lit("nation/"), F.col("n_nationkey").cast("string"))
     null = F.lit(None).cast("string")
     parts = [
@@ -144,6 +148,15 @@ def v_triples(spark: SparkSession, sf_dir: str) -> DataFrame:
                  F.lit("label").alias("p"), F.col("r_name").alias("o"),
                  F.when(F.col("r_regionkey") == 4, F.lit("fr")).otherwise(F.lit("en")).alias("lang")),
     ]
+    for df, kind, key, name, nation in ((sup, "Supplier", "s_suppkey", "s_name", "s_nationkey"),
+                                        (cus, "Customer", "c_custkey", "c_name", "c_nationkey")):
+        ent = F.concat(F.lit(kind.lower() + "/"), F.col(key).cast("string"))
+        parts += [
+            df.select(ent.alias("s"), F.lit("type").alias("p"), F.lit(kind).alias("o"), null.alias("lang")),
+            df.select(ent.alias("s"), F.lit("label").alias("p"), F.col(name).alias("o"), F.lit("en").alias("lang")),
+            df.select(ent.alias("s"), F.lit("country").alias("p"),
+                      F.concat(F.lit("nation/"), F.col(nation).cast("string")).alias("o"), null.alias("lang")),
+        ]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -205,7 +218,15 @@ UNION ALL SELECT 'nation/' || CAST(n_nationkey AS VARCHAR), 'isoCode', 'N' || lp
 UNION ALL SELECT 'nation/' || CAST(n_nationkey AS VARCHAR), 'capital', 'region/' || CAST(n_regionkey AS VARCHAR), NULL
   FROM nation WHERE n_nationkey % 2 = 0
 UNION ALL SELECT 'region/' || CAST(r_regionkey AS VARCHAR), 'label', r_name,
-  CASE WHEN r_regionkey = 4 THEN 'fr' ELSE 'en' END FROM region""",
+  CASE WHEN r_regionkey = 4 THEN 'fr' ELSE 'en' END FROM region
+UNION ALL SELECT 'supplier/' || CAST(s_suppkey AS VARCHAR), 'type', 'Supplier', NULL FROM supplier
+UNION ALL SELECT 'supplier/' || CAST(s_suppkey AS VARCHAR), 'label', s_name, 'en' FROM supplier
+UNION ALL SELECT 'supplier/' || CAST(s_suppkey AS VARCHAR), 'country', 'nation/' || CAST(s_nationkey AS VARCHAR), NULL
+  FROM supplier
+UNION ALL SELECT 'customer/' || CAST(c_custkey AS VARCHAR), 'type', 'Customer', NULL FROM customer
+UNION ALL SELECT 'customer/' || CAST(c_custkey AS VARCHAR), 'label', c_name, 'en' FROM customer
+UNION ALL SELECT 'customer/' || CAST(c_custkey AS VARCHAR), 'country', 'nation/' || CAST(c_nationkey AS VARCHAR), NULL
+  FROM customer""",
 }
 
 
