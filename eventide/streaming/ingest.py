@@ -7,8 +7,11 @@ micro-batch updates the graph tables in ``foreachBatch``:
 * event nodes, interaction and impact edges are written under ``batch_id=<n>`` with
   dynamic partition overwrite, so a batch replayed after a failure replaces its own
   output instead of duplicating it;
-* actors are merged into a new versioned snapshot (``actors/v=<n>``) and a pointer file
-  is switched afterwards, so the snapshot being read is never overwritten.
+* actors are kept as an append-only log: each batch writes only its last write per name
+  (``actor_deltas/batch_id=<n>``, cost of the batch, not of the table). The actor table
+  is last-write-wins over the latest compacted snapshot plus newer deltas; every
+  ``compact_every`` batches a new snapshot version is written and a pointer switched, so
+  a snapshot is never overwritten while being read.
 
 Progress lives in the checkpoint; restarting with the same checkpoint resumes without
 reprocessing files.
@@ -66,60 +69,98 @@ def with_event_ids(batch: DataFrame, batch_id: int) -> DataFrame:
             .drop("__pos"))
 
 
-def _read_pointer(spark: SparkSession, root: str) -> str | None:
+def _exists(spark: SparkSession, path: str) -> bool:
     jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(f"{root}/actors/_LATEST")
-    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(p):
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
+def _read_pointer(spark: SparkSession, root: str) -> int | None:
+    """Batch id of the latest compacted actor snapshot, if any (one-row file)."""
+    if not _exists(spark, f"{root}/actors/_LATEST"):
         return None
-    return spark.read.text(f"{root}/actors/_LATEST").head()[0].strip()
+    return int(spark.read.text(f"{root}/actors/_LATEST").head()[0].strip())
 
 
-def _write_pointer(spark: SparkSession, root: str, version: str) -> None:
-    spark.createDataFrame([(version,)], "value string").coalesce(1).write.mode("overwrite").text(
+def _write_pointer(spark: SparkSession, root: str, batch_id: int) -> None:
+    spark.createDataFrame([(str(batch_id),)], "value string").coalesce(1).write.mode("overwrite").text(
         f"{root}/actors/_LATEST")
 
 
+def actor_writes(spark: SparkSession, root: str) -> DataFrame:
+    """``(name, code, ord)`` rows: the current snapshot plus every delta written after it."""
+    snap = _read_pointer(spark, root)
+    parts = []
+    if snap is not None:
+        parts.append(spark.read.parquet(f"{root}/actors/v={snap}").select("name", "code", "ord"))
+    if _exists(spark, f"{root}/actor_deltas"):
+        d = spark.read.parquet(f"{root}/actor_deltas")
+        if snap is not None:
+            d = d.filter(F.col("batch_id") > snap)  # partition pruning on the batch column
+        parts.append(d.select("name", "code", "ord"))
+    if not parts:
+        return None
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def _latest(writes: DataFrame) -> DataFrame:
+    return writes.groupBy("name").agg(F.max_by("code", "ord").alias("code"), F.max("ord").alias("ord"))
+
+
 def current_actors(spark: SparkSession, root: str) -> DataFrame:
-    v = _read_pointer(spark, root)
-    if v is None:
+    writes = actor_writes(spark, root)
+    if writes is None:
         return G.empty_graph(spark)["actors"]
-    return spark.read.parquet(f"{root}/actors/{v}")
+    return _latest(writes).select("name", "code", F.lit(G.UNKNOWN_TYPE).alias("type"))
+
+
+def compact_actors(spark: SparkSession, root: str, batch_id: int) -> None:
+    """Write the actor table as snapshot ``v=<batch_id>`` and switch the pointer to it."""
+    if _read_pointer(spark, root) == batch_id:
+        return  # replay of a compaction already switched in
+    writes = actor_writes(spark, root)
+    if writes is None:
+        return
+    _latest(writes).write.mode("overwrite").parquet(f"{root}/actors/v={batch_id}")
+    _write_pointer(spark, root, batch_id)
 
 
 def read_graph(spark: SparkSession, root: str) -> dict[str, DataFrame]:
     out = {"actors": current_actors(spark, root)}
     empty = G.empty_graph(spark)
     for name in ("event_nodes", "interactions", "impacts"):
-        try:
+        if _exists(spark, f"{root}/{name}"):
             out[name] = spark.read.parquet(f"{root}/{name}").drop("batch_id")
-        except Exception:  # nothing written yet
+        else:
             out[name] = empty[name]
     return out
 
 
-def apply_batch(spark: SparkSession, root: str, batch: DataFrame, batch_id: int) -> None:
+def apply_batch(spark: SparkSession, root: str, batch: DataFrame, batch_id: int,
+                compact_every: int | None = 96) -> None:
     rows = accepted_rows(valid_events(batch, text_cols=EVENT_COLUMNS))
     # a reliable checkpoint (shared checkpoint dir) fixes ids and positions once for the
-    # four outputs below and survives executor loss; replays rewrite the whole batch
+    # outputs below and survives executor loss; replays rewrite the whole batch
     rows = with_event_ids(rows, batch_id).checkpoint(eager=True)
     tag = F.lit(batch_id).cast("bigint").alias("batch_id")
-    for name, df in (("event_nodes", G.event_nodes(rows)), ("interactions", G.interaction_edges(rows)),
-                     ("impacts", G.impact_edges(rows))):
+    outputs = (("event_nodes", G.event_nodes(rows)), ("interactions", G.interaction_edges(rows)),
+               ("impacts", G.impact_edges(rows)),
+               ("actor_deltas", G.latest_actors(rows, "order_key").select("name", "code", "ord")))
+    for name, df in outputs:
         (df.select("*", tag).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
          .partitionBy("batch_id").parquet(f"{root}/{name}"))
-    version = f"v={batch_id}"
-    if _read_pointer(spark, root) == version:
-        return  # replay of a batch whose actor snapshot was already switched in
-    merged = G.merge_actor_batch(current_actors(spark, root), rows, "order_key")
-    merged.write.mode("overwrite").parquet(f"{root}/actors/{version}")
-    _write_pointer(spark, root, version)
+    if compact_every and (batch_id + 1) % compact_every == 0:
+        compact_actors(spark, root, batch_id)
 
 
 def start_graph_ingest(spark: SparkSession, landing: str, root: str, checkpoint: str,
-                       available_now: bool = True, **source_opts) -> StreamingQuery:
+                       available_now: bool = True, compact_every: int | None = 96,
+                       **source_opts) -> StreamingQuery:
     stream = landed_interval_files(spark, landing, **source_opts)
     w = (stream.writeStream.option("checkpointLocation", checkpoint)
-         .foreachBatch(lambda df, bid: apply_batch(spark, root, df, bid)))
+         .foreachBatch(lambda df, bid: apply_batch(spark, root, df, bid, compact_every)))
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="30 seconds")
     return w.start()

@@ -153,3 +153,17 @@ def test_replayed_batch_changes_nothing(spark, tmp):
     I.apply_batch(spark, root, batch, 0)  # replay of batch 0
     again = {k: sorted(map(tuple, v.drop("event_id").collect()), key=str) for k, v in I.read_graph(spark, root).items()}
     assert first == again and len(first["interactions"]) > 0
+
+
+def test_actor_compaction_keeps_the_answer(spark, tmp):
+    pdf = interval_pdf(spark)
+    keys = sorted(pdf.key.unique())
+    landing = f"{tmp}/landing"
+    answers = []
+    for every, root in ((None, f"{tmp}/g1"), (1, f"{tmp}/g2"), (2, f"{tmp}/g3")):
+        lz = f"{landing}-{every}"
+        for i, wave in enumerate([keys[:15], keys[15:30], keys[30:45]]):
+            land(pdf[pdf.key.isin(wave)], lz, "key")
+            I.start_graph_ingest(spark, lz, root, f"{root}-ckpt", compact_every=every).awaitTermination()
+        answers.append(sorted(map(tuple, I.read_graph(spark, root)["actors"].collect()), key=str))
+    assert answers[0] == answers[1] == answers[2] and len(answers[0]) > 0
