@@ -20,12 +20,15 @@ IMPACT_SCHEMA = "event_id string, actor string"
 
 
 def interaction_edges(rows: DataFrame) -> DataFrame:
-    """One directed ``INTERACTED_WITH`` edge per accepted row, actor1 → actor2."""
+    """One directed ``INTERACTED_WITH`` edge per accepted row, actor1 → actor2 (an
+    ``event_id`` and a linked ``ticker`` are carried along when the rows have them)."""
     cols = [F.col("actor1_name").alias("src"), F.col("actor2_name").alias("dst"), "event_code",
             F.col("event_root_code").alias("root_code"), "quad_class", "goldstein_scale", "avg_tone",
             F.col("sqldate").alias("date")]
     if "event_id" in rows.columns:
         cols.insert(0, "event_id")
+    if "ticker" in rows.columns:
+        cols.append("ticker")
     return accepted_rows(rows).select(*cols)
 
 

@@ -332,10 +332,9 @@ def q_prices_events_asof(spark, sf_dir):
 @register("briefing_rows")
 def q_briefing_rows(spark, sf_dir):
     checkpoint_root(spark)
-    rows = accepted_rows(valid_events(v_interactions(spark, sf_dir, with_ticker=True), text_cols=EVENT_COLUMNS))
-    links = rows.select(F.col("actor1_name").alias("actor"), "ticker")
+    rows = valid_events(v_interactions(spark, sf_dir, with_ticker=True), text_cols=EVENT_COLUMNS)
     return rounded(BR.briefing_rows(G.interaction_edges(rows), P.AS_OF, P.DAYS, P.THRESHOLD, until=P.AS_OF,
-                                    actor_tickers=links, prices=v_prices(spark, sf_dir)))
+                                    prices=v_prices(spark, sf_dir)))
 
 
 @register("column_profile")
