@@ -126,9 +126,21 @@ def scan_export_zips(spark: SparkSession, path: str, glob: str = ZIP_GLOB,
 
 
 def read_export_zips(spark: SparkSession, path: str, glob: str = ZIP_GLOB,
-                     encoding: str = "latin-1") -> DataFrame:
-    """Event rows of all readable zipped exports."""
-    raw = scan_export_zips(spark, path, glob, encoding).filter(F.col("status") == "ok")
+                     encoding: str = "latin-1", observation=None) -> DataFrame:
+    """Event rows of all readable zipped exports.
+
+    ``observation`` (a ``pyspark.sql.Observation``) collects, during the same pass, how
+    many archives were corrupt or empty and how many lines were read (P20 counters);
+    read ``observation.get`` after an action on the result.
+    """
+    raw = scan_export_zips(spark, path, glob, encoding)
+    if observation is not None:
+        status = F.col("status")
+        raw = raw.observe(observation,
+                          F.count(F.when(status == "bad_zip", F.lit(1))).alias("bad_archives"),
+                          F.count(F.when(status == "empty", F.lit(1))).alias("empty_archives"),
+                          F.count(F.when(status == "ok", F.lit(1))).alias("lines"))
+    raw = raw.filter(F.col("status") == "ok")
     parts = raw.select("source_file", F.split("line", "\t", -1).alias("f"))
     return _project(parts, lambda i: F.try_element_at(F.col("f"), F.lit(i + 1)))
 

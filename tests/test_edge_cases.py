@@ -198,7 +198,10 @@ def test_zip_scan_skips_corrupt_and_empty(spark, tmp):
     EX.land_bad_archives(f"{tmp}/z")
     rep = {r.status: r.files for r in EX.zip_scan_report(spark, f"{tmp}/z").collect()}
     assert rep == {"ok": 1, "bad_zip": 1, "empty": 1}
-    got = EX.read_export_zips(spark, f"{tmp}/z").collect()
+    from pyspark.sql import Observation
+    obs = Observation("zip_scan")
+    got = EX.read_export_zips(spark, f"{tmp}/z", observation=obs).collect()
+    assert obs.get == {"bad_archives": 1, "empty_archives": 1, "lines": 2}
     assert len(got) == 2
     odd = [r for r in got if r.source_event_id != "x"][0]
     assert odd.source_event_id == "é\x85" and odd.sqldate is None  # 0x85 is not a line break

@@ -1,7 +1,6 @@
 """Structured Streaming twins checked against their batch results."""
 
 import os
-from datetime import datetime
 
 from pyspark.sql import functions as F
 
