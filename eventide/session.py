@@ -31,6 +31,15 @@ def _driver_memory() -> str:
         total = os.sysconf("SC_PAGE_SIZE") * os.sysconf("SC_PHYS_PAGES")
     except (ValueError, OSError, AttributeError):
         return "4g"
+    # a container's cgroup limit, when set, is the real bound
+    for limit_file in ("/sys/fs/cgroup/memory.max", "/sys/fs/cgroup/memory/memory.limit_in_bytes"):
+        try:
+            with open(limit_file) as f:
+                raw = f.read().strip()
+            if raw.isdigit():
+                total = min(total, int(raw))
+        except OSError:
+            pass
     return f"{max(1, min(16, int(total / 2**30 * 0.5)))}g"
 
 
