@@ -320,3 +320,27 @@ def test_score_missing_scores_drops_to_zero(spark):
     assert D.interval_anomalies(df, model, a, b, ["event_root_code"]).count() == 0
     got = D.interval_anomalies(df, model, a, b, ["event_root_code"], score_missing=True).collect()
     assert [(str(r.interval_ts), r.current_count, r.z_score) for r in got] == [("2024-01-01 00:15:00", 0, -5.0)]
+
+
+def test_prices_file_per_ticker_layout(spark, tmp):
+    from eventide.sources.prices import read_prices
+    import os
+    os.makedirs(f"{tmp}/p")
+    hdr = "Date,Open,High,Low,Close,Adj Close,Volume\n"
+    open(f"{tmp}/p/NVDA.csv", "w").write(hdr + "2024-01-02,1.0,2.0,0.5,1.5,1.5,100\n2024-01-03,1.5,2.5,1.0,2.0,2.0,200\n")
+    open(f"{tmp}/p/AAPL.csv", "w").write(hdr + "2024-01-02,10.0,11.0,9.0,10.5,10.5,5\n")
+    got = sorted((r.ticker, str(r.price_date), r.close, r.volume)
+                 for r in read_prices(spark, f"{tmp}/p", layout="file_per_ticker").collect())
+    assert got == [("AAPL", "2024-01-02", 10.5, 5), ("NVDA", "2024-01-02", 1.5, 100), ("NVDA", "2024-01-03", 2.0, 200)]
+
+
+def test_interval_log_parquet_day_rerun_replaces_only_its_days(spark, tmp):
+    from eventide.sources.interval_log import read_interval_log, write_interval_log
+    base = rows(spark, {"sqldate": "20240101"}, {"sqldate": "20240102"}, {"sqldate": "20240102"})
+    with_ts = base.withColumn("interval_ts", F.to_timestamp_ntz("sqldate", F.lit("yyyyMMdd")))
+    write_interval_log(with_ts, f"{tmp}/log", fmt="parquet")
+    rerun = with_ts.filter(F.col("sqldate") == "20240102").limit(1)  # day 2 reprocessed
+    write_interval_log(rerun, f"{tmp}/log", fmt="parquet")
+    got = read_interval_log(spark, f"{tmp}/log", fmt="parquet")
+    assert sorted(r.sqldate for r in got.collect()) == ["20240101", "20240102"]
+    assert {str(r.interval_ts) for r in got.collect()} == {"2024-01-01 00:00:00", "2024-01-02 00:00:00"}
