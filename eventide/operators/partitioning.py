@@ -12,9 +12,9 @@ def spread_for_cpu(df: DataFrame) -> DataFrame:
     many files with one split per block and is left untouched, so no shuffle is added at
     scale. The file list comes from the file index (metadata), nothing is executed.
     """
-    target = df.sparkSession.sparkContext.defaultParallelism
     try:
+        target = df.sparkSession.sparkContext.defaultParallelism
         n_files = len(df.inputFiles())
-    except Exception:  # not file based: leave as is
+    except Exception:  # no context handle, or not file based: leave as is
         return df
     return df.repartition(target) if 0 < n_files < target else df
