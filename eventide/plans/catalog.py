@@ -397,9 +397,9 @@ def q_interval_anomalies_stream(spark, sf_dir):
     ev = interval_events(spark, sf_dir)
     ts = F.col("interval_ts")
     run = ev.filter((ts >= ntz(P.DETECT_START)) & (ts < ntz(P.DETECT_END)))
-    # range partitioning keeps every interval inside one landed file, so each
-    # micro-batch sees whole intervals
-    IL.write_interval_log(_full_event_columns(run), landing)
+    # whole_intervals keeps every interval inside one landed file, so each micro-batch
+    # sees whole intervals
+    IL.write_interval_log(_full_event_columns(run), landing, whole_intervals=True)
     q = SD.start_interval_alerts(spark, landing, lambda: spark.read.parquet(model_path), out, ckpt,
                                  P.METRIC_COLUMNS, P.Z_LIMIT, recursive=True, max_files=16)
     q.awaitTermination()

@@ -37,20 +37,27 @@ def parse_iso_utc(s: Column | str) -> Column:
 
 
 def write_interval_log(events: DataFrame, path: str, ts_col: str = "interval_ts", fmt: str = "csv",
-                       granularity: str = "day") -> None:
+                       granularity: str = "day", whole_intervals: bool = False) -> None:
     """Write stamped rows, stamp first, one directory per interval day.
 
     ``mode overwrite`` with dynamic partition overwrite replaces only the partitions present
     in ``events``: a fresh run over a range clears that range (S7) without touching others.
     ``granularity="month"`` suits sparse logs, where day directories would hold tiny files.
+
+    Placement before the write, in one pass over the input: the ``rebalance`` hint lets
+    adaptive execution hash rows by partition, split a heavy day over several tasks and
+    merge small ones, so files stay near one per partition. ``whole_intervals=True``
+    instead range-partitions on (partition, stamp), which never splits an interval across
+    files (needed when each landed file must hold whole intervals) at the cost of a
+    sampling pass over the input.
     """
     part_col, _, derive = GRANULARITY[granularity]
     out = events.select(stamp_iso_utc(ts_col).alias("interval_timestamp"), *EVENT_COLUMNS,
                         derive(F.col(ts_col)).alias(part_col))
-    # Range partitioning by (partition, stamp) gives each task a contiguous run of
-    # partitions, so the file count stays near partitions + tasks, and a heavy day can
-    # still span several tasks.
-    out = out.repartitionByRange(part_col, "interval_timestamp")
+    if whole_intervals:
+        out = out.repartitionByRange(part_col, "interval_timestamp")
+    else:
+        out = out.hint("rebalance", part_col)
     w = (out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
          .partitionBy(part_col))
     if fmt == "csv":

@@ -24,7 +24,8 @@ def test_no_cartesian_or_nested_loop_join(spark, name):
 def test_no_broadcast_hints_in_library():
     import pathlib
     root = pathlib.Path(E.__file__).parent / "eventide"
-    hits = [str(f) for f in root.rglob("*.py") if re.search(r"\bF\.broadcast\(|\.hint\(", f.read_text())]
+    pattern = r"\bF\.broadcast\(|\bbroadcast\(|\.hint\(\s*[\"'](broadcast|broadcastjoin|mapjoin)"
+    hits = [str(f) for f in root.rglob("*.py") if re.search(pattern, f.read_text(), re.IGNORECASE)]
     assert hits == []
 
 
