@@ -344,3 +344,14 @@ def test_interval_log_parquet_day_rerun_replaces_only_its_days(spark, tmp):
     got = read_interval_log(spark, f"{tmp}/log", fmt="parquet")
     assert sorted(r.sqldate for r in got.collect()) == ["20240101", "20240102"]
     assert {str(r.interval_ts) for r in got.collect()} == {"2024-01-01 00:00:00", "2024-01-02 00:00:00"}
+
+
+def test_interval_log_csv_has_stamp_first(spark, tmp):
+    import glob
+    from eventide.sources.interval_log import write_interval_log
+    df = rows(spark, {}).withColumn("interval_ts", F.to_timestamp_ntz(F.lit("2024-01-01 00:15:00")))
+    write_interval_log(df, f"{tmp}/log")
+    f = sorted(glob.glob(f"{tmp}/log/interval_date=2024-01-01/*.csv"))[0]
+    header, first = open(f).read().splitlines()[:2]
+    assert header.split(",")[:2] == ["interval_timestamp", "sqldate"]
+    assert first.startswith("2024-01-01T00:15:00+00:00,20240101,")
