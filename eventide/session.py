@@ -23,6 +23,28 @@ SCALE_CONF = {
 }
 
 
+def cluster_conf(input_tb: float = 100.0, total_cores: int = 8000) -> dict[str, str]:
+    """Settings for a large cluster run (the jobs themselves do not change).
+
+    Shuffles start from enough partitions for ~256 MiB each at the input volume and AQE
+    coalesces them down to the advisory size at run time, so a stage never has too few
+    partitions to fit in executor memory or too many tiny ones; file splits stay at
+    256 MiB; skewed join partitions are split when over 5× the median and 512 MiB.
+    """
+    initial = max(total_cores * 3, int(input_tb * 2**40 / (256 * 2**20)))
+    return {
+        **SCALE_CONF,
+        "spark.sql.shuffle.partitions": str(min(initial, 200_000)),
+        "spark.sql.adaptive.coalescePartitions.initialPartitionNum": str(min(initial, 200_000)),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(256 * 2**20),
+        "spark.sql.files.maxPartitionBytes": str(256 * 2**20),
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "5",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(512 * 2**20),
+        "spark.sql.adaptive.rebalancePartitionsSmallPartitionFactor": "0.2",
+        "spark.sql.adaptive.optimizeSkewsInRebalancePartitions.enabled": "true",
+    }
+
+
 def _driver_memory() -> str:
     """Local mode runs everything in the driver JVM: give it about half of the machine's
     memory, capped at 16 GiB, so a small container is not overcommitted."""
