@@ -54,3 +54,12 @@ def test_top_k_per_group_is_limited_before_the_shuffle(spark, name):
     s = df._jdf.queryExecution().executedPlan().toString()
     # partial WindowGroupLimit below the exchange, final one above it
     assert s.count("WindowGroupLimit") >= 2
+
+
+def test_cluster_conf_keys_are_spark_sql_settings(spark):
+    from eventide.session import cluster_conf
+    conf = cluster_conf(input_tb=100, total_cores=8000)
+    assert int(conf["spark.sql.shuffle.partitions"]) >= 24000
+    for key in conf:
+        if key.startswith("spark.sql."):
+            assert spark.conf.isModifiable(key), key
