@@ -355,3 +355,32 @@ def test_interval_log_csv_has_stamp_first(spark, tmp):
     header, first = open(f).read().splitlines()[:2]
     assert header.split(",")[:2] == ["interval_timestamp", "sqldate"]
     assert first.startswith("2024-01-01T00:15:00+00:00,20240101,")
+
+
+def test_article_file_mentions_over_three_columns(spark, tmp):
+    import os
+    from eventide.operators import mentions as M
+    from eventide.sources.articles import read_article_file
+    os.makedirs(f"{tmp}/gkg")
+
+    def line(rid, orgs="", pers="", locs="", extras=None, width=30):
+        cells = [""] * width
+        cells[0], cells[19], cells[21], cells[23] = rid, orgs, pers, locs
+        if extras is not None:
+            cells[29] = extras
+        return "\t".join(cells if extras is not None else cells[:24])
+
+    rows_ = [line("a1", orgs="United Nations;Apple", extras="<x>1</x>"),
+             line("a2", pers="joe biden", extras=""),                 # empty extras -> default text
+             line("a3", locs="Kyiv", extras="<x>3</x>"),
+             line("a4", orgs="Pineapple Inc")]                         # short row, no extras column
+    open(f"{tmp}/gkg/f.csv", "w").write("\n".join(rows_) + "\n")
+    arts = read_article_file(spark, f"{tmp}/gkg")
+    terms = ["Vladimir Putin", "Joe Biden", "Apple", "Kyiv"]
+    found = M.mentions(arts, terms, ["organizations", "persons", "locations"], id_col="record_id",
+                       keep=["extras"])
+    counts = {r.entity: r.n_mentions for r in M.mention_counts(spark, found, terms).collect()}
+    assert counts == {"Vladimir Putin": 0, "Joe Biden": 1, "Apple": 1, "Kyiv": 1}  # not "Pineapple"
+    first = M.first_tracked_entity(found, 5, id_col="record_id", show_col="extras").collect()
+    assert [(r.entity, r.n_mentions, r.record_id, r.content) for r in first] == \
+        [("Joe Biden", 1, "a2", "(No XML content)")]
