@@ -4,11 +4,11 @@ runs the same check at sf0.01, the driver's scale)."""
 import pytest
 
 import __spark_entry__ as E
+from eventide.plans.catalog import REGISTRY as QUERIES
+from eventide.plans.oracle import ORACLE
 from parity import compare, duck
 
 SF = "/root/testdata/sf0.001"
-QUERIES = E.queries()
-ORACLE = E.oracle_sql()
 
 
 @pytest.fixture(scope="module")
@@ -18,6 +18,7 @@ def con():
 
 def test_every_query_has_an_oracle():
     assert set(QUERIES) == set(ORACLE)
+    assert set(QUERIES) <= set(E.queries()) and set(E.oracle_sql()) <= set(E.queries())
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
