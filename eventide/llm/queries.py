@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, outliers, sharding
+from . import mixing, ngram_join, outliers, sharding
 from .common import read_table
 
 
+def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read_table(spark, sf_dir, "documents"))
 
@@ -25,5 +29,22 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
                        "base_failed", "kept", "distance")
 
 
-QUERIES = {f.__name__: f for f in (op5_mixing, op6_sharding, op9_quality)}
-ORACLE: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op2_ngram_join, op5_mixing, op6_sharding, op9_quality)}
+_NGRAM_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (
+  SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
+    ELSE list_distinct(list_transform(generate_series(1, len(ws) - 4), lambda i: array_to_string(ws[i:i + 4], ' '))) END AS sh
+  FROM w),
+u AS (SELECT doc_id, len(sh) AS n, unnest(sh) AS t FROM s),
+p AS (
+  SELECT a.doc_id AS x, b.doc_id AS y FROM u a JOIN u b ON a.t = b.t AND a.doc_id <> b.doc_id
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 75 * (a.n + b.n - count(*))),
+r AS (SELECT x AS id, y AS reach FROM p UNION SELECT r.id, p.y FROM r JOIN p ON r.reach = p.x)
+SELECT s.doc_id, CAST(len(sh) AS BIGINT) AS n_shingles, least(s.doc_id, coalesce(min(reach), s.doc_id)) AS component_id
+FROM s LEFT JOIN r ON r.id = s.doc_id GROUP BY s.doc_id, len(sh)
+"""
+
+ORACLE = {"op2_ngram_join": _NGRAM_SQL}
