@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, ngram_join, outliers, sharding
+from . import metric_join, mixing, ngram_join, outliers, sharding
 from .common import read_table
 
 
@@ -13,6 +13,10 @@ def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_duplicates(read_table(spark, sf_dir, "documents"))
 
 
+def op3_metric_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metric_join.near_vectors(read_table(spark, sf_dir, "embeddings"))
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read_table(spark, sf_dir, "documents"))
 
@@ -29,7 +33,7 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
                        "base_failed", "kept", "distance")
 
 
-QUERIES = {f.__name__: f for f in (op2_ngram_join, op5_mixing, op6_sharding, op9_quality)}
+QUERIES = {f.__name__: f for f in (op2_ngram_join, op3_metric_join, op5_mixing, op6_sharding, op9_quality)}
 _NGRAM_SQL = r"""
 WITH RECURSIVE w AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
@@ -47,4 +51,22 @@ SELECT s.doc_id, CAST(len(sh) AS BIGINT) AS n_shingles, least(s.doc_id, coalesce
 FROM s LEFT JOIN r ON r.id = s.doc_id GROUP BY s.doc_id, len(sh)
 """
 
-ORACLE = {"op2_ngram_join": _NGRAM_SQL}
+_METRIC_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+p AS (
+  SELECT a.vec_id AS x, b.vec_id AS y FROM v a JOIN v b
+    ON a.label = b.label AND len(a.e) = len(b.e) AND a.vec_id <> b.vec_id
+  WHERE list_cosine_similarity(a.e, b.e) >= 0.98),
+r AS (SELECT x AS id, y AS reach FROM p UNION SELECT r.id, p.y FROM r JOIN p ON r.reach = p.x),
+c AS (SELECT id, min(reach) AS low FROM r GROUP BY id),
+n AS (SELECT x AS id, count(*) AS n_links FROM p GROUP BY x)
+SELECT vec_id, coalesce(n_links, 0) AS n_links, least(vec_id, coalesce(low, vec_id)) AS component_id,
+       vec_id = least(vec_id, coalesce(low, vec_id)) AS kept
+FROM embeddings LEFT JOIN c ON c.id = vec_id LEFT JOIN n ON n.id = vec_id
+"""
+
+ORACLE = {"op2_ngram_join": _NGRAM_SQL, "op3_metric_join": _METRIC_SQL}
