@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import metric_join, mixing, ngram_join, outliers, sharding
+from . import metric_join, mixing, ngram_join, outliers, packing, sharding
 from .common import read_table
 
 
@@ -17,6 +17,10 @@ def op3_metric_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metric_join.near_vectors(read_table(spark, sf_dir, "embeddings"))
 
 
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(read_table(spark, sf_dir, "documents"), packing.tokenizer_path())
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read_table(spark, sf_dir, "documents"))
 
@@ -33,7 +37,7 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
                        "base_failed", "kept", "distance")
 
 
-QUERIES = {f.__name__: f for f in (op2_ngram_join, op3_metric_join, op5_mixing, op6_sharding, op9_quality)}
+QUERIES = {f.__name__: f for f in (op2_ngram_join, op3_metric_join, op4_packing, op5_mixing, op6_sharding, op9_quality)}
 _NGRAM_SQL = r"""
 WITH RECURSIVE w AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
