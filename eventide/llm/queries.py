@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import metric_join, mixing, ngram_join, outliers, packing, sharding
+from . import metric_join, mixing, ngram_join, outliers, packing, page_diff, sharding
 from .common import read_table
 
 
@@ -37,7 +37,12 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
                        "base_failed", "kept", "distance")
 
 
-QUERIES = {f.__name__: f for f in (op2_ngram_join, op3_metric_join, op4_packing, op5_mixing, op6_sharding, op9_quality)}
+def op10_page_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return page_diff.main_texts(read_table(spark, sf_dir, "pages"))
+
+
+QUERIES = {f.__name__: f for f in (op2_ngram_join, op3_metric_join, op4_packing, op5_mixing, op6_sharding, op9_quality,
+                                  op10_page_diff)}
 _NGRAM_SQL = r"""
 WITH RECURSIVE w AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
