@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from eventide.llm import mixing, outliers
+from eventide.llm import mixing, ngram_join, outliers, packing, toxicity
 from eventide.llm.common import read_table, written
 
 
@@ -17,12 +17,28 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return outliers.keep_good(docs)
 
 
+def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop the documents that score as toxic by a model fitted on the labelled ones among them."""
+    return toxicity.keep_clean(docs, read_table(spark, sf_dir, "labels"))
+
+
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies, the one of the smallest id."""
+    return ngram_join.one_of_each(docs)
+
+
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents as the mix uses them, a row per use, in training order."""
     return mixing.in_training_order(docs)
 
 
-STAGES = [("quality", quality_stage), ("mixing", mixing_stage)]
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the documents and the training sequence of each."""
+    return packing.packed(docs, packing.tokenizer_path())
+
+
+STAGES = [("quality", quality_stage), ("toxicity", toxicity_stage), ("near_duplicates", near_duplicate_stage),
+          ("mixing", mixing_stage), ("packing", packing_stage)]
 
 #: The stages hold a trained classifier, an iterated estimate and a tokenizer: no SQL.
 ORACLE_SQL = None

@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import metric_join, mixing, ngram_join, outliers, packing, page_diff, sharding
+from . import license_scan, metric_join, mixing, ngram_join, outliers, packing, page_diff, sharding, toxicity
 from .common import read_table
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_duplicates(read_table(spark, sf_dir, "documents"))
 
@@ -31,6 +35,10 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(read_table(spark, sf_dir, "documents")).drop("found")
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = outliers.quality(read_table(spark, sf_dir, "documents"))
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
@@ -41,7 +49,7 @@ def op10_page_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return page_diff.main_texts(read_table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op2_ngram_join, op3_metric_join, op4_packing, op5_mixing, op6_sharding, op9_quality,
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_ngram_join, op3_metric_join, op4_packing, op5_mixing, op6_sharding, op8_license_scan, op9_quality,
                                   op10_page_diff)}
 _NGRAM_SQL = r"""
 WITH RECURSIVE w AS (
