@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import license_scan, metric_join, mixing, ngram_join, outliers, packing, page_diff, sharding, toxicity
+from . import license_scan, lm_score, metric_join, mixing, ngram_join, outliers, packing, page_diff, sharding, toxicity
 from .common import read_table
 
 
@@ -35,6 +35,11 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    return lm_score.cross_entropy_difference(docs, lm_score.good_documents(docs, read_table(spark, sf_dir, "labels")))
+
+
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(read_table(spark, sf_dir, "documents")).drop("found")
 
@@ -49,7 +54,7 @@ def op10_page_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return page_diff.main_texts(read_table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_ngram_join, op3_metric_join, op4_packing, op5_mixing, op6_sharding, op8_license_scan, op9_quality,
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_ngram_join, op3_metric_join, op4_packing, op5_mixing, op6_sharding, op7_lm_score, op8_license_scan, op9_quality,
                                   op10_page_diff)}
 _NGRAM_SQL = r"""
 WITH RECURSIVE w AS (
