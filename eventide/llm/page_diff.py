@@ -52,7 +52,8 @@ NOISE_WORDS = frozenset((
     "widgets menu nav navbar navigation breadcrumb breadcrumbs comment comments reply replies respond disqus share sharing "
     "social related recommended footer header masthead topbar toolbar pagination pager skip copyright legal disclaimer").split())
 
-_TOKEN = re.compile(r"<!--(?:>|->|.*?(?:--!?>|\Z))|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(>|\Z)|<[!?/][^>]*(?:>|\Z)", re.S)
+_TOKEN = re.compile(r"<!--(?:>|->|.*?(?:--!?>|\Z))|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)(>|\Z)"
+                    r"|<[!?/a-zA-Z][^>]*+(?:>|\Z)", re.S)
 _ATTR = re.compile(r"""(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""", re.I)
 _WORD = re.compile(r"[a-zA-Z]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
