@@ -12,11 +12,6 @@ def to_double(c: Column | str) -> Column:
     return c.try_cast("double")
 
 
-def zscore(x: Column, mean: Column, std: Column) -> Column:
-    """``(x - mean) / std``; NULL when std is NULL or not positive."""
-    return F.when(std > 0, (x - mean) / std)
-
-
 def std_floor(std: Column, floor: float = 1.0) -> Column:
     """Sample std with one point read as 0.0, floored."""
     return F.greatest(F.coalesce(std, F.lit(0.0)), F.lit(float(floor)))

@@ -12,10 +12,22 @@ STEP = "15 minutes"
 STEP_SECONDS = 15 * 60
 
 
+def step_seconds(step: str) -> int:
+    """Length of a step such as ``15 minutes``, which must divide a day."""
+    n, unit = step.split()
+    seconds = int(n) * {"second": 1, "minute": 60, "hour": 3600, "day": 86400}[unit.rstrip("s")]
+    if seconds <= 0 or 86400 % seconds:
+        raise ValueError(f"{step} does not divide a day")
+    return seconds
+
+
 def floor_interval(ts: Column | str, step: str = STEP) -> Column:
-    """Floor a timestamp to the start of its tumbling interval (F1)."""
+    """Floor a timestamp to the start of its tumbling interval (F1); NULL stays NULL (a
+    ``window`` expression would drop such rows)."""
     ts = F.col(ts) if isinstance(ts, str) else ts
-    return F.window(ts, step).start
+    in_day = F.hour(ts) * 3600 + F.minute(ts) * 60 + F.date_part(F.lit("SECOND"), ts)
+    past = in_day.cast("decimal(18,6)") % F.lit(step_seconds(step)).cast("decimal(18,6)")
+    return ts - F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), past)
 
 
 def stamp_key(ts: Column | str) -> Column:
@@ -80,19 +92,15 @@ def n_points(start: datetime, end: datetime, step_seconds: int = STEP_SECONDS) -
     return int((end - start).total_seconds() // step_seconds) + 1
 
 
-def n_steps(start: datetime, end: datetime, step_seconds: int = STEP_SECONDS) -> int:
-    """Number of whole steps in ``[start, end)`` (F6 floor division)."""
-    return max(0, int((end - start).total_seconds() // step_seconds))
-
-
 def spine(spark: SparkSession, start: datetime, end: datetime, step: str = STEP,
-          name: str = "interval_ts", step_seconds: int = STEP_SECONDS) -> DataFrame:
+          name: str = "interval_ts") -> DataFrame:
     """Inclusive time spine as a one-column frame (D5). Points come from ``spark.range``,
     so they are generated in parallel; the row count grows with the range only."""
-    n = n_points(start, end, step_seconds)
+    seconds = step_seconds(step)
+    n = n_points(start, end, seconds)
     return spark.range(n).select(
         (ntz(start) + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0),
-                                         (F.col("id") * step_seconds).cast("decimal(18,6)"))).alias(name))
+                                         (F.col("id") * seconds).cast("decimal(18,6)"))).alias(name))
 
 
 def day_spine(spark: SparkSession, first: str, last: str, name: str = "day") -> DataFrame:

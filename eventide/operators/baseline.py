@@ -71,9 +71,10 @@ def baseline_sparse(counts: DataFrame, significant: DataFrame, start: datetime,
         raise ValueError("empty spine")
     sums = (_in_spine(counts, start, end, ts_col, step_seconds)
             .groupBy("metric_key")
-            .agg(F.sum("n").cast("bigint").alias("s"), F.sum(F.col("n") * F.col("n")).cast("bigint").alias("q")))
-    dec = "decimal(20,0)"
-    num = (F.lit(n).cast(dec) * F.col("q").cast(dec) - F.col("s").cast(dec) * F.col("s").cast(dec))
+            .agg(F.sum("n").cast("bigint").alias("s"), F.sum(F.col("n").cast("decimal(19,0)") * F.col("n")).cast("decimal(38,0)").alias("q")))
+    # sums of squares pass 64 bits at large volumes; 38 digits hold them, and s * s, exactly
+    dec = "decimal(19,0)"
+    num = F.lit(n).cast("decimal(9,0)") * F.col("q").cast("decimal(29,0)") - F.col("s").cast(dec) * F.col("s").cast(dec)
     var = num.cast("double") / F.lit(float(n) * float(n - 1)) if n > 1 else F.lit(None).cast("double")
     return (significant.select("metric_key").join(sums, "metric_key", "left")
             .fillna(0, subset=["s", "q"])
@@ -100,10 +101,11 @@ def sparse_model(counts: DataFrame, min_total: int, start: datetime, end: dateti
     agg = (counts.groupBy("metric_key")
            .agg(F.sum("n").alias("total"),
                 F.coalesce(F.sum(F.when(inside, F.col("n"))), F.lit(0)).cast("bigint").alias("s"),
-                F.coalesce(F.sum(F.when(inside, F.col("n") * F.col("n"))), F.lit(0)).cast("bigint").alias("q"))
+                F.coalesce(F.sum(F.when(inside, F.col("n").cast("decimal(19,0)") * F.col("n"))), F.lit(0)).cast("decimal(38,0)").alias("q"))
            .filter(F.col("total") > F.lit(min_total)))
-    dec = "decimal(20,0)"
-    num = (F.lit(n).cast(dec) * F.col("q").cast(dec) - F.col("s").cast(dec) * F.col("s").cast(dec))
+    # sums of squares pass 64 bits at large volumes; 38 digits hold them, and s * s, exactly
+    dec = "decimal(19,0)"
+    num = F.lit(n).cast("decimal(9,0)") * F.col("q").cast("decimal(29,0)") - F.col("s").cast(dec) * F.col("s").cast(dec)
     var = num.cast("double") / F.lit(float(n) * float(n - 1)) if n > 1 else F.lit(None).cast("double")
     return agg.select("metric_key", (F.col("s") / F.lit(float(n))).alias("mean"),
                       F.sqrt(F.greatest(var, F.lit(0.0))).alias("std_dev"),

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from eventide.functions.numeric import std_floor, to_double
+from eventide.functions.numeric import fmt2, std_floor, to_double
 from eventide.functions.timefmt import days_before
 
 PAIR = ["src", "dst"]
@@ -82,6 +82,16 @@ def score_pairs(daily: DataFrame, as_of: str, days: int = 1, threshold: float =
             .withColumn("is_anomaly", F.col("z_score") > F.lit(float(threshold))))
 
 
+def pair_messages(scored: DataFrame, threshold: float) -> DataFrame:
+    """Text of each pair's check from :func:`score_pairs` rows (F14): an alert with its z-score, or
+    the note that the rate is within its usual range."""
+    # The wording of the two texts.
+    alert = F.concat(F.lit(">> ALERT: Anomaly detected! Z-score ("), fmt2(F.col("z_score")),
+                     F.lit(f") exceeds threshold of {float(threshold)}. <<"))
+    calm = F.lit(">> No anomaly detected. Event rate is within normal parameters. <<")
+    return scored.withColumn("message", F.when(F.col("is_anomaly"), alert).otherwise(calm))
+
+
 def conflict_anomaly(edges: DataFrame, as_of: str, days: int = 1, threshold: float = 3.0,
                      actor1: str | None = None, actor2: str | None = None,
                      event_root_code: str | None = None, until: str | None = None,

@@ -28,14 +28,20 @@ def score_counts(counts: DataFrame, model: DataFrame, z_limit: float = 3.0) -> D
 
 def interval_anomalies(events: DataFrame, model: DataFrame, start: datetime, end: datetime,
                        cols: list[str], z_limit: float = 3.0, ts_col: str = "interval_ts",
-                       score_missing: bool = False, step: str = STEP) -> DataFrame:
+                       score_missing: bool = False, step: str = STEP, source_ts: str | None = None) -> DataFrame:
     """Alerts for every interval in ``[start, end)`` and every type column in one pass.
 
+    ``source_ts`` names the stored timestamp from which the interval is computed: the range is
+    then also put on that column, where it reaches the scan.
+
     ``score_missing`` (off by default, as in the reference) also scores types absent from
     an interval as a count of 0, so drops to zero can alert (Q10).
     """
     ts = F.col(ts_col)
     current = events.filter((ts >= ntz(start)) & (ts < ntz(end)))
+    if source_ts:
+        raw = F.col(source_ts)
+        current = current.filter((raw >= ntz(start)) & (raw < ntz(end) + F.expr(f"INTERVAL {step}")))
     counts = interval_counts(current, cols, ts_col).select("metric_key", ts_col, "n")
     if score_missing:
         keys = model.select("metric_key", F.explode(F.sequence(ntz(start), ntz(end), F.expr(f"INTERVAL {step}")))
@@ -46,6 +52,7 @@ def interval_anomalies(events: DataFrame, model: DataFrame, start: datetime, end
         ts_col, "metric_key", F.col("n").alias("current_count"), "mean", "std_dev", "z_score")
 
 
+# The wording of the alert texts here and in eventide.operators.conflict.
 def alert_messages(alerts: DataFrame) -> DataFrame:
     """Alert text in the reference's wording."""
     return alerts.withColumn("message", F.concat(

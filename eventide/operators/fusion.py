@@ -36,7 +36,9 @@ def asof_join(left: DataFrame, right: DataFrame, key: str, left_ts: str, right_t
     lcols = left.columns
     l = (left.withColumn("__b", bucket(F.col(left_ts)))
          .withColumn("__l", F.struct(*[F.col(c) for c in lcols])))
+    # a NULL key or time on the right matches nothing, as in an equi-join
     r = (right.select(F.col(key), F.col(right_ts), *right_cols)
+         .filter(F.col(key).isNotNull() & F.col(right_ts).isNotNull())
          .withColumn("__b", bucket(F.col(right_ts)))
          .withColumn("__p", F.struct(F.col(right_ts).alias("__rts"), *[F.col(c) for c in right_cols])))
     no_p = F.lit(None).cast(r.schema["__p"].dataType)

@@ -187,6 +187,9 @@ def dangling_edges(interactions: DataFrame, actors: DataFrame) -> DataFrame:
 
 
 def reset_graph(spark, root: str) -> None:
-    """Replace every graph table under ``root`` by an empty table of the same schema."""
+    """Empty the graph under ``root`` (S15): whatever a batch or stream ingest has written there,
+    actor deltas and snapshots included, goes, and every table is there again without rows."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
     for name, df in empty_graph(spark).items():
-        df.write.mode("overwrite").parquet(f"{root}/{name}")
+        df.write.parquet(f"{root}/{name}")

@@ -12,7 +12,6 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from eventide.functions.text import MISSING_CONTENT, matches_whole_word
-from eventide.operators.partitioning import spread_for_cpu
 
 
 def term_table(spark: SparkSession, terms: list[str]) -> DataFrame:
@@ -29,7 +28,7 @@ def mentions(docs: DataFrame, terms: list[str], text_cols: list[str], id_col: st
                                                                        F.lit(i).alias("priority")))
                      for i, t in enumerate(terms)])
     keep = keep or []
-    docs = spread_for_cpu(docs.select(id_col, *keep, *text_cols))
+    docs = docs.select(id_col, *keep, *text_cols)
     # explode + NULL filter (instead of a higher-order filter) stays in generated code
     return (docs.select(id_col, *keep, F.explode(hits).alias("m"))
             .filter(F.col("m").isNotNull())

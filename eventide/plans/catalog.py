@@ -28,6 +28,8 @@ from eventide.plans import params as P
 from eventide.plans.views import (EVENT_COLUMNS, table, v_actor_updates, v_interactions,
                                   v_interval_events, v_prices, v_triples)
 from eventide.session import checkpoint_root, scratch_path
+from eventide.sources import articles as AR
+from eventide.sources import backfill as BF
 from eventide.sources import export as EX
 from eventide.sources import interval_log as IL
 from eventide.sources import model_state as MS
@@ -59,8 +61,23 @@ def rounded(df: DataFrame, places: int = P.ROUND) -> DataFrame:
 # shared inputs
 # ---------------------------------------------------------------------------
 
-def clean_interactions(spark: SparkSession, sf_dir: str, with_id: bool = False) -> DataFrame:
-    return valid_events(v_interactions(spark, sf_dir, with_id=with_id), text_cols=EVENT_COLUMNS)
+_LANDED: dict[tuple[str, str], str] = {}
+
+
+def interactions(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
+    """The event rows, landed once per application and input as a Parquet log in the shared
+    scratch folder: the five joins behind them run once, and every query reads its columns
+    of the log. ``more`` may name ``event_id`` and ``ticker``."""
+    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"))
+    if key not in _LANDED:
+        path = scratch_path(spark, "interactions")
+        v_interactions(spark, sf_dir, with_id=True, with_ticker=True).write.parquet(path)
+        _LANDED[key] = path
+    return spark.read.parquet(_LANDED[key]).select(*EVENT_COLUMNS, *more)
+
+
+def clean_interactions(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
+    return valid_events(interactions(spark, sf_dir, *more), text_cols=EVENT_COLUMNS)
 
 
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -92,8 +109,10 @@ def q_interaction_edges(spark, sf_dir):
 
 @register("impact_edges")
 def q_impact_edges(spark, sf_dir):
-    imp = G.impact_edges(clean_interactions(spark, sf_dir, with_id=True))
-    return imp.groupBy("actor").agg(F.count(F.lit(1)).alias("n_impacts"))
+    """Every impact edge with its event, named by the line item the event comes from."""
+    imp = G.impact_edges(clean_interactions(spark, sf_dir, "event_id"))
+    row = F.regexp_extract("event_id", r":(\d+)$", 1).cast("bigint")
+    return imp.select(row.alias("event_row"), "actor")
 
 
 @register("graph_counts")
@@ -137,18 +156,18 @@ def q_actor_recent_interactions_all(spark, sf_dir):
 
 @register("conflict_daily_counts")
 def q_conflict_daily_counts(spark, sf_dir):
-    return C.daily_conflict_counts(C.conflict_edges(edges(spark, sf_dir), until=P.AS_OF))
+    return C.daily_conflict_counts(C.conflict_edges(edges(spark, sf_dir)))
 
 
 @register("conflict_baseline")
 def q_conflict_baseline(spark, sf_dir):
-    conf = C.conflict_edges(edges(spark, sf_dir), *P.PAIR, until=P.AS_OF)
+    conf = C.conflict_edges(edges(spark, sf_dir), *P.PAIR)
     return rounded(C.conflict_baseline(C.daily_conflict_counts(conf)))
 
 
 @register("conflict_baseline_by_code")
 def q_conflict_baseline_by_code(spark, sf_dir):
-    conf = C.conflict_edges(edges(spark, sf_dir), *P.PAIR, event_root_code=P.PAIR_CODE, until=P.AS_OF)
+    conf = C.conflict_edges(edges(spark, sf_dir), *P.PAIR, event_root_code=P.PAIR_CODE)
     return rounded(C.conflict_baseline(C.daily_conflict_counts(conf)))
 
 
@@ -235,10 +254,25 @@ def q_model_state_roundtrip(spark, sf_dir):
 @register("interval_anomalies")
 def q_interval_anomalies(spark, sf_dir):
     alerts = D.interval_anomalies(interval_events(spark, sf_dir), _model(spark, sf_dir),
-                                  P.DETECT_START, P.DETECT_END, P.METRIC_COLUMNS, P.Z_LIMIT)
+                                  P.DETECT_START, P.DETECT_END, P.METRIC_COLUMNS, P.Z_LIMIT, source_ts="ts")
     return rounded(alerts)
 
 
+@register("alert_messages")
+def q_alert_messages(spark, sf_dir):
+    """The text of every interval alert."""
+    alerts = D.interval_anomalies(interval_events(spark, sf_dir), _model(spark, sf_dir),
+                                  P.DETECT_START, P.DETECT_END, P.METRIC_COLUMNS, P.Z_LIMIT, source_ts="ts")
+    return D.alert_messages(alerts).select("interval_ts", "metric_key", "message")
+
+
+@register("pair_alert_messages")
+def q_pair_alert_messages(spark, sf_dir):
+    """The text of every directed pair's check."""
+    scored = C.conflict_anomaly(edges(spark, sf_dir), P.AS_OF, P.DAYS, P.THRESHOLD, until=P.AS_OF)
+    return C.pair_messages(scored, P.THRESHOLD).select("src", "dst", "message")
+
+
 @register("running_stats")
 def q_running_stats(spark, sf_dir):
     ev = table(spark, sf_dir, "events")
@@ -309,30 +343,24 @@ def q_prices_scan(spark, sf_dir):
 
 
 def _signal(spark, sf_dir):
-    rows = valid_events(v_interactions(spark, sf_dir, with_ticker=True), text_cols=EVENT_COLUMNS)
-    return FU.event_signal(rows, key="ticker")
-
-
-def _trading_days(spark, sf_dir):
-    """Prices on weekdays only: events on a weekend meet the previous trading day."""
-    return v_prices(spark, sf_dir).filter(~F.dayofweek("price_date").isin(1, 7))
+    return FU.event_signal(clean_interactions(spark, sf_dir, "ticker"), key="ticker")
 
 
 @register("prices_events_daily")
 def q_prices_events_daily(spark, sf_dir):
-    return FU.prices_with_events(_trading_days(spark, sf_dir), _signal(spark, sf_dir))
+    return FU.prices_with_events(v_prices(spark, sf_dir), _signal(spark, sf_dir))
 
 
 @register("prices_events_asof")
 def q_prices_events_asof(spark, sf_dir):
     checkpoint_root(spark)
-    return FU.events_with_latest_price(_signal(spark, sf_dir), _trading_days(spark, sf_dir), materialize=True)
+    return FU.events_with_latest_price(_signal(spark, sf_dir), v_prices(spark, sf_dir), materialize=True)
 
 
 @register("briefing_rows")
 def q_briefing_rows(spark, sf_dir):
     checkpoint_root(spark)
-    rows = valid_events(v_interactions(spark, sf_dir, with_ticker=True), text_cols=EVENT_COLUMNS)
+    rows = clean_interactions(spark, sf_dir, "ticker")
     return rounded(BR.briefing_rows(G.interaction_edges(rows), P.AS_OF, P.DAYS, P.THRESHOLD, until=P.AS_OF,
                                     prices=v_prices(spark, sf_dir)))
 
@@ -354,14 +382,14 @@ def q_news_sample(spark, sf_dir):
 @register("event_scan_positional")
 def q_event_scan_positional(spark, sf_dir):
     path = scratch_path(spark, "exports")
-    EX.write_export_tsv(v_interactions(spark, sf_dir), path)
+    EX.write_export_tsv(interactions(spark, sf_dir), path)
     return valid_events(EX.read_export_tsv(spark, path)).select(*EVENT_COLUMNS)
 
 
 @register("event_zip_scan")
 def q_event_zip_scan(spark, sf_dir):
     path = scratch_path(spark, "zips")
-    src = v_interactions(spark, sf_dir).withColumn(
+    src = interactions(spark, sf_dir).withColumn(
         "stamp", F.concat(F.substring("sqldate", 1, 4), F.lit("0101000000")))
     landed = EX.write_export_zips(src, path, "stamp")
     landed.write.format("noop").mode("overwrite").save()
@@ -372,8 +400,10 @@ def q_event_zip_scan(spark, sf_dir):
 @register("interval_log_roundtrip")
 def q_interval_log_roundtrip(spark, sf_dir):
     path = scratch_path(spark, "interval_log")
-    clean = clean_interactions(spark, sf_dir).withColumn(
-        "interval_ts", day_start("sqldate"))
+    # names with spaces at both ends and a character outside latin-1 must come back unchanged
+    padded = F.when(F.col("event_code").endswith("1"), F.concat(F.lit("  "), "actor1_name", F.lit(" \u20ac ")))
+    clean = (clean_interactions(spark, sf_dir).withColumn("actor1_name", F.coalesce(padded, F.col("actor1_name")))
+             .withColumn("interval_ts", day_start("sqldate")))
     # the fixture spans seven years at a few hundred rows per day: month partitions
     IL.write_interval_log(clean, path, granularity="month")
     return IL.read_interval_log(spark, path, granularity="month").select("interval_timestamp", *EVENT_COLUMNS)
@@ -397,11 +427,12 @@ def q_interval_anomalies_stream(spark, sf_dir):
     ev = interval_events(spark, sf_dir)
     ts = F.col("interval_ts")
     run = ev.filter((ts >= ntz(P.DETECT_START)) & (ts < ntz(P.DETECT_END)))
-    # whole_intervals keeps every interval inside one landed file, so each micro-batch
-    # sees whole intervals
-    IL.write_interval_log(_full_event_columns(run), landing, whole_intervals=True)
+    # every interval is landed in two files, which different micro-batches read
+    for half in (0, 1):
+        IL.write_interval_log(_full_event_columns(run.filter(F.col("event_id") % 2 == half)), f"{landing}/{half}",
+                              granularity="month")
     q = SD.start_interval_alerts(spark, landing, lambda: spark.read.parquet(model_path), out, ckpt,
-                                 P.METRIC_COLUMNS, P.Z_LIMIT, recursive=True, max_files=16)
+                                 P.METRIC_COLUMNS, P.Z_LIMIT, recursive=True, max_files=1)
     q.awaitTermination()
     return rounded(SD.read_alerts(spark, out))
 
@@ -411,8 +442,11 @@ def q_running_stats_stream(spark, sf_dir):
     landing, out, ckpt = (scratch_path(spark, "events"), scratch_path(spark, "rs"),
                           scratch_path(spark, "rs-ckpt"))
     ev = table(spark, sf_dir, "events")
-    ev.select("event_type", "value", "ts").repartitionByRange(4, "ts").write.parquet(landing)
-    stream = spark.readStream.schema(ev.schema).option("maxFilesPerTrigger", 1).parquet(landing)
+    # a file per day and task; the stream takes a fixed number of files at a time
+    (ev.select("event_type", "value", F.to_date("ts").alias("day")).hint("rebalance", "day")
+     .write.partitionBy("day").parquet(landing))
+    stream = (spark.readStream.schema("event_type string, value double, day date")
+              .option("maxFilesPerTrigger", 16).parquet(landing))
 
     def keep(batch, batch_id):
         (batch.withColumn("batch_id", F.lit(batch_id).cast("bigint")).write.mode("overwrite")
@@ -428,9 +462,113 @@ def q_running_stats_stream(spark, sf_dir):
 
 @register("file_stream_ingest")
 def q_file_stream_ingest(spark, sf_dir):
+    return SI.read_graph(spark, _ingested(spark, sf_dir))["interactions"].drop("event_id")
+
+
+@register("file_stream_ingest_actors")
+def q_file_stream_ingest_actors(spark, sf_dir):
+    """Actor names of the stored graph after a reset and a second ingest."""
+    root = _ingested(spark, sf_dir)
+    G.reset_graph(spark, root)
+    if SI.read_graph(spark, root)["actors"].head(1):
+        raise AssertionError("actors survive the reset")
+    return SI.read_graph(spark, _ingested(spark, sf_dir))["actors"].select("name", "type")
+
+
+# ---------------------------------------------------------------------------
+# stored tables, resume, fresh start, backfill, articles
+# ---------------------------------------------------------------------------
+
+def _ingested(spark, sf_dir) -> str:
+    """The graph tables after a stream ingest of the whole landed log; their folder."""
     landing, root, ckpt = scratch_path(spark, "landing"), scratch_path(spark, "graph"), scratch_path(spark, "ckpt")
-    clean = clean_interactions(spark, sf_dir).withColumn(
-        "interval_ts", day_start("sqldate"))
+    clean = clean_interactions(spark, sf_dir).withColumn("interval_ts", day_start("sqldate"))
     IL.write_interval_log(clean, landing, granularity="month")
     SI.start_graph_ingest(spark, landing, root, ckpt, recursive=True, max_files=200).awaitTermination()
-    return SI.read_graph(spark, root)["interactions"].drop("event_id")
+    return root
+
+
+@register("graph_counts_stored")
+def q_graph_counts_stored(spark, sf_dir):
+    """Nodes and relationships of the stored tables, countries included."""
+    g = SI.read_graph(spark, _ingested(spark, sf_dir))
+    countries = T.merge_countries(G.empty_graph(spark)["countries"], T.country_bindings(v_triples(spark, sf_dir)))
+    return G.graph_counts(g["actors"], g["event_nodes"], g["interactions"], g["impacts"], [countries])
+
+
+@register("interval_log_fresh_start")
+def q_interval_log_fresh_start(spark, sf_dir):
+    """A fresh start empties the log first: only the second write's rows are left."""
+    path = scratch_path(spark, "interval_log")
+    rows = _full_event_columns(interval_events(spark, sf_dir))
+    cut = ntz(P.DETECT_START)
+    IL.write_interval_log(rows.filter(F.col("interval_ts") < cut), path)
+    IL.write_interval_log(rows.filter(F.col("interval_ts") >= cut), path, fresh=True)
+    return IL.read_interval_log(spark, path).select("interval_timestamp", "event_root_code", "quad_class")
+
+
+@register("resume_no_duplicates")
+def q_resume_no_duplicates(spark, sf_dir):
+    """A log processed in two runs around a resume marker, then a third run with nothing new."""
+    out, marker = scratch_path(spark, "processed"), scratch_path(spark, "marker")
+    rows = interval_events(spark, sf_dir).select("event_id", "interval_ts", "event_root_code")
+    for until in (P.DETECT_START, P.LOG_END, P.LOG_END):
+        new = IL.unprocessed(spark, rows.filter(F.col("interval_ts") < ntz(until)), marker)
+        new.write.mode("append").parquet(out)
+        IL.mark_processed(spark, marker, new)
+    return spark.read.parquet(out)
+
+
+@register("windowed_counts_stream")
+def q_windowed_counts_stream(spark, sf_dir):
+    """Row-time windows over a stream; a row older than the watermark is dropped.
+
+    The first batch holds the whole table, the second one row far ahead, which closes all
+    windows, the third the first day again: late rows are judged by the watermark that the
+    batch before the last one has left, and these are late."""
+    landing, out, ckpt = scratch_path(spark, "events"), scratch_path(spark, "windows"), scratch_path(spark, "ckpt")
+    ev = table(spark, sf_dir, "events").select("ts", F.col("event_type").alias("event_root_code"))
+    ev.coalesce(1).write.parquet(f"{landing}/0")
+    ahead = spark.range(1).select(ntz(P.FAR_AHEAD).alias("ts"), F.lit("late").alias("event_root_code"))
+    ahead.coalesce(1).write.parquet(f"{landing}/1")
+    ev.filter(F.to_date("ts") == F.to_date(F.lit(P.MONTH_FIRST))).coalesce(1).write.parquet(f"{landing}/2")
+    stream = (spark.readStream.schema(ev.schema).option("recursiveFileLookup", True).option("latestFirst", False)
+              .option("maxFilesPerTrigger", 1).parquet(landing))
+    q = (SD.windowed_counts(stream, "ts", ["event_root_code"]).writeStream.outputMode("append").format("parquet")
+         .option("path", out).option("checkpointLocation", ckpt).trigger(availableNow=True).start())
+    q.awaitTermination()
+    return spark.read.schema("interval_start timestamp, metric_key string, n bigint").parquet(out).select(
+        F.date_format("interval_start", "yyyy-MM-dd'T'HH:mm:ss").alias("interval_start"), "metric_key", "n")
+
+
+@register("backfill_days")
+def q_backfill_days(spark, sf_dir):
+    """A day-partitioned table that holds two days of a month, completed by the backfill."""
+    path = scratch_path(spark, "days")
+    rows = table(spark, sf_dir, "events").select("event_id", F.to_date("ts").alias("day"))
+    (rows.filter(F.dayofmonth("day").isin(3, 17)).withColumn("event_id", -F.col("event_id"))
+     .write.partitionBy("day").parquet(path))
+    BF.backfill_days(spark, rows, path, P.MONTH_FIRST, P.MONTH_LAST)
+    return spark.read.parquet(path).select("event_id", F.date_format("day", "yyyy-MM-dd").alias("day"))
+
+
+@register("article_mentions")
+def q_article_mentions(spark, sf_dir):
+    """Tracked terms in the three name columns of positional article files."""
+    path = scratch_path(spark, "articles")
+    docs = _documents(spark, sf_dir).select(
+        "doc_id", F.translate("text", "\t\n\r\"", "    ").alias("text"), "lang", "source")
+    AR.write_article_file(docs.select(F.col("doc_id").cast("string").alias("record_id"),
+                                      F.col("text").alias("organizations"), F.col("lang").alias("persons"),
+                                      F.col("source").alias("locations")), path)
+    rows = AR.read_article_file(spark, path)
+    found = M.mentions(rows, P.TERMS, ["organizations", "persons", "locations"], id_col="record_id")
+    return found.select("entity", "priority", F.col("record_id").cast("bigint").alias("doc_id"))
+
+
+@register("prices_file_per_ticker")
+def q_prices_file_per_ticker(spark, sf_dir):
+    """Prices landed as one file per ticker, named by it, and read back."""
+    path = scratch_path(spark, "prices")
+    PR.write_price_files(v_prices(spark, sf_dir), path)
+    return PR.read_prices(spark, path, layout="file_per_ticker")

@@ -6,7 +6,7 @@ from eventide.functions.nulls import na_sql
 from eventide.functions.text import whole_word_sql
 from eventide.functions.timefmt import days_before, sql_ts
 from eventide.plans import params as P
-from eventide.plans.views import EVENT_COLUMNS, with_views
+from eventide.plans.views import EVENT_COLUMNS, SQL_VIEWS, with_views
 
 ORACLE: dict[str, str] = {}
 R = P.ROUND
@@ -43,9 +43,14 @@ oracle("event_nodes", graph_sql(
     "'GDELT Event ' || event_code || ' between ' || actor1_name || ' and ' || actor2_name AS description "
     "FROM accepted"))
 oracle("interaction_edges", graph_sql("SELECT * FROM edges"))
-oracle("impact_edges", graph_sql(
-    "SELECT actor, count(*) AS n_impacts FROM (SELECT actor1_name AS actor FROM accepted "
-    "UNION ALL SELECT actor2_name FROM accepted) GROUP BY actor"))
+# an impact names its event by the row of the line item in its file (the table is one file)
+_ROWS = SQL_VIEWS["v_interactions"].replace("SELECT strftime", "SELECT l.event_row, strftime", 1).replace(
+    "FROM lineitem l", "FROM (SELECT row_number() OVER () - 1 AS event_row, * FROM lineitem) l", 1)
+_ROWS_F = f"SELECT event_row, {', '.join(f'{na_sql(c)} AS {c}' for c in EVENT_COLUMNS)} FROM numbered"
+oracle("impact_edges", with_views(
+    "SELECT event_row, unnest([actor1_name, actor2_name]) AS actor FROM accepted", extra={
+        "numbered": _ROWS, "clean": f"SELECT * FROM ({_ROWS_F}) WHERE event_root_code IS NOT NULL AND event_root_code <> ''",
+        "accepted": ACCEPTED}))
 oracle("graph_counts", graph_sql(
     "SELECT CAST((SELECT count(*) FROM (SELECT actor1_name FROM accepted UNION SELECT actor2_name FROM accepted))"
     " + (SELECT count(*) FROM accepted) AS BIGINT) AS node_count, "
@@ -72,8 +77,10 @@ oracle("actor_recent_interactions_all", graph_sql(
 # actor-pair conflicts ------------------------------------------------------------
 
 
-def _conf(pair: bool = False, code: str | None = None) -> str:
-    where = f"TRY_CAST(goldstein_scale AS DOUBLE) < 0 AND date <= '{P.AS_OF}'"
+def _conf(pair: bool = False, code: str | None = None, until: bool = True) -> str:
+    where = "TRY_CAST(goldstein_scale AS DOUBLE) < 0"
+    if until:
+        where += f" AND date <= '{P.AS_OF}'"
     if pair:
         where += f" AND src = '{P.PAIR[0]}' AND dst = '{P.PAIR[1]}'"
     if code:
@@ -86,11 +93,11 @@ _BASE_COLS = (f"round(avg(daily_count), {R}) AS mean, "
               f"round(greatest(coalesce(stddev_samp(daily_count), 0.0), 1.0), {R}) AS std_dev, "
               "CAST(sum(daily_count) AS BIGINT) AS total_events, count(*) AS days_with_events")
 
-oracle("conflict_daily_counts", graph_sql(_DAILY, conf=_conf()))
+oracle("conflict_daily_counts", graph_sql(_DAILY, conf=_conf(until=False)))
 oracle("conflict_baseline", graph_sql(f"SELECT src, dst, {_BASE_COLS} FROM daily GROUP BY src, dst",
-                                      conf=_conf(pair=True), daily=_DAILY))
+                                      conf=_conf(pair=True, until=False), daily=_DAILY))
 oracle("conflict_baseline_by_code", graph_sql(f"SELECT src, dst, {_BASE_COLS} FROM daily GROUP BY src, dst",
-                                              conf=_conf(pair=True, code=P.PAIR_CODE), daily=_DAILY))
+                                              conf=_conf(pair=True, code=P.PAIR_CODE, until=False), daily=_DAILY))
 oracle("conflict_recent_count", graph_sql(
     f"SELECT CAST(count(*) AS BIGINT) AS recent_count FROM conf "
     f"WHERE date >= '{days_before(P.AS_OF, P.PAIR_RECENT_DAYS)}'", conf=_conf(pair=True)))
@@ -112,6 +119,10 @@ def _anomaly(pair: bool) -> str:
 
 oracle("conflict_anomaly", _anomaly(True))
 oracle("conflict_anomaly_all_pairs", _anomaly(False))
+oracle("pair_alert_messages", "SELECT src, dst, CASE WHEN is_anomaly THEN '>> ALERT: Anomaly detected! Z-score (' || "
+       f"printf('%.2f', z_score) || ') exceeds threshold of {float(P.THRESHOLD)}. <<' ELSE "
+       "'>> No anomaly detected. Event rate is within normal parameters. <<' END AS message "
+       f"FROM ({ORACLE['conflict_anomaly_all_pairs']})")
 
 # interval log ------------------------------------------------------------------
 
@@ -155,6 +166,9 @@ oracle("interval_anomalies", interval_sql(
     f"FROM counts c JOIN model m ON c.metric_key = m.metric_key "
     f"WHERE c.interval_ts >= {sql_ts(P.DETECT_START)} AND c.interval_ts < {sql_ts(P.DETECT_END)} "
     f"AND m.std_dev > 0 AND abs((c.n - m.mean) / m.std_dev) > {P.Z_LIMIT}", **_MODEL_CTES))
+oracle("alert_messages", "SELECT interval_ts, metric_key, 'ALERT: Anomaly in ' || chr(39) || metric_key || chr(39) || "
+       "' (Z-Score: ' || printf('%.2f', z_score) || '). Current: ' || CAST(current_count AS VARCHAR) || "
+       f"', Baseline Mean: ' || printf('%.2f', mean) AS message FROM ({ORACLE['interval_anomalies']})")
 oracle("running_stats", with_views(
     f"SELECT event_type, count(value) AS n, round(avg(value), {R}) AS mean, "
     f"round(coalesce(stddev_samp(value), 0.0), {R}) AS std_dev FROM events GROUP BY event_type"))
@@ -212,17 +226,16 @@ _CLEAN_T = (f"SELECT ticker, {', '.join(f'{na_sql(c)} AS {c}' for c in EVENT_COL
 _SIGNAL = ("SELECT ticker, CAST(strptime(sqldate, '%Y%m%d') AS DATE) AS event_date, count(*) AS n_events, "
            "count(*) FILTER (WHERE TRY_CAST(goldstein_scale AS DOUBLE) < 0) AS n_conflicts "
            "FROM cleant WHERE event_root_code IS NOT NULL AND event_root_code <> '' GROUP BY ALL")
-_TRADING = "SELECT * FROM v_prices WHERE dayofweek(price_date) NOT IN (0, 6)"
-_P = {"cleant": _CLEAN_T, "sig": _SIGNAL, "tp": _TRADING}
+_P = {"cleant": _CLEAN_T, "sig": _SIGNAL}
 
 oracle("prices_scan", with_views("SELECT * FROM v_prices", "v_prices"))
 oracle("prices_events_daily", with_views(
     "SELECT p.ticker, p.price_date, p.open, p.high, p.low, p.close, p.volume, s.n_events, s.n_conflicts "
-    "FROM tp p JOIN sig s ON s.ticker = p.ticker AND s.event_date = p.price_date",
+    "FROM v_prices p JOIN sig s ON s.ticker = p.ticker AND s.event_date = p.price_date",
     "v_interactions_t", "v_prices", extra=_P))
 oracle("prices_events_asof", with_views(
     "SELECT s.ticker, s.event_date, s.n_events, s.n_conflicts, p.price_date, p.close "
-    "FROM sig s ASOF LEFT JOIN tp p ON s.ticker = p.ticker AND s.event_date >= p.price_date",
+    "FROM sig s ASOF LEFT JOIN v_prices p ON s.ticker = p.ticker AND s.event_date >= p.price_date",
     "v_interactions_t", "v_prices", extra=_P))
 
 # briefing ------------------------------------------------------------------------
@@ -274,11 +287,33 @@ oracle("news_sample", f"SELECT * FROM documents ORDER BY doc_id LIMIT {P.FIRST_K
 oracle("event_scan_positional", ORACLE["valid_events"])
 oracle("event_zip_scan", ORACLE["valid_events"])
 oracle("interval_log_roundtrip", with_views(
-    "SELECT strftime(strptime(sqldate, '%Y%m%d'), '%Y-%m-%dT%H:%M:%S') || '+00:00' AS interval_timestamp, * "
+    "SELECT strftime(strptime(sqldate, '%Y%m%d'), '%Y-%m-%dT%H:%M:%S') || '+00:00' AS interval_timestamp, * REPLACE "
+    "(CASE WHEN event_code LIKE '%1' THEN '  ' || actor1_name || ' \u20ac ' ELSE actor1_name END AS actor1_name) "
     "FROM clean", "v_interactions", extra={"clean": CLEAN_F}))
+oracle("interval_log_fresh_start", interval_sql(
+    "SELECT strftime(interval_ts, '%Y-%m-%dT%H:%M:%S') || '+00:00' AS interval_timestamp, event_root_code, quad_class "
+    f"FROM iev WHERE interval_ts >= {sql_ts(P.DETECT_START)}"))
+oracle("resume_no_duplicates", interval_sql(
+    f"SELECT event_id, interval_ts, event_root_code FROM iev WHERE interval_ts < {sql_ts(P.LOG_END)}"))
+oracle("backfill_days", "SELECT CASE WHEN day(ts) IN (3, 17) THEN -event_id ELSE event_id END AS event_id, "
+       f"strftime(ts, '%Y-%m-%d') AS day FROM events WHERE CAST(ts AS DATE) BETWEEN DATE '{P.MONTH_FIRST}' AND DATE '{P.MONTH_LAST}'")
+oracle("article_mentions", "SELECT entity, priority, doc_id FROM (" + " UNION ALL ".join(
+    f"SELECT '{t}' AS entity, {i} AS priority, doc_id FROM documents WHERE "
+    + " OR ".join(whole_word_sql(c, t) for c in ("text", "lang", "source")) for i, t in enumerate(P.TERMS)) + ")")
+oracle("prices_file_per_ticker", ORACLE["prices_scan"])
+oracle("windowed_counts_stream",
+       "SELECT strftime(time_bucket(INTERVAL '15 minutes', ts), '%Y-%m-%dT%H:%M:%S') AS interval_start, "
+       "'event_root_code_' || event_type AS metric_key, count(*) AS n FROM events GROUP BY ALL")
 
 # streaming twins --------------------------------------------------------------------
 
 oracle("interval_anomalies_stream", ORACLE["interval_anomalies"])
 oracle("running_stats_stream", ORACLE["running_stats"])
 oracle("file_stream_ingest", ORACLE["interaction_edges"])
+oracle("file_stream_ingest_actors", graph_sql(
+    "SELECT name, 'Unknown' AS type FROM (SELECT actor1_name AS name FROM accepted UNION SELECT actor2_name FROM accepted)"))
+oracle("graph_counts_stored", with_views(
+    "SELECT CAST((SELECT count(*) FROM (SELECT actor1_name FROM accepted UNION SELECT actor2_name FROM accepted))"
+    " + (SELECT count(*) FROM accepted) + (SELECT count(DISTINCT name) FROM b) AS BIGINT) AS node_count, "
+    "CAST(3 * (SELECT count(*) FROM accepted) AS BIGINT) AS rel_count", "v_interactions", "v_triples",
+    extra={**GRAPH, "b": _BINDINGS}))

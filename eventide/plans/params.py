@@ -26,6 +26,9 @@ ACTOR = "NATION_3"
 RECENT_K = 15
 TOP_K = 5
 
+# a time after every event, which closes all windows of a stream
+FAR_AHEAD = datetime(2030, 1, 1, 0, 0, 0)
+
 # tracked terms over documents, in priority order
 TERMS = ["zzzz", "the", "und", "para", "pour"]
 FIRST_K = 5

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from eventide.functions.timefmt import floor_interval
+
 EVENT_COLUMNS = [
     "sqldate", "actor1_code", "actor1_name", "actor2_code", "actor2_name",
     "event_code", "event_base_code", "event_root_code", "quad_class",
@@ -42,9 +44,9 @@ def v_interactions(spark: SparkSession, sf_dir: str, with_id: bool = False,
     else:
         li = li.select(*li_cols)
     nation = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
-    # Join order for scale: orders ⋈ customer ⋈ nation first (orders-sized, a quarter of the
-    # line items), so the line-item side is shuffled once, on the order key. nation is a
-    # fixed 25-row dimension; the optimizer broadcasts it from its size statistics.
+    # Join order for scale: the small dimensions first (supplier with the line items; customer
+    # and nation with the orders), each broadcast when its measured size allows; then the two
+    # large sides meet once, on the order key.
     buyers = (table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
               .join(table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey"),
                     F.col("o_custkey") == F.col("c_custkey"))
@@ -54,8 +56,8 @@ def v_interactions(spark: SparkSession, sf_dir: str, with_id: bool = False,
     supp = (table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
             .join(nation.withColumnRenamed("n_nationkey", "s_nationkey")
                   .withColumnRenamed("n_name", "sn_name"), "s_nationkey"))
-    j = (li.join(buyers, li.l_orderkey == buyers.o_orderkey)
-         .join(supp, F.col("l_suppkey") == F.col("s_suppkey")))
+    j = (li.join(supp, F.col("l_suppkey") == F.col("s_suppkey"))
+         .join(buyers, li.l_orderkey == buyers.o_orderkey))
     if with_ticker:
         part = table(spark, sf_dir, "part").select("p_partkey", F.col("p_brand").alias("ticker"))
         j = j.join(part, F.col("l_partkey") == F.col("p_partkey"))
@@ -89,7 +91,7 @@ def v_interval_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.get_json_object("props", "$.k").cast("bigint")
     return ev.select(
         "event_id", "ts",
-        F.window("ts", "15 minutes").start.alias("interval_ts"),
+        floor_interval("ts").alias("interval_ts"),
         F.col("event_type").alias("event_root_code"),
         (F.lit(1) + k % 4).cast("string").alias("quad_class"),
     )

@@ -34,8 +34,8 @@ def cluster_conf(input_tb: float = 100.0, total_cores: int = 8000) -> dict[str,
     initial = max(total_cores * 3, int(input_tb * 2**40 / (256 * 2**20)))
     return {
         **SCALE_CONF,
-        "spark.sql.shuffle.partitions": str(min(initial, 200_000)),
-        "spark.sql.adaptive.coalescePartitions.initialPartitionNum": str(min(initial, 200_000)),
+        "spark.sql.shuffle.partitions": str(initial),
+        "spark.sql.adaptive.coalescePartitions.initialPartitionNum": str(initial),
         "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(256 * 2**20),
         "spark.sql.files.maxPartitionBytes": str(256 * 2**20),
         "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "5",
@@ -87,6 +87,8 @@ def checkpoint_root(spark: SparkSession) -> str:
         return current
     configured = sc.getConf().get("spark.checkpoint.dir", None)
     if not configured:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         configured = tempfile.mkdtemp(prefix="eventide-ckpt-")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured

@@ -19,3 +19,11 @@ def read_article_file(spark: SparkSession, path: str, encoding: str = "UTF-8",
           .option("encoding", encoding).option("mode", "PERMISSIVE").csv(path))
     return df.select(F.col(f"c{id_ordinal}").alias("record_id"),
                      *[F.col(f"c{i}").alias(n) for i, n in ARTICLE_COLUMNS.items()])
+
+
+def write_article_file(rows: DataFrame, path: str, width: int = ARTICLE_WIDTH, id_ordinal: int = 0) -> None:
+    """Land ``rows(record_id, organizations, persons, locations[, extras])`` as article files."""
+    at = {id_ordinal: "record_id", **ARTICLE_COLUMNS}
+    cols = [(F.col(at[i]) if at.get(i) in rows.columns else F.lit(None).cast("string")).alias(f"c{i}") for i in range(width)]
+    (rows.select(*cols).write.option("sep", "\t").option("header", False).option("nullValue", "").option("emptyValue", "")
+     .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path))

@@ -1,6 +1,6 @@
 """Day-partitioned backfill (S13, J9): write only the days a table does not have yet.
 
-Present days come from the table's partition column (a metadata read); the missing days
+Present days come from the table's partition column only (no data column is read); the missing days
 of the requested calendar are the anti-join; only source rows of missing days are
 written, with dynamic partition overwrite, so days already present are never rewritten
 and days without rows produce no partition.
@@ -8,6 +8,8 @@ and days without rows produce no partition.
 
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,7 +31,8 @@ def backfill_days(spark: SparkSession, source: DataFrame, path: str, first: str,
     # The calendar is a parameter, so its missing days are a bounded list; fixing it before
     # the write keeps the answer stable and keeps the write from reading its own target.
     todo = sorted(r[0] for r in missing_days(spark, existing_days(spark, path, day_col), first, last, day_col).collect())
-    rows = source.filter(F.date_format(F.col(day_col), "yyyy-MM-dd").isin(todo))
+    # dates, not their text: a partitioned source is then pruned to those days
+    rows = source.filter(F.col(day_col).isin([date.fromisoformat(d) for d in todo]))
     (rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .partitionBy(day_col).parquet(path))
     return spark.createDataFrame([(d,) for d in todo], f"{day_col} string")

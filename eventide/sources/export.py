@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import io
 import zipfile
+import zlib
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -19,7 +20,6 @@ from pyspark.sql.types import StringType, StructField, StructType
 
 from eventide.functions.nulls import normalize_na
 from eventide.functions.timefmt import stamp_from_path
-from eventide.operators.partitioning import spread_for_cpu
 from eventide.session import ship_package
 
 EXPORT_WIDTH = 61
@@ -66,16 +66,26 @@ def export_lines(df: DataFrame, width: int = EXPORT_WIDTH, id_col: str | None =
     return df.select(*(keep or []), F.concat_ws("\t", *fields).alias("line"))
 
 
+def _single_byte(name: str, encoding: str):
+    """The column, or an error for a character that a single-byte encoding cannot hold (the
+    writer itself would put a question mark)."""
+    c = F.col(name)
+    if encoding.upper() not in ("ISO-8859-1", "LATIN1", "LATIN-1"):
+        return c
+    return F.when(c.rlike(r"[^\x{00}-\x{FF}]"), F.raise_error(F.concat(F.lit(f"{name} is not {encoding}: "), c))).otherwise(c)
+
+
 def write_export_tsv(df: DataFrame, path: str, encoding: str = "ISO-8859-1", id_col: str | None = None,
                      width: int = EXPORT_WIDTH) -> None:
     """Write event rows as plain exports (used to land test data): positional, no header,
     NULL as an empty field, in the export's single-byte encoding."""
-    by_pos = {i: F.col(n) for i, n in KEPT_COLUMNS.items()}
+    by_pos = {i: _single_byte(n, encoding) for i, n in KEPT_COLUMNS.items()}
     if id_col:
         by_pos[0] = F.col(id_col).cast("string")
     fields = [by_pos.get(i, F.lit(None).cast("string")).alias(f"c{i}") for i in range(width)]
     (df.select(*fields).write.mode("overwrite").option("sep", "\t").option("header", False)
      .option("encoding", encoding).option("nullValue", "").option("emptyValue", "")
+     .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
      .option("lineSep", "\n").csv(path))
 
 
@@ -85,31 +95,43 @@ def write_export_tsv(df: DataFrame, path: str, encoding: str = "ISO-8859-1", id_
 
 RAW_SCHEMA = "source_file string, status string, line string"
 CHUNK_LINES = 50_000
+#: What reading a damaged, encrypted or unsupported archive raises.
+ARCHIVE_ERRORS = (zipfile.BadZipFile, zlib.error, EOFError, OSError, RuntimeError, NotImplementedError)
 
 
 def _unzip_lines(encoding: str):
+    def chunks(member):
+        """Lines of a member in bounded lists; only \\n ends a line (latin-1 0x85 does not)."""
+        part = []
+        for line in io.TextIOWrapper(member, encoding=encoding, newline="\n"):
+            part.append(line.rstrip("\n").removesuffix("\r"))
+            if len(part) == CHUNK_LINES:
+                yield part
+                part = []
+        if part:
+            yield part
+
     def run(batches):
         for pdf in batches:
             for path, content in zip(pdf["path"], pdf["content"]):
                 name = path.rsplit("/", 1)[-1]
+                status, members = "empty", []
                 try:
                     zf = zipfile.ZipFile(io.BytesIO(content))
                     members = [m for m in zf.infolist() if not m.is_dir()]
-                    blobs = [zf.read(m) for m in members]
-                except (zipfile.BadZipFile, EOFError, OSError):
-                    yield pd.DataFrame({"source_file": [name], "status": ["bad_zip"], "line": [""]})
-                    continue
-                if not blobs or all(len(b) == 0 for b in blobs):
-                    yield pd.DataFrame({"source_file": [name], "status": ["empty"], "line": [""]})
-                    continue
-                for blob in blobs:
-                    # split on '\n' only: latin-1 0x85 is a line break for str.splitlines()
-                    lines = blob.decode(encoding).split("\n")
-                    if lines and lines[-1] == "":
-                        lines.pop()
-                    for s in range(0, len(lines), CHUNK_LINES):
-                        part = [ln[:-1] if ln.endswith("\r") else ln for ln in lines[s:s + CHUNK_LINES]]
-                        yield pd.DataFrame({"source_file": name, "status": "ok", "line": part})
+                    # a pass that only checks: a damaged archive is skipped as a whole
+                    if zf.testzip() is not None:
+                        status, members = "bad_zip", []
+                except ARCHIVE_ERRORS:
+                    status, members = "bad_zip", []
+                for m in members:
+                    if m.file_size:
+                        status = "ok"
+                        with zf.open(m) as f:
+                            for part in chunks(f):
+                                yield pd.DataFrame({"source_file": name, "status": "ok", "line": part})
+                if status != "ok":
+                    yield pd.DataFrame({"source_file": [name], "status": [status], "line": [""]})
     return run
 
 
@@ -140,9 +162,11 @@ def read_export_zips(spark: SparkSession, path: str, glob: str = ZIP_GLOB,
                           F.count(F.when(status == "bad_zip", F.lit(1))).alias("bad_archives"),
                           F.count(F.when(status == "empty", F.lit(1))).alias("empty_archives"),
                           F.count(F.when(status == "ok", F.lit(1))).alias("lines"))
-    raw = raw.filter(F.col("status") == "ok")
-    parts = raw.select("source_file", F.split("line", "\t", -1).alias("f"))
-    return _project(parts, lambda i: F.try_element_at(F.col("f"), F.lit(i + 1)))
+    raw = raw.filter((F.col("status") == "ok") & (F.col("line") != ""))
+    # the same parser and options as for plain files, so quoted fields read the same
+    fields = F.from_csv("line", ", ".join(f"c{i} string" for i in range(EXPORT_WIDTH)), {"sep": "\t", "mode": "PERMISSIVE"})
+    parts = raw.select("source_file", fields.alias("f"))
+    return _project(parts, lambda i: F.col(f"f.c{i}"))
 
 
 def zip_scan_report(spark: SparkSession, path: str, glob: str = ZIP_GLOB) -> DataFrame:
@@ -171,7 +195,8 @@ def _zip_writer(root: str, member_suffix: str = ".export.CSV"):
         filesystem.create_dir(base, recursive=True)
         for b, pdf in enumerate(batches):
             out = []
-            for stamp, grp in pdf.groupby("stamp", sort=True):
+            for stamp, grp in pdf.groupby("stamp", sort=True, dropna=False):
+                stamp = stamp if isinstance(stamp, str) else "unstamped"
                 name = f"{stamp}-{part:05d}-{b:04d}{member_suffix}"
                 buf = io.BytesIO()
                 with zipfile.ZipFile(buf, "w", zipfile.ZIP_DEFLATED) as zf:
@@ -188,16 +213,15 @@ def write_export_zips(df: DataFrame, path: str, stamp_col: str, id_col: str | No
     ``(file, rows)`` written. File writes go through the Hadoop-compatible Arrow file
     system of the path, so the target may be any shared store Arrow can open."""
     ship_package(df.sparkSession)
-    # compression is Python work: spread a single-split input over the cores, then a local
-    # sort makes each Arrow batch hold one or two stamps (few archives, no key shuffle)
-    df = spread_for_cpu(df).sortWithinPartitions(stamp_col)
+    # a local sort makes each Arrow batch hold one or two stamps (few archives, no key shuffle)
+    df = df.sortWithinPartitions(stamp_col)
     lines = export_lines(df.withColumn("stamp", F.col(stamp_col)), id_col=id_col, keep=["stamp"])
     return lines.mapInPandas(_zip_writer(path), "file string, rows long")
 
 
 def land_bad_archives(path: str) -> None:
-    """Add one corrupt archive and one archive with an empty member to a landing
-    directory, as a failed download and an empty interval would leave them."""
+    """Add a file that is no archive, an archive with damaged data and one with an empty member
+    to a landing directory, as failed downloads and an empty interval would leave them."""
     from pyarrow import fs
 
     filesystem, base = fs.FileSystem.from_uri(_arrow_uri(path))
@@ -205,6 +229,14 @@ def land_bad_archives(path: str) -> None:
     with filesystem.open_output_stream(f"{base}/19990101000000.export.CSV.zip") as f:
         f.write(b"<html>not found</html>")
     buf = io.BytesIO()
+    with zipfile.ZipFile(buf, "w") as zf:
+        zf.writestr("19990101003000.export.CSV", b"\t".join(b"damaged" for _ in range(EXPORT_WIDTH)) * 50, zipfile.ZIP_DEFLATED)
+        start = zf.infolist()[0].header_offset + 30 + len("19990101003000.export.CSV")
+    damaged = bytearray(buf.getvalue())
+    damaged[start + 4:start + 12] = b"\xff" * 8
+    with filesystem.open_output_stream(f"{base}/19990101003000.export.CSV.zip") as f:
+        f.write(bytes(damaged))
+    buf = io.BytesIO()
     with zipfile.ZipFile(buf, "w") as zf:
         zf.writestr("19990101001500.export.CSV", b"")
     with filesystem.open_output_stream(f"{base}/19990101001500.export.CSV.zip") as f:

@@ -37,12 +37,12 @@ def parse_iso_utc(s: Column | str) -> Column:
 
 
 def write_interval_log(events: DataFrame, path: str, ts_col: str = "interval_ts", fmt: str = "csv",
-                       granularity: str = "day", whole_intervals: bool = False) -> None:
+                       granularity: str = "day", whole_intervals: bool = False, fresh: bool = False) -> None:
     """Write stamped rows, stamp first, one directory per interval day.
 
-    ``mode overwrite`` with dynamic partition overwrite replaces only the partitions present
-    in ``events``: a fresh run over a range clears that range (S7) without touching others.
-    ``granularity="month"`` suits sparse logs, where day directories would hold tiny files.
+    By default only the partitions present in ``events`` are replaced (dynamic partition
+    overwrite), as a rerun over a range needs; ``fresh=True`` is a fresh start, which removes
+    every partition of an earlier run first (S7). ``granularity="month"`` suits sparse logs, where day directories would hold tiny files.
 
     Placement before the write, in one pass over the input: the ``rebalance`` hint lets
     adaptive execution hash rows by partition, split a heavy day over several tasks and
@@ -58,10 +58,12 @@ def write_interval_log(events: DataFrame, path: str, ts_col: str = "interval_ts"
         out = out.repartitionByRange(part_col, "interval_timestamp")
     else:
         out = out.hint("rebalance", part_col)
-    w = (out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    w = (out.write.mode("overwrite").option("partitionOverwriteMode", "static" if fresh else "dynamic")
          .partitionBy(part_col))
     if fmt == "csv":
-        w.option("header", True).csv(path)
+        # the writer trims values unless told not to
+        (w.option("header", True).option("ignoreLeadingWhiteSpace", False)
+         .option("ignoreTrailingWhiteSpace", False).csv(path))
     else:
         w.parquet(path)
 
@@ -78,22 +80,27 @@ def read_interval_log(spark: SparkSession, path: str, fmt: str = "csv", granular
 
 
 # ---------------------------------------------------------------------------
-# batch resume marker (S6): a one-row table with the last processed interval
+# batch resume marker (S6): a table to which each run adds its newest interval; a run that dies
+# while adding leaves the marks of earlier runs, and the newest mark counts
 # ---------------------------------------------------------------------------
 
+MARKER_SCHEMA = "last_processed_timestamp timestamp_ntz"
+
+
 def last_processed(spark: SparkSession, marker: str):
     """The stored high-watermark (``timestamp_ntz``) or ``None`` when nothing ran yet."""
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(marker)
     if not p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p):
         return None
-    row = spark.read.parquet(marker).head()
-    return row[0] if row else None
+    return spark.read.schema(MARKER_SCHEMA).parquet(marker).agg(F.max("last_processed_timestamp")).head()[0]
 
 
 def mark_processed(spark: SparkSession, marker: str, processed: DataFrame, ts_col: str = "interval_ts") -> None:
-    """Store the newest interval of ``processed`` as the marker (an aggregate, one row)."""
-    processed.agg(F.max(ts_col).alias("last_processed_timestamp")).write.mode("overwrite").parquet(marker)
+    """Add the newest interval of ``processed`` to the marker (an aggregate, one row; none when a
+    run had no rows, so the earlier mark stays)."""
+    (processed.agg(F.max(ts_col).cast("timestamp_ntz").alias("last_processed_timestamp"))
+     .where("last_processed_timestamp is not null").write.mode("append").parquet(marker))
 
 
 def unprocessed(spark: SparkSession, log: DataFrame, marker: str, ts_col: str = "interval_ts") -> DataFrame:

@@ -2,8 +2,7 @@
 
 The native form is one JSON object per line, each a fragment of the reference's
 document ``{"event_metrics": {key: {mean, std_dev, total_occurrences}}}``; the union
-of all lines' maps is the whole model, so writing and reading stay distributed. A
-single reference-shaped document can also be produced, behind an explicit size check.
+of all lines' maps is the whole model, so writing and reading stay distributed.
 """
 
 from __future__ import annotations
@@ -27,23 +26,13 @@ def model_json_lines(model: DataFrame) -> DataFrame:
         F.create_map(F.col("metric_key"), _entry(model)).alias(REQUIRED))).alias("value"))
 
 
-def model_document(model: DataFrame, max_keys: int = 100_000) -> DataFrame:
-    """The whole model as one reference-shaped JSON document (one row).
-
-    Gathering all keys into one value is only done when the key count is within
-    ``max_keys``; a larger model must use :func:`model_json_lines`.
-    """
-    n = model.count()
-    if n > max_keys:
-        raise ValueError(f"model has {n} keys, above max_keys={max_keys}; write JSON lines instead")
-    entries = F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col("metric_key"), _entry(model)))))
-    return model.agg(F.to_json(F.struct(entries.alias(REQUIRED))).alias("value"))
-
-
 def parse_model_json(lines: DataFrame, col: str = "value") -> DataFrame:
-    """JSON text (lines or documents) back to model rows; rejects text without ``event_metrics``."""
-    doc = lines.select(F.from_json(F.col(col), DOC_SCHEMA).alias("d"))
-    return (doc.select(F.explode(F.col(f"d.{REQUIRED}")).alias("metric_key", "s"))
+    """JSON lines back to model rows. A line that is no JSON or has no ``event_metrics`` is an error
+    in the same pass: a model with a key missing would never score it."""
+    text = F.col(col)
+    found = lines.select(F.from_json(text, DOC_SCHEMA)[REQUIRED].alias("m"), text.alias("t"))
+    bad = F.raise_error(F.concat(F.lit(f"model line without '{REQUIRED}': "), F.coalesce(F.substring("t", 1, 200), F.lit("NULL"))))
+    return (found.select(F.explode(F.coalesce(F.col("m"), bad.cast(f"map<string, {STATS}>"))).alias("metric_key", "s"))
             .select("metric_key", "s.mean", "s.std_dev", "s.total_occurrences"))
 
 
@@ -78,11 +67,3 @@ def read_model_state(spark: SparkSession, path: str, fmt: str = "json") -> DataF
     if probe.filter(F.col(f"d.{REQUIRED}").isNotNull()).limit(1).count() == 0:
         raise ValueError(f"model state {path} does not contain '{REQUIRED}'")
     return parse_model_json(raw)
-
-
-def read_model_document(spark: SparkSession, path: str) -> DataFrame:
-    """Read a pretty-printed single-document model (the reference's file layout)."""
-    if not _exists(spark, path):
-        raise FileNotFoundError(path)
-    raw = spark.read.text(path, wholetext=True)
-    return parse_model_json(raw)

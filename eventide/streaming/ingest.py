@@ -10,8 +10,8 @@ micro-batch updates the graph tables in ``foreachBatch``:
 * actors are kept as an append-only log: each batch writes only its last write per name
   (``actor_deltas/batch_id=<n>``, cost of the batch, not of the table). The actor table
   is last-write-wins over the latest compacted snapshot plus newer deltas; every
-  ``compact_every`` batches a new snapshot version is written and a pointer switched, so
-  a snapshot is never overwritten while being read.
+  ``compact_every`` batches a new snapshot version is written, and readers take the newest
+  complete one, so a snapshot is never overwritten while being read.
 
 Progress lives in the checkpoint; restarting with the same checkpoint resumes without
 reprocessing files.
@@ -58,14 +58,14 @@ def with_event_ids(batch: DataFrame, batch_id: int) -> DataFrame:
     batch's outputs: the batch is materialised once (checkpoint) before its tables are
     written, a replayed batch overwrites its own ``batch_id`` partition as a whole, and
     the file source never hands a committed file to a later batch (Q20).
-    ``order_key`` orders rows by batch, file name (interval stamp), block and position,
+    ``order_key`` orders rows by batch, interval, file name, block and position,
     for last-write-wins; inside one file block the position follows the file's row order.
     """
     pos = F.monotonically_increasing_id()
     rows = batch.withColumn("__pos", pos)
     return (rows.withColumn("event_id", F.concat(F.lit(f"{batch_id}-"), F.col("__pos").cast("string")))
             .withColumn("order_key", F.struct(F.lit(batch_id).cast("bigint").alias("batch"),
-                                              F.col("source_file"), F.col("block_start"), F.col("__pos")))
+                                              F.col("interval_ts"), F.col("source_file"), F.col("block_start"), F.col("__pos")))
             .drop("__pos"))
 
 
@@ -75,21 +75,17 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
 
-def _read_pointer(spark: SparkSession, root: str) -> int | None:
-    """Batch id of the latest compacted actor snapshot, if any (one-row file)."""
-    if not _exists(spark, f"{root}/actors/_LATEST"):
-        return None
-    return int(spark.read.text(f"{root}/actors/_LATEST").head()[0].strip())
-
-
-def _write_pointer(spark: SparkSession, root: str, batch_id: int) -> None:
-    spark.createDataFrame([(str(batch_id),)], "value string").coalesce(1).write.mode("overwrite").text(
-        f"{root}/actors/_LATEST")
+def _latest_snapshot(spark: SparkSession, root: str) -> int | None:
+    """Batch id of the newest compacted actor snapshot that was written to its end (it has a
+    ``_SUCCESS`` file); one that a crash left half-written does not count."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{root}/actors/v=*/_SUCCESS")
+    found = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(path)
+    return max((int(f.getPath().getParent().getName()[2:]) for f in found or ()), default=None)
 
 
 def actor_writes(spark: SparkSession, root: str) -> DataFrame:
     """``(name, code, ord)`` rows: the current snapshot plus every delta written after it."""
-    snap = _read_pointer(spark, root)
+    snap = _latest_snapshot(spark, root)
     parts = []
     if snap is not None:
         parts.append(spark.read.parquet(f"{root}/actors/v={snap}").select("name", "code", "ord"))
@@ -118,14 +114,13 @@ def current_actors(spark: SparkSession, root: str) -> DataFrame:
 
 
 def compact_actors(spark: SparkSession, root: str, batch_id: int) -> None:
-    """Write the actor table as snapshot ``v=<batch_id>`` and switch the pointer to it."""
-    if _read_pointer(spark, root) == batch_id:
-        return  # replay of a compaction already switched in
+    """Write the actor table as snapshot ``v=<batch_id>``; it counts from its ``_SUCCESS`` on."""
+    if _latest_snapshot(spark, root) == batch_id:
+        return  # replay of a compaction already committed
     writes = actor_writes(spark, root)
     if writes is None:
         return
     _latest(writes).write.mode("overwrite").parquet(f"{root}/actors/v={batch_id}")
-    _write_pointer(spark, root, batch_id)
 
 
 def read_graph(spark: SparkSession, root: str) -> dict[str, DataFrame]:

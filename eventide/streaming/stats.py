@@ -1,62 +1,17 @@
-"""Incremental mean / M2 per key in Structured Streaming.
+"""Incremental count, mean and sample deviation per key in Structured Streaming.
 
-The state per key is ``(n, mean, m2)``. Each micro-batch's values for a key are first
-reduced to their own ``(n, mean, m2)`` with pandas, then merged into the state with the
-parallel form of Welford's update, so the per-key work per batch is vectorised and the
-state stays three numbers whatever the volume.
+A streaming aggregation with built-in functions: each task reduces its rows to a key's
+``(n, mean, m2)`` before the shuffle, and the state store keeps those three numbers per key,
+merged with the parallel form of Welford's update. No raw row reaches a state step.
 """
 
 from __future__ import annotations
 
-import math
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-
-from eventide.session import ship_package
-
-STATE_SCHEMA = "n long, mean double, m2 double"
-
-
-def merge_moments(n_a: int, mean_a: float, m2_a: float, n_b: int, mean_b: float, m2_b: float):
-    """Combine two partial ``(n, mean, m2)`` summaries (Chan et al.)."""
-    if n_a == 0:
-        return n_b, mean_b, m2_b
-    if n_b == 0:
-        return n_a, mean_a, m2_a
-    n = n_a + n_b
-    delta = mean_b - mean_a
-    mean = mean_a + delta * n_b / n
-    m2 = m2_a + m2_b + delta * delta * n_a * n_b / n
-    return n, mean, m2
-
-
-def std_from(n: int, m2: float) -> float:
-    """Sample std; fewer than two values give 0.0, as in the reference."""
-    return 0.0 if n < 2 else math.sqrt(m2 / (n - 1))
-
 
-def _update(key_col: str, value_col: str):
-    def fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        n, mean, m2 = state.get if state.exists else (0, 0.0, 0.0)
-        for pdf in pdfs:
-            v = pdf[value_col].dropna().astype("float64")
-            if len(v) == 0:
-                continue
-            bn, bmean = len(v), float(v.mean())
-            bm2 = float(((v - bmean) ** 2).sum())
-            n, mean, m2 = merge_moments(n, mean, m2, bn, bmean, bm2)
-        state.update((n, mean, m2))
-        yield pd.DataFrame({key_col: [key[0]], "n": [n], "mean": [mean], "std_dev": [std_from(n, m2)]})
-    return fn
+from eventide.operators.baseline import running_stats
 
 
 def running_stats_stream(stream: DataFrame, key_col: str, value_col: str) -> DataFrame:
-    """Per-key running count, mean and sample std; emit mode ``update``."""
-    ship_package(stream.sparkSession)
-    out_schema = f"{key_col} string, n long, mean double, std_dev double"
-    return (stream.select(key_col, value_col).groupBy(key_col)
-            .applyInPandasWithState(_update(key_col, value_col), out_schema, STATE_SCHEMA, "update",
-                                    GroupStateTimeout.NoTimeout))
+    """Per-key running count, mean and sample std (fewer than two values: 0.0); emit mode ``update``."""
+    return running_stats(stream, key_col, value_col)

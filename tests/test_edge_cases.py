@@ -14,7 +14,7 @@ from eventide.operators import conflict as C
 from eventide.operators import detect as D
 from eventide.operators import graph as G
 from eventide.operators import triples as T
-from eventide.operators.events import accepted_rows, valid_events
+from eventide.operators.events import accepted_rows, stamp_intervals, valid_events
 from eventide.plans.views import EVENT_COLUMNS
 from eventide.sources import export as EX
 from eventide.sources import model_state as MS
@@ -176,8 +176,7 @@ def test_model_state_validation(spark, tmp):
                                   "std_dev double, total_occurrences long")
     MS.write_model_state(model, f"{tmp}/good")
     assert MS.read_model_state(spark, f"{tmp}/good").collect()[0].total_occurrences == 10
-    doc = MS.model_document(model).head()[0]
-    assert doc.startswith('{"event_metrics":{"event_root_code_04":')
+    assert MS.model_json_lines(model).head()[0].startswith('{"event_metrics":{"event_root_code_04":')
 
 
 def test_latin1_export_roundtrip(spark, tmp):
@@ -197,11 +196,11 @@ def test_zip_scan_skips_corrupt_and_empty(spark, tmp):
     open(f"{tmp}/z/20240101000000.export.CSV.zip", "wb").write(buf.getvalue())
     EX.land_bad_archives(f"{tmp}/z")
     rep = {r.status: r.files for r in EX.zip_scan_report(spark, f"{tmp}/z").collect()}
-    assert rep == {"ok": 1, "bad_zip": 1, "empty": 1}
+    assert rep == {"ok": 1, "bad_zip": 2, "empty": 1}
     from pyspark.sql import Observation
     obs = Observation("zip_scan")
     got = EX.read_export_zips(spark, f"{tmp}/z", observation=obs).collect()
-    assert obs.get == {"bad_archives": 1, "empty_archives": 1, "lines": 2}
+    assert obs.get == {"bad_archives": 2, "empty_archives": 1, "lines": 2}
     assert len(got) == 2
     odd = [r for r in got if r.source_event_id != "x"][0]
     assert odd.source_event_id == "é\x85" and odd.sqldate is None  # 0x85 is not a line break
@@ -266,15 +265,12 @@ def test_alert_message_wording(spark):
     assert msg == "ALERT: Anomaly in 'event_root_code_04' (Z-Score: 8.00). Current: 10, Baseline Mean: 2.00"
 
 
-def test_model_document_roundtrip(spark, tmp):
-    model = spark.createDataFrame([("quad_class_1", 0.25, 0.5, 7), ("event_root_code_04", 1.5, 0.0, 3)],
-                                  "metric_key string, mean double, std_dev double, total_occurrences long")
-    doc = MS.model_document(model)
-    doc.coalesce(1).write.text(f"{tmp}/doc")
-    back = {r.metric_key: tuple(r)[1:] for r in MS.read_model_document(spark, f"{tmp}/doc").collect()}
-    assert back == {"quad_class_1": (0.25, 0.5, 7), "event_root_code_04": (1.5, 0.0, 3)}
-    with pytest.raises(ValueError):
-        MS.model_document(model, max_keys=1)
+@pytest.mark.parametrize("bad", ["{broken", '{"other": 1}', ""])
+def test_model_line_that_cannot_be_read_is_an_error(spark, tmp, bad):
+    good = '{"event_metrics": {"quad_class_1": {"mean": 0.25, "std_dev": 0.5, "total_occurrences": 7}}}'
+    spark.createDataFrame([(good,), (bad,)], "value string").write.text(f"{tmp}/model")
+    with pytest.raises(Exception, match="event_metrics"):
+        MS.read_model_state(spark, f"{tmp}/model").collect()
 
 
 def test_sparse_model_equals_two_step(spark):
@@ -384,3 +380,64 @@ def test_article_file_mentions_over_three_columns(spark, tmp):
     first = M.first_tracked_entity(found, 5, id_col="record_id", show_col="extras").collect()
     assert [(r.entity, r.n_mentions, r.record_id, r.content) for r in first] == \
         [("Joe Biden", 1, "a2", "(No XML content)")]
+
+
+def test_null_stamps_and_timestamps_are_kept(spark, tmp):
+    df = rows(spark, {}, {"actor1_name": "GAMMA"}).withColumn("stamp", F.when(F.col("actor1_name") != "GAMMA", F.lit("20240101000000")))
+    landed = EX.write_export_zips(df, f"{tmp}/z", "stamp").collect()
+    assert sum(r["rows"] for r in landed) == 2 and EX.read_export_zips(spark, f"{tmp}/z").count() == 2
+    ts = spark.createDataFrame([("2024-01-01 00:14:59.5",), (None,)], "t string").select(F.to_timestamp_ntz("t").alias("ts"))
+    got = {str(r.interval_ts) for r in stamp_intervals(ts, "ts").collect()}
+    assert got == {"2024-01-01 00:00:00", "None"}
+
+
+def test_quoted_fields_read_the_same_from_plain_and_zipped_files(spark, tmp):
+    import os
+    line = "\t".join(["id", "20240101"] + [f'"Q {i}"' for i in range(2, 61)])
+    os.makedirs(f"{tmp}/z")
+    with zipfile.ZipFile(f"{tmp}/z/20240101000000.export.CSV.zip", "w") as zf:
+        zf.writestr("20240101000000.export.CSV", line + "\n")
+    os.makedirs(f"{tmp}/p")
+    open(f"{tmp}/p/20240101000000.export.CSV", "w").write(line + "\n")
+    a = EX.read_export_zips(spark, f"{tmp}/z").select(*EX.NAMES).collect()
+    b = EX.read_export_tsv(spark, f"{tmp}/p").select(*EX.NAMES).collect()
+    assert a == b and a[0].actor1_name == "Q 6"
+
+
+def test_export_writer_refuses_what_its_encoding_lacks(spark, tmp):
+    with pytest.raises(Exception, match="actor1_name"):
+        EX.write_export_tsv(rows(spark, {"actor1_name": "\u20ac"}), f"{tmp}/t")
+
+
+def test_resume_marker_survives_an_empty_run(spark, tmp):
+    from eventide.sources.interval_log import mark_processed, unprocessed
+    log = spark.createDataFrame([("2024-01-01 00:00:00",)], "t string").select(F.to_timestamp_ntz("t").alias("interval_ts"))
+    mark_processed(spark, f"{tmp}/m", log)
+    mark_processed(spark, f"{tmp}/m", unprocessed(spark, log, f"{tmp}/m"))
+    assert unprocessed(spark, log, f"{tmp}/m").count() == 0
+
+
+def test_asof_ignores_null_keys_and_days_without_a_price(spark):
+    from datetime import date
+
+    from eventide.operators.fusion import asof_join
+    left = spark.createDataFrame([("A", date(2024, 1, 3)), (None, date(2024, 1, 3)), ("A", None)], "k string, d date")
+    right = spark.createDataFrame([("A", date(2024, 1, 1), 1.0), (None, date(2024, 1, 1), 2.0), ("A", None, 3.0)], "k string, pd date, v double")
+    got = {(r.k, r.d): r.v for r in asof_join(left, right, "k", "d", "pd", ["v"]).collect()}
+    assert got == {("A", date(2024, 1, 3)): 1.0, (None, date(2024, 1, 3)): None, ("A", None): None}
+
+
+def test_spine_takes_its_step(spark):
+    from eventide.functions.timefmt import spine
+    got = [str(r[0])[11:16] for r in spine(spark, datetime(2024, 1, 1), datetime(2024, 1, 1, 0, 12), "5 minutes").collect()]
+    assert got == ["00:00", "00:05", "00:10"]
+
+
+def test_no_private_folder_on_a_cluster():
+    from types import SimpleNamespace
+
+    from eventide.session import checkpoint_root
+    sc = SimpleNamespace(master="spark://host:7077", getCheckpointDir=lambda: None,
+                         getConf=lambda: SimpleNamespace(get=lambda k, d=None: d))
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        checkpoint_root(SimpleNamespace(sparkContext=sc))
