@@ -43,15 +43,15 @@ def latest_close(prices: DataFrame) -> DataFrame:
 
 def _pre_aggregates(interactions: DataFrame, until: str | None, with_ticker: bool):
     """(pair × day) counts and, when edges carry ``ticker``, (actor × ticker) counts — both
-    from ONE grouping-sets aggregation, checkpointed once."""
+    from ONE grouping-sets aggregation, whose exchange the readers below share."""
     conflict = to_double("goldstein_scale") < 0
     if until is not None:
         conflict = conflict & (F.col("date") <= until)
     aggs = [F.count(F.lit(1)).alias("n"), F.count(F.when(conflict, F.lit(1))).alias("n_conflicts")]
     if not with_ticker:
-        return interactions.groupBy("src", "dst", "date").agg(*aggs).checkpoint(eager=True), None
+        return interactions.groupBy("src", "dst", "date").agg(*aggs), None
     g = (interactions.groupingSets([["src", "dst", "date"], ["src", "ticker"]], "src", "dst", "date", "ticker")
-         .agg(*aggs, F.grouping("ticker").alias("g_ticker")).checkpoint(eager=True))
+         .agg(*aggs, F.grouping("ticker").alias("g_ticker")))
     pair_day = g.filter(F.col("g_ticker") == 1).select("src", "dst", "date", "n", "n_conflicts")
     ticks = g.filter(F.col("g_ticker") == 0).select(F.col("src").alias("actor"), "ticker", "n")
     return pair_day, ticks

@@ -23,16 +23,12 @@ def month_bucket(ts: Column) -> Column:
 
 
 def asof_join(left: DataFrame, right: DataFrame, key: str, left_ts: str, right_ts: str,
-              right_cols: list[str], bucket: Callable[[Column], Column] = month_bucket,
-              materialize: bool = False) -> DataFrame:
+              right_cols: list[str], bucket: Callable[[Column], Column] = month_bucket) -> DataFrame:
     """For every left row, the latest right row with the same key and ``right_ts <= left_ts``.
 
     Unmatched left rows keep NULLs (left as-of join). ``right_ts`` is returned as well.
-    Each input is read twice (timeline and bucket summary); ``materialize=True``
-    checkpoints derived inputs first so their upstream work runs once.
+    Each input is read twice (timeline and bucket summary): land expensive ones first.
     """
-    if materialize:
-        left, right = left.checkpoint(eager=True), right.checkpoint(eager=True)
     lcols = left.columns
     l = (left.withColumn("__b", bucket(F.col(left_ts)))
          .withColumn("__l", F.struct(*[F.col(c) for c in lcols])))
@@ -85,7 +81,6 @@ def prices_with_events(prices: DataFrame, signal: DataFrame, key: str = "ticker"
     return prices.join(s, [key, "price_date"])
 
 
-def events_with_latest_price(signal: DataFrame, prices: DataFrame, key: str = "ticker",
-                             materialize: bool = False) -> DataFrame:
+def events_with_latest_price(signal: DataFrame, prices: DataFrame, key: str = "ticker") -> DataFrame:
     """Each event day with the latest close on or before it (as-of, NULL when none)."""
-    return asof_join(signal, prices, key, "event_date", "price_date", ["close"], materialize=materialize)
+    return asof_join(signal, prices, key, "event_date", "price_date", ["close"])

@@ -27,7 +27,7 @@ from eventide.operators.events import accepted_rows, stamp_intervals, valid_even
 from eventide.plans import params as P
 from eventide.plans.views import (EVENT_COLUMNS, table, v_actor_updates, v_interactions,
                                   v_interval_events, v_prices, v_triples)
-from eventide.session import checkpoint_root, scratch_path
+from eventide.session import scratch_path
 from eventide.sources import articles as AR
 from eventide.sources import backfill as BF
 from eventide.sources import export as EX
@@ -312,9 +312,7 @@ def q_entity_first_mentions(spark, sf_dir):
 
 @register("first_tracked_entity")
 def q_first_tracked_entity(spark, sf_dir):
-    checkpoint_root(spark)
-    # the hits are read three times; a reliable checkpoint keeps the text scan to one pass
-    found = M.mentions(_documents(spark, sf_dir), P.TERMS, ["text"], keep=["source"]).checkpoint()
+    found = M.mentions(_documents(spark, sf_dir), P.TERMS, ["text"], keep=["source"])
     return M.first_tracked_entity(found, P.FIRST_K, show_col="source")
 
 
@@ -353,13 +351,11 @@ def q_prices_events_daily(spark, sf_dir):
 
 @register("prices_events_asof")
 def q_prices_events_asof(spark, sf_dir):
-    checkpoint_root(spark)
-    return FU.events_with_latest_price(_signal(spark, sf_dir), v_prices(spark, sf_dir), materialize=True)
+    return FU.events_with_latest_price(_signal(spark, sf_dir), v_prices(spark, sf_dir))
 
 
 @register("briefing_rows")
 def q_briefing_rows(spark, sf_dir):
-    checkpoint_root(spark)
     rows = clean_interactions(spark, sf_dir, "ticker")
     return rounded(BR.briefing_rows(G.interaction_edges(rows), P.AS_OF, P.DAYS, P.THRESHOLD, until=P.AS_OF,
                                     prices=v_prices(spark, sf_dir)))
@@ -467,8 +463,8 @@ def q_file_stream_ingest(spark, sf_dir):
 
 @register("file_stream_ingest_actors")
 def q_file_stream_ingest_actors(spark, sf_dir):
-    """Actor names of the stored graph after a reset and a second ingest."""
-    root = _ingested(spark, sf_dir)
+    """Actor names of the stored graph; a graph of its own is reset and must be empty then."""
+    root = _ingested(spark, sf_dir, own=True)
     G.reset_graph(spark, root)
     if SI.read_graph(spark, root)["actors"].head(1):
         raise AssertionError("actors survive the reset")
@@ -479,12 +475,18 @@ def q_file_stream_ingest_actors(spark, sf_dir):
 # stored tables, resume, fresh start, backfill, articles
 # ---------------------------------------------------------------------------
 
-def _ingested(spark, sf_dir) -> str:
-    """The graph tables after a stream ingest of the whole landed log; their folder."""
+def _ingested(spark, sf_dir, own: bool = False) -> str:
+    """The folder of the graph tables after a stream ingest of the whole landed log. The ingest runs
+    once per application and input; ``own`` makes one that the caller may change."""
+    key = (spark.sparkContext.applicationId, f"graph of {sf_dir.rstrip('/')}")
+    if not own and key in _LANDED:
+        return _LANDED[key]
     landing, root, ckpt = scratch_path(spark, "landing"), scratch_path(spark, "graph"), scratch_path(spark, "ckpt")
     clean = clean_interactions(spark, sf_dir).withColumn("interval_ts", day_start("sqldate"))
     IL.write_interval_log(clean, landing, granularity="month")
     SI.start_graph_ingest(spark, landing, root, ckpt, recursive=True, max_files=200).awaitTermination()
+    if not own:
+        _LANDED[key] = root
     return root
 
 
