@@ -8,10 +8,12 @@ keep their leading zeros (Q4).
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventide.functions.timefmt import parse_iso_local, stamp_iso_utc
+from eventide.functions.timefmt import ntz, parse_iso_local, stamp_iso_utc
 from eventide.plans.views import EVENT_COLUMNS
 
 LOG_COLUMNS = "interval_timestamp string, " + ", ".join(f"{c} string" for c in EVENT_COLUMNS)
@@ -68,15 +70,23 @@ def write_interval_log(events: DataFrame, path: str, ts_col: str = "interval_ts"
         w.parquet(path)
 
 
-def read_interval_log(spark: SparkSession, path: str, fmt: str = "csv", granularity: str = "day") -> DataFrame:
-    """All interval files as one frame with ``interval_ts`` parsed."""
+def read_interval_log(spark: SparkSession, path: str, fmt: str = "csv", granularity: str = "day",
+                      start: datetime | None = None, end: datetime | None = None) -> DataFrame:
+    """All interval files as one frame with ``interval_ts`` parsed (S4, U1). A range
+    ``[start, end)`` reads the partitions it touches only."""
     part_col, part_type, _ = GRANULARITY[granularity]
     schema = f"{LOG_COLUMNS}, {part_col} {part_type}"
     if fmt == "csv":
         df = spark.read.schema(schema).option("header", True).csv(path)
     else:
         df = spark.read.schema(schema).parquet(path)
-    return df.withColumn("interval_ts", parse_iso_utc("interval_timestamp"))
+    df = df.withColumn("interval_ts", parse_iso_utc("interval_timestamp"))
+    derive = GRANULARITY[granularity][2]
+    if start is not None:
+        df = df.filter((F.col(part_col) >= derive(ntz(start))) & (F.col("interval_ts") >= ntz(start)))
+    if end is not None:
+        df = df.filter((F.col(part_col) <= derive(ntz(end))) & (F.col("interval_ts") < ntz(end)))
+    return df
 
 
 # ---------------------------------------------------------------------------
@@ -104,8 +114,12 @@ def mark_processed(spark: SparkSession, marker: str, processed: DataFrame, ts_co
 
 
 def unprocessed(spark: SparkSession, log: DataFrame, marker: str, ts_col: str = "interval_ts") -> DataFrame:
-    """Rows strictly after the marker; everything when there is no marker."""
+    """Rows strictly after the marker; everything when there is no marker. Of a partitioned log the
+    partitions before the marker are not read."""
     wm = last_processed(spark, marker)
     if wm is None:
         return log
+    for part_col, _, derive in GRANULARITY.values():
+        if part_col in log.columns:
+            log = log.filter(F.col(part_col) >= derive(F.lit(wm).cast("timestamp_ntz")))
     return log.filter(F.col(ts_col) > F.lit(wm).cast("timestamp_ntz"))

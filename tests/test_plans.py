@@ -63,3 +63,39 @@ def test_cluster_conf_keys_are_spark_sql_settings(spark):
     for key in conf:
         if key.startswith("spark.sql."):
             assert spark.conf.isModifiable(key), key
+
+
+def test_detection_range_reaches_the_scan(spark):
+    df = QUERIES["interval_anomalies"](spark, SF)
+    s = df._jdf.queryExecution().executedPlan().toString()
+    pushed = [line for line in s.splitlines() if "PushedFilters" in line]
+    assert any("GreaterThanOrEqual(ts," in p and "LessThan(ts," in p for p in pushed), pushed
+
+
+def test_event_rows_meet_the_orders_once(spark):
+    """One exchange of the line items at most, on the order key."""
+    from eventide.plans.views import v_interactions
+    s = v_interactions(spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert s.count("hashpartitioning(l_orderkey") <= 1 and "hashpartitioning(l_suppkey" not in s
+
+
+def test_interval_log_range_prunes_partitions(spark, tmp):
+    from datetime import datetime
+
+    from pyspark.sql import functions as F
+
+    from eventide.plans.catalog import _full_event_columns, interval_events
+    from eventide.sources import interval_log as IL
+    rows = _full_event_columns(interval_events(spark, SF))
+    for granularity, column in (("day", "interval_date"), ("month", "interval_month")):
+        path = f"{tmp}/{granularity}"
+        IL.write_interval_log(rows, path, granularity=granularity)
+        a, b = datetime(2024, 1, 3), datetime(2024, 1, 5, 12)
+        df = IL.read_interval_log(spark, path, granularity=granularity, start=a, end=b)
+        scan = next(x for x in df._jdf.queryExecution().executedPlan().toString().splitlines() if "PartitionFilters" in x)
+        assert f"({column}#" in scan.split("PartitionFilters")[1]
+        assert df.count() == rows.filter((F.col("interval_ts") >= F.lit(a)) & (F.col("interval_ts") < F.lit(b))).count() > 0
+        IL.mark_processed(spark, f"{path}-mark", df)
+        rest = IL.unprocessed(spark, IL.read_interval_log(spark, path, granularity=granularity), f"{path}-mark")
+        scan = next(x for x in rest._jdf.queryExecution().executedPlan().toString().splitlines() if "PartitionFilters" in x)
+        assert f"({column}#" in scan.split("PartitionFilters")[1]
