@@ -10,14 +10,17 @@ second order and under the third before its sets are intersected.
 How it stays linear on large groups of copies:
 
 * equal sets are one class; only classes are joined;
-* round A compares each class only with the hub of a posting group (the class in which the
-  shared shingle comes earliest, i.e. the one with the fewest rare shingles) and links are
-  merged into components;
+* round A compares each class only with one hub (the hub of a posting group is the class in
+  which the shared shingle comes earliest, i.e. the one with the fewest rare shingles; of its
+  groups' hubs a class takes the one it meets most often) and links are merged into components;
 * round B compares, per posting group, the classes outside the hub's component with the group.
   Pairs inside one component need no comparison, as only components are asked for. Together the
   rounds lose no link: the first shared shingle of a linked pair puts both in one group, and
   either they are in one component already or one of them is outside the hub's.
 
+Before any set is shipped, a pair must pass a bound on its symmetric difference: a class has a
+bitmap of shingle parities, and as many shingles differ at least as bits do.
+
 A shingle that the count table shows in very many documents has its group split by a salt for
 round A. Shingles are compared by 64-bit hashes, classes by a 64-bit hash of their set and size.
 
@@ -40,8 +43,10 @@ from .common import components, empty_text, ship_package, written
 
 WIDTH = 5
 PERCENT = 75
-#: Slots of the shingle count table (bounded: 2 MB on the driver and in each worker).
-COUNT_SLOTS = 1 << 18
+#: Slots of the shingle count table (bounded: 8 MB on the driver and in each worker).
+COUNT_SLOTS = 1 << 20
+#: Slots that one row of a task's counts holds.
+COUNT_BLOCK = 4096
 #: A posting group expected to have more documents than this is split.
 HOT_GROUP = 20_000
 #: Slots of the filter that names the documents whose sets are needed (bounded: 16 MB).
@@ -109,31 +114,43 @@ def _rows(schema: pa.Schema, *cols) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema)], schema=schema)
 
 
+def parity_bits(s: np.ndarray) -> list[int]:
+    """Parity of the number of shingles per bit, as 64-bit words: a power of two of them, with at
+    least two bits a shingle. Halving the words and combining them by exclusive or gives the
+    bitmap of the next smaller length."""
+    bits = 64
+    while bits < 2 * len(s):
+        bits *= 2
+    odd = np.bincount((_scrambled(s, 5) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8").tolist()
+
+
 def _count_shingles(width: int, slots: int):
-    """Per document id, set size and class; per task a count of shingles by slot."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("cid", pa.int64()),
-                        ("slot", pa.int64()), ("hits", pa.int64())])
+    """Per document id, set size, class and parities; per task a count of shingles by slot."""
+    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("cid", pa.int64()), ("bits", pa.list_(pa.int64())),
+                        ("block", pa.int32()), ("hits", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, counts = _Hashes(), np.zeros(slots, np.int64)
         for b in batches:
-            ids, sizes, cids, at = [], [], [], [np.empty(0, np.int64)]
+            ids, sizes, cids, bits, at = [], [], [], [], [np.empty(0, np.int64)]
             for i, t in _texts([b]):
                 s = shingle_hashes(t, width, hashes)
                 ids.append(i)
                 sizes.append(len(s))
                 cids.append(_class_of(s) if len(s) else None)
+                bits.append(parity_bits(s) if len(s) else None)
                 at.append((s % np.uint64(slots)).astype(np.int64))
             counts += np.bincount(np.concatenate(at), minlength=slots)
             none = [None] * len(ids)
-            yield _rows(schema, ids, sizes, cids, none, none)
-        at = np.flatnonzero(counts)
-        for k in range(0, len(at), 50_000):
-            part = at[k:k + 50_000]
+            yield _rows(schema, ids, sizes, cids, bits, none, none)
+        blocks = [(i, x.tolist()) for i, x in enumerate(counts.reshape(-1, COUNT_BLOCK)) if x.any()]
+        for k in range(0, len(blocks), 32):
+            part = blocks[k:k + 32]
             none = [None] * len(part)
-            yield _rows(schema, none, none, none, part, counts[part])
+            yield _rows(schema, none, none, none, none, [i for i, _ in part], [x for _, x in part])
 
-    return run, "doc_id long, n long, cid long, slot long, hits long"
+    return run, "doc_id long, n long, cid long, bits array<long>, block int, hits array<long>"
 
 
 def _by_order(s: np.ndarray, counts: np.ndarray, seed: int) -> np.ndarray:
@@ -206,6 +223,23 @@ def _pair(a: str, b: str) -> list[Column]:
     return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
 
+def _parities_allow(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """The ``pairs(a, b)`` whose parities do not differ in more bits than a link allows."""
+    side = lambda c: classes.select(F.col("cid").alias(c), F.col("n").alias(f"n{c}"), F.col("bits").alias(f"w{c}"))
+
+    def folded(x: Column, size: Column) -> Column:
+        low, high = F.slice(x, F.lit(1), size), F.slice(x, size + 1, size)
+        return F.when(F.size(x) > size, F.zip_with(low, high, lambda p, q: p.bitwiseXOR(q))).otherwise(x)
+
+    a, b = F.col("wa"), F.col("wb")
+    size = F.least(F.size(a), F.size(b))  # linked sets differ in size so little that one fold is enough
+    differ = F.aggregate(F.zip_with(folded(a, size), folded(b, size), lambda p, q: F.bit_count(p.bitwiseXOR(q))),
+                         F.lit(0), lambda x, y: x + y)
+    return (pairs.join(side("a"), "a").join(side("b"), "b")
+            .where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
+            .where(differ * (100 + percent) <= (F.col("na") + F.col("nb")) * (100 - percent)).select("a", "b"))
+
+
 def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
     """The ``pairs(a, b)`` of classes that link.
 
@@ -219,8 +253,9 @@ def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, width: int,
     fn, schema = _sets(width)
     some = (docs.withColumn("slot", slot("doc_id")).join(F.broadcast(slots), "slot", "left_semi")
             .select("doc_id", "text").mapInArrow(fn, schema))
-    sets = (some.join(needed, (F.col("cid") == F.col("c")) & F.col("doc_id").eqNullSafe(F.col("rep")), "left_semi")
-            .dropDuplicates(["cid"]).select("cid", "n", "tokens"))
+    # rows that repeat a representative's id and text give a link more than once, no other one
+    sets = (some.join(needed, F.col("cid") == F.col("c")).where(F.col("doc_id").eqNullSafe(F.col("rep")))
+            .select("cid", "n", "tokens"))
     left = sets.select(F.col("cid").alias("a"), F.col("n").alias("na"), F.col("tokens").alias("ta"))
     right = sets.select(F.col("cid").alias("b"), F.col("n").alias("nb"), F.col("tokens").alias("tb"))
     first = lambda t, n: F.slice(t, F.lit(1), prefix_length_of(n, percent))
@@ -231,7 +266,7 @@ def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, width: int,
             .where(F.arrays_overlap(first("ta", "na"), first("tb", "nb")))
             .where(F.arrays_overlap(last("ta", "na"), last("tb", "nb")))
             .where(same * 100 >= (F.col("na") + F.col("nb") - same) * percent)
-            .select("a", "b"))
+            .select("a", "b").distinct())
 
 
 def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
@@ -242,9 +277,11 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), empty_text(F.col("text")).alias("text"))
     fn, schema = _count_shingles(width, COUNT_SLOTS)
     counted = written(docs.mapInArrow(fn, schema), "ngram-counts")
-    rows = counted.where("slot is null").select("doc_id", "n", "cid")
-    classes = rows.where("n > 0").groupBy("cid").agg(F.min("doc_id").alias("rep"))
-    hits = counted.where("slot is not null").groupBy("slot").agg(F.sum("hits").alias("hits")).toArrow()
+    rows = counted.where("block is null").select("doc_id", "n", "cid")
+    classes = written(counted.where("n > 0").groupBy("cid").agg(
+        F.min("doc_id").alias("rep"), F.any_value("n").alias("n"), F.any_value("bits").alias("bits")), "ngram-classes")
+    hits = (counted.where("block is not null").select("block", F.posexplode("hits").alias("i", "hits")).where("hits > 0")
+            .groupBy((F.col("block") * COUNT_BLOCK + F.col("i")).alias("slot")).agg(F.sum("hits").alias("hits")).toArrow())
     table = np.zeros(COUNT_SLOTS, np.int64)  # one number per slot, whatever the input
     table[hits.column("slot").to_numpy()] = hits.column("hits").to_numpy()
     counts = spark.sparkContext.broadcast(table)
@@ -263,8 +300,10 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
     spokes = posts.select("n", "pos", "cid", F.col("hub.n").alias("n2"), F.col("hub.pos").alias("p2"), F.col("hub.cid").alias("c2"))
     hubs = (posts.select("token", "hub").distinct().join(tops, "token")
             .select("hub.n", "hub.pos", "hub.cid", F.col("top.n").alias("n2"), F.col("top.pos").alias("p2"), F.col("top.cid").alias("c2")))
-    first = written(spokes.unionByName(hubs).where("cid <> c2").where(_can_link(percent, "n", "pos", "n2", "p2"))
-                    .select(*_pair("cid", "c2")).distinct(), "ngram-pairs")
+    met = (spokes.where("cid <> c2").where(_can_link(percent, "n", "pos", "n2", "p2"))
+           .groupBy("cid", "c2").count().groupBy("cid").agg(F.max_by("c2", F.struct("count", "c2")).alias("c2")))
+    first = met.unionByName(hubs.where("cid <> c2").where(_can_link(percent, "n", "pos", "n2", "p2")).select("cid", "c2"))
+    first = written(_parities_allow(first.select(*_pair("cid", "c2")).distinct(), classes, percent), "ngram-pairs")
     links = written(_verified(docs, classes, first, width, percent), "ngram-links")
     comp = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")), "ngram-components")
 
@@ -280,7 +319,7 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
     second = (outside.join(known, (F.col("ot") == F.col("token")) & (F.col("comp") != F.col("comp2"))
                            & _can_link(percent, "n", "pos", "n2", "p2"))
               .select(*_pair("cid", "c2")).distinct().join(first, ["a", "b"], "left_anti"))
-    second = written(second, "ngram-pairs")
+    second = written(_parities_allow(second, classes, percent), "ngram-pairs")
     more = written(_verified(docs, classes, second, width, percent), "ngram-links")
     if more.head(1):
         comp = components(comp.where("id <> component").select(F.col("id").alias("u"), F.col("component").alias("v"))
