@@ -337,12 +337,19 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
 def one_of_each(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """``docs`` with one document per component, the one of the smallest id; all columns stay.
 
-    Of rows that repeat an id one stays; a row without id stays."""
+    Of rows that repeat an id one stays; a row without id stays. Only rows that the bounded
+    filter of ids to look at lets through are shuffled, the others pass as they are."""
     from pyspark.sql import Window
-    out = near_duplicates(docs, width, percent)
-    gone = out.where("component_id <> doc_id").select(F.col("doc_id").alias("__gone")).distinct()
-    rows = docs.select(F.col("doc_id").alias("__id"), F.struct(*docs.columns).alias("__row"))
-    left = rows.where("__id is not null").join(gone, F.col("__id") == F.col("__gone"), "left_anti")
-    nth = F.row_number().over(Window.partitionBy("__id").orderBy(F.col("__row.text")))
-    left = left.withColumn("__n", nth).where("__n = 1").select("__row")
-    return left.unionByName(rows.where("__id is null").select("__row")).select("__row.*")
+    out = written(near_duplicates(docs, width, percent), "ngram-classes")
+    slot = lambda c: F.pmod(F.xxhash64(F.col(c).cast("long")), F.lit(NEEDED_SLOTS)).cast("int")
+    gone = out.where("component_id <> doc_id").select(F.col("doc_id").alias("gone")).distinct()
+    again = out.where("doc_id is not null").groupBy(F.col("doc_id").alias("gone")).count().where("count > 1").select("gone")
+    slots = gone.unionByName(again).select(slot("gone").alias("slot")).distinct()
+    rows = docs.select(F.col("doc_id").alias("id"), F.struct(*docs.columns).alias("row")).withColumn(
+        "slot", F.when(F.col("id").isNotNull(), slot("id")).otherwise(F.lit(-1)))
+    free = rows.join(F.broadcast(slots), "slot", "left_anti").select("row")
+    held = (rows.join(F.broadcast(slots), "slot", "left_semi").select("id", "row")
+            .join(gone, F.col("id") == F.col("gone"), "left_anti"))
+    nth = F.row_number().over(Window.partitionBy("id").orderBy(F.col("row.text")))
+    held = held.withColumn("nth", nth).where("nth = 1").select("row")
+    return free.unionByName(held).select("row.*")
