@@ -15,6 +15,8 @@ in length go by doc_id and piece; an empty table gives an empty result; other co
 
 from __future__ import annotations
 
+import json
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
@@ -36,28 +38,76 @@ _CACHES: dict[str, "_Words"] = {}
 
 
 class _Words(dict):
-    """Token ids of a word as little-endian bytes; emptied when it has grown to ``limit`` words."""
+    """Token ids of white-space separated words as little-endian bytes; emptied when it has grown
+    to ``limit`` words.
 
-    limit = 300_000
+    Words are learned in batches. One that ends in plain punctuation after a letter or digit is
+    put together from both parts, which the tokenizer separates anyway. Words of letters only are
+    encoded in one run: each is one unit of the tokenizer, whose last token carries the end mark."""
+
+    limit = 1_000_000
+    tail = b".,!?;:*%&$#|)"
 
     def __init__(self, path: str) -> None:
         super().__init__()
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
-
-    def __missing__(self, word: bytes) -> bytes:
-        ids = self.tokenizer.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids
-        out = self[word] = np.array(ids, "<u4").tobytes()
-        return out
-
-
-def token_bytes(text: str | None, words: "_Words", end_id: int = END_ID) -> bytes:
-    """A document's ids and the end id, four bytes each."""
-    parts = text.encode("utf-8", "replace").split() if text else []
-    out = b"".join(map(words.__getitem__, parts)) + np.array([end_id], "<u4").tobytes()
-    if len(words) > words.limit:
-        words.clear()
-    return out
+        model = json.loads(self.tokenizer.to_str())["model"]
+        self.last = np.zeros(max(model["vocab"].values(), default=0) + 4096, bool)
+        if mark := model.get("end_of_word_suffix"):
+            self.last[[i for t, i in model["vocab"].items() if t.endswith(mark)]] = True
+
+    def _encoded(self, words: list[str]) -> list[bytes]:
+        found = self.tokenizer.encode_batch_fast(words, add_special_tokens=False)
+        return [np.array(e.ids, "<u4").tobytes() for e in found]
+
+    def _of_letters(self, words: list[str]) -> list[bytes]:
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
+        ends = np.flatnonzero(self.last[ids]) + 1
+        if len(ends) != len(words):  # a letter that the normalizer turns into more than letters
+            return self._encoded(words)
+        raw, at = ids.tobytes(), [0, *(4 * ends).tolist()]
+        return [raw[a:b] for a, b in zip(at, at[1:])]
+
+    def learn(self, words: set[bytes]) -> None:
+        if len(self) > self.limit:
+            self.clear()
+        plain, other, split = {}, {}, []
+        for w in words:
+            if w in self:
+                continue
+            core = w.rstrip(self.tail)
+            text = core.decode("utf-8", "replace")
+            if core != w:
+                # the last character as the tokenizer normalizes it must be a letter or digit
+                end = unicodedata.normalize("NFC", text[-1:].lower())[-1:]
+                if not (end.isalpha() or end.isdecimal()):
+                    core, text = w, w.decode("utf-8", "replace")
+                else:
+                    split.append((w, core, w[len(core):]))
+                    if split[-1][2] not in self:
+                        other[split[-1][2]] = split[-1][2].decode()
+                    if core in self:
+                        continue
+            (plain if text.isalpha() else other)[core] = text
+        if plain:
+            self.update(zip(plain, self._of_letters(list(plain.values()))))
+        if other:
+            self.update(zip(other, self._encoded(list(other.values()))))
+        for w, core, tail in split:
+            self[w] = self[core] + self[tail]
+
+
+def token_bytes(texts: list[str | None], words: "_Words", end_id: int = END_ID) -> list[bytes]:
+    """Each document's ids and the end id, four bytes each."""
+    split = []
+    for t in texts:
+        raw = t.encode("utf-8", "replace") if t else b""
+        # the tokenizer ignores case, but not in the names of its special tokens
+        split.append((raw if b"<|" in raw else raw.lower()).split())
+    words.learn(set().union(*split))
+    end = np.array([end_id], "<u4").tobytes()
+    return [b"".join(map(words.__getitem__, parts)) + end for parts in split]
 
 
 def _words(path: str) -> "_Words":
@@ -75,11 +125,12 @@ def _cut(path: str, size: int, with_ids: bool):
         words = _words(path)
         for b in batches:
             rows: list[tuple] = []
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                ids = token_bytes(text, words)
-                for k, at in enumerate(range(0, len(ids), 4 * size)):
-                    part = ids[at:at + 4 * size]
-                    rows.append((doc, k, at // 4, len(part) // 4, zlib.crc32(part), part)[:len(schema)])
+            for s in range(0, b.num_rows, 256):
+                some = b.slice(s, 256)
+                for doc, ids in zip(some.column(0).to_pylist(), token_bytes(some.column(1).to_pylist(), words)):
+                    for k, at in enumerate(range(0, len(ids), 4 * size)):
+                        part = ids[at:at + 4 * size]
+                        rows.append((doc, k, at // 4, len(part) // 4, zlib.crc32(part), part)[:len(schema)])
             cols = list(zip(*rows)) if rows else [()] * len(schema)
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema)], schema=schema)
 
