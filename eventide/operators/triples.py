@@ -1,14 +1,10 @@
 """Country facts from RDF-style triples and the country node upsert.
 
-The reference's graph pattern is
+A country is a subject of type Country with an English label; its ISO code is taken when there
+is one, and its capital together with the capital's English label.
 
-    ?country type Country . ?country label ?countryLabel .
-    OPTIONAL { ?country isoCode ?isoCode }
-    OPTIONAL { ?country capital ?capital . ?capital label ?capitalLabel }
-    FILTER(lang(?countryLabel) = 'en') FILTER(lang(?capitalLabel) = 'en')
-
-The second filter also removes rows whose capital is unbound, so the capital part is an
-inner join by default; ``capital_optional=True`` keeps countries without one.
+As the language test on the capital's label also removes countries without a capital, the
+capital part is an inner join by default; ``capital_optional=True`` keeps countries without one.
 """
 
 from __future__ import annotations
