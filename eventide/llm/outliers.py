@@ -38,6 +38,8 @@ CUTOFF = 80.0
 FLOORS = (0.03, 0.03, 0.12, 0.12, 0.03, 0.03)
 #: Words by which ratios are drawn to their usual value, so that short texts are not noisy.
 SMOOTH = 25.0
+#: Characters of a usual word.
+USUAL_CHARS = 5.2
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -112,13 +114,13 @@ def base_failed() -> Column:
 def vector() -> list[Column]:
     """Transformed statistics: square roots of smoothed shares, logarithms of smoothed means."""
     n = F.col("n_words") + F.lit(SMOOTH)
-    chars = F.col("word_chars") + F.lit(SMOOTH * 6)
+    chars = F.col("word_chars") + F.lit(SMOOTH * USUAL_CHARS)
     return [
-        F.log((F.col("word_chars") + F.lit(SMOOTH * 6)) / n),
+        F.log((F.col("word_chars") + F.lit(SMOOTH * USUAL_CHARS)) / n),
         F.sqrt(F.col("n_symbols") / chars),
         F.sqrt(F.col("n_dup_lines") / (F.col("n_lines") + F.lit(5.0))),
         F.sqrt(F.col("n_repeat_words") / n),
-        F.sqrt((F.col("n_upper") + F.lit(SMOOTH * 0.2)) / (F.col("n_letters") + F.lit(SMOOTH * 6))),
+        F.sqrt((F.col("n_upper") + F.lit(SMOOTH * 0.2)) / (F.col("n_letters") + F.lit(SMOOTH * USUAL_CHARS))),
         F.sqrt((F.col("word_chars") - F.col("n_letters")) / chars),
     ]
 
