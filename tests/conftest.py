@@ -16,6 +16,8 @@ def spark():
     if not s.sparkContext.getCheckpointDir():
         s.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="eventide-test-ckpt-"))
     yield s
+    from eventide.session import remove_scratch
+    remove_scratch(s)
 
 
 @pytest.fixture()
