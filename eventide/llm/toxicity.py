@@ -29,6 +29,8 @@ never read.
 
 from __future__ import annotations
 
+import itertools
+import pickle
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
@@ -51,7 +53,7 @@ DECAY = 0.7
 STARTS = 4
 #: The second and third character of a subsequence, counted from the first.
 STEPS = tuple((a, b) for b in (2, 3, 4) for a in range(1, b))
-LANDMARKS = 160
+LANDMARKS = 224
 CACHE = 300_000
 
 _SENTENCE = re.compile(r"[.!?\n]+")
@@ -128,7 +130,7 @@ def word_values(words: list[str], model: Model) -> np.ndarray:
         return np.empty(0)
     x, begins = encoded(words, model.codes)
     subs, decay = subsequences(x)
-    value = stretches((model.weights[subs] * decay).sum(axis=1))
+    value = stretches(model.weights[subs] @ decay)
     value[(x == 0) | (x == 2)] = -np.inf
     return np.maximum.reduceat(value, begins) + model.bias
 
@@ -167,22 +169,24 @@ def text_values(texts: list[str], scored: "_Scored") -> list[tuple[float, str |
     return out
 
 
-# --- fitting, on the driver, from the bounded sample -------------------------------------------
+# --- fitting, in one task, from the bounded sample -------------------------------------------
 
-def _copies_once(docs: list[list[list[str]]]) -> list[int]:
-    """A group number per document; near copies (most of a small sketch of word pairs) share one."""
+def _sketch(words: list[str]) -> list[int]:
+    """The smallest hashes of a text's word pairs; near copies share most of them."""
     import zlib
+    pairs = (f"{a} {b}" for a, b in zip(words, words[1:])) if len(words) > 1 else words
+    return sorted({zlib.crc32(p.encode("utf-8", "replace")) for p in pairs})[:12]
+
+
+def _copies_once(sketches: list[list[int]]) -> list[int]:
+    """A group number per document; documents that share half a sketch or more share one."""
     seen: dict[int, int] = {}
     out = []
-    for g, sents in enumerate(docs):
-        words = [w for s in sents for w in s]
-        pairs = sorted({zlib.crc32(f"{a} {b}".encode("utf-8", "replace")) for a, b in zip(words, words[1:])} or {zlib.crc32(" ".join(words).encode("utf-8", "replace"))})[:12]
+    for g, pairs in enumerate(sketches):
         votes = Counter(seen[p] for p in pairs if p in seen)
-        group = g
-        if votes:
-            best, n = votes.most_common(1)[0]
-            if 2 * n >= len(pairs):
-                group = best
+        group, n = votes.most_common(1)[0] if votes else (g, 0)
+        if 2 * n < len(pairs):
+            group = g
         for p in pairs:
             seen.setdefault(p, group)
         out.append(group)
@@ -196,19 +200,22 @@ def _grams(word: str, k: int = 4) -> set[str]:
 
 def _marked_grams(words: list[set[str]], groups: list[int], toxic: np.ndarray, least: float = 20.0) -> dict[str, float]:
     """4-grams that stand in toxic documents far more than in clean ones: likelihood ratio."""
-    found: list[dict[str, set[int]]] = [defaultdict(set), defaultdict(set)]
+    found: tuple[Counter, Counter] = (Counter(), Counter())
     cache: dict[str, set[str]] = {}
     n = [len({g for g, t in zip(groups, toxic) if t == k}) for k in (0, 1)]
-    for ws, g, t in zip(words, groups, toxic):
-        for w in ws:
-            grams = cache.get(w)
-            if grams is None:
-                grams = cache[w] = _grams(w)
-            for x in grams:
-                found[t][x].add(g)
+    order = sorted(range(len(words)), key=lambda i: (toxic[i], groups[i]))
+    for (t, _), same in itertools.groupby(order, key=lambda i: (toxic[i], groups[i])):
+        grams: set[str] = set()
+        for w in set().union(*[words[i] for i in same]):
+            if w not in cache:
+                cache[w] = _grams(w)
+            grams |= cache[w]
+        found[t].update(grams)
+        if len(cache) > 20_000:
+            cache.clear()
     out = {}
-    for x, gs in found[1].items():
-        a, b = len(gs), len(found[0].get(x, ()))
+    for x, a in found[1].items():
+        b = found[0][x]
         if a < 3 or a / n[1] <= 4 * b / n[0]:
             continue
         p, q, r = a / n[1], b / n[0], (a + b) / (n[0] + n[1])
@@ -245,7 +252,7 @@ def _features(subs: np.ndarray, decay: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 def _svm(x: np.ndarray, y: np.ndarray, cost: np.ndarray, rounds: int = 30) -> np.ndarray:
     """Linear SVM with squared hinge loss by Newton steps with halving; the last weight is the bias."""
-    x = np.hstack([x, np.ones((len(x), 1))])
+    x = np.hstack([x, np.ones((len(x), 1), x.dtype)])
     w = np.zeros(x.shape[1])
     reg = np.ones(x.shape[1])
     reg[-1] = 1e-3
@@ -258,8 +265,10 @@ def _svm(x: np.ndarray, y: np.ndarray, cost: np.ndarray, rounds: int = 30) -> np
     for _ in range(rounds):
         m = 1.0 - y * (x @ w)
         a = m > 0
-        grad = reg * w - x[a].T @ (cost[a] * y[a] * m[a])
-        step = np.linalg.solve(np.diag(reg) + (x[a] * cost[a][:, None]).T @ x[a], grad)
+        near = x[a]
+        grad = reg * w - near.T @ (cost[a] * y[a] * m[a])
+        near *= np.sqrt(cost[a])[:, None]
+        step = np.linalg.solve(np.diag(reg) + near.T @ near, grad)
         size = 1.0
         while size > 1e-4 and loss(w - size * step) > now:
             size /= 2
@@ -287,15 +296,19 @@ def _spread(kernel_rows, n: int, wanted: int) -> list[int]:
 def fit(texts: list[str], toxic: list[int], rounds: int = 5, seed: int = 5) -> Model | None:
     """A model from labelled documents, or None without usable documents of both kinds."""
     labels = np.array(toxic, int)
-    docs = [sentences(t) for t in texts]
     if not len(labels) or labels.min() == labels.max():
         return None
     letters_seen: Counter = Counter()
     for t in texts:
         letters_seen.update(filter(str.isalpha, t.lower()))
     codes = code_table(sorted(letters_seen, key=lambda c: (-letters_seen[c], c)))
-    words = [{w for s in d for w in s if letters(w)} for d in docs]
-    groups = _copies_once(docs)
+    shared: dict[str, str] = {}
+    words, sketches = [], []
+    for t in texts:
+        listed = [shared.setdefault(w, w) for s in sentences(t) for w in s]
+        sketches.append(_sketch(listed))
+        words.append({w for w in listed if letters(w)})
+    groups = _copies_once(sketches)
     marked = _marked_grams(words, groups, labels)
     if not marked:
         return None
@@ -344,11 +357,11 @@ def fit(texts: list[str], toxic: list[int], rounds: int = 5, seed: int = 5) -> M
         if model is None:
             place = [first_place(w) for w in names] + [0] * len(noisy)
         else:
-            value = stretches((model.weights[subs_pos] * decay).sum(axis=1))
+            value = stretches(model.weights[subs_pos] @ decay)
             value[(x_pos == 0) | (x_pos == 2)] = -np.inf
             place = [int(np.argmax(value[b:e])) for b, e in zip(begin_pos, np.append(begin_pos[1:], len(value)))]
         pos = at(subs_pos, begin_pos + np.array(place))
-        random_neg = rng.choice(start_clean, min(12_000, len(start_clean)), replace=False)
+        random_neg = rng.choice(start_clean, min(8_000, len(start_clean)), replace=False)
         neg = at(subs_clean, np.unique(np.concatenate([random_neg, hard])))
 
         # landmarks: spread over the witnesses, and over the negatives (the hardest first)
@@ -368,10 +381,13 @@ def fit(texts: list[str], toxic: list[int], rounds: int = 5, seed: int = 5) -> M
         good = values > 1e-6 * values.max()
         white = vectors[:, good] / np.sqrt(values[good])
         k_pos, k_neg = _kernel(pos, codes_of, table, decay * scale), _kernel(neg, codes_of, table, decay * scale)
-        x = np.vstack([k_pos, k_neg]) @ white
+        x = np.vstack([k_pos @ white, k_neg @ white])
+        del k_pos, k_neg
         y = np.r_[np.ones(len(pos)), -np.ones(len(neg))]
-        cost = np.where(y > 0, 5.0 * len(neg) / len(pos), 5.0)
-        w = _svm(x, y, np.minimum(cost, 50.0))
+        # a witness weighs by the number of documents it speaks for, all together as much as the negatives
+        often = np.array([min(witness[w], 30) for w in names] + [1] * len(noisy), float)
+        cost = np.concatenate([5.0 * len(neg) * often / often.sum(), np.full(len(neg), 5.0)])
+        w = _svm(x, y, np.minimum(cost, 300.0))
         # the sum over landmarks folds into one weight per subsequence
         beta = white @ w[:-1]
         weights = np.zeros(ALPHABET ** 3)
@@ -379,9 +395,9 @@ def fit(texts: list[str], toxic: list[int], rounds: int = 5, seed: int = 5) -> M
         weights[used] = table[codes_of[used]] @ beta * scale
         model = Model(codes, weights, float(w[-1]), 1.0, 0.0)
 
-        value = stretches((weights[subs_clean] * decay).sum(axis=1)) + model.bias
+        value = stretches(weights[subs_clean] @ decay) + model.bias
         value[(x_clean == 0) | (x_clean == 2)] = -np.inf
-        order = np.argsort(-value)[:6000]
+        order = np.argsort(-value)[:5000]
         hard = order[value[order] > -1.0]
         witness = Counter()
         known = sorted(set().union(*toxic_docs)) if toxic_docs else []
@@ -426,17 +442,25 @@ def held_out(doc_id: Column) -> Column:
 
 
 def train(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_clean: int = MAX_CLEAN) -> Model | None:
-    """Fit on a bounded sample of the labelled documents that are not held out."""
+    """Fit, in one task, on a bounded sample of the labelled documents that are not held out."""
     usable = (labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
               .groupBy(F.col("doc_id").cast("long").alias("__id")).agg(F.max("toxic").cast("int").alias("__toxic")))
     pick = F.xxhash64("__id")
     ids = (usable.where("__toxic = 1").orderBy(pick, "__id").limit(max_toxic)
            .unionByName(usable.where("__toxic = 0").orderBy(pick, "__id").limit(max_clean)))
+    def fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = sorted(r for b in batches for r in zip(*[b.column(c).to_pylist() for c in ("__doc", "text", "toxic")]))
+        model = fit([t for _, t, _ in rows], [y for _, _, y in rows])
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], names=["model"])
+
+    ship_package(docs.sparkSession)
     sample = (docs.select(F.col("doc_id").cast("long").alias("__doc"), empty_text(F.col("text")).alias("__text"))
               .join(F.broadcast(ids), F.col("__doc") == F.col("__id"))  # at most max_toxic + max_clean ids
               .groupBy("__doc").agg(F.min("__text").alias("text"), F.max("__toxic").alias("toxic"))
-              .select("__doc", "text", "toxic").toArrow().sort_by("__doc"))
-    return fit(sample.column("text").to_pylist(), sample.column("toxic").to_pylist())
+              .select("__doc", "text", "toxic"))
+    # one task holds the bounded sample, so that the driver gets the model only
+    found = sample.repartition(1).mapInArrow(fitted, "model binary").first()
+    return pickle.loads(bytes(found[0])) if found else None
 
 
 def _scores(model, step: int = 256):
