@@ -237,7 +237,11 @@ def keep_good(docs: DataFrame, cutoff: float = CUTOFF) -> DataFrame:
     """The documents that the rules keep, with their own columns only.
 
     The statistics are computed twice, once narrow for the fit and once beside the text for the
-    filter, so that no text is shuffled."""
+    filter, so that no text is shuffled. A generator of one row stands between them and the
+    distance: without it the optimizer puts each statistic's whole expression into every place
+    of the distance that names it."""
     stats = statistics(docs)
+    counted = F.explode(F.array(F.struct(*[c for c in stats.columns if c != "row"]))).alias("s")
+    stats = stats.select("row", counted).select("row", "s.*")
     points = written(stats.select("lang", "source", *[f"x_{i}" for i in range(len(vector()))]), "mcd-points")
     return judged(stats, fit(points, len(vector())), cutoff).where("kept").select("row.*")
