@@ -4,11 +4,17 @@ Two bigram models share one closed vocabulary, order and smoothing: one of a tar
 of all documents. A document's score is the mean over its tokens of target loss minus background
 loss (in nats): the lower, the more it reads like the target.
 
-The vocabulary is the ``VOCABULARY`` most frequent words of the target that occur twice or more;
-all others are one unknown word, so a model is a table of bounded size and exact for that
-vocabulary. Counts cover every document: each task counts its own rows into such a table, and
-the tables are summed by a shuffle on the cell. Smoothing is Dirichlet: a bigram count is
-topped up by ``PRIOR`` words drawn from the model's own unigrams, those by one of each word.
+The vocabulary is every word of the target that occurs twice or more; all others are one unknown
+word. Counts cover every document and are exact. Smoothing is Dirichlet: a bigram count is topped
+up by ``PRIOR`` words drawn from the model's own unigrams, those by one of each word.
+
+Bigrams of two frequent words (``FREQUENT`` at most, with the unknown word and the start) are the
+skewed part: each task counts its own rows into a table of fixed size, the tables are summed by
+cell and broadcast. All other bigrams are shuffled to the part of their rarer word: the word
+itself, or the word before if that one is frequent. There every occurrence of that word meets, so
+its unigram, context and bigram counts are summed and the losses come out, summed by document.
+Which words count as frequent decides where a bigram is counted, never its loss. Eight bytes for
+each word of the vocabulary are broadcast.
 
 A document must not be scored by a model that has read it, or every target document would look
 like the target. So documents fall into two folds by the hash of their id, both models are kept
@@ -26,35 +32,64 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import empty_text, ship_package, written
 from .toxicity import held_out
 
-VOCABULARY = 1022
+FREQUENT = 1022
 PRIOR = 50.0
 START, UNKNOWN = 0, 1
+#: One in so many documents helps to choose the frequent words.
+SAMPLE = 16
+#: Tokens that a task holds before it sends them to their parts, and parts for each shuffle partition.
+HELD, PARTS = 1 << 20, 4
 #: Slots of the filter that lets target documents through before the exact join (16 MB at most).
 TARGET_SLOTS = 1 << 20
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
-class _Ids(dict):
-    def __missing__(self, word: bytes) -> int:
-        return UNKNOWN
-
-
 def tokens(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "replace").translate(_LOWER).split() if text else []
 
 
-def cells(text: str | None, ids: dict, size: int) -> np.ndarray:
-    """Bigrams of a text, the first with the start mark, as cells of the ``size`` by ``size`` table."""
-    words = tokens(text)
-    x = np.fromiter(map(ids.__getitem__, words), np.int64, len(words))
-    return np.concatenate([[START], x[:-1]]) * size + x if len(x) else x
+class _Codes:
+    """Codes of words: ``START``, ``UNKNOWN``, the frequent words, then the other words of the
+    vocabulary from ``other`` on, by the order of their hashes."""
+
+    def __init__(self, hashes: np.ndarray, frequent: list[bytes], most: int = 1 << 20) -> None:
+        self.hashes, self.most = hashes, most
+        self.frequent = {w: i + 2 for i, w in enumerate(frequent)}
+        self.other = len(frequent) + 2
+        self.known = dict(self.frequent)
+
+    def learn(self, words: set) -> None:
+        import xxhash
+        if len(self.known) > self.most:
+            self.known = dict(self.frequent)
+        new = list(words.difference(self.known))
+        h = np.array([xxhash.xxh64_intdigest(w, 42) for w in new], np.uint64).view(np.int64)
+        at = np.searchsorted(self.hashes, h)
+        found = at < len(self.hashes)
+        found[found] = self.hashes[at[found]] == h[found]
+        self.known.update(zip(new, np.where(found, at + self.other, UNKNOWN).tolist()))
+
+    def bigrams(self, text: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Number of tokens of each text; code of the word before and of the word, for each token."""
+        split = pc.ascii_split_whitespace(pc.ascii_lower(text))
+        flat, doc = split.flatten(), pc.list_parent_indices(split).to_numpy()
+        full = pc.greater(pc.binary_length(flat), 0)
+        words = flat.filter(full).dictionary_encode()
+        n = np.bincount(doc[full.to_numpy(zero_copy_only=False)], minlength=len(text))
+        names = words.dictionary.cast(pa.binary()).to_pylist()
+        self.learn(set(names))
+        x = np.array([self.known[w] for w in names], np.int64)[words.indices.to_numpy()]
+        h = np.roll(x, 1)
+        h[(np.cumsum(n) - n)[n > 0]] = START
+        return n, h, x
 
 
 def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -66,16 +101,21 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                                          names=["word", "n"])
 
 
-def _cell_counts(ids):
+def _slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for k in range(0, b.num_rows, rows):
+            yield b.slice(k, rows)
+
+
+def _cell_counts(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lookup = _Ids(ids.value)
-        size = len(lookup) + 2
+        codes = _Codes(*shared.value)
+        size = codes.other + 1
         total = np.zeros(2 * size * size, np.int64)
-        for b in batches:
-            for k in range(0, b.num_rows, 512):
-                part = [cells(t, lookup, size) + f * size * size for t, f in
-                        zip(b.column("text").slice(k, 512).to_pylist(), b.column("fold").slice(k, 512).to_pylist())]
-                total += np.bincount(np.concatenate(part), minlength=len(total))
+        for b in _slices(batches):
+            n, h, x = codes.bigrams(b.column("text"))
+            fold = np.repeat(np.asarray(b.column("fold").to_pylist(), np.int64), n)
+            total += np.bincount((fold * size + np.minimum(h, codes.other)) * size + np.minimum(x, codes.other), minlength=len(total))
         at = np.flatnonzero(total)
         for k in range(0, len(at), 100_000):
             part = at[k:k + 100_000]
@@ -84,61 +124,213 @@ def _cell_counts(ids):
     return run
 
 
-def losses(counts: np.ndarray, prior: float = PRIOR) -> np.ndarray:
-    """Loss of each bigram, in nats, from a square table of counts (row: the word before)."""
-    size = len(counts)
-    words = counts.sum(axis=0).astype(float)
-    words[START] = -1.0  # the start mark is never predicted
-    unigram = (words + 1.0) / max(1.0, (words + 1.0).sum())
-    p = (counts + prior * unigram) / (counts.sum(axis=1, keepdims=True) + prior)
-    out = np.zeros((size, size), np.float32)
-    np.negative(np.log(p, where=p > 0, out=np.zeros_like(p)), out=out, casting="unsafe")
+def unigrams(counts: np.ndarray, vocabulary: int) -> tuple[np.ndarray, float]:
+    """Share of each word from a square table of counts (row: the word before), and what all shares are divided by."""
+    total = max(1.0, counts.sum() + vocabulary + 1.0)
+    return (counts.sum(axis=0) + 1.0) / total, total
+
+
+def losses(counts: np.ndarray, vocabulary: int, prior: float = PRIOR) -> np.ndarray:
+    """Loss of each bigram of frequent words, in nats. The last row and column stand for all other
+    words: the column has the part of the loss that the word before decides, the row has none."""
+    bottom = np.log(counts.sum(axis=1, keepdims=True) + prior)
+    out = bottom - np.log(counts + prior * unigrams(counts, vocabulary)[0])
+    out[:, -1] = bottom[:, 0]
+    out[-1, :] = 0
+    return out.astype(np.float32)
+
+
+def _packed(h: np.ndarray, x: np.ndarray, doc: np.ndarray, keys: np.ndarray, folds: np.ndarray) -> tuple[bytes, int, int]:
+    """Postings ``h, x, doc`` (a place in ``keys`` and ``folds``) as bytes, with the numbers of postings and documents."""
+    used, doc = np.unique(doc, return_inverse=True)
+    raw = b"".join((*(a.astype(np.int32).view(np.uint8).reshape(-1, 4).T.tobytes() for a in (h, x, np.diff(doc, prepend=0))),
+                    keys[used].tobytes(), folds[used].astype(np.uint8).tobytes()))
+    return pa.compress(raw, codec="zstd", asbytes=True), len(h), len(used)
+
+
+def _unpacked(body: bytes, n: int, m: int) -> tuple[np.ndarray, ...]:
+    raw = np.frombuffer(pa.decompress(body, 12 * n + 9 * m, codec="zstd", asbytes=True), np.uint8)
+    h, x, doc = (np.ascontiguousarray(raw[4 * n * k:4 * n * (k + 1)].reshape(4, n).T).view(np.int32).ravel().astype(np.int64) for k in range(3))
+    keys = np.frombuffer(raw[12 * n:12 * n + 8 * m].tobytes(), np.int64)
+    return h, x, np.cumsum(doc), keys, raw[12 * n + 8 * m:].astype(np.int64)
+
+
+_POSTED = pa.schema([("part", pa.int32()), ("model", pa.int32()), ("n", pa.int32()), ("m", pa.int32()), ("body", pa.binary()),
+                     ("key", pa.int64()), ("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("lt", pa.float64()), ("lb", pa.float64())])
+_POSTED_SQL = "part int, model int, n int, m int, body binary, key long, doc_id long, n_tokens long, lt double, lb double"
+
+
+def _posted(shared, tables, parts: int, model: int):
+    """Postings of a table's bigrams with other than frequent words, dealt to parts; for the
+    documents (``model`` 1) also a row each with the losses of frequent words."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codes = _Codes(*shared.value)
+        size = codes.other + 1
+        held: list[tuple] = []
+        n_held = n_docs = 0
+
+        def sent() -> Iterator[pa.RecordBatch]:
+            h, x, doc, keys, folds = (np.concatenate(c) for c in zip(*held))
+            part = np.where(x >= codes.other, x, h) % parts
+            order = np.argsort(part, kind="stable")
+            h, x, doc, part = h[order], x[order], doc[order], part[order]
+            ends = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(part)]
+            rows = []
+            for a, z in zip(ends, ends[1:]):
+                if z > a:
+                    body, n, m = _packed(h[a:z], x[a:z], doc[a:z], keys, folds)
+                    rows.append((int(part[a]), model, n, m, body) + (None,) * 5)
+            for k in range(0, len(rows), 256):
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows[k:k + 256]), _POSTED)], schema=_POSTED)
+
+        for b in _slices(batches):
+            n, h, x = codes.bigrams(b.column("text"))
+            fold = np.asarray(b.column("fold").to_pylist(), np.int64)
+            key = np.asarray(b.column("key").to_pylist(), np.int64)
+            doc = np.repeat(np.arange(len(n)), n)
+            if model:
+                cell = ((1 - fold[doc]) * size + np.minimum(h, codes.other)) * size + np.minimum(x, codes.other)
+                lt, lb = (np.bincount(doc, t[cell], len(n)) for t in tables.value)
+                fill = [pa.nulls(len(n), f.type) for f in list(_POSTED)[1:5]]
+                yield pa.RecordBatch.from_arrays([pa.array(key % parts, pa.int32()), *fill, pa.array(key), b.column("doc_id"), pa.array(n),
+                                                  pa.array(lt), pa.array(lb)], schema=_POSTED)
+            # the end of a text, as a posting of its last word with the start mark
+            last = (np.cumsum(n) - 1)[n > 0]
+            h, x, doc = np.concatenate([h, x[last]]), np.concatenate([x, np.full(len(last), START)]), np.concatenate([doc, doc[last]])
+            rare = (h >= codes.other) | (x >= codes.other)
+            h, x, doc = h[rare], x[rare], doc[rare]
+            if not model:  # of the target only the fold is told on
+                doc, key, fold = fold[doc], np.zeros(2, np.int64), np.arange(2)
+            held.append((h, x, doc + n_docs, key, fold))
+            n_held, n_docs = n_held + len(h), n_docs + len(key)
+            if n_held > HELD:
+                yield from sent()
+                held, n_held, n_docs = [], 0, 0
+        if n_held:
+            yield from sent()
+
+    return run
+
+
+def _part_losses(h, x, doc, fold, model, n_docs: int, other: int, frequent: np.ndarray, totals: np.ndarray, prior: float) -> list[np.ndarray]:
+    """Target and background loss by document of the postings of one part, which holds all
+    occurrences of its words. Columns of counts: model * 2 + fold."""
+    own = x >= other
+    end = x == START
+    col = model * 2 + fold
+    words, w = np.unique(np.where(own, x, h), return_inverse=True)
+    pairs, p = np.unique(h << 32 | x, return_inverse=True)
+    seen = np.bincount(w * 4 + col, own, 4 * len(words)).reshape(-1, 4)
+    after = seen - np.bincount(w * 4 + col, end, 4 * len(words)).reshape(-1, 4)  # as the word before another
+    both = np.bincount(p * 4 + col, minlength=4 * len(pairs)).reshape(-1, 4)
+    bottom = np.log(after + prior)
+    s = np.flatnonzero(model == 1)
+    own, end, w, p, x, doc, other_fold = own[s], end[s], w[s], p[s], x[s], doc[s], 1 - fold[s]
+    out = []
+    for m in (0, 1):
+        c = m * 2 + other_fold
+        share = np.where(own, (seen[w, c] + 1) / totals[c], frequent[c, np.minimum(x, other)])
+        loss = np.where(end, 0.0, -np.log(both[p, c] + prior * share)) + bottom[w, c] * (own.astype(float) - end)
+        out.append(np.bincount(doc, loss, n_docs))
     return out
 
 
-def _scores(shared):
+def _summed(stats, prior: float):
+    """Losses by document, from the postings sorted by part."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, target, background = shared.value
-        lookup = _Ids(ids)
-        size = len(lookup) + 2
+        frequent, totals = stats.value
+        other = frequent.shape[1] - 1
+        held: list[tuple] = []
+        done: list[tuple] = []
+
+        def batch(key, doc_id, n, lt, lb) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), doc_id, n, pa.array(lt), pa.array(lb)], names=["key", "doc_id", "n_tokens", "lt", "lb"])
+
+        def scored() -> None:
+            h, x, doc, fold, model, keys, at = [], [], [], [], [], [], 0
+            for kind, n, m, body in held:
+                a, b, d, k, f = _unpacked(body, n, m)
+                h.append(a), x.append(b), doc.append(d + at), fold.append(f[d]), model.append(np.full(n, kind)), keys.append(k)
+                at += m
+            lt, lb = _part_losses(*(np.concatenate(v) for v in (h, x, doc, fold, model)), at, other, frequent, totals, prior)
+            mine = np.repeat([kind for kind, *_ in held], [len(k) for k in keys]) == 1
+            done.append((np.concatenate(keys)[mine], lt[mine], lb[mine]))
+            held.clear()
+
+        def merged() -> pa.RecordBatch:
+            keys, lt, lb = (np.concatenate(v) for v in zip(*done))
+            done.clear()
+            keys, at = np.unique(keys, return_inverse=True)
+            none = pa.nulls(len(keys), pa.int64())
+            return batch(keys, none, none, np.bincount(at, lt, len(keys)), np.bincount(at, lb, len(keys)))
+
+        part = None
         for b in batches:
-            n, lt, lb = [], [], []
-            for t, f in zip(b.column("text").to_pylist(), b.column("fold").to_pylist()):
-                c = cells(t, lookup, size)
-                n.append(len(c))
-                lt.append(float(target[1 - f][c].mean(dtype=float)) if len(c) else None)
-                lb.append(float(background[1 - f][c].mean(dtype=float)) if len(c) else None)
-            yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), pa.array(n, pa.int64()), pa.array(lt, pa.float64()), pa.array(lb, pa.float64())],
-                names=["doc_id", "n_tokens", "target_loss", "background_loss"])
+            docs = b.filter(pc.is_valid(b.column("n_tokens")))
+            if docs.num_rows:
+                yield docs.select(["key", "doc_id", "n_tokens", "lt", "lb"])
+            for k, *row in zip(*(b.column(c).to_pylist() for c in ("part", "model", "n", "m", "body"))):
+                if row[0] is None:
+                    continue
+                if held and k != part:
+                    scored()
+                    if sum(len(d[0]) for d in done) > 1_000_000:
+                        yield merged()
+                part = k
+                held.append(row)
+        if held:
+            scored()
+        if done:
+            yield merged()
 
     return run
 
 
-def _tables(docs: DataFrame, ids, size: int, prior: float) -> list[np.ndarray]:
-    """The losses of either fold's model."""
-    summed = (docs.select("text", "fold").mapInArrow(_cell_counts(ids), "cell long, n long")
+def _tables(docs: DataFrame, shared, size: int) -> np.ndarray:
+    """Counts of the bigrams of frequent words, by fold."""
+    summed = (docs.select("text", "fold").mapInArrow(_cell_counts(shared), "cell long, n long")
               .groupBy("cell").agg(F.sum("n").alias("n")).toArrow())
-    out = np.zeros(2 * size * size, np.int64)  # one number per cell and fold, whatever the input
+    out = np.zeros(2 * size * size, np.int64)  # of fixed size, whatever the input
     out[summed.column("cell").to_numpy()] = summed.column("n").to_numpy()
-    return [losses(x, prior).ravel() for x in out.reshape(2, size, size)]
+    return out.reshape(2, size, size)
 
 
-def cross_entropy_difference(docs: DataFrame, target: DataFrame, vocabulary: int = VOCABULARY,
-                             prior: float = PRIOR) -> DataFrame:
+def cross_entropy_difference(docs: DataFrame, target: DataFrame, vocabulary: int | None = None,
+                             prior: float = PRIOR, frequent: int = FREQUENT) -> DataFrame:
     """One row per document of ``docs(doc_id, text)``: doc_id, n_tokens, target_loss,
-    background_loss, score. ``target(doc_id, text)`` is the target corpus."""
+    background_loss, score. ``target(doc_id, text)`` is the target corpus. ``vocabulary`` keeps
+    only that many of its most frequent words; ``frequent`` has no influence on the result."""
     spark = docs.sparkSession
+    sc = spark.sparkContext
     ship_package(spark)
     docs, target = (d.select(F.col("doc_id").cast("long").alias("doc_id"), empty_text(F.col("text")).alias("text"))
                     .withColumn("fold", F.pmod(F.xxhash64("doc_id"), F.lit(2)).cast("int")) for d in (docs, target))
     target = written(target, "lm-target")
-    words = (target.select("text").mapInArrow(_word_counts, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
-             .where("n >= 2").orderBy(F.desc("n"), "word").limit(vocabulary).collect())
-    ids = spark.sparkContext.broadcast({bytes(r[0]): i + 2 for i, r in enumerate(words)})
-    size = len(words) + 2
-    shared = spark.sparkContext.broadcast((ids.value, *[_tables(d, ids, size, prior) for d in (target, docs)]))
-    out = docs.mapInArrow(_scores(shared), "doc_id long, n_tokens long, target_loss double, background_loss double")
+    count = lambda d: d.select("text").mapInArrow(_word_counts, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    words = count(target).where("n >= 2")
+    words = written(words if vocabulary is None else words.orderBy(F.desc("n"), "word").limit(vocabulary), "lm-words")
+    top = lambda d: [bytes(r[0]) for r in d.orderBy(F.desc("n"), "word").limit(frequent // 2).collect()]
+    sample = count(docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(2 * SAMPLE)) < 2)).join(words.select("word"), "word", "left_semi")
+    often = list(dict.fromkeys(top(words) + top(sample)))
+    hashes = np.sort(words.select(F.xxhash64("word").alias("h")).toArrow().column("h").to_numpy())
+    shared = sc.broadcast((hashes, often))
+    size = len(often) + 3
+    counts = [x for d in (target, docs) for x in _tables(d, shared, size)]  # by model, then fold
+    shares, totals = zip(*(unigrams(x, len(hashes)) for x in counts))
+    dense = [losses(x, len(hashes), prior) for x in counts]
+    tables = sc.broadcast([np.concatenate([t.ravel() for t in dense[k:k + 2]]) for k in (0, 2)])
+    stats = sc.broadcast((np.array(shares), np.array(totals)))
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    keyed = [d.withColumn("key", F.xxhash64("doc_id", "text")) for d in (target, docs)]
+    rows = [d.mapInArrow(_posted(shared, tables, PARTS * n, k), _POSTED_SQL) for k, d in enumerate(keyed)]
+    sums = (rows[0].unionByName(rows[1]).repartition(n, "part").sortWithinPartitions("part")
+            .mapInArrow(_summed(stats, prior), "key long, doc_id long, n_tokens long, lt double, lb double"))
+    # equal rows share a key and their sums: as many rows come out
+    out = sums.groupBy("key").agg(F.max("doc_id").alias("doc_id"), F.count("n_tokens").alias("rows"), F.sum("n_tokens").alias("n"),
+                                  F.sum("lt").alias("lt"), F.sum("lb").alias("lb"))
+    mean = lambda c: F.when(F.col("n") > 0, F.col(c) / F.col("n"))
+    out = out.select("doc_id", (F.col("n") / F.col("rows")).cast("long").alias("n_tokens"), mean("lt").alias("target_loss"),
+                     mean("lb").alias("background_loss"), F.explode(F.sequence(F.lit(1).cast("long"), "rows")).alias("__row")).drop("__row")
     return out.withColumn("score", F.col("target_loss") - F.col("background_loss"))
 
 

@@ -338,6 +338,45 @@ def test_lm_scores_equal_direct_counts(spark, odd, none):
     assert lm_score.cross_entropy_difference(df, none.select("doc_id", "text")).where("score is null").count() == 0
 
 
+def test_lm_vocabulary_is_the_whole_target(spark):
+    """Every target word seen twice or more has its own counts, whichever words count as frequent."""
+    rng = np.random.default_rng(11)
+    words_ = [f"w{k}" for k in range(3000)]
+    texts = [" ".join(words_[int(k)] for k in np.minimum(rng.zipf(1.2, 120) - 1, 2999)) + " " + " ".join(words_[9 * i:9 * i + 40])
+             for i in range(300)] + ["", "w1", "w2999 w2999"]
+    df = spark.createDataFrame(rows(*texts) + rows(*texts)[:3], DOC)
+    target = df.where("doc_id < 200").select("doc_id", "text")
+    from pyspark.sql import functions as F
+    fold = {r[0]: r[1] for r in df.select("doc_id", F.pmod(F.xxhash64("doc_id"), F.lit(2))).collect()}
+    seen = [(r.doc_id, r.text.split()) for r in df.collect()]
+    count = Counter(w for i, d in seen if i < 200 for w in d)
+    vocab = {w for w in count if count[w] > 1}
+    assert len(vocab) > 1500
+
+    def model(docs):
+        bi, uni, after = Counter(), Counter(), Counter()
+        for d in docs:
+            d = [w if w in vocab else "?" for w in d]
+            bi.update(zip(["<"] + d[:-1], d))
+            uni.update(d)
+        for (h, _), n in bi.items():
+            after[h] += n
+        total = sum(uni.values()) + len(vocab) + 1
+        return lambda h, w: -np.log((bi[h, w] + 50 * (uni[w] + 1) / total) / (after[h] + 50))
+
+    models = [(model([d for i, d in seen if fold[i] != f and i < 200]), model([d for i, d in seen if fold[i] != f])) for f in (0, 1)]
+    for frequent in (1022, 20, 0):
+        got = lm_score.cross_entropy_difference(df, target, frequent=frequent).collect()
+        assert Counter(r.doc_id for r in got) == Counter(i for i, _ in seen)
+        text = dict(seen)
+        for r in got:
+            d = [w if w in vocab else "?" for w in text[r.doc_id]]
+            assert r.n_tokens == len(d) and (r.score is None) == (not d)
+            if d:
+                for x, m in zip((r.target_loss, r.background_loss), models[fold[r.doc_id]]):
+                    assert abs(x - np.mean([m(*p) for p in zip(["<"] + d[:-1], d)])) < 1e-4
+
+
 # --- licences --------------------------------------------------------------------------------
 
 def test_license_scan(spark, odd, none):
