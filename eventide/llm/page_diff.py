@@ -10,8 +10,11 @@ is its template.
 Two checks follow. Lines inside the main element are not deleted for being shared, because
 copies of an article and quoted passages repeat across pages, and a neighbour that shares
 nearly all unmarked lines is a copy and proves nothing. Lines that the markup names as
-menus, adverts, comments and the like go even when the neighbour words them differently, and
-on a page with a main element only that element's lines stay.
+menus, adverts, comments and the like go even when the neighbour words them differently. Words of
+a class or id that may as well describe the layout (``with-sidebar``) do not hide a main element
+that is the only one, nor running text inside it, and an article's own names count only if they
+call it a comment. Where a main element holds the page's main text (``MAIN_SHARE`` of what is not
+named), only its lines stay; on other pages the neighbours decide.
 
 Only line hashes travel for the pairing. URLs are range-sorted over the cluster, so that no
 host meets in one task; the neighbours across partition edges are found from the edge rows.
@@ -51,6 +54,15 @@ NOISE_WORDS = frozenset((
     "notice notices notification alert popup modal overlay newsletter subscribe subscription signup login sidebar side widget "
     "widgets menu nav navbar navigation breadcrumb breadcrumbs comment comments reply replies respond disqus share sharing "
     "social related recommended footer header masthead topbar toolbar pagination pager skip copyright legal disclaimer").split())
+#: Those that never hold main text; the others also name a page's layout (``with-sidebar``).
+NEVER_MAIN = frozenset((
+    "ad ads advert advertisement advertising adbox adslot sponsor sponsored promo promotion comment comments reply replies "
+    "respond disqus related recommended").split())
+COMMENT = frozenset("comment comments reply replies respond disqus".split())
+#: Elements of running text: inside the main element only ``NEVER_MAIN`` counts on them.
+TEXT = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre ul ol li dl dt dd figure figcaption table tr td th".split())
+#: The main element is taken for the page's main text if it has this share of the characters that nothing names noise.
+MAIN_SHARE = 0.25
 
 _TOKEN = re.compile(r"<!--(?:>|->|.*?(?:--!?>|\Z))|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)(>|\Z)"
                     r"|<[!?/a-zA-Z][^>]*+(?:>|\Z)", re.S)
@@ -58,23 +70,34 @@ _ATTR = re.compile(r"""(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:"([^"]*)"|
 _WORD = re.compile(r"[a-zA-Z]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
-IN_MAIN, NAMED = 1, 2
+IN_MAIN, NAMED, LAYOUT = 1, 2, 4
 
 
-def _named_noise(name: str, attrs: str, in_main: bool) -> bool:
+def _named_noise(name: str, attrs: str, in_main: bool, is_main: bool) -> int:
+    """``NAMED`` for an element that is no main text, ``LAYOUT`` if only a layout word outside the
+    main element says so, else 0."""
     if name in NOISE or (name == "header" and not in_main):
-        return True
+        return NAMED
     if not attrs or name in ("html", "body", "main"):
-        return False
+        return 0
+    out = 0
     for m in _ATTR.finditer(attrs):
         key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
         if key == "hidden" or (key == "aria-hidden" and value.lower() == "true"):
-            return True
+            return NAMED
         if key == "role" and value.lower() in ROLES:
-            return True
-        if key in ("class", "id") and any(w.lower() in NOISE_WORDS for w in _WORD.findall(_CAMEL.sub("-", value))):
-            return True
-    return False
+            return NAMED
+        if key in ("class", "id"):
+            words = {w.lower() for w in _WORD.findall(_CAMEL.sub("-", value))}
+            if is_main:  # its names are categories of the text, but a reader's comment may be an article too
+                words &= COMMENT
+            elif in_main and name in TEXT:
+                words &= NEVER_MAIN
+            if words & NOISE_WORDS:
+                if in_main or words & NEVER_MAIN:
+                    return NAMED
+                out = LAYOUT
+    return out
 
 
 def page_lines(page: str) -> list[tuple[str, int]]:
@@ -137,16 +160,25 @@ def page_lines(page: str) -> list[tuple[str, int]]:
                 if stack[k][0] not in INLINE:
                     break
         new = marks
-        if name in MAIN or (m[3] and re.search(r"""role\s*=\s*["']?main\b""", m[3], re.I)):
+        is_main = name in MAIN or bool(m[3] and re.search(r"""role\s*=\s*["']?main\b""", m[3], re.I))
+        noise = _named_noise(name, m[3], is_main or bool(new & IN_MAIN), is_main)
+        new |= noise
+        if is_main and not noise:
             new |= IN_MAIN
-        if _named_noise(name, m[3], bool(new & IN_MAIN)):
-            new |= NAMED
         if new != marks:
             flush()
             marks = new
         stack.append((name, marks))
     flush()
-    return lines
+    # a layout word around the main element does not count if no other main text is there
+    kept = IN_MAIN if any(m == IN_MAIN for _, m in lines) else IN_MAIN | LAYOUT
+    return [(t, IN_MAIN if m == kept else m & IN_MAIN | (NAMED if m & (NAMED | LAYOUT) else 0)) for t, m in lines]
+
+
+def main_only(lines: list[tuple[str, int]]) -> bool:
+    """Whether the main element's lines hold the main text, so that no other lines stay."""
+    main = sum(len(t) for t, m in lines if m == IN_MAIN)
+    return main > 0 and main >= MAIN_SHARE * sum(len(t) for t, m in lines if not m & NAMED)
 
 
 def _line_hashes(lines: list[tuple[str, int]]) -> list[int]:
@@ -289,8 +321,8 @@ def _stored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = []
         for t in b.column("html").to_pylist():
             lines = page_lines(t or "")
-            need = IN_MAIN if any(m & IN_MAIN for _, m in lines) else 0
-            out.append(zlib.compress("\n".join(f"{i} {t}" for i, (t, m) in enumerate(lines) if m == need).encode("utf-8", "replace"), 1))
+            need = IN_MAIN if main_only(lines) else 0
+            out.append(zlib.compress("\n".join(f"{i} {t}" for i, (t, m) in enumerate(lines) if m in (need, IN_MAIN)).encode("utf-8", "replace"), 1))
         yield pa.RecordBatch.from_arrays([b.column("key"), b.column("page_id"), b.column("url"), pa.array(out, pa.binary())],
                                          names=["key", "page_id", "url", "body"])
 

@@ -450,6 +450,19 @@ def test_page_lines_and_marks():
     assert page_diff.page_lines("") == [] and page_diff.page_lines("a < b & c") == [("a < b & c", 0)]
 
 
+def test_class_words_do_not_hide_main_texts(spark):
+    body = "<p>long story of the day</p><p class='notice'>mind this</p><div class='ad-box'>buy</div>"
+    bodies = {1: f"<div class='with-sidebar'><article>{body}</article></div>", 2: f"<article class='post category-social'>{body}</article>",
+              3: "<div><p>long story of the day</p><p>mind this</p></div><article class='comment'>first</article>",
+              4: f"<div class='with-sidebar'><article>{body}</article></div><div class='comments'><article>first</article></div>",
+              5: f"<article>{body}</article><div class='sidebar'><article>other story</article></div>",
+              6: f"<div><p>{'long story of the day ' * 9}</p><p>mind this</p></div><article>teaser</article>"}
+    df = spark.createDataFrame([(i, f"http://h{i}.example/a", f"<body>{b}</body>") for i, b in bodies.items()], "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in page_diff.main_texts(df).collect()}
+    assert all(got[i] == "long story of the day\nmind this" for i in range(1, 6)), got
+    assert got[6] == "long story of the day " * 8 + "long story of the day\nmind this\nteaser"
+
+
 def test_common_subsequence_is_longest():
     rng = np.random.default_rng(10)
     for _ in range(60):
