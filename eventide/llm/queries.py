@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import license_scan, lm_score, metric_join, mixing, ngram_join, outliers, packing, page_diff, sharding, toxicity
+from . import (license_scan, lm_score, metric_join, mixing, ngram_join, outliers, packing, page_diff, piece_table, sharding,
+               toxicity)
 from .common import read_table
 
 
@@ -54,8 +55,12 @@ def op10_page_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return page_diff.main_texts(read_table(spark, sf_dir, "pages"))
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_table.transformed(read_table(spark, sf_dir, "documents"), texts=False)
+
+
 QUERIES = {f.__name__: f for f in (op1_toxicity, op2_ngram_join, op3_metric_join, op4_packing, op5_mixing, op6_sharding, op7_lm_score, op8_license_scan, op9_quality,
-                                  op10_page_diff)}
+                                  op10_page_diff, op11_fill_in_middle)}
 _NGRAM_SQL = r"""
 WITH RECURSIVE w AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
@@ -91,4 +96,32 @@ SELECT vec_id, coalesce(n_links, 0) AS n_links, least(vec_id, coalesce(low, vec_
 FROM embeddings LEFT JOIN c ON c.id = vec_id LEFT JOIN n ON n.id = vec_id
 """
 
-ORACLE = {"op2_ngram_join": _NGRAM_SQL, "op3_metric_join": _METRIC_SQL}
+_FIM_SQL = r"""
+WITH t AS (
+  SELECT doc_id, coalesce(text, '') AS text, sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h,
+         regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS units FROM documents),
+d AS (
+  SELECT *, len(units) AS n, CAST('0x' || h[1:8] AS BIGINT) AS h1, CAST('0x' || h[9:16] AS BIGINT) AS h2,
+         CAST('0x' || h[17:24] AS BIGINT) AS h3, CAST('0x' || h[25:32] AS BIGINT) AS h4 FROM t),
+f AS (
+  SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+         CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 50 THEN 'plain'
+              WHEN h4 % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM d),
+p AS (
+  SELECT *, array_to_string(units[1:a], '') AS pre, array_to_string(units[a + 1:b], '') AS mid,
+         array_to_string(units[b + 1:], '') AS suf FROM f),
+o AS (
+  SELECT *, CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid
+                 ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END AS output FROM p)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form,
+       CASE WHEN form <> 'plain' THEN length(pre) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(mid) END AS middle_chars,
+       sha256(output) AS output_sha256,
+       sha256(CASE form WHEN 'plain' THEN output
+                WHEN 'psm' THEN split_part(split_part(output, '<P>', 2), '<S>', 1) || split_part(output, '<M>', 2)
+                                || split_part(split_part(output, '<S>', 2), '<M>', 1)
+                ELSE split_part(split_part(output, '<P>', 2), '<M>', 1) || split_part(output, '<M>', 2)
+                     || split_part(split_part(output, '<S>', 2), '<P>', 1) END) AS restored_sha256
+FROM o
+"""
+
+ORACLE = {"op2_ngram_join": _NGRAM_SQL, "op3_metric_join": _METRIC_SQL, "op11_fill_in_middle": _FIM_SQL}
