@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import (license_scan, lm_score, metric_join, mixing, ngram_join, outliers, packing, page_diff, piece_table, sharding,
-               toxicity, vector_tree)
+               toxicity, turn_repair, vector_tree)
 from .common import read_table
 
 
@@ -63,8 +63,12 @@ def op12_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_tree.nearest(read_table(spark, sf_dir, "embeddings"))
 
 
+def op13_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turn_repair.repaired(*turn_repair.damaged(read_table(spark, sf_dir, "conversations")))
+
+
 QUERIES = {f.__name__: f for f in (op1_toxicity, op2_ngram_join, op3_metric_join, op4_packing, op5_mixing, op6_sharding, op7_lm_score, op8_license_scan, op9_quality,
-                                  op10_page_diff, op11_fill_in_middle, op12_vector_search)}
+                                  op10_page_diff, op11_fill_in_middle, op12_vector_search, op13_turn_repair)}
 _NGRAM_SQL = r"""
 WITH RECURSIVE w AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
