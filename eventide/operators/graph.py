@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from eventide.functions.text import EVENT_NODE_TYPE, UNKNOWN_TYPE, event_description
 from eventide.operators.events import accepted_rows
+from eventide.sources import bucketed
 
 ACTOR_SCHEMA = "name string, code string, type string"
 EVENT_NODE_SCHEMA = "event_id string, type string, date string, description string"
@@ -98,6 +99,18 @@ def merge_actor_batch(actors: DataFrame, batch_rows: DataFrame, order_col: str)
     return upsert_by_key(actors, latest, "name", ["code"], {"type": F.lit(UNKNOWN_TYPE)})
 
 
+def merge_stored_actors(spark, root: str, batch_rows: DataFrame, order_col: str, **options):
+    """:func:`merge_actor_batch` into a bucketed actor table under ``root``: only the buckets that the
+    batch names actors of are read and written (see :mod:`eventide.sources.bucketed`)."""
+    latest = latest_actors(batch_rows, order_col).select("name", "code")
+    return bucketed.merge(spark, root, latest, "name", ACTOR_SCHEMA, ["code"], {"type": F.lit(UNKNOWN_TYPE)}, **options)
+
+
+def stored_actors(spark, root: str, names: list[str] | None = None) -> DataFrame:
+    """The bucketed actor table, or the rows of some names from their buckets alone."""
+    return bucketed.table(spark, root, ACTOR_SCHEMA, "name", names)
+
+
 def graph_counts(actors: DataFrame, events: DataFrame, interactions: DataFrame,
                  impacts: DataFrame, extra_nodes: list[DataFrame] | None = None) -> DataFrame:
     """Node and relationship counts (A13) as one row; each count is a partial aggregate."""

@@ -135,6 +135,17 @@ def q_actor_upsert_two_batches(spark, sf_dir):
     return G.merge_actor_batch(actors, second, "order_key")
 
 
+@register("actor_upsert_bucketed")
+def q_actor_upsert_bucketed(spark, sf_dir):
+    """A batch per week of the month, merged in time order into a bucketed actor table."""
+    root = scratch_path(spark, "actors")
+    rows = v_actor_updates(spark, sf_dir)
+    for first in range(1, 32, 8):
+        week = F.dayofmonth("ts").between(first, first + 7)
+        G.merge_stored_actors(spark, root, rows.filter(week), "order_key", buckets=16)
+    return G.stored_actors(spark, root)
+
+
 @register("top_actors")
 def q_top_actors(spark, sf_dir):
     return G.top_actors(edges(spark, sf_dir), P.TOP_K)

@@ -62,6 +62,7 @@ _LAST_WRITE = ("SELECT name, code, 'Unknown' AS type FROM (SELECT name, code, ro
                "(PARTITION BY name ORDER BY order_key DESC, side DESC) AS rn FROM sides) WHERE rn = 1")
 oracle("actor_nodes", with_views(_LAST_WRITE, "v_actor_updates", extra={"sides": _ACTOR_SIDES}))
 oracle("actor_upsert_two_batches", ORACLE["actor_nodes"])
+oracle("actor_upsert_bucketed", ORACLE["actor_nodes"])
 
 oracle("top_actors", graph_sql(
     f"SELECT src AS actor, count(*) AS relationship_count FROM edges GROUP BY src "
