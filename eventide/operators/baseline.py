@@ -15,7 +15,7 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from eventide.functions.text import metric_key
@@ -63,6 +63,16 @@ def _in_spine(counts: DataFrame, start: datetime, end: datetime, ts_col: str, st
     return counts.filter((ts >= ntz(start)) & (ts <= ntz(end)) & aligned(ts, start, step_seconds))
 
 
+def zero_filled_model(n: int) -> list[Column]:
+    """The model columns from a key's ``s`` = Σ count and ``q`` = Σ count² over ``n`` spine points."""
+    # sums of squares pass 64 bits at large volumes; 38 digits hold them, and s * s, exactly
+    dec = "decimal(19,0)"
+    num = F.lit(n).cast("decimal(9,0)") * F.col("q").cast("decimal(29,0)") - F.col("s").cast(dec) * F.col("s").cast(dec)
+    var = num.cast("double") / F.lit(float(n) * float(n - 1)) if n > 1 else F.lit(None).cast("double")
+    return [F.col("metric_key"), (F.col("s") / F.lit(float(n))).alias("mean"),
+            F.sqrt(F.greatest(var, F.lit(0.0))).alias("std_dev"), F.col("s").alias("total_occurrences")]
+
+
 def baseline_sparse(counts: DataFrame, significant: DataFrame, start: datetime, end: datetime,
                     ts_col: str = "interval_ts", step_seconds: int = STEP_SECONDS) -> DataFrame:
     """Zero-filled mean / sample std / total per significant type without a spine."""
@@ -72,16 +82,9 @@ def baseline_sparse(counts: DataFrame, significant: DataFrame, start: datetime,
     sums = (_in_spine(counts, start, end, ts_col, step_seconds)
             .groupBy("metric_key")
             .agg(F.sum("n").cast("bigint").alias("s"), F.sum(F.col("n").cast("decimal(19,0)") * F.col("n")).cast("decimal(38,0)").alias("q")))
-    # sums of squares pass 64 bits at large volumes; 38 digits hold them, and s * s, exactly
-    dec = "decimal(19,0)"
-    num = F.lit(n).cast("decimal(9,0)") * F.col("q").cast("decimal(29,0)") - F.col("s").cast(dec) * F.col("s").cast(dec)
-    var = num.cast("double") / F.lit(float(n) * float(n - 1)) if n > 1 else F.lit(None).cast("double")
     return (significant.select("metric_key").join(sums, "metric_key", "left")
             .fillna(0, subset=["s", "q"])
-            .select("metric_key",
-                    (F.col("s") / F.lit(float(n))).alias("mean"),
-                    F.sqrt(F.greatest(var, F.lit(0.0))).alias("std_dev"),
-                    F.col("s").alias("total_occurrences")))
+            .select(*zero_filled_model(n)))
 
 
 def sparse_model(counts: DataFrame, min_total: int, start: datetime, end: datetime,
@@ -103,13 +106,7 @@ def sparse_model(counts: DataFrame, min_total: int, start: datetime, end: dateti
                 F.coalesce(F.sum(F.when(inside, F.col("n"))), F.lit(0)).cast("bigint").alias("s"),
                 F.coalesce(F.sum(F.when(inside, F.col("n").cast("decimal(19,0)") * F.col("n"))), F.lit(0)).cast("decimal(38,0)").alias("q"))
            .filter(F.col("total") > F.lit(min_total)))
-    # sums of squares pass 64 bits at large volumes; 38 digits hold them, and s * s, exactly
-    dec = "decimal(19,0)"
-    num = F.lit(n).cast("decimal(9,0)") * F.col("q").cast("decimal(29,0)") - F.col("s").cast(dec) * F.col("s").cast(dec)
-    var = num.cast("double") / F.lit(float(n) * float(n - 1)) if n > 1 else F.lit(None).cast("double")
-    return agg.select("metric_key", (F.col("s") / F.lit(float(n))).alias("mean"),
-                      F.sqrt(F.greatest(var, F.lit(0.0))).alias("std_dev"),
-                      F.col("s").alias("total_occurrences"))
+    return agg.select(*zero_filled_model(n))
 
 
 def baseline_dense(counts: DataFrame, significant: DataFrame, start: datetime, end: datetime,

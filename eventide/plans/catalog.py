@@ -21,6 +21,7 @@ from eventide.operators import coverage as CV
 from eventide.operators import detect as D
 from eventide.operators import fusion as FU
 from eventide.operators import graph as G
+from eventide.operators import incremental as INC
 from eventide.operators import mentions as M
 from eventide.operators import triples as T
 from eventide.operators.events import accepted_rows, stamp_intervals, valid_events
@@ -262,6 +263,23 @@ def q_model_state_roundtrip(spark, sf_dir):
     return rounded(MS.read_model_state(spark, path))
 
 
+@register("baseline_incremental")
+def q_baseline_incremental(spark, sf_dir):
+    """Models from daily partial sums: two ranges, then the first again after one day was landed anew."""
+    log, root = scratch_path(spark, "interval_log"), scratch_path(spark, "partials")
+    rows = _full_event_columns(interval_events(spark, sf_dir))
+    IL.write_interval_log(rows, log, fmt="parquet")
+    INC.refresh(spark, root, IL.read_interval_log(spark, log, fmt="parquet"), P.METRIC_COLUMNS)
+    runs = {"month": INC.model(spark, root, P.MIN_TOTAL, P.BASELINE_START, P.BASELINE_END),
+            "cut": INC.model(spark, root, P.MIN_TOTAL, P.CUT_START, P.CUT_END)}
+    again = INC.rows_of_days(rows, [P.RESTATED_DAY])
+    IL.write_interval_log(again.filter(F.coalesce("quad_class", F.lit("")) != P.RESTATED_WITHOUT), log, fmt="parquet")
+    INC.refresh(spark, root, IL.read_interval_log(spark, log, fmt="parquet"), P.METRIC_COLUMNS, [P.RESTATED_DAY])
+    runs["restated"] = INC.model(spark, root, P.MIN_TOTAL, P.BASELINE_START, P.BASELINE_END)
+    out = [rounded(m).withColumn("run", F.lit(name)) for name, m in runs.items()]
+    return out[0].unionByName(out[1]).unionByName(out[2])
+
+
 @register("interval_anomalies")
 def q_interval_anomalies(spark, sf_dir):
     alerts = D.interval_anomalies(interval_events(spark, sf_dir), _model(spark, sf_dir),

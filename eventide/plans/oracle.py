@@ -161,6 +161,21 @@ oracle("event_baseline_dense", interval_sql(_MODEL_OUT, **_MODEL_CTES))
 oracle("event_baseline_sparse", ORACLE["event_baseline_dense"])
 oracle("model_state_json", ORACLE["event_baseline_dense"])
 oracle("model_state_roundtrip", ORACLE["event_baseline_dense"])
+
+
+def _range_model(run: str, start, end, events: str = "iev") -> str:
+    """A zero-filled model of one range over a named event source, as a row source of its own."""
+    return (f"(WITH counts AS ({_COUNTS.replace('FROM iev', f'FROM {events}')}), sig AS ({_SIG}), spine AS (SELECT unnest(generate_series("
+            f"{sql_ts(start)}, {sql_ts(end)}, INTERVAL 15 MINUTE)) AS interval_ts), dense AS ({_DENSE}), model AS ({_MODEL}) "
+            f"SELECT '{run}' AS run, m.* FROM ({_MODEL_OUT}) m)")
+
+
+_RESTATED = (f"SELECT * FROM iev WHERE NOT (CAST(interval_ts AS DATE) = DATE '{P.RESTATED_DAY}' "
+             f"AND coalesce(quad_class, '') = '{P.RESTATED_WITHOUT}')")
+oracle("baseline_incremental", with_views(" UNION ALL ".join([
+    _range_model("month", P.BASELINE_START, P.BASELINE_END), _range_model("cut", P.CUT_START, P.CUT_END),
+    _range_model("restated", P.BASELINE_START, P.BASELINE_END, "restated")]), "v_interval_events",
+    extra={"iev": _IEV_F, "restated": _RESTATED}))
 oracle("interval_anomalies", interval_sql(
     f"SELECT c.interval_ts, c.metric_key, c.n AS current_count, round(m.mean, {R}) AS mean, "
     f"round(m.std_dev, {R}) AS std_dev, round((c.n - m.mean) / m.std_dev, {R}) AS z_score "

@@ -8,6 +8,10 @@ BASELINE_END = datetime(2024, 1, 21, 23, 45, 0)        # inclusive spine end, 20
 DETECT_START = datetime(2024, 1, 22, 0, 0, 0)
 DETECT_END = datetime(2024, 1, 31, 0, 0, 0)            # exclusive
 MIN_TOTAL = 100
+CUT_START = datetime(2024, 1, 5, 6, 15, 0)             # a range that cuts its first and last day
+CUT_END = datetime(2024, 1, 18, 17, 30, 0)
+RESTATED_DAY = "2024-01-10"                            # a day that is landed again without one quad class
+RESTATED_WITHOUT = "1"
 Z_LIMIT = 3.0
 METRIC_COLUMNS = ["event_root_code", "quad_class"]
 LOG_START = datetime(2024, 1, 1, 0, 0, 0)              # interval log coverage [start, end)
