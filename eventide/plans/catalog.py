@@ -23,6 +23,7 @@ from eventide.operators import fusion as FU
 from eventide.operators import graph as G
 from eventide.operators import incremental as INC
 from eventide.operators import mentions as M
+from eventide.operators import term_index as TI
 from eventide.operators import triples as T
 from eventide.operators.events import accepted_rows, stamp_intervals, valid_events
 from eventide.plans import params as P
@@ -31,6 +32,7 @@ from eventide.plans.views import (EVENT_COLUMNS, table, v_actor_updates, v_inter
 from eventide.session import scratch_path
 from eventide.sources import articles as AR
 from eventide.sources import backfill as BF
+from eventide.sources import edge_store as ES
 from eventide.sources import export as EX
 from eventide.sources import interval_log as IL
 from eventide.sources import model_state as MS
@@ -157,6 +159,17 @@ def q_actor_recent_interactions(spark, sf_dir):
     return G.recent_interactions(edges(spark, sf_dir), P.ACTOR, P.RECENT_K)
 
 
+@register("actor_recent_interactions_clustered")
+def q_actor_recent_interactions_clustered(spark, sf_dir):
+    """The same from the stored edge table: four batches, compacted, then one actor's files alone."""
+    root = scratch_path(spark, "edges")
+    rows = G.interaction_edges(clean_interactions(spark, sf_dir, "event_id"))
+    for batch in range(4):
+        ES.add_batch(spark, root, rows.filter(F.pmod(F.xxhash64("event_id"), F.lit(4)) == batch), batch)
+    ES.compact(spark, root)
+    return ES.recent(spark, root, P.ACTOR, P.RECENT_K)
+
+
 @register("actor_recent_interactions_all")
 def q_actor_recent_interactions_all(spark, sf_dir):
     return G.recent_interactions_all(edges(spark, sf_dir), P.RECENT_K)
@@ -333,6 +346,13 @@ def q_entity_mentions(spark, sf_dir):
     return M.mention_counts(spark, found, P.TERMS)
 
 
+@register("entity_mentions_indexed")
+def q_entity_mentions_indexed(spark, sf_dir):
+    """Mentions of words and phrases by the first-word index; every term is reported, zero included."""
+    found = TI.indexed_mentions(_documents(spark, sf_dir), TI.term_index(spark, P.INDEXED_TERMS), ["text"])
+    return M.mention_counts(spark, found, P.INDEXED_TERMS)
+
+
 @register("entity_first_mentions")
 def q_entity_first_mentions(spark, sf_dir):
     found = M.mentions(_documents(spark, sf_dir), P.TERMS, ["text"])
@@ -341,8 +361,11 @@ def q_entity_first_mentions(spark, sf_dir):
 
 @register("first_tracked_entity")
 def q_first_tracked_entity(spark, sf_dir):
+    # the hits are thin and read three times: landed, so that the texts are searched once
+    path = scratch_path(spark, "mentions")
     found = M.mentions(_documents(spark, sf_dir), P.TERMS, ["text"], keep=["source"])
-    return M.first_tracked_entity(found, P.FIRST_K, show_col="source")
+    found.write.parquet(path)
+    return M.first_tracked_entity(spark.read.schema(found.schema).parquet(path), P.FIRST_K, show_col="source")
 
 
 @register("country_pattern")
@@ -490,6 +513,16 @@ def q_file_stream_ingest(spark, sf_dir):
     return SI.read_graph(spark, _ingested(spark, sf_dir))["interactions"].drop("event_id")
 
 
+@register("edges_compacted")
+def q_edges_compacted(spark, sf_dir):
+    """A stream of landed files into the clustered edge table, compacted as it goes."""
+    landing, root, ckpt = scratch_path(spark, "landing"), scratch_path(spark, "edges"), scratch_path(spark, "ckpt")
+    clean = clean_interactions(spark, sf_dir).withColumn("interval_ts", day_start("sqldate"))
+    IL.write_interval_log(clean, landing, granularity="month")
+    SI.start_edge_ingest(spark, landing, root, ckpt, compact_every=3, recursive=True, max_files=20).awaitTermination()
+    return ES.edges(spark, root).drop("event_id")
+
+
 @register("file_stream_ingest_actors")
 def q_file_stream_ingest_actors(spark, sf_dir):
     """Actor names of the stored graph; a graph of its own is reset and must be empty then."""

@@ -70,6 +70,7 @@ oracle("top_actors", graph_sql(
 oracle("actor_recent_interactions", graph_sql(
     f"SELECT dst AS neighbor, event_code, date FROM edges WHERE src = '{P.ACTOR}' "
     f"ORDER BY date DESC NULLS FIRST, dst, event_code LIMIT {P.RECENT_K}"))
+oracle("actor_recent_interactions_clustered", ORACLE["actor_recent_interactions"])
 oracle("actor_recent_interactions_all", graph_sql(
     f"SELECT actor, rank, neighbor, event_code, date FROM (SELECT src AS actor, "
     f"CAST(row_number() OVER (PARTITION BY src ORDER BY date DESC NULLS FIRST, dst, event_code) AS BIGINT) AS rank, "
@@ -209,6 +210,9 @@ _M = {"terms": _TERMS, "found": _FOUND}
 oracle("entity_mentions", with_views(
     "SELECT t.entity, t.priority, CAST(coalesce(c.n, 0) AS BIGINT) AS n_mentions FROM terms t LEFT JOIN "
     "(SELECT entity, count(*) AS n FROM found GROUP BY entity) c ON c.entity = t.entity", extra=_M))
+oracle("entity_mentions_indexed", " UNION ALL ".join(
+    f"SELECT '{t}' AS entity, {i} AS priority, count(*) AS n_mentions FROM documents WHERE {whole_word_sql('text', t)}"
+    for i, t in enumerate(P.INDEXED_TERMS)))
 oracle("entity_first_mentions", with_views(
     f"SELECT entity, priority, rank, doc_id FROM (SELECT entity, priority, doc_id, "
     f"CAST(row_number() OVER (PARTITION BY entity ORDER BY doc_id) AS BIGINT) AS rank FROM found) "
@@ -326,6 +330,7 @@ oracle("windowed_counts_stream",
 oracle("interval_anomalies_stream", ORACLE["interval_anomalies"])
 oracle("running_stats_stream", ORACLE["running_stats"])
 oracle("file_stream_ingest", ORACLE["interaction_edges"])
+oracle("edges_compacted", ORACLE["file_stream_ingest"])
 oracle("file_stream_ingest_actors", graph_sql(
     "SELECT name, 'Unknown' AS type FROM (SELECT actor1_name AS name FROM accepted UNION SELECT actor2_name FROM accepted)"))
 oracle("graph_counts_stored", with_views(

@@ -35,6 +35,8 @@ FAR_AHEAD = datetime(2030, 1, 1, 0, 0, 0)
 
 # tracked terms over documents, in priority order
 TERMS = ["zzzz", "the", "und", "para", "pour"]
+# the same and phrases, for the first-word index
+INDEXED_TERMS = TERMS + ["THE", "in the", "und die", "of the", "that the and", "license", "copyright"]
 FIRST_K = 5
 
 # calendar for the day backfill

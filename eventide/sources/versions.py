@@ -80,6 +80,11 @@ def stage(df: DataFrame, root: str, part_col: str) -> dict[str, Part]:
     spark = df.sparkSession
     fresh = f"data/{uuid.uuid4().hex}"
     df.write.partitionBy(part_col).parquet(f"{root}/{fresh}")
+    return listed(spark, root, fresh, part_col)
+
+
+def listed(spark: SparkSession, root: str, fresh: str, part_col: str) -> dict[str, Part]:
+    """The parts in a written folder, from its sub-folders' names."""
     out = {}
     for f in _children(spark, f"{root}/{fresh}"):
         name = f.getPath().getName()

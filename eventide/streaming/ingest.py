@@ -26,6 +26,7 @@ from pyspark.sql.streaming import StreamingQuery
 from eventide.operators import graph as G
 from eventide.operators.events import accepted_rows, valid_events
 from eventide.plans.views import EVENT_COLUMNS
+from eventide.sources import edge_store
 from eventide.sources.interval_log import LOG_COLUMNS, parse_iso_utc
 
 LANDED_SCHEMA = LOG_COLUMNS
@@ -159,3 +160,23 @@ def start_graph_ingest(spark: SparkSession, landing: str, root: str, checkpoint:
          .foreachBatch(lambda df, bid: apply_batch(spark, root, df, bid, compact_every)))
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="30 seconds")
     return w.start()
+
+
+def apply_edge_batch(spark: SparkSession, root: str, batch: DataFrame, batch_id: int, compact_every: int = 96,
+                     **sizes) -> None:
+    """One batch's edges into the clustered edge table under ``root``, compacted every so many batches.
+    A replay of a batch that was published adds nothing."""
+    rows = with_event_ids(accepted_rows(valid_events(batch, text_cols=EVENT_COLUMNS)), batch_id)
+    edge_store.add_batch(spark, root, G.interaction_edges(rows).checkpoint(eager=True), batch_id)
+    if (batch_id + 1) % compact_every == 0:
+        edge_store.compact(spark, root, **sizes)
+
+
+def start_edge_ingest(spark: SparkSession, landing: str, root: str, checkpoint: str, available_now: bool = True,
+                      compact_every: int = 96, sizes: dict | None = None, **source_opts) -> StreamingQuery:
+    """Landed interval files into the clustered edge table (see :mod:`eventide.sources.edge_store`)."""
+    stream = landed_interval_files(spark, landing, **source_opts)
+    w = (stream.writeStream.option("checkpointLocation", checkpoint)
+         .foreachBatch(lambda df, bid: apply_edge_batch(df.sparkSession, root, df, bid, compact_every, **(sizes or {}))))
+    w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="30 seconds")
+    return w.start()
