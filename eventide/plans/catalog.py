@@ -37,10 +37,13 @@ from eventide.sources import export as EX
 from eventide.sources import interval_log as IL
 from eventide.sources import model_state as MS
 from eventide.sources import prices as PR
+from eventide.sources import resumable as RS
 from eventide.sources import samples as SA
 from eventide.sources import sparql as SP
+from eventide.sources import versions as V
 from eventide.streaming import detect as SD
 from eventide.streaming import ingest as SI
+from eventide.streaming import quarantine as QU
 from eventide.streaming import stats as SS
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -373,6 +376,11 @@ def q_country_pattern(spark, sf_dir):
     return T.country_bindings(v_triples(spark, sf_dir))
 
 
+@register("country_pattern_star")
+def q_country_pattern_star(spark, sf_dir):
+    return T.country_star(v_triples(spark, sf_dir))
+
+
 @register("country_nodes")
 def q_country_nodes(spark, sf_dir):
     return T.merge_countries(G.empty_graph(spark)["countries"], T.country_bindings(v_triples(spark, sf_dir)))
@@ -523,6 +531,28 @@ def q_edges_compacted(spark, sf_dir):
     return ES.edges(spark, root).drop("event_id")
 
 
+@register("ingest_quarantine")
+def q_ingest_quarantine(spark, sf_dir):
+    """A landed log with broken files among it: sound files are stored and archived, broken ones stay."""
+    landing, archive = scratch_path(spark, "landing"), scratch_path(spark, "archive")
+    root, ckpt = scratch_path(spark, "graph"), scratch_path(spark, "ckpt")
+    clean = clean_interactions(spark, sf_dir).withColumn("interval_ts", day_start("sqldate"))
+    IL.write_interval_log(clean, landing, granularity="month")
+    header = ",".join(["interval_timestamp", *EVENT_COLUMNS])
+    whole = "2024-01-01T00:00:00+00:00" + ",x" * len(EVENT_COLUMNS)
+    for name, row in (("long", whole + ",y,z"), ("stamp", "yesterday" + ",x" * len(EVENT_COLUMNS))):
+        lines = spark.createDataFrame([(header,), (whole,), (row,)], "value string").coalesce(1)  # three lines of one file
+        lines.write.option("compression", "none").text(f"{landing}/{name}")
+    QU.start_quarantined_ingest(spark, landing, root, ckpt, archive, SI.apply_edge_batch, recursive=True, max_files=40,
+                                glob="*.{csv,txt}").awaitTermination()
+    QU.clean_up(spark, root, landing, ckpt, archive)
+    left = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.{csv,txt}").load(landing).count()
+    letters = QU.dead_letters(spark, root).count()
+    if (left, letters) != (2, 2):
+        raise AssertionError(f"{left} files left in the landing folder, {letters} dead letters")
+    return ES.edges(spark, root).drop("event_id")
+
+
 @register("file_stream_ingest_actors")
 def q_file_stream_ingest_actors(spark, sf_dir):
     """Actor names of the stored graph; a graph of its own is reset and must be empty then."""
@@ -583,6 +613,29 @@ def q_resume_no_duplicates(spark, sf_dir):
     return spark.read.parquet(out)
 
 
+class _Killed(RuntimeError):
+    """Stands for the loss of a run's driver."""
+
+
+@register("resume_after_crash")
+def q_resume_after_crash(spark, sf_dir):
+    """Runs over a growing log, one of which dies after its rows are written and before they are published."""
+    root = scratch_path(spark, "runs")
+    log = interval_events(spark, sf_dir).select("event_id", "interval_ts", "event_root_code")
+
+    def dies(df):
+        V.stage(df.withColumn("__run", F.lit("lost")), root, "__run")  # its rows are in the folder
+        raise _Killed
+
+    for until, work in ((P.DETECT_START, lambda df: df), (P.LOG_END, dies), (P.LOG_END, lambda df: df), (P.LOG_END, dies)):
+        try:
+            RS.run(spark, root, log.filter(F.col("interval_ts") < ntz(until)), work)
+        except _Killed:
+            pass
+    RS.merge_runs(spark, root, "event_id bigint, interval_ts timestamp_ntz, event_root_code string", least=2)
+    return RS.rows(spark, root, "event_id bigint, interval_ts timestamp_ntz, event_root_code string")
+
+
 @register("windowed_counts_stream")
 def q_windowed_counts_stream(spark, sf_dir):
     """Row-time windows over a stream; a row older than the watermark is dropped.
@@ -592,15 +645,15 @@ def q_windowed_counts_stream(spark, sf_dir):
     batch before the last one has left, and these are late."""
     landing, out, ckpt = scratch_path(spark, "events"), scratch_path(spark, "windows"), scratch_path(spark, "ckpt")
     ev = table(spark, sf_dir, "events").select("ts", F.col("event_type").alias("event_root_code"))
-    ev.coalesce(1).write.parquet(f"{landing}/0")
     ahead = spark.range(1).select(ntz(P.FAR_AHEAD).alias("ts"), F.lit("late").alias("event_root_code"))
-    ahead.coalesce(1).write.parquet(f"{landing}/1")
-    ev.filter(F.to_date("ts") == F.to_date(F.lit(P.MONTH_FIRST))).coalesce(1).write.parquet(f"{landing}/2")
-    stream = (spark.readStream.schema(ev.schema).option("recursiveFileLookup", True).option("latestFirst", False)
-              .option("maxFilesPerTrigger", 1).parquet(landing))
-    q = (SD.windowed_counts(stream, "ts", ["event_root_code"]).writeStream.outputMode("append").format("parquet")
-         .option("path", out).option("checkpointLocation", ckpt).trigger(availableNow=True).start())
-    q.awaitTermination()
+    late = ev.filter(F.to_date("ts") == F.to_date(F.lit(P.MONTH_FIRST)))
+    # each landing is followed by a run of the stream, so the batches are ordered however many files they have
+    for k, rows in enumerate((ev, ahead, late)):
+        rows.write.parquet(f"{landing}/{k}")
+        stream = spark.readStream.schema(ev.schema).option("recursiveFileLookup", True).parquet(landing)
+        q = (SD.windowed_counts(stream, "ts", ["event_root_code"]).writeStream.outputMode("append").format("parquet")
+             .option("path", out).option("checkpointLocation", ckpt).trigger(availableNow=True).start())
+        q.awaitTermination()
     return spark.read.schema("interval_start timestamp, metric_key string, n bigint").parquet(out).select(
         F.date_format("interval_start", "yyyy-MM-dd'T'HH:mm:ss").alias("interval_start"), "metric_key", "n")
 

@@ -331,6 +331,7 @@ oracle("interval_anomalies_stream", ORACLE["interval_anomalies"])
 oracle("running_stats_stream", ORACLE["running_stats"])
 oracle("file_stream_ingest", ORACLE["interaction_edges"])
 oracle("edges_compacted", ORACLE["file_stream_ingest"])
+oracle("ingest_quarantine", ORACLE["file_stream_ingest"])
 oracle("file_stream_ingest_actors", graph_sql(
     "SELECT name, 'Unknown' AS type FROM (SELECT actor1_name AS name FROM accepted UNION SELECT actor2_name FROM accepted)"))
 oracle("graph_counts_stored", with_views(
@@ -338,3 +339,6 @@ oracle("graph_counts_stored", with_views(
     " + (SELECT count(*) FROM accepted) + (SELECT count(DISTINCT name) FROM b) AS BIGINT) AS node_count, "
     "CAST(3 * (SELECT count(*) FROM accepted) AS BIGINT) AS rel_count", "v_interactions", "v_triples",
     extra={**GRAPH, "b": _BINDINGS}))
+
+oracle("resume_after_crash", ORACLE["resume_no_duplicates"])
+oracle("country_pattern_star", ORACLE["country_pattern"])
