@@ -44,6 +44,7 @@ from eventide.sources import versions as V
 from eventide.streaming import detect as SD
 from eventide.streaming import ingest as SI
 from eventide.streaming import quarantine as QU
+from eventide.streaming import stateful as SF
 from eventide.streaming import stats as SS
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -477,22 +478,56 @@ def _full_event_columns(df: DataFrame) -> DataFrame:
 
 @register("interval_anomalies_stream")
 def q_interval_anomalies_stream(spark, sf_dir):
-    model_path, landing = scratch_path(spark, "model"), scratch_path(spark, "landing")
+    model_path = scratch_path(spark, "model")
     out, ckpt = scratch_path(spark, "alerts"), scratch_path(spark, "alerts-ckpt")
     _model(spark, sf_dir).write.parquet(model_path)
-    ev = interval_events(spark, sf_dir)
     ts = F.col("interval_ts")
-    run = ev.filter((ts >= ntz(P.DETECT_START)) & (ts < ntz(P.DETECT_END)))
-    # every interval is landed in two files, which different micro-batches read
-    for half in (0, 1):
-        IL.write_interval_log(_full_event_columns(run.filter(F.col("event_id") % 2 == half)), f"{landing}/{half}",
-                              granularity="month")
+    run = interval_events(spark, sf_dir).filter((ts >= ntz(P.DETECT_START)) & (ts < ntz(P.DETECT_END)))
+    landing = _landed_halves(spark, sf_dir, run)
     q = SD.start_interval_alerts(spark, landing, lambda: spark.read.parquet(model_path), out, ckpt,
                                  P.METRIC_COLUMNS, P.Z_LIMIT, recursive=True, max_files=1)
     q.awaitTermination()
     return rounded(SD.read_alerts(spark, out))
 
 
+def _landed_halves(spark, sf_dir, rows: DataFrame) -> str:
+    """``rows`` as landed files; every interval lies in two of them, which different micro-batches read."""
+    landing = scratch_path(spark, "landing")
+    for half in (0, 1):
+        IL.write_interval_log(_full_event_columns(rows.filter(F.col("event_id") % 2 == half)), f"{landing}/{half}", granularity="month")
+    return landing
+
+
+@register("interval_alerts_stateful")
+def q_interval_alerts_stateful(spark, sf_dir):
+    """Interval scoring by streaming state, scores restated as later files come."""
+    out, ckpt, model_path = scratch_path(spark, "scores"), scratch_path(spark, "scores-ckpt"), scratch_path(spark, "model")
+    _model(spark, sf_dir).write.parquet(model_path)
+    ts = F.col("interval_ts")
+    run = interval_events(spark, sf_dir).filter((ts >= ntz(P.DETECT_START)) & (ts < ntz(P.DETECT_END)))
+    SF.start_stateful_alerts(spark, _landed_halves(spark, sf_dir, run), spark.read.parquet(model_path), out, ckpt, P.METRIC_COLUMNS,
+                             P.Z_LIMIT, delay="60 days", recursive=True, max_files=1).awaitTermination()
+    return rounded(SF.current_alerts(spark, out))
+
+
+@register("stream_counters")
+def q_stream_counters(spark, sf_dir):
+    """Rows loaded and skipped by a stream over the whole log, as its listener has counted them."""
+    out, ckpt, counters, model_path = (scratch_path(spark, n) for n in ("scores", "scores-ckpt", "counters", "model"))
+    _model(spark, sf_dir).write.parquet(model_path)
+    rows = v_interval_events(spark, sf_dir)
+    unnamed = F.when(F.col("event_id") % 10 != 0, F.col("event_root_code"))  # a tenth of the rows has no root code
+    listener = SF.StreamCounters(spark, counters)
+    spark.streams.addListener(listener)
+    try:
+        SF.start_stateful_alerts(spark, _landed_halves(spark, sf_dir, rows.withColumn("event_root_code", unnamed)), spark.read.parquet(model_path),
+                                 out, ckpt, P.METRIC_COLUMNS, P.Z_LIMIT, delay="60 days", recursive=True, max_files=1).awaitTermination()
+        SF.wait_for_listeners(spark)
+    finally:
+        spark.streams.removeListener(listener)
+    return SF.read_counters(spark, counters).agg(F.sum("loaded").alias("loaded"), F.sum("skipped").alias("skipped"), F.sum("late").alias("late"))
+
+
 @register("running_stats_stream")
 def q_running_stats_stream(spark, sf_dir):
     landing, out, ckpt = (scratch_path(spark, "events"), scratch_path(spark, "rs"),

@@ -328,6 +328,10 @@ oracle("windowed_counts_stream",
 # streaming twins --------------------------------------------------------------------
 
 oracle("interval_anomalies_stream", ORACLE["interval_anomalies"])
+oracle("interval_alerts_stateful", ORACLE["interval_anomalies"])
+oracle("stream_counters", with_views(
+    f"SELECT count(*) AS loaded, count(*) - count(CASE WHEN coalesce({na_sql('event_root_code')}, '') <> '' AND event_id % 10 <> 0 "
+    "THEN 1 END) AS skipped, CAST(0 AS BIGINT) AS late FROM v_interval_events", "v_interval_events"))
 oracle("running_stats_stream", ORACLE["running_stats"])
 oracle("file_stream_ingest", ORACLE["interaction_edges"])
 oracle("edges_compacted", ORACLE["file_stream_ingest"])
