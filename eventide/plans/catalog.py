@@ -41,6 +41,7 @@ from eventide.sources import resumable as RS
 from eventide.sources import samples as SA
 from eventide.sources import sparql as SP
 from eventide.sources import versions as V
+from eventide.streaming import archives as ZS
 from eventide.streaming import detect as SD
 from eventide.streaming import ingest as SI
 from eventide.streaming import quarantine as QU
@@ -443,14 +444,29 @@ def q_event_scan_positional(spark, sf_dir):
     return valid_events(EX.read_export_tsv(spark, path)).select(*EVENT_COLUMNS)
 
 
-@register("event_zip_scan")
-def q_event_zip_scan(spark, sf_dir):
+def _landed_zips(spark, sf_dir) -> str:
+    """A folder of zipped exports, one or more a year, with archives that cannot be read among them."""
     path = scratch_path(spark, "zips")
     src = interactions(spark, sf_dir).withColumn(
         "stamp", F.concat(F.substring("sqldate", 1, 4), F.lit("0101000000")))
     landed = EX.write_export_zips(src, path, "stamp")
     landed.write.format("noop").mode("overwrite").save()
     EX.land_bad_archives(path)
+    return path
+
+
+@register("zip_stream_ingest")
+def q_zip_stream_ingest(spark, sf_dir):
+    """The same archives as a stream, a part per archive and a commit per batch, started twice."""
+    path, root, ckpt = _landed_zips(spark, sf_dir), scratch_path(spark, "archives"), scratch_path(spark, "ckpt")
+    for _ in range(2):
+        ZS.start_archive_ingest(spark, path, root, ckpt, max_files=16).awaitTermination()
+    return valid_events(ZS.stored_rows(spark, root)).select(*EVENT_COLUMNS)
+
+
+@register("event_zip_scan")
+def q_event_zip_scan(spark, sf_dir):
+    path = _landed_zips(spark, sf_dir)
     return valid_events(EX.read_export_zips(spark, path)).select(*EVENT_COLUMNS)
 
 

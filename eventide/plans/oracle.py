@@ -346,3 +346,4 @@ oracle("graph_counts_stored", with_views(
 
 oracle("resume_after_crash", ORACLE["resume_no_duplicates"])
 oracle("country_pattern_star", ORACLE["country_pattern"])
+oracle("zip_stream_ingest", ORACLE["event_zip_scan"])

@@ -144,9 +144,21 @@ def scan_export_zips(spark: SparkSession, path: str, glob: str = ZIP_GLOB,
     """
     ship_package(spark)
     bins = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path).select("path", "content")
+    return unzipped(bins, encoding)
+
+
+def unzipped(bins: DataFrame, encoding: str = "latin-1") -> DataFrame:
+    """Raw lines ``(source_file, status, line)`` of archives ``(path, content)``."""
     return bins.mapInPandas(_unzip_lines(encoding), RAW_SCHEMA)
 
 
+def parsed(raw: DataFrame) -> DataFrame:
+    """Event rows of raw lines, by the same parser and options as for plain files, so quoted fields read the same."""
+    raw = raw.filter((F.col("status") == "ok") & (F.col("line") != ""))
+    fields = F.from_csv("line", ", ".join(f"c{i} string" for i in range(EXPORT_WIDTH)), {"sep": "\t", "mode": "PERMISSIVE"})
+    return _project(raw.select("source_file", fields.alias("f")), lambda i: F.col(f"f.c{i}"))
+
+
 def read_export_zips(spark: SparkSession, path: str, glob: str = ZIP_GLOB,
                      encoding: str = "latin-1", observation=None) -> DataFrame:
     """Event rows of all readable zipped exports.
@@ -162,11 +174,7 @@ def read_export_zips(spark: SparkSession, path: str, glob: str = ZIP_GLOB,
                           F.count(F.when(status == "bad_zip", F.lit(1))).alias("bad_archives"),
                           F.count(F.when(status == "empty", F.lit(1))).alias("empty_archives"),
                           F.count(F.when(status == "ok", F.lit(1))).alias("lines"))
-    raw = raw.filter((F.col("status") == "ok") & (F.col("line") != ""))
-    # the same parser and options as for plain files, so quoted fields read the same
-    fields = F.from_csv("line", ", ".join(f"c{i} string" for i in range(EXPORT_WIDTH)), {"sep": "\t", "mode": "PERMISSIVE"})
-    parts = raw.select("source_file", fields.alias("f"))
-    return _project(parts, lambda i: F.col(f"f.c{i}"))
+    return parsed(raw)
 
 
 def zip_scan_report(spark: SparkSession, path: str, glob: str = ZIP_GLOB) -> DataFrame:
