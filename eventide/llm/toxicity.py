@@ -3,15 +3,16 @@
 The kernel compares short stretches of a word (with marks for its start and end) by their common
 subsequences of three characters, gaps allowed and discounted by ``DECAY`` per character
 spanned. So an insult with letters dropped in or left out, or with an unseen ending, still
-shares most subsequences with the insult. A sentence is toxic when some stretch of it is: its
-decision value is the largest over its words, and a document's the largest over its sentences.
+shares most subsequences with the insult. A document is toxic when some stretch of it is: its
+decision value is the largest over its words.
 
-Training is multiple-instance: a sentence of a toxic document is only suspected, a sentence of
-a clean document is clean. Character 4-grams found in toxic documents and hardly in clean ones
+Training is multiple-instance: a word of a toxic document is only suspected, a word of a
+clean document is clean. Character 4-grams found in toxic documents and hardly in clean ones
 (near copies counted once) name the first witnesses; then a linear SVM is fitted on Nyström
 features (kernel against landmarks, whitened by the landmarks' own kernel matrix), picks new
 witnesses in each suspected document, takes the clean stretches it finds hardest as negatives,
-and is fitted again. Witnesses also enter with a character inserted, so that such forms are
+and is fitted again. Only words that hold such a 4-gram can be witnesses: a label without a cause
+in its text then names no filler word, and the document stays unexplained. Witnesses also enter with a character inserted, so that such forms are
 learned. A logistic curve over the documents' values gives the score.
 
 The decision function is a sum over landmarks of kernels that are sums over subsequences, so it
@@ -19,7 +20,9 @@ folds exactly into one weight per subsequence: scoring a word is a few table loo
 workers keep the values of words they have seen in a bounded cache.
 
 Bounds: the fit sees at most ``MAX_TOXIC`` and ``MAX_CLEAN`` labelled documents, taken by hash of
-the id. Everything else covers all documents and whole texts.
+the id, and within it ``WITNESSES`` positive words, ``INSERTED`` of them also with a character inserted,
+``NEGATIVES`` random and ``HARDEST`` hard negative stretches, and ``CANDIDATES`` stretches of either kind that
+landmarks are picked from. Everything else covers all documents and whole texts.
 
 Defined results: NULL or empty text has the score of a text without any toxic stretch; NULL or
 repeated labels count as no label or once (toxic if any says so); with no usable label of either kind every
@@ -54,9 +57,13 @@ STARTS = 4
 #: The second and third character of a subsequence, counted from the first.
 STEPS = tuple((a, b) for b in (2, 3, 4) for a in range(1, b))
 LANDMARKS = 224
+#: Bounds of the fit, see above.
+WITNESSES, INSERTED, CANDIDATES = 4000, 600, 600
+NEGATIVES, HARDEST = 8000, 5000
+#: Likelihood ratio and toxic groups that mark a 4-gram; where none passes (few labels), the next pair counts.
+MARKED = ((20.0, 3), (8.0, 2), (0.0, 1))
 CACHE = 300_000
 
-_SENTENCE = re.compile(r"[.!?\n]+")
 _SPACED = re.compile(r"(?<!\S)\w(?:[ \t]\w){2,}(?!\S)")
 
 
@@ -76,15 +83,12 @@ def letters(word: str) -> str:
     return word if word.isalpha() else "".join(filter(str.isalpha, word))
 
 
-def sentences(text: str) -> list[list[str]]:
-    """Sentences as words in lower case; letters written apart ("a b c") are also read as a word."""
-    out = []
-    for s in _SENTENCE.split(text.lower()):
-        words = s.split()
-        words += [m[0].replace(" ", "").replace("\t", "") for m in _SPACED.finditer(s)]
-        if words:
-            out.append(words)
-    return out
+def text_words(text: str) -> list[str]:
+    """The words of a text in lower case, split at white space; letters written apart ("a b c") are
+    also read as a word. The fit and the scoring both see a text as these words."""
+    text = text.lower()
+    words = text.split()
+    return words + [m[0].replace(" ", "").replace("\t", "") for m in _SPACED.finditer(text)]
 
 
 def encoded(words: list[str], codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -151,12 +155,7 @@ class _Scored(dict):
 
 def text_values(texts: list[str], scored: "_Scored") -> list[tuple[float, str | None]]:
     """Largest decision value of each text and the word that has it."""
-    split = []
-    for t in texts:
-        t = t.lower()
-        words = t.split()
-        words += [m[0].replace(" ", "").replace("\t", "") for m in _SPACED.finditer(t)]
-        split.append(words)
+    split = [text_words(t) for t in texts]
     scored.learn(set().union(*split) if split else set())
     get = scored.get
     out = []
@@ -198,8 +197,9 @@ def _grams(word: str, k: int = 4) -> set[str]:
     return {w[i:i + k] for i in range(len(w) - k + 1)}
 
 
-def _marked_grams(words: list[set[str]], groups: list[int], toxic: np.ndarray, least: float = 20.0) -> dict[str, float]:
-    """4-grams that stand in toxic documents far more than in clean ones: likelihood ratio."""
+def _marked_grams(words: list[set[str]], groups: list[int], toxic: np.ndarray) -> dict[str, float]:
+    """4-grams that stand in toxic documents far more than in clean ones: likelihood ratio, by the
+    first pair of ``MARKED`` that any passes."""
     found: tuple[Counter, Counter] = (Counter(), Counter())
     cache: dict[str, set[str]] = {}
     n = [len({g for g, t in zip(groups, toxic) if t == k}) for k in (0, 1)]
@@ -213,18 +213,20 @@ def _marked_grams(words: list[set[str]], groups: list[int], toxic: np.ndarray, l
         found[t].update(grams)
         if len(cache) > 20_000:
             cache.clear()
-    out = {}
+    def ll(k: int, m: int, p: float) -> float:
+        return (k * np.log(p) if k else 0.0) + ((m - k) * np.log(1 - p) if m > k else 0.0)
+
+    ratios = {}
     for x, a in found[1].items():
         b = found[0][x]
-        if a < 3 or a / n[1] <= 4 * b / n[0]:
-            continue
         p, q, r = a / n[1], b / n[0], (a + b) / (n[0] + n[1])
-        def ll(k: int, m: int, p: float) -> float:
-            return (k * np.log(p) if k else 0.0) + ((m - k) * np.log(1 - p) if m > k else 0.0)
-        ratio = 2 * (ll(a, n[1], p) + ll(b, n[0], q) - ll(a, n[1], r) - ll(b, n[0], r))
-        if ratio >= least:
-            out[x] = ratio
-    return out
+        if p > 4 * q:
+            ratios[x] = 2 * (ll(a, n[1], p) + ll(b, n[0], q) - ll(a, n[1], r) - ll(b, n[0], r))
+    for least, few in MARKED:
+        out = {x: v for x, v in ratios.items() if v >= least and found[1][x] >= few}
+        if out:
+            return out
+    return {}
 
 
 def _kernel(subs: np.ndarray, codes_of: np.ndarray, table: np.ndarray, decay: np.ndarray) -> np.ndarray:
@@ -305,7 +307,7 @@ def fit(texts: list[str], toxic: list[int], rounds: int = 5, seed: int = 5) -> M
     shared: dict[str, str] = {}
     words, sketches = [], []
     for t in texts:
-        listed = [shared.setdefault(w, w) for s in sentences(t) for w in s]
+        listed = [shared.setdefault(w, w) for w in text_words(t)]
         sketches.append(_sketch(listed))
         words.append({w for w in listed if letters(w)})
     groups = _copies_once(sketches)
@@ -332,8 +334,8 @@ def fit(texts: list[str], toxic: list[int], rounds: int = 5, seed: int = 5) -> M
         top = max((strength[w] for w in ws), default=0.0)
         if top > 0:
             witness.update(w for w in ws if strength[w] >= 0.5 * top and clean_set[w] == 0)
-    if not witness:
-        return None
+    if not witness:  # every marked word is in some clean document too
+        witness.update(w for ws in toxic_docs for w in ws if strength[w] > 0)
 
     def first_place(word: str) -> int:
         w = f"^{letters(word)}$"
@@ -343,10 +345,10 @@ def fit(texts: list[str], toxic: list[int], rounds: int = 5, seed: int = 5) -> M
     model = None
     hard = np.empty(0, np.int64)
     for r in range(rounds):
-        names = [w for w, _ in witness.most_common(4000)]
+        names = [w for w, _ in witness.most_common(WITNESSES)]
         # a character inserted at a place inside: forms that gaps must bridge
         noisy = []
-        for w in names[:600]:
+        for w in names[:INSERTED]:
             x = letters(w)
             if len(x) >= 4:
                 k = int(rng.integers(2, min(5, len(x))))
@@ -361,7 +363,7 @@ def fit(texts: list[str], toxic: list[int], rounds: int = 5, seed: int = 5) -> M
             value[(x_pos == 0) | (x_pos == 2)] = -np.inf
             place = [int(np.argmax(value[b:e])) for b, e in zip(begin_pos, np.append(begin_pos[1:], len(value)))]
         pos = at(subs_pos, begin_pos + np.array(place))
-        random_neg = rng.choice(start_clean, min(8_000, len(start_clean)), replace=False)
+        random_neg = rng.choice(start_clean, min(NEGATIVES, len(start_clean)), replace=False)
         neg = at(subs_clean, np.unique(np.concatenate([random_neg, hard])))
 
         # landmarks: spread over the witnesses, and over the negatives (the hardest first)
@@ -369,8 +371,8 @@ def fit(texts: list[str], toxic: list[int], rounds: int = 5, seed: int = 5) -> M
             codes_of, table = _features(s, decay)
             norm = np.sqrt(np.maximum((table * table).sum(axis=0), 1e-12))
             return lambda i: _kernel(s, codes_of, table[:, i:i + 1], decay)[:, 0] / norm / norm[i]
-        some_pos = pos[:600]
-        hard_neg = at(subs_clean, hard[:600]) if len(hard) else neg[rng.choice(len(neg), min(600, len(neg)), replace=False)]
+        some_pos = pos[:CANDIDATES]
+        hard_neg = at(subs_clean, hard[:CANDIDATES]) if len(hard) else neg[rng.choice(len(neg), min(CANDIDATES, len(neg)), replace=False)]
         marks = np.concatenate([some_pos[_spread(self_kernel(some_pos), len(some_pos), LANDMARKS // 2)],
                                 hard_neg[_spread(self_kernel(hard_neg), len(hard_neg), LANDMARKS // 2)]])
         codes_of, table = _features(marks, decay)
@@ -397,7 +399,7 @@ def fit(texts: list[str], toxic: list[int], rounds: int = 5, seed: int = 5) -> M
 
         value = stretches(weights[subs_clean] @ decay) + model.bias
         value[(x_clean == 0) | (x_clean == 2)] = -np.inf
-        order = np.argsort(-value)[:5000]
+        order = np.argsort(-value)[:HARDEST]
         hard = order[value[order] > -1.0]
         witness = Counter()
         known = sorted(set().union(*toxic_docs)) if toxic_docs else []
@@ -405,7 +407,7 @@ def fit(texts: list[str], toxic: list[int], rounds: int = 5, seed: int = 5) -> M
         for ws in toxic_docs:
             if ws:
                 top = max(value_of[x] for x in ws)
-                witness.update(x for x in ws if value_of[x] >= max(0.0, 0.5 * top) and clean_set[x] == 0)
+                witness.update(x for x in ws if strength[x] > 0 and value_of[x] >= max(0.0, 0.5 * top) and clean_set[x] == 0)
         if not witness:
             break
 
