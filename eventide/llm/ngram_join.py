@@ -337,19 +337,28 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
 def one_of_each(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """``docs`` with one document per component, the one of the smallest id; all columns stay.
 
-    Of rows that repeat an id one stays; a row without id stays. Only rows that the bounded
-    filter of ids to look at lets through are shuffled, the others pass as they are."""
-    from pyspark.sql import Window
-    out = written(near_duplicates(docs, width, percent), "ngram-classes")
-    slot = lambda c: F.pmod(F.xxhash64(F.col(c).cast("long")), F.lit(NEEDED_SLOTS)).cast("int")
-    gone = out.where("component_id <> doc_id").select(F.col("doc_id").alias("gone")).distinct()
-    again = out.where("doc_id is not null").groupBy(F.col("doc_id").alias("gone")).count().where("count > 1").select("gone")
+    Rows are told apart by a key of id and text, so rows without id are compared like all others, and
+    rows that share an id are joined only where their texts link. An id comes before none, and of
+    rows that are equal in id and text one stays. Texts without words link with nothing and stay. Only
+    rows that the bounded filter of keys to look at lets through are shuffled, the others pass as they are."""
+    text = empty_text(F.col("text"))
+    key = F.when(F.col("doc_id").isNull(), F.xxhash64(F.lit("no id"), text)).otherwise(F.xxhash64(F.col("doc_id").cast("long"), text))
+    out = written(near_duplicates(docs.select(key.alias("doc_id"), "text"), width, percent).where("n_shingles > 0"), "ngram-classes")
+    ids = docs.select(key.alias("key"), F.col("doc_id").cast("long").alias("id")).distinct()
+    of = written(out.select("doc_id", "component_id").distinct().join(ids, F.col("doc_id") == F.col("key"))
+                 .select("key", "component_id", F.struct(F.col("id").isNull().alias("none"), "id", "key").alias("place")), "ngram-places")
+    first = of.groupBy(F.col("component_id").alias("c")).agg(F.min("place").alias("first"))
+    gone = of.join(first, F.col("component_id") == F.col("c")).where(F.col("key") != F.col("first.key")).select(F.col("key").alias("gone"))
+    gone = written(gone, "ngram-gone")
+    again = out.groupBy(F.col("doc_id").alias("gone")).count().where("count > 1").select("gone")
+    slot = lambda c: F.pmod(F.xxhash64(F.col(c)), F.lit(NEEDED_SLOTS)).cast("int")
     slots = gone.unionByName(again).select(slot("gone").alias("slot")).distinct()
-    rows = docs.select(F.col("doc_id").alias("id"), F.struct(*docs.columns).alias("row")).withColumn(
-        "slot", F.when(F.col("id").isNotNull(), slot("id")).otherwise(F.lit(-1)))
+    rows = docs.select(key.alias("key"), F.struct(*docs.columns).alias("row")).withColumn("slot", slot("key"))
     free = rows.join(F.broadcast(slots), "slot", "left_anti").select("row")
-    held = (rows.join(F.broadcast(slots), "slot", "left_semi").select("id", "row")
-            .join(gone, F.col("id") == F.col("gone"), "left_anti"))
-    nth = F.row_number().over(Window.partitionBy("id").orderBy(F.col("row.text")))
-    held = held.withColumn("nth", nth).where("nth = 1").select("row")
+    held = (rows.join(F.broadcast(slots), "slot", "left_semi").select("key", "row")
+            .join(gone, F.col("key") == F.col("gone"), "left_anti"))
+    # of rows equal in id and text one, picked by a partial aggregate, so that many of them are no hot group
+    twice = held.join(again.withColumnRenamed("gone", "twice"), F.col("key") == F.col("twice"), "left")
+    one = twice.where("twice is not null").groupBy("key").agg(F.min_by("row", F.xxhash64("row")).alias("row")).select("row")
+    held = twice.where("twice is null").select("row").unionByName(one)
     return free.unionByName(held).select("row.*")

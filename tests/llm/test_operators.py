@@ -206,6 +206,21 @@ def test_ngram_join_odd_rows(odd, none):
     assert ngram_join.one_of_each(none).count() == 0
 
 
+def test_one_of_each_without_and_with_repeated_ids(spark):
+    """Copies without id go, unlike texts that share an id both stay, and equal rows leave one."""
+    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    near = a.replace("a39", "z")
+    texts, ids = [a, a, a, b, c, near, c, c, "", "", None], [1, None, None, 5, 5, None, None, 5, 7, 7, 7]
+    df = spark.createDataFrame(rows(*texts, ids=ids), DOC).repartition(4)
+    kept = sorted(((r.doc_id, r.text) for r in ngram_join.one_of_each(df).collect()), key=str)
+    assert kept == sorted([(1, a), (5, b), (5, c), (7, ""), (7, ""), (7, None)], key=str)
+    alone = spark.createDataFrame(rows(a, a, near, b, ids=[None] * 4), DOC)
+    got = [r.text for r in ngram_join.one_of_each(alone).collect()]
+    assert len(got) == 2 and b in got
+    many = spark.createDataFrame(rows(*([a] * 500 + [b]), ids=[3] * 500 + [4]), DOC).repartition(4)
+    assert sorted(r.doc_id for r in ngram_join.one_of_each(many).collect()) == [3, 4]
+
+
 # --- embeddings ------------------------------------------------------------------------------
 
 VEC = "vec_id long, embedding array<float>, label int, cid string, cell int, copies int"
