@@ -3,12 +3,14 @@ columns and connected components."""
 
 from __future__ import annotations
 
+import gc
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from eventide.session import scratch_path, ship_package
 
-__all__ = ["read_table", "written", "word_count", "components", "empty_text", "ship_package",
+__all__ = ["read_table", "written", "word_count", "components", "empty_text", "released", "ship_package",
            "prefix_sums"]
 
 #: ASCII white space as the contracts write it: ``[\\x20\\x09-\\x0D]``.
@@ -26,6 +28,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def released(spark: SparkSession) -> None:
+    """Let go of what the driver still holds of finished steps. Spark frees broadcast relations, shuffle
+    records and plans once the driver's JVM has collected their handles; a job of very many small
+    plans does not wait for a full heap to do so."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def empty_text(c: Column) -> Column:
     """NULL text counts as empty text."""
     return F.coalesce(c, F.lit(""))

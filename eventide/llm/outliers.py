@@ -23,7 +23,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WHITE, empty_text, written
+from .common import WHITE, empty_text, released, written
 
 #: Characters counted as symbols (fixed values).
 SYMBOLS = "#*$%&|<>"
@@ -208,6 +208,7 @@ def fit(points: DataFrame, d: int, steps: int = STEPS, keep: float = KEEP) -> Da
         same = ((F.col("level") == F.col("e_level")) & F.col("lang").eqNullSafe(F.col("e_lang"))
                 & F.col("source").eqNullSafe(F.col("e_source")) & (F.col("distance") <= F.col("edge")))
         est = written(_estimates(_moments(near.join(e, same), d), d, factor), "mcd")
+        released(points.sparkSession)
     return est
 
 
