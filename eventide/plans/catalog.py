@@ -29,7 +29,7 @@ from eventide.operators.events import accepted_rows, stamp_intervals, valid_even
 from eventide.plans import params as P
 from eventide.plans.views import (EVENT_COLUMNS, table, v_actor_updates, v_interactions,
                                   v_interval_events, v_prices, v_triples)
-from eventide.session import scratch_path
+from eventide.session import path_exists, scratch_path
 from eventide.sources import articles as AR
 from eventide.sources import backfill as BF
 from eventide.sources import edge_store as ES
@@ -72,12 +72,17 @@ def rounded(df: DataFrame, places: int = P.ROUND) -> DataFrame:
 _LANDED: dict[tuple[str, str], str] = {}
 
 
+def _landed(spark: SparkSession, key: tuple[str, str]) -> bool:
+    """Whether a landed table is there (scratch folders may have been removed since)."""
+    return key in _LANDED and path_exists(spark, _LANDED[key])
+
+
 def interactions(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
     """The event rows, landed once per application and input as a Parquet log in the shared
     scratch folder: the five joins behind them run once, and every query reads its columns
     of the log. ``more`` may name ``event_id`` and ``ticker``."""
     key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"))
-    if key not in _LANDED:
+    if not _landed(spark, key):
         path = scratch_path(spark, "interactions")
         v_interactions(spark, sf_dir, with_id=True, with_ticker=True).write.parquet(path)
         _LANDED[key] = path
@@ -622,7 +627,7 @@ def _ingested(spark, sf_dir, own: bool = False) -> str:
     """The folder of the graph tables after a stream ingest of the whole landed log. The ingest runs
     once per application and input; ``own`` makes one that the caller may change."""
     key = (spark.sparkContext.applicationId, f"graph of {sf_dir.rstrip('/')}")
-    if not own and key in _LANDED:
+    if not own and _landed(spark, key):
         return _LANDED[key]
     landing, root, ckpt = scratch_path(spark, "landing"), scratch_path(spark, "graph"), scratch_path(spark, "ckpt")
     clean = clean_interactions(spark, sf_dir).withColumn("interval_ts", day_start("sqldate"))
