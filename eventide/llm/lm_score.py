@@ -8,13 +8,14 @@ The vocabulary is every word of the target that occurs twice or more; all others
 word. Counts cover every document and are exact. Smoothing is Dirichlet: a bigram count is topped
 up by ``PRIOR`` words drawn from the model's own unigrams, those by one of each word.
 
-Bigrams of two frequent words (``FREQUENT`` at most, with the unknown word and the start) are the
-skewed part: each task counts its own rows into a table of fixed size, the tables are summed by
-cell and broadcast. All other bigrams are shuffled to the part of their rarer word: the word
-itself, or the word before if that one is frequent. There every occurrence of that word meets, so
-its unigram, context and bigram counts are summed and the losses come out, summed by document.
-Which words count as frequent decides where a bigram is counted, never its loss. Eight bytes for
-each word of the vocabulary are broadcast.
+Texts are read once, into blocks of about ``HELD`` tokens: a row each with its words' hashes, its
+tokens as places among them, and its documents. A block asks for each of its distinct words, and
+then for each of its distinct bigrams, once: the question carries the block's own counts and goes to
+the part of the key's hash, where the counts of all blocks meet, and the answer brings the sums back.
+So what is shuffled follows the distinct bigrams of a block, a key meets once per block however
+frequent it is, and whether a word is in the vocabulary comes with the answer. A block then scores
+its documents by itself. Nothing that grows with the input is broadcast or sent to the driver.
+Words and bigrams are told apart by hashes of 64 bits.
 
 A document must not be scored by a model that has read it, or every target document would look
 like the target. So documents fall into two folds by the hash of their id, both models are kept
@@ -28,68 +29,49 @@ an empty table gives an empty result; other columns are ignored.
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import empty_text, ship_package, written
 from .toxicity import held_out
 
-FREQUENT = 1022
 PRIOR = 50.0
-START, UNKNOWN = 0, 1
-#: One in so many documents helps to choose the frequent words.
-SAMPLE = 16
-#: Tokens that a task holds before it sends them to their parts, and parts for each shuffle partition.
-HELD, PARTS = 1 << 20, 4
+#: Tokens of a block (a longer document is a block of its own), and parts for each shuffle partition.
+HELD, PARTS = 1 << 22, 4
 #: Slots of the filter that lets target documents through before the exact join (16 MB at most).
 TARGET_SLOTS = 1 << 20
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
+_KIND = {1: np.uint8, 4: np.int32, 8: np.int64}
 
 
 def tokens(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "replace").translate(_LOWER).split() if text else []
 
 
-class _Codes:
-    """Codes of words: ``START``, ``UNKNOWN``, the frequent words, then the other words of the
-    vocabulary from ``other`` on, by the order of their hashes."""
+def packed(*arrays: np.ndarray) -> bytes:
+    """Integer arrays as bytes: lengths and widths, then the bytes of each by significance, compressed."""
+    head = np.array([len(arrays), *(x for a in arrays for x in (len(a), a.itemsize))], np.int64)
+    raw = b"".join(np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.itemsize).T.tobytes() for a in arrays)
+    return head.tobytes() + (pa.compress(raw, codec="zstd", asbytes=True) if raw else b"")
 
-    def __init__(self, hashes: np.ndarray, frequent: list[bytes], most: int = 1 << 20) -> None:
-        self.hashes, self.most = hashes, most
-        self.frequent = {w: i + 2 for i, w in enumerate(frequent)}
-        self.other = len(frequent) + 2
-        self.known = dict(self.frequent)
 
-    def learn(self, words: set) -> None:
-        import xxhash
-        if len(self.known) > self.most:
-            self.known = dict(self.frequent)
-        new = list(words.difference(self.known))
-        h = np.array([xxhash.xxh64_intdigest(w, 42) for w in new], np.uint64).view(np.int64)
-        at = np.searchsorted(self.hashes, h)
-        found = at < len(self.hashes)
-        found[found] = self.hashes[at[found]] == h[found]
-        self.known.update(zip(new, np.where(found, at + self.other, UNKNOWN).tolist()))
-
-    def bigrams(self, text: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Number of tokens of each text; code of the word before and of the word, for each token."""
-        split = pc.ascii_split_whitespace(pc.ascii_lower(text))
-        flat, doc = split.flatten(), pc.list_parent_indices(split).to_numpy()
-        full = pc.greater(pc.binary_length(flat), 0)
-        words = flat.filter(full).dictionary_encode()
-        n = np.bincount(doc[full.to_numpy(zero_copy_only=False)], minlength=len(text))
-        names = words.dictionary.cast(pa.binary()).to_pylist()
-        self.learn(set(names))
-        x = np.array([self.known[w] for w in names], np.int64)[words.indices.to_numpy()]
-        h = np.roll(x, 1)
-        h[(np.cumsum(n) - n)[n > 0]] = START
-        return n, h, x
+def unpacked(body: bytes) -> list[np.ndarray]:
+    k = int(np.frombuffer(body, np.int64, 1)[0])
+    shape = np.frombuffer(body, np.int64, 2 * k, 8).reshape(k, 2).tolist()
+    size = sum(n * w for n, w in shape)
+    raw = np.frombuffer(pa.decompress(body[8 + 16 * k:], size, codec="zstd", asbytes=True) if size else b"", np.uint8)
+    out, at = [], 0
+    for n, w in shape:
+        out.append(np.ascontiguousarray(raw[at:at + n * w].reshape(w, n).T).reshape(-1).view(_KIND[w]))
+        at += n * w
+    return out
 
 
 def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -107,231 +89,272 @@ def _slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.R
             yield b.slice(k, rows)
 
 
-def _cell_counts(shared):
+def _by_fold(of: np.ndarray, fold: np.ndarray, size: int) -> np.ndarray:
+    return np.bincount(of * 2 + fold, minlength=2 * size).reshape(-1, 2)
+
+
+_BLOCK = pa.schema([("block", pa.int64()), ("model", pa.int32()), ("body", pa.binary()), ("words", pa.binary()),
+                    *((c, pa.int64()) for c in ("tokens0", "tokens1", "docs0", "docs1"))])
+_BLOCK_SQL = "block long, model int, body binary, words binary, tokens0 long, tokens1 long, docs0 long, docs1 long"
+
+
+class _Block:
+    """Documents as places of their tokens among the words seen."""
+
+    def __init__(self) -> None:
+        self.known: dict[bytes, int] = {}
+        self.rows: list[tuple] = []
+        self.n = 0
+
+    def add(self, b: pa.RecordBatch) -> None:
+        split = pc.ascii_split_whitespace(pc.ascii_lower(b.column("text")))
+        flat, doc = split.flatten(), pc.list_parent_indices(split).to_numpy()
+        full = pc.greater(pc.binary_length(flat), 0)
+        words = flat.filter(full).dictionary_encode()
+        lens = np.bincount(doc[full.to_numpy(zero_copy_only=False)], minlength=b.num_rows)
+        known = self.known
+        places = [known.setdefault(w, len(known)) for w in words.dictionary.cast(pa.binary()).to_pylist()]
+        seq = np.array(places, np.int32)[words.indices.to_numpy()]
+        ids = b.column("doc_id")
+        self.rows.append((seq, lens, pc.fill_null(ids, 0).to_numpy(), pc.is_valid(ids).to_numpy(zero_copy_only=False).astype(np.uint8),
+                          b.column("fold").to_numpy().astype(np.uint8)))
+        self.n += len(seq)
+
+    def row(self, block: int, model: int) -> pa.RecordBatch:
+        import xxhash
+        seq, lens, ids, valid, folds = (np.concatenate(c) for c in zip(*self.rows))
+        fold = np.repeat(folds, lens).astype(np.int64)
+        counts = _by_fold(seq, fold, len(self.known))
+        order = np.argsort(-counts.sum(axis=1), kind="stable")  # frequent words first, for short bodies
+        place = np.empty(len(order), np.int32)
+        place[order] = np.arange(len(order))
+        seq, counts = place[seq], counts[order]
+        hashes = np.fromiter((xxhash.xxh64_intdigest(w, 42) for w in self.known), np.uint64, len(order))[order].view(np.int64)
+        last = (np.cumsum(lens) - 1)[lens > 0]
+        ends = _by_fold(seq[last], fold[last], len(order))
+        n = [int((fold == f).sum()) for f in (0, 1)] + [int(((lens > 0) & (folds == f)).sum()) for f in (0, 1)]
+        words = packed(hashes, *(c[:, f].astype(np.int32) for c in (counts, ends) for f in (0, 1)))
+        values = [block, model, packed(seq, lens.astype(np.int32), ids, valid, folds), words, *n]
+        return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(values, _BLOCK)], schema=_BLOCK)
+
+
+def _blocks(model: int, most: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes = _Codes(*shared.value)
-        size = codes.other + 1
-        total = np.zeros(2 * size * size, np.int64)
+        first, made, held = TaskContext.get().partitionId() << 24, 0, _Block()
         for b in _slices(batches):
-            n, h, x = codes.bigrams(b.column("text"))
-            fold = np.repeat(np.asarray(b.column("fold").to_pylist(), np.int64), n)
-            total += np.bincount((fold * size + np.minimum(h, codes.other)) * size + np.minimum(x, codes.other), minlength=len(total))
-        at = np.flatnonzero(total)
-        for k in range(0, len(at), 100_000):
-            part = at[k:k + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array(total[part], pa.int64())], names=["cell", "n"])
+            held.add(b)
+            if held.n >= most:
+                yield held.row(first + made, model)
+                made, held = made + 1, _Block()
+        if held.rows:
+            yield held.row(first + made, model)
 
     return run
 
 
-def unigrams(counts: np.ndarray, vocabulary: int) -> tuple[np.ndarray, float]:
-    """Share of each word from a square table of counts (row: the word before), and what all shares are divided by."""
-    total = max(1.0, counts.sum() + vocabulary + 1.0)
-    return (counts.sum(axis=0) + 1.0) / total, total
+#: A block's questions to one part (key hashes with the block's counts), and a part's answers to one block.
+_ASKED = pa.schema([("part", pa.int32()), ("block", pa.int64()), ("model", pa.int32()), ("body", pa.binary())])
+_ASKED_SQL = "part int, block long, model int, body binary"
+_SUMS = [f"s{k}" for k in range(9)]
+_ANSWER_SQL = _ASKED_SQL + "".join(f", {c} long" for c in _SUMS)
 
 
-def losses(counts: np.ndarray, vocabulary: int, prior: float = PRIOR) -> np.ndarray:
-    """Loss of each bigram of frequent words, in nats. The last row and column stand for all other
-    words: the column has the part of the loss that the word before decides, the row has none."""
-    bottom = np.log(counts.sum(axis=1, keepdims=True) + prior)
-    out = bottom - np.log(counts + prior * unigrams(counts, vocabulary)[0])
-    out[:, -1] = bottom[:, 0]
-    out[-1, :] = 0
-    return out.astype(np.float32)
+def _dealt(keys: np.ndarray, parts: int) -> tuple[np.ndarray, list[int], list[int]]:
+    """Order of keys by part and value, the parts that have any, and where each ends."""
+    part = (keys.view(np.uint64) % np.uint64(parts)).astype(np.int64)
+    order = np.lexsort((keys, part))
+    at = np.flatnonzero(np.diff(part[order])) + 1
+    return order, part[order][np.r_[0, at]].tolist() if len(order) else [], [*at.tolist(), len(order)]
 
 
-def _packed(h: np.ndarray, x: np.ndarray, doc: np.ndarray, keys: np.ndarray, folds: np.ndarray) -> tuple[bytes, int, int]:
-    """Postings ``h, x, doc`` (a place in ``keys`` and ``folds``) as bytes, with the numbers of postings and documents."""
-    used, doc = np.unique(doc, return_inverse=True)
-    raw = b"".join((*(a.astype(np.int32).view(np.uint8).reshape(-1, 4).T.tobytes() for a in (h, x, np.diff(doc, prepend=0))),
-                    keys[used].tobytes(), folds[used].astype(np.uint8).tobytes()))
-    return pa.compress(raw, codec="zstd", asbytes=True), len(h), len(used)
+def _asked(block: int, model: int, keys: np.ndarray, columns: list[np.ndarray], parts: int) -> Iterator[pa.RecordBatch]:
+    order, used, ends = _dealt(keys, parts)
+    keys, columns, a, rows = keys[order], [c[order] for c in columns], 0, []
+    for part, z in zip(used, ends):
+        rows.append((part, block, model, packed(np.diff(keys[a:z], prepend=np.int64(0)), *(c[a:z] for c in columns))))
+        a = z
+    if rows:
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _ASKED)], schema=_ASKED)
 
 
-def _unpacked(body: bytes, n: int, m: int) -> tuple[np.ndarray, ...]:
-    raw = np.frombuffer(pa.decompress(body, 12 * n + 9 * m, codec="zstd", asbytes=True), np.uint8)
-    h, x, doc = (np.ascontiguousarray(raw[4 * n * k:4 * n * (k + 1)].reshape(4, n).T).view(np.int32).ravel().astype(np.int64) for k in range(3))
-    keys = np.frombuffer(raw[12 * n:12 * n + 8 * m].tobytes(), np.int64)
-    return h, x, np.cumsum(doc), keys, raw[12 * n + 8 * m:].astype(np.int64)
-
+def _word_questions(parts: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for block, model, words in zip(*(b.column(c).to_pylist() for c in ("block", "model", "words"))):
+                keys, *columns = unpacked(words)
+                yield from _asked(block, model, keys, [np.arange(len(keys), dtype=np.int32), *columns], parts)
 
-_POSTED = pa.schema([("part", pa.int32()), ("model", pa.int32()), ("n", pa.int32()), ("m", pa.int32()), ("body", pa.binary()),
-                     ("key", pa.int64()), ("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("lt", pa.float64()), ("lb", pa.float64())])
-_POSTED_SQL = "part int, model int, n int, m int, body binary, key long, doc_id long, n_tokens long, lt double, lb double"
+    return run
 
 
-def _posted(shared, tables, parts: int, model: int):
-    """Postings of a table's bigrams with other than frequent words, dealt to parts; for the
-    documents (``model`` 1) also a row each with the losses of frequent words."""
+def _groups(batches: Iterator[pa.RecordBatch], by: str, columns: tuple[str, ...]) -> Iterator[tuple[int, list[tuple]]]:
+    """Rows sorted by ``by``, a group at a time."""
+    key, held = None, []
+    for b in batches:
+        for k, *row in zip(*(b.column(c).to_pylist() for c in (by, *columns))):
+            if held and k != key:
+                yield key, held
+                held = []
+            key = k
+            held.append(tuple(row))
+    if held:
+        yield key, held
+
+
+def _met(rows: list[tuple], first: int) -> tuple[np.ndarray, np.ndarray, list[int], np.ndarray, list[list[np.ndarray]]]:
+    """Distinct keys of a part's questions, the key of each row, where rows begin, the sums of the counts
+    by key, model and column (from ``first`` on), and the arrays of each question."""
+    asked = [unpacked(body) for *_, body in rows]
+    starts = np.cumsum([0, *(len(a[0]) for a in asked)]).tolist()
+    keys, of = np.unique(np.concatenate([np.cumsum(a[0]) for a in asked]), return_inverse=True)
+    cell = of * 2 + np.repeat([model for _, model, _ in rows], [len(a[0]) for a in asked])
+    sums = [np.bincount(cell, np.concatenate([a[c] for a in asked]), 2 * len(keys)).reshape(-1, 2) for c in range(first, len(asked[0]))]
+    return keys, of, starts, np.stack(sums, axis=2).astype(np.int64), asked
+
+
+def _word_answers(allowed: np.ndarray | None):
+    """For each block the words of the vocabulary that it has: place, hash, and by model the counts and
+    the counts at the end of a text, by fold. A row without block has the part's words and sums."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes = _Codes(*shared.value)
-        size = codes.other + 1
-        held: list[tuple] = []
-        n_held = n_docs = 0
-
-        def sent() -> Iterator[pa.RecordBatch]:
-            h, x, doc, keys, folds = (np.concatenate(c) for c in zip(*held))
-            part = np.where(x >= codes.other, x, h) % parts
-            order = np.argsort(part, kind="stable")
-            h, x, doc, part = h[order], x[order], doc[order], part[order]
-            ends = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(part)]
-            rows = []
-            for a, z in zip(ends, ends[1:]):
-                if z > a:
-                    body, n, m = _packed(h[a:z], x[a:z], doc[a:z], keys, folds)
-                    rows.append((int(part[a]), model, n, m, body) + (None,) * 5)
-            for k in range(0, len(rows), 256):
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows[k:k + 256]), _POSTED)], schema=_POSTED)
-
-        for b in _slices(batches):
-            n, h, x = codes.bigrams(b.column("text"))
-            fold = np.asarray(b.column("fold").to_pylist(), np.int64)
-            key = np.asarray(b.column("key").to_pylist(), np.int64)
-            doc = np.repeat(np.arange(len(n)), n)
-            if model:
-                cell = ((1 - fold[doc]) * size + np.minimum(h, codes.other)) * size + np.minimum(x, codes.other)
-                lt, lb = (np.bincount(doc, t[cell], len(n)) for t in tables.value)
-                fill = [pa.nulls(len(n), f.type) for f in list(_POSTED)[1:5]]
-                yield pa.RecordBatch.from_arrays([pa.array(key % parts, pa.int32()), *fill, pa.array(key), b.column("doc_id"), pa.array(n),
-                                                  pa.array(lt), pa.array(lb)], schema=_POSTED)
-            # the end of a text, as a posting of its last word with the start mark
-            last = (np.cumsum(n) - 1)[n > 0]
-            h, x, doc = np.concatenate([h, x[last]]), np.concatenate([x, np.full(len(last), START)]), np.concatenate([doc, doc[last]])
-            rare = (h >= codes.other) | (x >= codes.other)
-            h, x, doc = h[rare], x[rare], doc[rare]
-            if not model:  # of the target only the fold is told on
-                doc, key, fold = fold[doc], np.zeros(2, np.int64), np.arange(2)
-            held.append((h, x, doc + n_docs, key, fold))
-            n_held, n_docs = n_held + len(h), n_docs + len(key)
-            if n_held > HELD:
-                yield from sent()
-                held, n_held, n_docs = [], 0, 0
-        if n_held:
-            yield from sent()
+        for part, rows in _groups(batches, "part", ("block", "model", "body")):
+            keys, of, starts, sums, asked = _met(rows, 2)
+            inside = sums[:, 0, :2].sum(axis=1) >= 2
+            if allowed is not None:
+                inside &= np.isin(keys, allowed)
+            flat = sums.reshape(-1, 8)
+            out = [(part, None, None, None, int(inside.sum()), *flat[inside].sum(axis=0).tolist())]
+            for (block, model, _), a, z, q in zip(rows, starts, starts[1:], asked):
+                mine = inside[of[a:z]]
+                at = of[a:z][mine]
+                out.append((part, block, model, packed(q[1][mine], keys[at], *flat[at].T), *(None,) * 9))
+            types = [f.type for f in _ASKED] + [pa.int64()] * 9
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names=[*_ASKED.names, *_SUMS])
 
     return run
 
 
-def _part_losses(h, x, doc, fold, model, n_docs: int, other: int, frequent: np.ndarray, totals: np.ndarray, prior: float) -> list[np.ndarray]:
-    """Target and background loss by document of the postings of one part, which holds all
-    occurrences of its words. Columns of counts: model * 2 + fold."""
-    own = x >= other
-    end = x == START
-    col = model * 2 + fold
-    words, w = np.unique(np.where(own, x, h), return_inverse=True)
-    pairs, p = np.unique(h << 32 | x, return_inverse=True)
-    seen = np.bincount(w * 4 + col, own, 4 * len(words)).reshape(-1, 4)
-    after = seen - np.bincount(w * 4 + col, end, 4 * len(words)).reshape(-1, 4)  # as the word before another
-    both = np.bincount(p * 4 + col, minlength=4 * len(pairs)).reshape(-1, 4)
-    bottom = np.log(after + prior)
-    s = np.flatnonzero(model == 1)
-    own, end, w, p, x, doc, other_fold = own[s], end[s], w[s], p[s], x[s], doc[s], 1 - fold[s]
-    out = []
-    for m in (0, 1):
-        c = m * 2 + other_fold
-        share = np.where(own, (seen[w, c] + 1) / totals[c], frequent[c, np.minimum(x, other)])
-        loss = np.where(end, 0.0, -np.log(both[p, c] + prior * share)) + bottom[w, c] * (own.astype(float) - end)
-        out.append(np.bincount(doc, loss, n_docs))
-    return out
+def _pair_answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each block of documents the counts of its bigrams by model and fold, without those that no document
+    of the block is scored by."""
+    for part, rows in _groups(batches, "part", ("block", "model", "body")):
+        _, of, starts, sums, asked = _met(rows, 1)
+        out = []
+        for (block, model, _), a, z, q in zip(rows, starts, starts[1:], asked):
+            if model == 1:
+                mine = sums[of[a:z]]
+                out.append((part, block, model, packed(*(np.where(q[2 - fold] > 0, mine[:, m, fold], 0) for m in (0, 1) for fold in (0, 1)))))
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), _ASKED)], schema=_ASKED)
+
+
+class _Read:
+    """A block's bigrams, from its body and the answers on its words. Words are places in a table:
+    the unknown word, the start of a text, then the block's words of the vocabulary."""
+
+    def __init__(self, body: bytes, answers: list[bytes], stats: tuple) -> None:
+        seq, self.lens, self.ids, self.valid, folds = unpacked(body)
+        unknown, start = stats[:2]
+        got = [unpacked(a) for a in answers]
+        local, hashes, *columns = (np.concatenate(c) for c in zip(*got)) if got else (np.zeros(0, np.int32), *[np.zeros(0, np.int64)] * 9)
+        place = np.zeros(int(seq.max(initial=-1)) + 1, np.int64)
+        place[local] = np.arange(len(local)) + 2
+        self.counts = np.concatenate([[unknown, start], np.stack(columns, axis=1).reshape(-1, 2, 4)])  # word, model, (count, end) by fold
+        names = np.concatenate([np.array([1, 2], np.int64), hashes]).view(np.uint64)
+        x = place[seq]
+        h = np.roll(x, 1)
+        h[(np.cumsum(self.lens) - self.lens)[self.lens > 0]] = 1
+        self.fold = np.repeat(folds, self.lens).astype(np.int64)
+        pairs, self.pair = np.unique(h * len(names) + x, return_inverse=True)
+        self.h, self.x = np.divmod(pairs, len(names))
+        z = names[self.h] * np.uint64(0x9E3779B97F4A7C15) + names[self.x]
+        z = (z ^ z >> np.uint64(32)) * np.uint64(0xD6E8FEB86659FD93)
+        self.keys = (z ^ z >> np.uint64(32)).view(np.int64)
+
+
+def _bodies(rows: list[tuple], kind: int) -> list[bytes]:
+    return [body for k, body in rows if k == kind]
 
 
-def _summed(stats, prior: float):
-    """Losses by document, from the postings sorted by part."""
+def _pair_questions(stats: tuple, parts: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        frequent, totals = stats.value
-        other = frequent.shape[1] - 1
-        held: list[tuple] = []
-        done: list[tuple] = []
-
-        def batch(key, doc_id, n, lt, lb) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), doc_id, n, pa.array(lt), pa.array(lb)], names=["key", "doc_id", "n_tokens", "lt", "lb"])
-
-        def scored() -> None:
-            h, x, doc, fold, model, keys, at = [], [], [], [], [], [], 0
-            for kind, n, m, body in held:
-                a, b, d, k, f = _unpacked(body, n, m)
-                h.append(a), x.append(b), doc.append(d + at), fold.append(f[d]), model.append(np.full(n, kind)), keys.append(k)
-                at += m
-            lt, lb = _part_losses(*(np.concatenate(v) for v in (h, x, doc, fold, model)), at, other, frequent, totals, prior)
-            mine = np.repeat([kind for kind, *_ in held], [len(k) for k in keys]) == 1
-            done.append((np.concatenate(keys)[mine], lt[mine], lb[mine]))
-            held.clear()
-
-        def merged() -> pa.RecordBatch:
-            keys, lt, lb = (np.concatenate(v) for v in zip(*done))
-            done.clear()
-            keys, at = np.unique(keys, return_inverse=True)
-            none = pa.nulls(len(keys), pa.int64())
-            return batch(keys, none, none, np.bincount(at, lt, len(keys)), np.bincount(at, lb, len(keys)))
-
-        part = None
-        for b in batches:
-            docs = b.filter(pc.is_valid(b.column("n_tokens")))
-            if docs.num_rows:
-                yield docs.select(["key", "doc_id", "n_tokens", "lt", "lb"])
-            for k, *row in zip(*(b.column(c).to_pylist() for c in ("part", "model", "n", "m", "body"))):
-                if row[0] is None:
-                    continue
-                if held and k != part:
-                    scored()
-                    if sum(len(d[0]) for d in done) > 1_000_000:
-                        yield merged()
-                part = k
-                held.append(row)
-        if held:
-            scored()
-        if done:
-            yield merged()
+        for block, rows in _groups(batches, "block", ("model", "kind", "body")):
+            read = _Read(*_bodies([r[1:] for r in rows], 0), _bodies([r[1:] for r in rows], 1), stats)
+            n = _by_fold(read.pair, read.fold, len(read.keys)).astype(np.int32)
+            yield from _asked(block, rows[0][0], read.keys, [n[:, 0], n[:, 1]], parts)
+
+    return run
+
+
+def _scored(stats: tuple, parts: int, prior: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        totals = stats[2]
+        for _, rows in _groups(batches, "block", ("kind", "body")):
+            read = _Read(*_bodies(rows, 0), _bodies(rows, 1), stats)
+            order = _dealt(read.keys, parts)[0]
+            both = np.zeros((len(order), 4), np.int64)  # model * 2 + fold
+            if len(order):
+                both[order] = np.concatenate([np.stack(unpacked(a), axis=1) for a in _bodies(rows, 2)])
+            n, ends = read.counts[:, :, :2], read.counts[:, :, 2:]
+            doc = np.repeat(np.arange(len(read.lens)), read.lens)
+            mean = []
+            for m in (0, 1):
+                by_fold = [np.log(n[read.h, m, f] - ends[read.h, m, f] + prior)
+                           - np.log(both[:, m * 2 + f] + prior * (n[read.x, m, f] + 1) / totals[m][f]) for f in (0, 1)]
+                loss = np.where(read.fold == 0, by_fold[1][read.pair], by_fold[0][read.pair])  # of the other fold's model
+                mean.append(np.bincount(doc, loss, len(read.lens)) / np.maximum(read.lens, 1))
+            none = read.lens == 0
+            yield pa.RecordBatch.from_arrays([pa.array(read.ids, mask=read.valid == 0), pa.array(read.lens.astype(np.int64)),
+                                              *(pa.array(v, mask=none) for v in (*mean, mean[0] - mean[1]))],
+                                             names=["doc_id", "n_tokens", "target_loss", "background_loss", "score"])
 
     return run
 
 
-def _tables(docs: DataFrame, shared, size: int) -> np.ndarray:
-    """Counts of the bigrams of frequent words, by fold."""
-    summed = (docs.select("text", "fold").mapInArrow(_cell_counts(shared), "cell long, n long")
-              .groupBy("cell").agg(F.sum("n").alias("n")).toArrow())
-    out = np.zeros(2 * size * size, np.int64)  # of fixed size, whatever the input
-    out[summed.column("cell").to_numpy()] = summed.column("n").to_numpy()
-    return out.reshape(2, size, size)
+def _numbered(blocks: DataFrame, words: DataFrame) -> DataFrame:
+    return (blocks.select("block", "model", F.lit(0).alias("kind"), F.lit(-1).alias("part"), "body")
+            .unionByName(words.where("block is not null").select("block", "model", F.lit(1).alias("kind"), "part", "body")))
 
 
 def cross_entropy_difference(docs: DataFrame, target: DataFrame, vocabulary: int | None = None,
-                             prior: float = PRIOR, frequent: int = FREQUENT) -> DataFrame:
+                             prior: float = PRIOR, held: int = HELD) -> DataFrame:
     """One row per document of ``docs(doc_id, text)``: doc_id, n_tokens, target_loss,
     background_loss, score. ``target(doc_id, text)`` is the target corpus. ``vocabulary`` keeps
-    only that many of its most frequent words; ``frequent`` has no influence on the result."""
+    only that many of its most frequent words (their hashes go to every task); ``held``, the
+    tokens of a block, has no influence on the result."""
     spark = docs.sparkSession
-    sc = spark.sparkContext
     ship_package(spark)
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = PARTS * n
     docs, target = (d.select(F.col("doc_id").cast("long").alias("doc_id"), empty_text(F.col("text")).alias("text"))
                     .withColumn("fold", F.pmod(F.xxhash64("doc_id"), F.lit(2)).cast("int")) for d in (docs, target))
-    target = written(target, "lm-target")
-    count = lambda d: d.select("text").mapInArrow(_word_counts, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    words = count(target).where("n >= 2")
-    words = written(words if vocabulary is None else words.orderBy(F.desc("n"), "word").limit(vocabulary), "lm-words")
-    top = lambda d: [bytes(r[0]) for r in d.orderBy(F.desc("n"), "word").limit(frequent // 2).collect()]
-    sample = count(docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(2 * SAMPLE)) < 2)).join(words.select("word"), "word", "left_semi")
-    often = list(dict.fromkeys(top(words) + top(sample)))
-    hashes = np.sort(words.select(F.xxhash64("word").alias("h")).toArrow().column("h").to_numpy())
-    shared = sc.broadcast((hashes, often))
-    size = len(often) + 3
-    counts = [x for d in (target, docs) for x in _tables(d, shared, size)]  # by model, then fold
-    shares, totals = zip(*(unigrams(x, len(hashes)) for x in counts))
-    dense = [losses(x, len(hashes), prior) for x in counts]
-    tables = sc.broadcast([np.concatenate([t.ravel() for t in dense[k:k + 2]]) for k in (0, 2)])
-    stats = sc.broadcast((np.array(shares), np.array(totals)))
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    keyed = [d.withColumn("key", F.xxhash64("doc_id", "text")) for d in (target, docs)]
-    rows = [d.mapInArrow(_posted(shared, tables, PARTS * n, k), _POSTED_SQL) for k, d in enumerate(keyed)]
-    sums = (rows[0].unionByName(rows[1]).repartition(n, "part").sortWithinPartitions("part")
-            .mapInArrow(_summed(stats, prior), "key long, doc_id long, n_tokens long, lt double, lb double"))
-    # equal rows share a key and their sums: as many rows come out
-    out = sums.groupBy("key").agg(F.max("doc_id").alias("doc_id"), F.count("n_tokens").alias("rows"), F.sum("n_tokens").alias("n"),
-                                  F.sum("lt").alias("lt"), F.sum("lb").alias("lb"))
-    mean = lambda c: F.when(F.col("n") > 0, F.col(c) / F.col("n"))
-    out = out.select("doc_id", (F.col("n") / F.col("rows")).cast("long").alias("n_tokens"), mean("lt").alias("target_loss"),
-                     mean("lb").alias("background_loss"), F.explode(F.sequence(F.lit(1).cast("long"), "rows")).alias("__row")).drop("__row")
-    return out.withColumn("score", F.col("target_loss") - F.col("background_loss"))
+    allowed = None
+    if vocabulary is not None:
+        target = written(target, "lm-target")
+        words = target.select("text").mapInArrow(_word_counts, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+        top = words.where("n >= 2").orderBy(F.desc("n"), "word").limit(vocabulary)
+        allowed = top.select(F.xxhash64("word").alias("h")).toArrow().column("h").to_numpy()
+    encoded = [d.mapInArrow(_blocks(k, held), _BLOCK_SQL) for k, d in enumerate((target, docs))]
+    blocks = written(encoded[0].unionByName(encoded[1]), "lm-blocks")
+
+    def answered(asked: DataFrame, answer: Callable, schema: str) -> DataFrame:
+        return asked.repartition(n, "part").sortWithinPartitions("part", "block").mapInArrow(answer, schema)
+
+    def by_block(rows: DataFrame) -> DataFrame:
+        return rows.repartition(n, "block").sortWithinPartitions("block", "kind", "part")
+
+    words = written(answered(blocks.select("block", "model", "words").mapInArrow(_word_questions(parts), _ASKED_SQL),
+                             _word_answers(allowed), _ANSWER_SQL), "lm-words")
+    sums = [v or 0 for v in words.where("block is null").agg(*(F.sum(c) for c in _SUMS)).first()]
+    known = np.array(sums[1:], np.int64).reshape(2, 4)
+    sizes = {r.model: list(r)[1:] for r in blocks.groupBy("model").agg(*(F.sum(c) for c in ("tokens0", "tokens1", "docs0", "docs1"))).collect()}
+    size = np.array([sizes.get(m, [0] * 4) for m in (0, 1)], np.int64)
+    start = np.concatenate([size[:, 2:], np.zeros((2, 2), np.int64)], axis=1)
+    stats = (size - known, start, (size[:, :2] + sums[0] + 1).tolist())
+    asked = by_block(_numbered(blocks, words)).mapInArrow(_pair_questions(stats, parts), _ASKED_SQL)
+    pairs = answered(asked, _pair_answers, _ASKED_SQL).select("block", "model", F.lit(2).alias("kind"), "part", "body")
+    mine = _numbered(blocks.where("model = 1"), words.where("model = 1"))
+    return by_block(mine.unionByName(pairs)).mapInArrow(
+        _scored(stats, parts, prior), "doc_id long, n_tokens long, target_loss double, background_loss double, score double")
 
 
 def good_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:

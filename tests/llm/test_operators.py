@@ -354,7 +354,7 @@ def test_lm_scores_equal_direct_counts(spark, odd, none):
 
 
 def test_lm_vocabulary_is_the_whole_target(spark):
-    """Every target word seen twice or more has its own counts, whichever words count as frequent."""
+    """Every target word seen twice or more has its own counts, whatever the size of a block."""
     rng = np.random.default_rng(11)
     words_ = [f"w{k}" for k in range(3000)]
     texts = [" ".join(words_[int(k)] for k in np.minimum(rng.zipf(1.2, 120) - 1, 2999)) + " " + " ".join(words_[9 * i:9 * i + 40])
@@ -380,8 +380,8 @@ def test_lm_vocabulary_is_the_whole_target(spark):
         return lambda h, w: -np.log((bi[h, w] + 50 * (uni[w] + 1) / total) / (after[h] + 50))
 
     models = [(model([d for i, d in seen if fold[i] != f and i < 200]), model([d for i, d in seen if fold[i] != f])) for f in (0, 1)]
-    for frequent in (1022, 20, 0):
-        got = lm_score.cross_entropy_difference(df, target, frequent=frequent).collect()
+    for held in (1 << 22, 4000, 1):
+        got = lm_score.cross_entropy_difference(df, target, held=held).collect()
         assert Counter(r.doc_id for r in got) == Counter(i for i, _ in seen)
         text = dict(seen)
         for r in got:
