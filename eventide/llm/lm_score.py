@@ -13,9 +13,10 @@ tokens as places among them, and its documents. A block asks for each of its dis
 then for each of its distinct bigrams, once: the question carries the block's own counts and goes to
 the part of the key's hash, where the counts of all blocks meet, and the answer brings the sums back.
 So what is shuffled follows the distinct bigrams of a block, a key meets once per block however
-frequent it is, and whether a word is in the vocabulary comes with the answer. A block then scores
-its documents by itself. Nothing that grows with the input is broadcast or sent to the driver.
-Words and bigrams are told apart by hashes of 64 bits.
+frequent it is, and whether a word is in the vocabulary, and its number there, comes with the answer.
+A block then scores its documents by itself; its row is shuffled once for both uses. Nothing that
+grows with the input is broadcast or sent to the driver. Words are told apart by hashes of 64 bits,
+bigrams by the numbers of their words (below 2^31).
 
 A document must not be scored by a model that has read it, or every target document would look
 like the target. So documents fall into two folds by the hash of their id, both models are kept
@@ -43,7 +44,7 @@ from .toxicity import held_out
 
 PRIOR = 50.0
 #: Tokens of a block (a longer document is a block of its own), and parts for each shuffle partition.
-HELD, PARTS = 1 << 22, 4
+HELD, PARTS = 1 << 23, 4
 #: Slots of the filter that lets target documents through before the exact join (16 MB at most).
 TARGET_SLOTS = 1 << 20
 
@@ -125,11 +126,11 @@ class _Block:
         seq, lens, ids, valid, folds = (np.concatenate(c) for c in zip(*self.rows))
         fold = np.repeat(folds, lens).astype(np.int64)
         counts = _by_fold(seq, fold, len(self.known))
-        order = np.argsort(-counts.sum(axis=1), kind="stable")  # frequent words first, for short bodies
+        hashes = np.fromiter((xxhash.xxh64_intdigest(w, 42) for w in self.known), np.uint64, len(self.known)).view(np.int64)
+        order = np.lexsort((hashes, -counts.sum(axis=1)))  # frequent words first, for short bodies
         place = np.empty(len(order), np.int32)
         place[order] = np.arange(len(order))
-        seq, counts = place[seq], counts[order]
-        hashes = np.fromiter((xxhash.xxh64_intdigest(w, 42) for w in self.known), np.uint64, len(order))[order].view(np.int64)
+        seq, counts, hashes = place[seq], counts[order], hashes[order]
         last = (np.cumsum(lens) - 1)[lens > 0]
         ends = _by_fold(seq[last], fold[last], len(order))
         n = [int((fold == f).sum()) for f in (0, 1)] + [int(((lens > 0) & (folds == f)).sum()) for f in (0, 1)]
@@ -152,27 +153,24 @@ def _blocks(model: int, most: int):
     return run
 
 
-#: A block's questions to one part (key hashes with the block's counts), and a part's answers to one block.
+#: A block's questions to one part (keys with the block's counts), and a part's answers to one block.
 _ASKED = pa.schema([("part", pa.int32()), ("block", pa.int64()), ("model", pa.int32()), ("body", pa.binary())])
 _ASKED_SQL = "part int, block long, model int, body binary"
 _SUMS = [f"s{k}" for k in range(9)]
 _ANSWER_SQL = _ASKED_SQL + "".join(f", {c} long" for c in _SUMS)
 
 
-def _dealt(keys: np.ndarray, parts: int) -> tuple[np.ndarray, list[int], list[int]]:
-    """Order of keys by part and value, the parts that have any, and where each ends."""
-    part = (keys.view(np.uint64) % np.uint64(parts)).astype(np.int64)
-    order = np.lexsort((keys, part))
-    at = np.flatnonzero(np.diff(part[order])) + 1
-    return order, part[order][np.r_[0, at]].tolist() if len(order) else [], [*at.tolist(), len(order)]
+def _steps(a: np.ndarray) -> np.ndarray:
+    return np.diff(a, prepend=a.dtype.type(0))
 
 
-def _asked(block: int, model: int, keys: np.ndarray, columns: list[np.ndarray], parts: int) -> Iterator[pa.RecordBatch]:
-    order, used, ends = _dealt(keys, parts)
-    keys, columns, a, rows = keys[order], [c[order] for c in columns], 0, []
-    for part, z in zip(used, ends):
-        rows.append((part, block, model, packed(np.diff(keys[a:z], prepend=np.int64(0)), *(c[a:z] for c in columns))))
-        a = z
+def _asked(block: int, model: int, part: np.ndarray, columns: list[np.ndarray], stepped: tuple[int, ...]) -> Iterator[pa.RecordBatch]:
+    """The rows of ``columns`` dealt to their parts, in the given order; of the ``stepped`` columns the differences."""
+    order = np.argsort(part, kind="stable")
+    part, columns = part[order], [c[order] for c in columns]
+    ends = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(part)]
+    rows = [(int(part[a]), block, model, packed(*(_steps(c[a:z]) if k in stepped else c[a:z] for k, c in enumerate(columns))))
+            for a, z in zip(ends, ends[1:]) if z > a]
     if rows:
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _ASKED)], schema=_ASKED)
 
@@ -181,8 +179,9 @@ def _word_questions(parts: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for block, model, words in zip(*(b.column(c).to_pylist() for c in ("block", "model", "words"))):
-                keys, *columns = unpacked(words)
-                yield from _asked(block, model, keys, [np.arange(len(keys), dtype=np.int32), *columns], parts)
+                hashes, *counts = unpacked(words)
+                part = (hashes.view(np.uint64) % np.uint64(parts)).astype(np.int32)
+                yield from _asked(block, model, part, [hashes, np.arange(len(hashes), dtype=np.int32), *counts], (0, 1))
 
     return run
 
@@ -201,32 +200,38 @@ def _groups(batches: Iterator[pa.RecordBatch], by: str, columns: tuple[str, ...]
         yield key, held
 
 
-def _met(rows: list[tuple], first: int) -> tuple[np.ndarray, np.ndarray, list[int], np.ndarray, list[list[np.ndarray]]]:
+def _met(rows: list[tuple], key: Callable) -> tuple[np.ndarray, np.ndarray, list[int], np.ndarray, list[list[np.ndarray]]]:
     """Distinct keys of a part's questions, the key of each row, where rows begin, the sums of the counts
-    by key, model and column (from ``first`` on), and the arrays of each question."""
+    by key, model and column, and the arrays of each question (counts from the third on)."""
     asked = [unpacked(body) for *_, body in rows]
     starts = np.cumsum([0, *(len(a[0]) for a in asked)]).tolist()
-    keys, of = np.unique(np.concatenate([np.cumsum(a[0]) for a in asked]), return_inverse=True)
+    keys, of = np.unique(np.concatenate([key(*a[:2]) for a in asked]), return_inverse=True)
     cell = of * 2 + np.repeat([model for _, model, _ in rows], [len(a[0]) for a in asked])
-    sums = [np.bincount(cell, np.concatenate([a[c] for a in asked]), 2 * len(keys)).reshape(-1, 2) for c in range(first, len(asked[0]))]
+    sums = [np.bincount(cell, np.concatenate([a[c] for a in asked]), 2 * len(keys)).reshape(-1, 2) for c in range(2, len(asked[0]))]
     return keys, of, starts, np.stack(sums, axis=2).astype(np.int64), asked
 
 
-def _word_answers(allowed: np.ndarray | None):
-    """For each block the words of the vocabulary that it has: place, hash, and by model the counts and
-    the counts at the end of a text, by fold. A row without block has the part's words and sums."""
+def _word_answers(allowed: np.ndarray | None, parts: int):
+    """For each block the words of the vocabulary that it has: place, number, and by model the counts and
+    the counts at the end of a text, by fold. A row without block has the part's words and sums.
+    Numbers are low for words that the target often has; 0 and 1 stand for the unknown word and the start."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, rows in _groups(batches, "part", ("block", "model", "body")):
-            keys, of, starts, sums, asked = _met(rows, 2)
-            inside = sums[:, 0, :2].sum(axis=1) >= 2
+            keys, of, starts, sums, asked = _met(rows, lambda steps, _: np.cumsum(steps))
+            often = sums[:, 0, :2].sum(axis=1)
+            inside = often >= 2
             if allowed is not None:
                 inside &= np.isin(keys, allowed)
+            number = np.zeros(len(keys), np.int64)
+            ranked = np.flatnonzero(inside)
+            ranked = ranked[np.argsort(-often[ranked], kind="stable")]
+            number[ranked] = np.arange(len(ranked)) * parts + part + 2
             flat = sums.reshape(-1, 8)
             out = [(part, None, None, None, int(inside.sum()), *flat[inside].sum(axis=0).tolist())]
             for (block, model, _), a, z, q in zip(rows, starts, starts[1:], asked):
                 mine = inside[of[a:z]]
                 at = of[a:z][mine]
-                out.append((part, block, model, packed(q[1][mine], keys[at], *flat[at].T), *(None,) * 9))
+                out.append((part, block, model, packed(_steps(np.cumsum(q[1], dtype=np.int32)[mine]), number[at], *flat[at].T), *(None,) * 9))
             types = [f.type for f in _ASKED] + [pa.int64()] * 9
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names=[*_ASKED.names, *_SUMS])
 
@@ -237,75 +242,81 @@ def _pair_answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     """For each block of documents the counts of its bigrams by model and fold, without those that no document
     of the block is scored by."""
     for part, rows in _groups(batches, "part", ("block", "model", "body")):
-        _, of, starts, sums, asked = _met(rows, 1)
+        _, of, starts, sums, asked = _met(rows, lambda steps, x: np.cumsum(steps) << 32 | x)
         out = []
         for (block, model, _), a, z, q in zip(rows, starts, starts[1:], asked):
             if model == 1:
                 mine = sums[of[a:z]]
-                out.append((part, block, model, packed(*(np.where(q[2 - fold] > 0, mine[:, m, fold], 0) for m in (0, 1) for fold in (0, 1)))))
+                out.append((part, block, model, packed(*(np.where(q[3 - fold] > 0, mine[:, m, fold], 0) for m in (0, 1) for fold in (0, 1)))))
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), _ASKED)], schema=_ASKED)
 
 
 class _Read:
     """A block's bigrams, from its body and the answers on its words. Words are places in a table:
-    the unknown word, the start of a text, then the block's words of the vocabulary."""
+    the unknown word, the start of a text, then the block's words of the vocabulary by number."""
 
-    def __init__(self, body: bytes, answers: list[bytes], stats: tuple) -> None:
+    def __init__(self, body: bytes, answers: list[bytes], stats: tuple, parts: int) -> None:
         seq, self.lens, self.ids, self.valid, folds = unpacked(body)
         unknown, start = stats[:2]
         got = [unpacked(a) for a in answers]
-        local, hashes, *columns = (np.concatenate(c) for c in zip(*got)) if got else (np.zeros(0, np.int32), *[np.zeros(0, np.int64)] * 9)
+        local, number, *columns = ((np.concatenate(c) for c in zip(*((np.cumsum(g[0]), *g[1:]) for g in got)))
+                                   if got else [np.zeros(0, np.int64)] * 10)
+        order = np.argsort(number)
         place = np.zeros(int(seq.max(initial=-1)) + 1, np.int64)
-        place[local] = np.arange(len(local)) + 2
-        self.counts = np.concatenate([[unknown, start], np.stack(columns, axis=1).reshape(-1, 2, 4)])  # word, model, (count, end) by fold
-        names = np.concatenate([np.array([1, 2], np.int64), hashes]).view(np.uint64)
+        place[local[order]] = np.arange(len(local)) + 2
+        # word, model, (count, count at the end of a text) by fold
+        self.counts = np.concatenate([[unknown, start], np.stack(columns, axis=1)[order].reshape(-1, 2, 4)])
+        number = np.concatenate([np.arange(2), number[order]])
         x = place[seq]
         h = np.roll(x, 1)
         h[(np.cumsum(self.lens) - self.lens)[self.lens > 0]] = 1
         self.fold = np.repeat(folds, self.lens).astype(np.int64)
-        pairs, self.pair = np.unique(h * len(names) + x, return_inverse=True)
-        self.h, self.x = np.divmod(pairs, len(names))
-        z = names[self.h] * np.uint64(0x9E3779B97F4A7C15) + names[self.x]
+        pairs, self.pair = np.unique(h * len(number) + x, return_inverse=True)
+        self.h, self.x = np.divmod(pairs, len(number))
+        self.numbers = number[self.h], number[self.x]
+        z = self.numbers[0].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + self.numbers[1].astype(np.uint64)
         z = (z ^ z >> np.uint64(32)) * np.uint64(0xD6E8FEB86659FD93)
-        self.keys = (z ^ z >> np.uint64(32)).view(np.int64)
-
-
-def _bodies(rows: list[tuple], kind: int) -> list[bytes]:
-    return [body for k, body in rows if k == kind]
+        self.part = ((z ^ z >> np.uint64(32)) % np.uint64(parts)).astype(np.int32)
 
 
 def _pair_questions(stats: tuple, parts: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, rows in _groups(batches, "block", ("model", "kind", "body")):
-            read = _Read(*_bodies([r[1:] for r in rows], 0), _bodies([r[1:] for r in rows], 1), stats)
-            n = _by_fold(read.pair, read.fold, len(read.keys)).astype(np.int32)
-            yield from _asked(block, rows[0][0], read.keys, [n[:, 0], n[:, 1]], parts)
+            read = _Read(rows[0][2], [body for *_, body in rows[1:]], stats, parts)
+            n = _by_fold(read.pair, read.fold, len(read.part)).astype(np.int32)
+            yield from _asked(block, rows[0][0], read.part, [*read.numbers, n[:, 0], n[:, 1]], (0,))
 
     return run
 
 
+_SCORED_SQL = "doc_id long, n_tokens long, target_loss double, background_loss double, score double"
+_SCORED = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), *((c, pa.float64()) for c in ("target_loss", "background_loss", "score"))])
+
+
 def _scored(stats: tuple, parts: int, prior: float):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        totals = stats[2]
-        for _, rows in _groups(batches, "block", ("kind", "body")):
-            read = _Read(*_bodies(rows, 0), _bodies(rows, 1), stats)
-            order = _dealt(read.keys, parts)[0]
-            both = np.zeros((len(order), 4), np.int64)  # model * 2 + fold
-            if len(order):
-                both[order] = np.concatenate([np.stack(unpacked(a), axis=1) for a in _bodies(rows, 2)])
-            n, ends = read.counts[:, :, :2], read.counts[:, :, 2:]
-            doc = np.repeat(np.arange(len(read.lens)), read.lens)
-            mean = []
-            for m in (0, 1):
-                by_fold = [np.log(n[read.h, m, f] - ends[read.h, m, f] + prior)
-                           - np.log(both[:, m * 2 + f] + prior * (n[read.x, m, f] + 1) / totals[m][f]) for f in (0, 1)]
-                loss = np.where(read.fold == 0, by_fold[1][read.pair], by_fold[0][read.pair])  # of the other fold's model
-                mean.append(np.bincount(doc, loss, len(read.lens)) / np.maximum(read.lens, 1))
-            none = read.lens == 0
-            yield pa.RecordBatch.from_arrays([pa.array(read.ids, mask=read.valid == 0), pa.array(read.lens.astype(np.int64)),
-                                              *(pa.array(v, mask=none) for v in (*mean, mean[0] - mean[1]))],
-                                             names=["doc_id", "n_tokens", "target_loss", "background_loss", "score"])
+    """Scores of a block's documents, from its body, the answers on its words and those on its bigrams."""
+    def run(block: pa.Table, answers: pa.Table) -> pa.Table:
+        block = block.sort_by([("kind", "ascending"), ("part", "ascending")])
+        if block.column("model")[0].as_py() == 0:
+            return _SCORED.empty_table()
+        body, *words = block.column("body").to_pylist()
+        read = _Read(body, words, stats, parts)
+        both = np.zeros((len(read.part), 4), np.int64)  # model * 2 + fold
+        if len(both):
+            told = answers.sort_by("part").column("body").to_pylist()
+            both[np.argsort(read.part, kind="stable")] = np.concatenate([np.stack(unpacked(a), axis=1) for a in told])
+        n, ends = read.counts[:, :, :2], read.counts[:, :, 2:]
+        doc = np.repeat(np.arange(len(read.lens)), read.lens)
+        mean = []
+        for m in (0, 1):
+            by_fold = [np.log(n[read.h, m, f] - ends[read.h, m, f] + prior)
+                       - np.log(both[:, m * 2 + f] + prior * (n[read.x, m, f] + 1) / stats[2][m][f]) for f in (0, 1)]
+            loss = np.where(read.fold == 0, by_fold[1][read.pair], by_fold[0][read.pair])  # of the other fold's model
+            mean.append(np.bincount(doc, loss, len(read.lens)) / np.maximum(read.lens, 1))
+        none = read.lens == 0
+        return pa.Table.from_arrays([pa.array(read.ids, mask=read.valid == 0), pa.array(read.lens.astype(np.int64)),
+                                     *(pa.array(v, mask=none) for v in (*mean, mean[0] - mean[1]))], schema=_SCORED)
 
     return run
 
@@ -339,22 +350,19 @@ def cross_entropy_difference(docs: DataFrame, target: DataFrame, vocabulary: int
     def answered(asked: DataFrame, answer: Callable, schema: str) -> DataFrame:
         return asked.repartition(n, "part").sortWithinPartitions("part", "block").mapInArrow(answer, schema)
 
-    def by_block(rows: DataFrame) -> DataFrame:
-        return rows.repartition(n, "block").sortWithinPartitions("block", "kind", "part")
-
     words = written(answered(blocks.select("block", "model", "words").mapInArrow(_word_questions(parts), _ASKED_SQL),
-                             _word_answers(allowed), _ANSWER_SQL), "lm-words")
+                             _word_answers(allowed, parts), _ANSWER_SQL), "lm-words")
     sums = [v or 0 for v in words.where("block is null").agg(*(F.sum(c) for c in _SUMS)).first()]
     known = np.array(sums[1:], np.int64).reshape(2, 4)
     sizes = {r.model: list(r)[1:] for r in blocks.groupBy("model").agg(*(F.sum(c) for c in ("tokens0", "tokens1", "docs0", "docs1"))).collect()}
     size = np.array([sizes.get(m, [0] * 4) for m in (0, 1)], np.int64)
     start = np.concatenate([size[:, 2:], np.zeros((2, 2), np.int64)], axis=1)
     stats = (size - known, start, (size[:, :2] + sums[0] + 1).tolist())
-    asked = by_block(_numbered(blocks, words)).mapInArrow(_pair_questions(stats, parts), _ASKED_SQL)
-    pairs = answered(asked, _pair_answers, _ASKED_SQL).select("block", "model", F.lit(2).alias("kind"), "part", "body")
-    mine = _numbered(blocks.where("model = 1"), words.where("model = 1"))
-    return by_block(mine.unionByName(pairs)).mapInArrow(
-        _scored(stats, parts, prior), "doc_id long, n_tokens long, target_loss double, background_loss double, score double")
+    # one exchange, used for the questions and again for the scores
+    by_block = _numbered(blocks, words).repartition(n, "block")
+    asked = by_block.sortWithinPartitions("block", "kind", "part").mapInArrow(_pair_questions(stats, parts), _ASKED_SQL)
+    told = answered(asked, _pair_answers, _ASKED_SQL).repartition(n, "block")
+    return by_block.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(_scored(stats, parts, prior), _SCORED_SQL)
 
 
 def good_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
