@@ -43,8 +43,9 @@ from .common import empty_text, ship_package, written
 from .toxicity import held_out
 
 PRIOR = 50.0
-#: Tokens of a block (a longer document is a block of its own), and parts for each shuffle partition.
-HELD, PARTS = 1 << 23, 4
+#: Tokens of a block (a longer document makes it longer), and parts for each shuffle partition; a task holds
+#: one block or the questions to one part.
+HELD, PARTS = 1 << 21, 2
 #: Slots of the filter that lets target documents through before the exact join (16 MB at most).
 TARGET_SLOTS = 1 << 20
 
@@ -57,21 +58,32 @@ def tokens(text: str | None) -> list[bytes]:
 
 
 def packed(*arrays: np.ndarray) -> bytes:
-    """Integer arrays as bytes: lengths and widths, then the bytes of each by significance, compressed."""
-    head = np.array([len(arrays), *(x for a in arrays for x in (len(a), a.itemsize))], np.int64)
-    raw = b"".join(np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.itemsize).T.tobytes() for a in arrays)
-    return head.tobytes() + (pa.compress(raw, codec="zstd", asbytes=True) if raw else b"")
+    """Integer arrays as bytes: of each its length, width and the sizes of its planes (bytes of equal
+    significance), then the planes, each compressed by itself and none where it is all zero."""
+    head, body = [len(arrays)], []
+    for a in arrays:
+        planes = np.ascontiguousarray(np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.itemsize).T)
+        planes = [pa.compress(p.tobytes(), codec="zstd", asbytes=True) if p.any() else b"" for p in planes]
+        head += [len(a), a.itemsize, *map(len, planes)]
+        body += planes
+    return np.array(head, np.int32).tobytes() + b"".join(body)
 
 
 def unpacked(body: bytes) -> list[np.ndarray]:
-    k = int(np.frombuffer(body, np.int64, 1)[0])
-    shape = np.frombuffer(body, np.int64, 2 * k, 8).reshape(k, 2).tolist()
-    size = sum(n * w for n, w in shape)
-    raw = np.frombuffer(pa.decompress(body[8 + 16 * k:], size, codec="zstd", asbytes=True) if size else b"", np.uint8)
-    out, at = [], 0
-    for n, w in shape:
-        out.append(np.ascontiguousarray(raw[at:at + n * w].reshape(w, n).T).reshape(-1).view(_KIND[w]))
-        at += n * w
+    count = int(np.frombuffer(body, np.int32, 1)[0])
+    shapes, at = [], 4
+    for _ in range(count):
+        n, width = np.frombuffer(body, np.int32, 2, at).tolist()
+        shapes.append((n, width, np.frombuffer(body, np.int32, width, at + 8).tolist()))
+        at += 8 + 4 * width
+    out = []
+    for n, width, sizes in shapes:
+        planes = np.zeros((n, width), np.uint8)
+        for k, size in enumerate(sizes):
+            if size:
+                planes[:, k] = np.frombuffer(pa.decompress(body[at:at + size], n, codec="zstd", asbytes=True), np.uint8)
+            at += size
+        out.append(planes.reshape(-1).view(_KIND[width]))
     return out
 
 
