@@ -6,7 +6,7 @@ integral; the shares, capped at ``max_epochs`` passes over a source, are its tar
 Walking through a source's documents (epoch after epoch, each in the order of a hash of the
 document's id) uses up the target; the moment of training at which a source's cumulative
 demand reaches a document is the document's position, found by inverting the integrated
-schedule (a quadratic in time). Range-sorting by position gives the training order.
+schedule (a quadratic in time) for every use. Range-sorting by position gives the training order.
 
 Defined results: NULL or blank text has size 0, takes nothing and keeps its row; the NULL
 source is a source of its own and comes last in code point order; repeated rows are rows of
@@ -69,12 +69,13 @@ def time_of(share: Column, w0: Column, w1: Column) -> Column:
 def mix(docs: DataFrame, total_share: float = 1.5, max_epochs: float = 2.0,
         weights: tuple = WEIGHTS, drift: tuple = DRIFT) -> DataFrame:
     """One row per document of ``docs(doc_id, text, source)``: doc_id, size, source_size, target,
-    taken, source, position, last_position.
+    taken, source, position, last_position, positions, range-sorted into training order by the first use (unused
+    documents last).
 
     ``taken`` counts the words the mix takes of the document: a full pass of its source takes
     the whole document, the last pass takes what the target still needs, which cuts one
-    document per source. ``position`` and ``last_position`` are the times of its first and last
-    use (NULL when it is not used)."""
+    document per source. ``positions`` holds the time of each of its uses, one per pass that takes words of
+    it; ``position`` and ``last_position`` are the first and the last of them (all NULL when it is not used)."""
     sizes = docs.select("doc_id", F.col("source"), word_count(F.col("text")).alias("size"))
     key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
     sizes = sizes.withColumn("__k", key)
@@ -90,11 +91,15 @@ def mix(docs: DataFrame, total_share: float = 1.5, max_epochs: float = 2.0,
     taken = passes * F.col("size") + part
     at = lambda words: time_of(words / F.greatest(goal, F.lit(1)), F.col("w0"), F.col("w1"))
     last_pass = F.when(part > 0, passes).otherwise(passes - 1)
-    return rows.select(
+    reached = F.transform(F.sequence(F.lit(0).cast("long"), last_pass), lambda k: at(k * F.col("source_size") + F.col("start")))
+    rows = rows.select(
         "doc_id", "size", "source_size", F.col("target").cast("double").alias("target"),
         taken.cast("long").alias("taken"), "source",
         F.when(taken > 0, at(F.col("start"))).alias("position"),
-        F.when(taken > 0, at(last_pass * F.col("source_size") + F.col("start"))).alias("last_position"))
+        F.when(taken > 0, at(last_pass * F.col("source_size") + F.col("start"))).alias("last_position"),
+        F.when(taken > 0, reached).alias("positions"))
+    order = [F.col("position").asc_nulls_last(), F.col("doc_id")]
+    return rows.repartitionByRange(*order).sortWithinPartitions(*order)
 
 
 def in_training_order(docs: DataFrame, **options) -> DataFrame:
@@ -114,14 +119,12 @@ def in_training_order(docs: DataFrame, **options) -> DataFrame:
     rest = F.col("taken") - whole * F.col("size")
     uses = (whole + F.when(2 * rest >= F.col("size"), 1).otherwise(0)).cast("int")
     plan = (numbered(plan.drop("source_size", "target")).withColumn("uses", uses).where("uses > 0")
-            .select("doc_id", "nth", "uses", "position", "last_position"))
+            .select("doc_id", "nth", "uses", "positions"))
     # the documents travel as one struct, so that no column of theirs can clash
     rows = numbered(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"),
                                 F.struct(*docs.columns).alias("row")))
     rows = rows.select(F.col("doc_id").alias("id"), F.col("nth").alias("n"), "row")
     used = rows.join(plan, F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("n") == F.col("nth")))
-    step = F.when(F.col("uses") > 1, (F.col("last_position") - F.col("position")) / (F.col("uses") - 1)).otherwise(0.0)
-    used = (used.withColumn("use", F.explode(F.sequence(F.lit(0), F.col("uses") - 1)))
-            .select("row", "doc_id", (F.col("position") + step * F.col("use")).alias("at")))
+    used = used.select("row", "doc_id", F.explode(F.slice("positions", 1, F.col("uses"))).alias("at"))
     return (used.repartitionByRange(F.col("at"), F.col("doc_id")).sortWithinPartitions("at", "doc_id")
             .select("row.*"))

@@ -95,6 +95,21 @@ def test_mixing_order_follows_the_schedule(spark):
     assert got[:60].count("a") > got[-60:].count("a")
 
 
+def test_mixing_places_every_pass_by_the_schedule(spark):
+    """The time of each pass is where its own share of the demand ends, not a step between first and last."""
+    df = spark.createDataFrame(rows(*["w " * 4] * 5, sources=["a"] * 5), DOC)
+    out = mixing.mix(df, total_share=3.5, max_epochs=4.0, weights=(1.0,), drift=(0.1,)).collect()
+    w0, w1 = 2 / 1.1, 0.2 / 1.1
+    at = lambda t: w0 * t + (w1 - w0) * t * t / 2  # noqa: E731  share of the demand reached at t
+    assert [len(r.positions) for r in out].count(4) == 3 and {len(r.positions) for r in out} == {3, 4}
+    for r in out:
+        assert (r.position, r.last_position) == (r.positions[0], r.positions[-1])
+        words_before = [round(at(t) * 70) for t in r.positions]
+        assert words_before == [words_before[0] + 20 * k for k in range(len(r.positions))]
+    assert [r.position for r in out] == sorted(r.position for r in out)  # rows come in training order
+    assert mixing.in_training_order(df, total_share=3.5, max_epochs=4.0, weights=(1.0,), drift=(0.1,)).count() == 18
+
+
 def test_mixing_odd_rows(odd, none):
     out = mixing.mix(odd).collect()
     assert len(out) == 9 and {r.size for r in out if r.doc_id in (0, 1, 2)} == {0}
