@@ -39,28 +39,26 @@ def v_interactions(spark: SparkSession, sf_dir: str, with_id: bool = False,
                "l_discount", "l_tax", "l_shipdate"]
     li = table(spark, sf_dir, "lineitem")
     if with_id:
-        li = li.select(*li_cols, F.concat_ws(":", F.col("_metadata.file_name"),
-                                             F.col("_metadata.row_index").cast("string")).alias("event_id"))
+        li = li.select(*li_cols, F.col("_metadata.file_name").alias("__file"), F.col("_metadata.row_index").alias("__row"))
     else:
         li = li.select(*li_cols)
     nation = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
-    # Join order for scale: the small dimensions first (supplier with the line items; customer
-    # and nation with the orders), each broadcast when its measured size allows; then the two
-    # large sides meet once, on the order key.
+    # Join order for scale: the plain supplier table meets the line items first, since a join's size is
+    # estimated too large to be broadcast; then the two large sides meet once, on the order key, by
+    # hashing the orders (no sort of the line items); nation names are added to the joined rows.
     buyers = (table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
               .join(table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey"),
                     F.col("o_custkey") == F.col("c_custkey"))
-              .join(nation.withColumnRenamed("n_nationkey", "c_nationkey")
-                    .withColumnRenamed("n_name", "cn_name"), "c_nationkey")
-              .select("o_orderkey", "c_nationkey", "cn_name"))
-    supp = (table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
-            .join(nation.withColumnRenamed("n_nationkey", "s_nationkey")
-                  .withColumnRenamed("n_name", "sn_name"), "s_nationkey"))
-    j = (li.join(supp, F.col("l_suppkey") == F.col("s_suppkey"))
-         .join(buyers, li.l_orderkey == buyers.o_orderkey))
+              .select("o_orderkey", "c_nationkey"))
+    supp = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
+    j = (li.join(supp, F.col("l_suppkey") == F.col("s_suppkey")).drop("l_suppkey", "s_suppkey")
+         .join(buyers.hint("shuffle_hash"), F.col("l_orderkey") == F.col("o_orderkey")).drop("o_orderkey"))
     if with_ticker:
         part = table(spark, sf_dir, "part").select("p_partkey", F.col("p_brand").alias("ticker"))
         j = j.join(part, F.col("l_partkey") == F.col("p_partkey"))
+    for side in ("s", "c"):
+        j = j.join(nation.select(F.col("n_nationkey").alias(f"{side}n_key"), F.col("n_name").alias(f"{side}n_name")),
+                   F.col(f"{side}_nationkey") == F.col(f"{side}n_key")).drop(f"{side}n_key")
     code = _pad2(F.lit(1) + F.col("l_partkey") % 20)
     out = [
         F.date_format("l_shipdate", "yyyyMMdd").alias("sqldate"),
@@ -78,7 +76,7 @@ def v_interactions(spark: SparkSession, sf_dir: str, with_id: bool = False,
         (F.round(F.col("l_tax") * 100).cast("int") - 4).cast("string").alias("avg_tone"),
     ]
     if with_id:
-        out.append(F.col("event_id"))
+        out.append(F.concat_ws(":", "__file", F.col("__row").cast("string")).alias("event_id"))
     if with_ticker:
         out.append(F.col("ticker"))
     return j.select(*out)
