@@ -48,22 +48,28 @@ def impact_edges(rows: DataFrame) -> DataFrame:
         "event_id", F.explode(F.array("actor1_name", "actor2_name")).alias("actor"))
 
 
-def actor_sides(rows: DataFrame, order_col: str) -> DataFrame:
+def actor_sides(rows: DataFrame, order_col: str, *more: str) -> DataFrame:
     """Both actor sides of each row as ``(name, code, ord)``; actor1 is written before actor2."""
     a1 = rows.select(F.col("actor1_name").alias("name"), F.col("actor1_code").alias("code"),
-                     F.struct(F.col(order_col).alias("k"), F.lit(1).alias("side")).alias("ord"))
+                     F.struct(F.col(order_col).alias("k"), F.lit(1).alias("side")).alias("ord"), *more)
     a2 = rows.select(F.col("actor2_name").alias("name"), F.col("actor2_code").alias("code"),
-                     F.struct(F.col(order_col).alias("k"), F.lit(2).alias("side")).alias("ord"))
+                     F.struct(F.col(order_col).alias("k"), F.lit(2).alias("side")).alias("ord"), *more)
     return a1.unionByName(a2)
 
 
-def latest_actors(rows: DataFrame, order_col: str) -> DataFrame:
+def latest_actors(rows: DataFrame, order_col: str, lead: str | None = None) -> DataFrame:
     """Last write wins per actor name, a NULL code included.
 
     ``max_by`` is a partial aggregate, so a hot actor is combined map-side. The order
-    struct is kept so later batches can be merged (J5).
+    struct is kept so later batches can be merged (J5). Strings and structs are aggregated by
+    sorting the rows; ``lead`` names a time or number column by which ``order_col`` orders first in
+    ``rows`` (NULL smallest), so that only each name's rows at its largest value are sorted.
     """
-    return (actor_sides(rows, order_col).groupBy("name")
+    sides = actor_sides(rows, order_col, *([lead] if lead else []))
+    if lead:
+        last = sides.groupBy(F.col("name").alias("__n")).agg(F.max(lead).alias("__last"))
+        sides = sides.join(last, F.col("name").eqNullSafe(F.col("__n")) & F.col(lead).eqNullSafe(F.col("__last")))
+    return (sides.groupBy("name")
             .agg(F.max_by("code", "ord").alias("code"), F.max("ord").alias("ord")))
 
 
@@ -167,11 +173,20 @@ def recent_interactions(interactions: DataFrame, actor: str, k: int = 15) -> Dat
 def recent_interactions_all(interactions: DataFrame, k: int = 15) -> DataFrame:
     """:func:`recent_interactions` for every actor at once.
 
-    ``row_number() <= k`` lets Spark insert a partial per-group limit before the shuffle
+    A count per actor and date (a hash aggregate) tells the date at which an actor's newest dates hold
+    ``k`` rows; only rows from then on, or without a date, are ranked, so the sort does not meet
+    the others. ``row_number() <= k`` lets Spark insert a partial per-group limit before the shuffle
     (``WindowGroupLimit``), so a hot actor sends at most ``k`` rows per map task.
     """
     w = Window.partitionBy("src").orderBy(*_recent_order())
-    return (interactions.select("src", "dst", "event_code", "date")
+    newer = Window.partitionBy("src").orderBy(F.col("date").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    floors = (interactions.filter(F.col("date").isNotNull()).groupBy("src", "date").agg(F.count(F.lit(1)).alias("n"))
+              .withColumn("held", F.sum("n").over(newer)).filter(F.col("held") >= k)
+              .groupBy(F.col("src").alias("__src")).agg(F.max("date").alias("__floor")))
+    rows = interactions.select("src", "dst", "event_code", "date")
+    rows = (rows.join(floors, F.col("src").eqNullSafe(F.col("__src")), "left")
+            .filter(F.col("__floor").isNull() | F.col("date").isNull() | (F.col("date") >= F.col("__floor"))))
+    return (rows.select("src", "dst", "event_code", "date")
             .withColumn("rank", F.row_number().over(w))
             .filter(F.col("rank") <= k)
             .select(F.col("src").alias("actor"), F.col("rank").cast("bigint").alias("rank"),
