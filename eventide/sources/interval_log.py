@@ -35,7 +35,9 @@ def parse_iso_utc(s: Column | str) -> Column:
     hh = F.regexp_extract(s, r"([+-])(\d\d):(\d\d)$", 2)
     mm = F.regexp_extract(s, r"([+-])(\d\d):(\d\d)$", 3)
     secs = F.when(off == "", F.lit(0)).otherwise(sign * (hh.try_cast("int") * 3600 + mm.try_cast("int") * 60))
-    return local - F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), secs.cast("decimal(18,6)"))
+    shifted = local - F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), secs.cast("decimal(18,6)"))
+    # stamps as the log writes them need no search for an offset
+    return F.when(F.substring(s, -6, 6) == "+00:00", local).otherwise(shifted)
 
 
 def write_interval_log(events: DataFrame, path: str, ts_col: str = "interval_ts", fmt: str = "csv",

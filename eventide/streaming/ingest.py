@@ -26,6 +26,7 @@ from pyspark.sql.streaming import StreamingQuery
 from eventide.operators import graph as G
 from eventide.operators.events import accepted_rows, valid_events
 from eventide.plans.views import EVENT_COLUMNS
+from eventide.session import kept, remove
 from eventide.sources import edge_store
 from eventide.sources.interval_log import LOG_COLUMNS, parse_iso_utc
 
@@ -138,16 +139,17 @@ def read_graph(spark: SparkSession, root: str) -> dict[str, DataFrame]:
 def apply_batch(spark: SparkSession, root: str, batch: DataFrame, batch_id: int,
                 compact_every: int | None = 96) -> None:
     rows = accepted_rows(valid_events(batch, text_cols=EVENT_COLUMNS))
-    # a reliable checkpoint (shared checkpoint dir) fixes ids and positions once for the
-    # outputs below and survives executor loss; replays rewrite the whole batch
-    rows = with_event_ids(rows, batch_id).checkpoint(eager=True)
+    # a written copy fixes ids and positions once for the outputs below, which read only their
+    # columns of it, and survives executor loss; replays rewrite the whole batch
+    rows, held = kept(with_event_ids(rows, batch_id), "batch")
     tag = F.lit(batch_id).cast("bigint").alias("batch_id")
     outputs = (("event_nodes", G.event_nodes(rows)), ("interactions", G.interaction_edges(rows)),
                ("impacts", G.impact_edges(rows)),
-               ("actor_deltas", G.latest_actors(rows, "order_key").select("name", "code", "ord")))
+               ("actor_deltas", G.latest_actors(rows, "order_key", lead="interval_ts").select("name", "code", "ord")))
     for name, df in outputs:
         (df.select("*", tag).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
          .partitionBy("batch_id").parquet(f"{root}/{name}"))
+    remove(spark, held)
     if compact_every and (batch_id + 1) % compact_every == 0:
         compact_actors(spark, root, batch_id)
 
@@ -167,7 +169,9 @@ def apply_edge_batch(spark: SparkSession, root: str, batch: DataFrame, batch_id:
     """One batch's edges into the clustered edge table under ``root``, compacted every so many batches.
     A replay of a batch that was published adds nothing."""
     rows = with_event_ids(accepted_rows(valid_events(batch, text_cols=EVENT_COLUMNS)), batch_id)
-    edge_store.add_batch(spark, root, G.interaction_edges(rows).checkpoint(eager=True), batch_id)
+    edges, held = kept(G.interaction_edges(rows), "edges")
+    edge_store.add_batch(spark, root, edges, batch_id)
+    remove(spark, held)
     if (batch_id + 1) % compact_every == 0:
         edge_store.compact(spark, root, **sizes)
 
