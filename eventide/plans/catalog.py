@@ -623,16 +623,26 @@ def q_file_stream_ingest_actors(spark, sf_dir):
 # stored tables, resume, fresh start, backfill, articles
 # ---------------------------------------------------------------------------
 
+def _landed_log(spark, sf_dir) -> str:
+    """The folder of the whole log as landed files, written once per application and input; streams that read
+    it leave it as it is."""
+    key = (spark.sparkContext.applicationId, f"log of {sf_dir.rstrip('/')}")
+    if not _landed(spark, key):
+        path = scratch_path(spark, "landing")
+        clean = clean_interactions(spark, sf_dir).withColumn("interval_ts", day_start("sqldate"))
+        IL.write_interval_log(clean, path, granularity="month")
+        _LANDED[key] = path
+    return _LANDED[key]
+
+
 def _ingested(spark, sf_dir, own: bool = False) -> str:
     """The folder of the graph tables after a stream ingest of the whole landed log. The ingest runs
     once per application and input; ``own`` makes one that the caller may change."""
     key = (spark.sparkContext.applicationId, f"graph of {sf_dir.rstrip('/')}")
     if not own and _landed(spark, key):
         return _LANDED[key]
-    landing, root, ckpt = scratch_path(spark, "landing"), scratch_path(spark, "graph"), scratch_path(spark, "ckpt")
-    clean = clean_interactions(spark, sf_dir).withColumn("interval_ts", day_start("sqldate"))
-    IL.write_interval_log(clean, landing, granularity="month")
-    SI.start_graph_ingest(spark, landing, root, ckpt, recursive=True, max_files=200).awaitTermination()
+    root, ckpt = scratch_path(spark, "graph"), scratch_path(spark, "ckpt")
+    SI.start_graph_ingest(spark, _landed_log(spark, sf_dir), root, ckpt, recursive=True, max_files=200).awaitTermination()
     if not own:
         _LANDED[key] = root
     return root
