@@ -29,6 +29,7 @@ FILE_SCHEMA = ("part string, file string, first_src string, last_src string, new
                "no_src bigint, no_date bigint, rows bigint")
 TARGET_BYTES = 1024 * 2**20
 ROWS_PER_FILE = 2_000_000
+SORTED_ROWS = 1_000_000
 _PART = "__part"
 _LINES = "files "
 
@@ -39,11 +40,17 @@ def _order() -> list[Column]:
 
 def _clustered(edges: DataFrame, root: str, part: str, rows_per_file: int) -> dict[str, V.Part]:
     """Write ``edges`` as the part ``part`` and the part of its files' lines."""
-    out = (edges.withColumn(_PART, F.lit(part)).repartitionByRange(*_order()[:2]).sortWithinPartitions(*_order()))
     spark = edges.sparkSession
+    # as many ranges as the rows fill, so that a task sorts a bounded number of them however many there are
+    ranges = -(-edges.count() // SORTED_ROWS)
+    few = ranges <= spark.sparkContext.defaultParallelism
+    out = edges.repartitionByRange(*_order()[:2]) if few else edges.repartitionByRange(ranges, *_order()[:2])
     fresh = f"data/{uuid.uuid4().hex}"
-    (out.write.option("maxRecordsPerFile", rows_per_file).option("parquet.bloom.filter.enabled#src", "true")
-     .option("parquet.bloom.filter.expected.ndv#src", "100000").partitionBy(_PART).parquet(f"{root}/{fresh}"))
+    # straight into the part's folder: a partition column would have the writer sort the rows once more
+    if ranges:
+        (out.sortWithinPartitions(*_order()).write.option("maxRecordsPerFile", rows_per_file)
+         .option("parquet.bloom.filter.enabled#src", "true").option("parquet.bloom.filter.expected.ndv#src", "100000")
+         .parquet(f"{root}/{fresh}/{_PART}={part}"))
     made = V.listed(spark, root, fresh, _PART)
     if not made:  # no edges: no part
         return {}
