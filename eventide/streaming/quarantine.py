@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from eventide.session import kept
 from eventide.sources.interval_log import LOG_COLUMNS, parse_iso_utc
 
 LETTER_SCHEMA = "file string, row string, reason string, batch_id bigint"
@@ -52,7 +53,7 @@ def _by_batch(df: DataFrame, batch_id: int, path: str) -> None:
 
 def sort_out(root: str, batch: DataFrame, batch_id: int) -> DataFrame:
     """Record the batch's files and broken rows and return the rows of its sound files."""
-    rows = batch.withColumn("reason", _reason()).checkpoint(eager=True)
+    rows, _ = kept(batch.withColumn("reason", _reason()), "landed")
     files = (rows.groupBy("file_path").agg(F.count("reason").alias("broken"), F.count("*").alias("rows"))
              .select(F.col("file_path").alias("file"), F.when(F.col("broken") > 0, "broken").otherwise("loaded").alias("status"), "rows"))
     _by_batch(files, batch_id, f"{root}/landed_files")
