@@ -95,6 +95,8 @@ def write_export_tsv(df: DataFrame, path: str, encoding: str = "ISO-8859-1", id_
 
 RAW_SCHEMA = "source_file string, status string, line string"
 CHUNK_LINES = 50_000
+#: Archives that one task fills at a time.
+OPEN_ARCHIVES = 512
 #: What reading a damaged, encrypted or unsupported archive raises.
 ARCHIVE_ERRORS = (zipfile.BadZipFile, zlib.error, EOFError, OSError, RuntimeError, NotImplementedError)
 
@@ -192,7 +194,26 @@ def _arrow_uri(path: str) -> str:
     return path
 
 
-def _zip_writer(root: str, member_suffix: str = ".export.CSV"):
+def _zip_writer(root: str, member_suffix: str = ".export.CSV", most_rows: int = 250_000):
+    class Archive:
+        """An archive that is being filled; only its compressed bytes are held."""
+
+        def __init__(self, name):
+            self.name, self.rows, self.buf = name, 0, io.BytesIO()
+            self.zip = zipfile.ZipFile(self.buf, "w", zipfile.ZIP_DEFLATED)
+            self.member = self.zip.open(name, "w", force_zip64=True)
+
+        def add(self, lines):
+            self.member.write(("\n".join(lines) + "\n").encode("latin-1"))
+            self.rows += len(lines)
+
+        def land(self, filesystem, base):
+            self.member.close()
+            self.zip.close()
+            with filesystem.open_output_stream(f"{base}/{self.name}.zip") as f:
+                f.write(self.buf.getvalue())
+            return pd.DataFrame({"file": [self.name + ".zip"], "rows": [self.rows]})
+
     def run(batches):
         from pyarrow import fs
         from pyspark import TaskContext
@@ -201,30 +222,31 @@ def _zip_writer(root: str, member_suffix: str = ".export.CSV"):
         part = ctx.partitionId() if ctx else 0
         filesystem, base = fs.FileSystem.from_uri(_arrow_uri(root))
         filesystem.create_dir(base, recursive=True)
-        for b, pdf in enumerate(batches):
-            out = []
+        filling, n = {}, 0
+        for pdf in batches:
             for stamp, grp in pdf.groupby("stamp", sort=True, dropna=False):
                 stamp = stamp if isinstance(stamp, str) else "unstamped"
-                name = f"{stamp}-{part:05d}-{b:04d}{member_suffix}"
-                buf = io.BytesIO()
-                with zipfile.ZipFile(buf, "w", zipfile.ZIP_DEFLATED) as zf:
-                    zf.writestr(name, ("\n".join(grp["line"]) + "\n").encode("latin-1"))
-                with filesystem.open_output_stream(f"{base}/{name}.zip") as f:
-                    f.write(buf.getvalue())
-                out.append((name + ".zip", len(grp)))
-            yield pd.DataFrame(out, columns=["file", "rows"])
+                if stamp not in filling:
+                    if len(filling) == OPEN_ARCHIVES:  # the fullest one makes room
+                        yield filling.pop(max(filling, key=lambda s: filling[s].rows)).land(filesystem, base)
+                    filling[stamp], n = Archive(f"{stamp}-{part:05d}-{n:04d}{member_suffix}"), n + 1
+                filling[stamp].add(grp["line"])
+                if filling[stamp].rows >= most_rows:
+                    yield filling.pop(stamp).land(filesystem, base)
+        for archive in filling.values():
+            yield archive.land(filesystem, base)
     return run
 
 
-def write_export_zips(df: DataFrame, path: str, stamp_col: str, id_col: str | None = None) -> DataFrame:
-    """Land event rows as zipped exports, one archive per stamp and task batch; returns
-    ``(file, rows)`` written. File writes go through the Hadoop-compatible Arrow file
+def write_export_zips(df: DataFrame, path: str, stamp_col: str, id_col: str | None = None,
+                      most_rows: int = 250_000) -> DataFrame:
+    """Land event rows as zipped exports, an archive per stamp and task, a further one from
+    ``most_rows`` rows on; returns ``(file, rows)`` written. File writes go through the Hadoop-compatible Arrow file
     system of the path, so the target may be any shared store Arrow can open."""
     ship_package(df.sparkSession)
-    # a local sort makes each Arrow batch hold one or two stamps (few archives, no key shuffle)
-    df = df.sortWithinPartitions(stamp_col)
+    # a task fills its stamps' archives side by side, so its rows need no sort
     lines = export_lines(df.withColumn("stamp", F.col(stamp_col)), id_col=id_col, keep=["stamp"])
-    return lines.mapInPandas(_zip_writer(path), "file string, rows long")
+    return lines.mapInPandas(_zip_writer(path, most_rows=most_rows), "file string, rows long")
 
 
 def land_bad_archives(path: str) -> None:
