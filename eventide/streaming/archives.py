@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from eventide.session import ship_package
+from eventide.session import kept, remove, ship_package
 from eventide.sources import export as EX
 from eventide.sources import versions as V
 
@@ -45,13 +45,15 @@ def store_archives(spark: SparkSession, root: str, batch: DataFrame, batch_id: i
         return base
     ship_package(spark)
     raw = EX.unzipped(batch.filter(F.col("length") <= max_bytes).select("path", "content"), encoding)
-    raw = raw.checkpoint(eager=True)  # unzipped once for the rows and the report
+    raw, held = kept(raw, "unzipped")  # unzipped once for the rows and the report
     parts = V.stage(EX.parsed(raw).withColumn(_PART, F.col("source_file")), root, _PART)
     large = batch.filter(F.col("length") > max_bytes).select(
         F.regexp_extract("path", "([^/]+)$", 1).alias("source_file"), F.lit("too_large").alias("status"), F.lit(0).cast("bigint").alias("lines"))
     report = (raw.groupBy("source_file", "status").agg(F.count(F.when(F.col("status") == "ok", 1)).alias("lines"))
               .unionByName(large).withColumn(_PART, F.lit(f"{_REPORT}{batch_id}")))
-    return V.commit(spark, root, base, {**parts, **V.stage(report, root, _PART)}, {"last_batch": str(batch_id)})
+    parts |= V.stage(report, root, _PART)
+    remove(spark, held)
+    return V.commit(spark, root, base, parts, {"last_batch": str(batch_id)})
 
 
 def start_archive_ingest(spark: SparkSession, landing: str, root: str, checkpoint: str, available_now: bool = True,
