@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from eventide.llm import mixing, ngram_join, outliers, packing, toxicity
-from eventide.llm.common import read_table, written
+from eventide.llm.common import read_table, released, written
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,4 +48,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        released(spark)
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, empty_text, ship_package, written
+from .common import components, empty_text, released, ship_package, written
 
 WIDTH = 5
 PERCENT = 75
@@ -304,8 +304,11 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
            .groupBy("cid", "c2").count().groupBy("cid").agg(F.max_by("c2", F.struct("count", "c2")).alias("c2")))
     first = met.unionByName(hubs.where("cid <> c2").where(_can_link(percent, "n", "pos", "n2", "p2")).select("cid", "c2"))
     first = written(_parities_allow(first.select(*_pair("cid", "c2")).distinct(), classes, percent), "ngram-pairs")
+    released(first.sparkSession)
     links = written(_verified(docs, classes, first, width, percent), "ngram-links")
+    released(links.sparkSession)
     comp = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")), "ngram-components")
+    released(links.sparkSession)
 
     # round B: per group, what is outside the component of the hub against the group
     of = comp.select(F.col("id").alias("k"), F.col("component").alias("comp"))
@@ -320,7 +323,9 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
                            & _can_link(percent, "n", "pos", "n2", "p2"))
               .select(*_pair("cid", "c2")).distinct().join(first, ["a", "b"], "left_anti"))
     second = written(_parities_allow(second, classes, percent), "ngram-pairs")
+    released(links.sparkSession)
     more = written(_verified(docs, classes, second, width, percent), "ngram-links")
+    released(links.sparkSession)
     if more.head(1):
         comp = components(comp.where("id <> component").select(F.col("id").alias("u"), F.col("component").alias("v"))
                           .unionByName(more.select(F.col("a").alias("u"), F.col("b").alias("v"))), "ngram-components")
