@@ -483,7 +483,7 @@ def q_interval_log_roundtrip(spark, sf_dir):
     clean = (clean_interactions(spark, sf_dir).withColumn("actor1_name", F.coalesce(padded, F.col("actor1_name")))
              .withColumn("interval_ts", day_start("sqldate")))
     # the fixture spans seven years at a few hundred rows per day: month partitions
-    IL.write_interval_log(clean, path, granularity="month")
+    IL.write_interval_log(clean, path, granularity="month", compression="gzip")
     return IL.read_interval_log(spark, path, granularity="month").select("interval_timestamp", *EVENT_COLUMNS)
 
 

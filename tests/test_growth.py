@@ -128,3 +128,20 @@ def test_the_landed_log_is_written_once(spark):
 def test_stamps_with_and_without_offset(spark, text, want):
     got = spark.createDataFrame([(text,)], "s string").select(parse_iso_utc("s").alias("t")).first().t
     assert str(got) == want
+
+
+def test_a_compressed_log_of_many_partitions_is_written_without_sort_and_read_back(spark, tmp):
+    from eventide.sources import interval_log as IL
+    n = IL.OPEN_FILES + 6  # more partitions than a task holds open: the rest are written after each other
+    rows = (spark.range(4 * n).select(F.expr("TIMESTAMP_NTZ'2001-01-31 00:15:00' + make_ym_interval(0, cast(id % 70 as int))").alias("interval_ts"),
+                                      *[F.concat(F.lit(f" {c} €,"), F.col("id").cast("string")).alias(c) for c in EVENT_COLUMNS])
+            .unionByName(spark.range(3).select(F.lit(None).cast("timestamp_ntz").alias("interval_ts"), *[F.lit(None).cast("string").alias(c) for c in EVENT_COLUMNS[:-1]],
+                                               F.lit("x").alias(EVENT_COLUMNS[-1]))))
+    before = spark.conf.get(IL._WRITERS)
+    IL.write_interval_log(rows, f"{tmp}/log", granularity="month", compression="gzip")
+    assert spark.conf.get(IL._WRITERS) == before
+    files = [f for _, _, fs in os.walk(f"{tmp}/log") for f in fs if f.startswith("part-")]
+    assert files and all(f.endswith(".csv.gz") for f in files)
+    got = IL.read_interval_log(spark, f"{tmp}/log", granularity="month")
+    assert got.select("interval_month").distinct().count() == n + 1
+    assert sorted(map(str, got.select("interval_ts", *EVENT_COLUMNS).collect())) == sorted(map(str, rows.collect()))
