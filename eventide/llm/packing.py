@@ -22,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,6 +32,8 @@ TOKENIZER = "word_bpe_49k.json"
 MAX_TOKENS = 2048
 END_ID = 0
 GROUP = 16384
+#: Bytes of text whose words are looked up at once.
+HELD = 1 << 24
 #: Weights of tokens, documents and attention cost in the choice of a sequence.
 WEIGHTS = (1.0, 0.01, 0.01)
 
@@ -46,6 +49,8 @@ class _Words(dict):
     encoded in one run: each is one unit of the tokenizer, whose last token carries the end mark."""
 
     limit = 1_000_000
+    #: Words encoded at once.
+    run = 16_384
     tail = b".,!?;:*%&$#|)"
 
     def __init__(self, path: str) -> None:
@@ -69,45 +74,67 @@ class _Words(dict):
         raw, at = ids.tobytes(), [0, *(4 * ends).tolist()]
         return [raw[a:b] for a, b in zip(at, at[1:])]
 
-    def learn(self, words: set[bytes]) -> None:
+    def learn(self, words: list[bytes]) -> None:
         if len(self) > self.limit:
             self.clear()
-        plain, other, split = {}, {}, []
+        self[b""] = b""
+        plain, other, split = set(), {}, []
         for w in words:
             if w in self:
                 continue
+            if w.isalpha():
+                plain.add(w)
+                continue
             core = w.rstrip(self.tail)
-            text = core.decode("utf-8", "replace")
             if core != w:
                 # the last character as the tokenizer normalizes it must be a letter or digit
-                end = unicodedata.normalize("NFC", text[-1:].lower())[-1:]
-                if not (end.isalpha() or end.isdecimal()):
-                    core, text = w, w.decode("utf-8", "replace")
-                else:
-                    split.append((w, core, w[len(core):]))
-                    if split[-1][2] not in self:
-                        other[split[-1][2]] = split[-1][2].decode()
+                if core[-1:].isalnum() or self._ends_plain(core):
+                    tail = w[len(core):]
+                    split.append((w, core, tail))
+                    if tail not in self:
+                        other[tail] = tail.decode()
                     if core in self:
                         continue
-            (plain if text.isalpha() else other)[core] = text
-        if plain:
-            self.update(zip(plain, self._of_letters(list(plain.values()))))
-        if other:
-            self.update(zip(other, self._encoded(list(other.values()))))
+                    if core.isalpha():
+                        plain.add(core)
+                        continue
+                else:
+                    core = w
+            text = core.decode("utf-8", "replace")
+            if text.isalpha():
+                plain.add(core)
+            else:
+                other[core] = text
+        plain, other = list(plain), list(other.items())
+        for k in range(0, len(plain), self.run):
+            some = plain[k:k + self.run]
+            self.update(zip(some, self._of_letters(b" ".join(some).decode("utf-8", "replace").split(" "))))
+        for k in range(0, len(other), self.run):
+            self.update(zip((w for w, _ in other[k:k + self.run]), self._encoded([t for _, t in other[k:k + self.run]])))
         for w, core, tail in split:
             self[w] = self[core] + self[tail]
 
-
-def token_bytes(texts: list[str | None], words: "_Words", end_id: int = END_ID) -> list[bytes]:
-    """Each document's ids and the end id, four bytes each."""
-    split = []
-    for t in texts:
-        raw = t.encode("utf-8", "replace") if t else b""
-        # the tokenizer ignores case, but not in the names of its special tokens
-        split.append((raw if b"<|" in raw else raw.lower()).split())
-    words.learn(set().union(*split))
-    end = np.array([end_id], "<u4").tobytes()
-    return [b"".join(map(words.__getitem__, parts)) + end for parts in split]
+    @staticmethod
+    def _ends_plain(core: bytes) -> bool:
+        end = unicodedata.normalize("NFC", core.decode("utf-8", "replace")[-1:].lower())[-1:]
+        return end.isalpha() or end.isdecimal()
+
+
+def token_bytes(texts: pa.Array, words: "_Words", end_id: int = END_ID) -> tuple[memoryview, np.ndarray]:
+    """The ids of all ``texts`` one after the other, four bytes each, with the end id behind each text, and
+    the bytes where each text's ids end. A word is looked up once however often the texts have it."""
+    texts = pc.fill_null(texts, "")
+    # the tokenizer ignores case, but not in the names of its special tokens
+    split = pc.ascii_split_whitespace(pc.if_else(pc.match_substring(texts, "<|"), texts, pc.ascii_lower(texts)))
+    seen = split.flatten().dictionary_encode()
+    known = seen.dictionary.cast(pa.large_binary()).to_pylist()
+    words.learn(known)
+    ids = pa.array([*map(words.__getitem__, known), np.array([end_id], "<u4").tobytes()], pa.large_binary())
+    until = np.cumsum(pc.list_value_length(split).to_numpy())
+    run = ids.take(pa.array(np.insert(seen.indices.to_numpy(), until, len(known))))
+    _, offsets, body = run.buffers()
+    ends = np.frombuffer(offsets, np.int64)[until + np.arange(1, len(until) + 1)]
+    return memoryview(body or b""), ends
 
 
 def _words(path: str) -> "_Words":
@@ -116,6 +143,15 @@ def _words(path: str) -> "_Words":
     return _CACHES[path]
 
 
+def _slices(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """``b`` in runs of rows of about ``HELD`` bytes of text; a longer text is a run of its own."""
+    bytes_before = np.cumsum(pc.fill_null(pc.binary_length(b.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    cuts = [0, *(np.flatnonzero(np.diff(bytes_before // HELD)) + 1).tolist(), b.num_rows]
+    for a, z in zip(cuts, cuts[1:]):
+        if z > a:
+            yield b.slice(a, z - a)
+
+
 def _cut(path: str, size: int, with_ids: bool):
     fields = [("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()),
               ("ids_crc32", pa.int64())]
@@ -124,15 +160,21 @@ def _cut(path: str, size: int, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = _words(path)
         for b in batches:
-            rows: list[tuple] = []
-            for s in range(0, b.num_rows, 256):
-                some = b.slice(s, 256)
-                for doc, ids in zip(some.column(0).to_pylist(), token_bytes(some.column(1).to_pylist(), words)):
-                    for k, at in enumerate(range(0, len(ids), 4 * size)):
-                        part = ids[at:at + 4 * size]
-                        rows.append((doc, k, at // 4, len(part) // 4, zlib.crc32(part), part)[:len(schema)])
-            cols = list(zip(*rows)) if rows else [()] * len(schema)
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema)], schema=schema)
+            for some in _slices(b):
+                ids, ends = token_bytes(some.column(1), words)
+                begins = ends - np.diff(ends, prepend=0)
+                tokens = (ends - begins) // 4
+                count = -(-tokens // size)
+                doc = np.repeat(np.arange(some.num_rows), count)
+                piece = np.arange(len(doc)) - np.repeat(np.cumsum(count) - count, count)
+                start = piece * size
+                length = np.minimum(size, tokens[doc] - start)
+                at = begins[doc] + 4 * start
+                parts = [ids[a:z] for a, z in zip(at.tolist(), (at + 4 * length).tolist())]
+                cols = [some.column(0).take(pa.array(doc)), piece, start, length, [zlib.crc32(p) for p in parts]]
+                if with_ids:
+                    cols.append([p.tobytes() for p in parts])
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema)], schema=schema)
 
     return run, "doc_id long, piece int, start long, length long, ids_crc32 long" + (", ids binary" if with_ids else "")
 

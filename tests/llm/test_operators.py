@@ -317,6 +317,35 @@ def test_packing_round_trip(spark, odd, none):
     assert packing.packed(odd, path).where("piece = 0").count() == 9 and packing.packed(none, path).count() == 0
 
 
+def test_packing_looks_each_word_up_once(monkeypatch):
+    """Texts cut into runs of any size give the tokenizer's ids, and a run asks once for each word."""
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    class Asked(packing._Words):
+        times = 0
+
+        def __getitem__(self, w):
+            Asked.times += 1
+            return super().__getitem__(w)
+
+    path = packing.tokenizer_path()
+    tok = Tokenizer.from_file(path)
+    texts = ["the the\tthe  The THE ", None, "", " \n", "a <|EndOfText|> THE", "naïve Café. 12) x\x1cy " * 20, "\u0130a É! e\u0301, ½. ...", "the " * 700]
+    batch = pa.record_batch({"doc_id": pa.array([5, None, 7, 8, 9, 10, 11, 12]), "text": pa.array(texts)})
+    expected = []
+    for i, t in zip(batch.column(0).to_pylist(), texts):
+        ids = np.array(tok.encode(t or "", add_special_tokens=False).ids + [0], "<u4")
+        expected += [(i, k, 64 * k, len(ids[64 * k:64 * k + 64]), zlib.crc32(ids[64 * k:64 * k + 64].tobytes())) for k in range(-(-len(ids) // 64))]
+    for held in (1, 100, 1 << 20):
+        monkeypatch.setattr(packing, "HELD", held)
+        monkeypatch.setitem(packing._CACHES, path, Asked(path))
+        Asked.times = 0
+        run, _ = packing._cut(path, 64, False)
+        assert [tuple(r.values()) for b in run(iter([batch, batch.slice(0, 0)])) for r in b.to_pylist()] == expected
+    assert Asked.times < 60  # of some 800 words
+
+
 @pytest.mark.parametrize("rule", ["norm", "dot"])
 def test_best_fit_keeps_every_capacity(rule):
     rng = np.random.default_rng(6)
