@@ -224,8 +224,8 @@ def _met(rows: list[tuple], key: Callable) -> tuple[np.ndarray, np.ndarray, list
 
 
 def _word_answers(allowed: np.ndarray | None, parts: int):
-    """For each block the words of the vocabulary that it has: place, number, and by model the counts and
-    the counts at the end of a text, by fold. A row without block has the part's words and sums.
+    """For each block the words of the vocabulary that it has: place and number, and for a block of documents
+    by model the counts and the counts at the end of a text, by fold. A row without block has the part's words and sums.
     Numbers are low for words that the target often has; 0 and 1 stand for the unknown word and the start."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, rows in _groups(batches, "part", ("block", "model", "body")):
@@ -243,7 +243,13 @@ def _word_answers(allowed: np.ndarray | None, parts: int):
             for (block, model, _), a, z, q in zip(rows, starts, starts[1:], asked):
                 mine = inside[of[a:z]]
                 at = of[a:z][mine]
-                out.append((part, block, model, packed(_steps(np.cumsum(q[1], dtype=np.int32)[mine]), number[at], *flat[at].T), *(None,) * 9))
+                told = []
+                if model == 1:  # as with bigrams, the counts of a fold are for documents of the other
+                    told = sums[at]
+                    for fold in (0, 1):
+                        told[:, :, fold::2] *= (q[3 - fold][mine] > 0)[:, None, None]
+                    told = told.reshape(-1, 8).T
+                out.append((part, block, model, packed(_steps(np.cumsum(q[1], dtype=np.int32)[mine]), number[at], *told), *(None,) * 9))
             types = [f.type for f in _ASKED] + [pa.int64()] * 9
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names=[*_ASKED.names, *_SUMS])
 
@@ -277,8 +283,9 @@ class _Read:
         order = np.argsort(number)
         place = np.zeros(int(seq.max(initial=-1)) + 1, np.int64)
         place[local[order]] = np.arange(len(local)) + 2
-        # word, model, (count, count at the end of a text) by fold
-        self.counts = np.concatenate([[unknown, start], np.stack(columns, axis=1)[order].reshape(-1, 2, 4)])
+        # word, model, (count, count at the end of a text) by fold; a block of the target has none
+        if columns:
+            self.counts = np.concatenate([[unknown, start], np.stack(columns, axis=1)[order].reshape(-1, 2, 4)])
         number = np.concatenate([np.arange(2), number[order]])
         x = place[seq]
         h = np.roll(x, 1)
@@ -381,11 +388,11 @@ def good_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Documents labelled as of good quality and not toxic, without the held-out ones.
 
     A bounded filter of id slots goes first, so that only documents likely to match are shuffled
-    for the exact join."""
+    for the exact join, which hashes the ids: the texts are neither sorted nor are all ids broadcast."""
     good = (labels.where((F.col("quality") == 1) & (F.col("toxic") == 0) & ~held_out(F.col("doc_id")))
             .select(F.col("doc_id").cast("long").alias("good_id")).distinct())
     slot = lambda c: F.pmod(F.xxhash64(F.col(c).cast("long")), F.lit(TARGET_SLOTS)).cast("int")
     slots = good.select(slot("good_id").alias("slot")).distinct()
     return (docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("slot", slot("doc_id"))
-            .join(F.broadcast(slots), "slot", "left_semi").join(good, F.col("doc_id") == F.col("good_id"), "left_semi")
+            .join(F.broadcast(slots), "slot", "left_semi").join(good.hint("shuffle_hash"), F.col("doc_id") == F.col("good_id"), "left_semi")
             .select("doc_id", "text"))

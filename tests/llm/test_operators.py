@@ -397,6 +397,27 @@ def test_lm_scores_equal_direct_counts(spark, odd, none):
     assert lm_score.cross_entropy_difference(df, none.select("doc_id", "text")).where("score is null").count() == 0
 
 
+def test_lm_word_answers_carry_only_the_counts_that_score():
+    """A block of the target learns the numbers alone; a block of documents a fold's counts only of words that its
+    documents of the other fold have."""
+    ask = lambda block, model, *counts: lm_score._asked(
+        block, model, np.zeros(3, np.int32), [np.array([4, 7, 9]), np.arange(3, dtype=np.int32), *(np.array(c, np.int32) for c in counts)], (0, 1))
+    asked = [*ask(1, 0, [2, 5, 1], [3, 0, 0], [1, 0, 0], [0, 0, 0]), *ask(2, 1, [6, 0, 1], [0, 8, 1], [1, 0, 0], [0, 2, 0])]
+    out = [r for b in lm_score._word_answers(None, 1)(iter(asked)) for r in b.to_pylist()]
+    told = {r["model"]: [a.tolist() for a in lm_score.unpacked(r["body"])] for r in out if r["block"] is not None}
+    # words 4 and 7 are the target's, the third one it has once; target (count, end) then background, by fold
+    assert len(told[0]) == 2 and told[0][0] == told[1][0] == [0, 1]
+    assert told[1][2:] == [[0, 5], [3, 0], [0, 0], [0, 0], [0, 0], [0, 0], [0, 0], [0, 0]]
+    assert out[0]["s0"] == 2 and [out[0][f"s{k}"] for k in range(1, 9)] == [7, 3, 1, 0, 6, 8, 1, 2]
+
+
+def test_lm_target_texts_are_not_sorted_for_their_join(spark):
+    docs = spark.createDataFrame(rows("a", "b", None), DOC)
+    labels = spark.range(3).selectExpr("id as doc_id", "1 as quality", "0 as toxic")
+    plan = lm_score.good_documents(docs, labels)._jdf.queryExecution().executedPlan().toString()
+    assert "ShuffledHashJoin" in plan and "SortMergeJoin" not in plan
+
+
 def test_lm_vocabulary_is_the_whole_target(spark):
     """Every target word seen twice or more has its own counts, whatever the size of a block."""
     rng = np.random.default_rng(11)
