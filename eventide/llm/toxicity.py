@@ -134,7 +134,8 @@ def word_values(words: list[str], model: Model) -> np.ndarray:
         return np.empty(0)
     x, begins = encoded(words, model.codes)
     subs, decay = subsequences(x)
-    value = stretches(model.weights[subs] @ decay)
+    # column by column: a matrix product may round a word's value by its place among the others
+    value = stretches(sum(model.weights[codes] * d for codes, d in zip(subs.T, decay)))
     value[(x == 0) | (x == 2)] = -np.inf
     return np.maximum.reduceat(value, begins) + model.bias
 
