@@ -125,16 +125,22 @@ def vector() -> list[Column]:
     ]
 
 
-def _cholesky(cov: dict[tuple[int, int], Column], d: int) -> list[tuple[str, Column]]:
-    """Columns ``l_i_j`` of the lower factor, in an order in which each needs only earlier ones."""
-    out = []
-    for i in range(d):
-        for j in range(i + 1):
-            s = cov[(i, j)]
+def _cholesky(df: DataFrame, d: int) -> DataFrame:
+    """``df(c_0_0..)`` with the columns ``l_i_j`` of the lower factor in place of the covariance.
+
+    A projection per column of the factor: each needs only those before it, and the diagonal is written
+    out in the entries below it. One per entry would be a chain that the planner walks again and again."""
+    for j in range(d):
+        def left(i: int, j: int = j) -> Column:
+            s = F.col(f"c_{i}_{j}")
             for k in range(j):
                 s = s - F.col(f"l_{i}_{k}") * F.col(f"l_{j}_{k}")
-            out.append((f"l_{i}_{j}", F.sqrt(F.greatest(s, F.lit(min(FLOORS) ** 2 * 0.01))) if i == j else s / F.col(f"l_{j}_{j}")))
-    return out
+            return s
+        diagonal = F.sqrt(F.greatest(left(j), F.lit(min(FLOORS) ** 2 * 0.01)))
+        done = [f"c_{i}_{j}" for i in range(j, d)]
+        df = df.select(*[c for c in df.columns if c not in done], diagonal.alias(f"l_{j}_{j}"),
+                       *[(left(i) / diagonal).alias(f"l_{i}_{j}") for i in range(j + 1, d)])
+    return df
 
 
 def _distance(d: int) -> Column:
@@ -166,9 +172,7 @@ def _estimates(moments: DataFrame, d: int, factor: float) -> DataFrame:
                       *[(w * m[i] + (1 - w) * pm[i]).alias(f"m_{i}") for i in range(d)],
                       *[(F.lit(factor) * (w * c[k] + (1 - w) * pc[k])
                          + F.lit(FLOORS[k[0]] ** 2 if k[0] == k[1] else 0.0)).alias(f"c_{k[0]}_{k[1]}") for k in c])
-    for name, col in _cholesky({k: F.col(f"c_{k[0]}_{k[1]}") for k in c}, d):
-        out = out.withColumn(name, col)
-    return out.drop(*[f"c_{i}_{j}" for i, j in c])
+    return _cholesky(out, d)
 
 
 def _moments(rows: DataFrame, d: int) -> DataFrame:
@@ -189,8 +193,11 @@ def fit(points: DataFrame, d: int, steps: int = STEPS, keep: float = KEEP) -> Da
     """Robust estimates of ``points(lang, source, x_0..)``: one row per group at level 1
     (language and source) and at level 0 (language).
 
-    Every pass reads the narrow ``points`` table; medians, edges and estimates are written
-    (one row per group), so that their small size is known when they are joined."""
+    Every pass reads the narrow ``points`` table; medians, edges, moments and estimates are written
+    (one row per group), so that their small size is known when they are joined. The estimates read
+    the moments of languages and of sources, so with these written no plan holds a pass twice; the
+    driver lets go of each plan before it makes the next."""
+    spark = points.sparkSession
     xs = [f"x_{i}" for i in range(d)]
     both = points.select("lang", "source", *xs).withColumn("level", F.lit(1)).unionByName(
         points.select("lang", F.lit(None).cast("string").alias("source"), *xs).withColumn("level", F.lit(0)))
@@ -199,16 +206,20 @@ def fit(points: DataFrame, d: int, steps: int = STEPS, keep: float = KEEP) -> Da
     # the first distances are from the medians with equal scales: an identity factor
     unit = [F.lit(1.0 if i == j else 0.0).alias(f"l_{i}_{j}") for i in range(d) for j in range(i + 1)]
     est = written(mid.select("*", *unit), "mcd")
+    released(spark)
     # the covariance of the inner rows is too small; drawn up by one fixed factor
     factor = 1.0 / keep
     for _ in range(steps):
         near = _with_distance(both, est, d)
         edge = written(near.groupBy(*keys).agg(F.percentile_approx("distance", keep, 1000).alias("edge")), "mcd-edge")
+        released(spark)
         e = edge.select(*[F.col(k).alias(f"e_{k}") for k in keys], "edge")
         same = ((F.col("level") == F.col("e_level")) & F.col("lang").eqNullSafe(F.col("e_lang"))
                 & F.col("source").eqNullSafe(F.col("e_source")) & (F.col("distance") <= F.col("edge")))
-        est = written(_estimates(_moments(near.join(e, same), d), d, factor), "mcd")
-        released(points.sparkSession)
+        moments = written(_moments(near.join(e, same), d), "mcd-moments")
+        released(spark)
+        est = written(_estimates(moments, d, factor), "mcd")
+        released(spark)
     return est
 
 

@@ -518,6 +518,25 @@ def test_mcd_ignores_contamination(spark):
     assert abs(est.m_0) < 0.2 and abs(est.m_1) < 0.2 and 0.6 < est.l_0_0 < 1.6
 
 
+def test_mcd_factor_and_small_plans(spark, monkeypatch):
+    """With all rows kept the factor is numpy's; no plan holds a pass over the points twice or a projection per entry."""
+    rng = np.random.default_rng(10)
+    x = rng.normal(size=(400, 6)) @ rng.normal(size=(6, 6))
+    pts = spark.createDataFrame([("en", "s", *map(float, r)) for r in x], "lang string, source string, " + ", ".join(f"x_{i} double" for i in range(6)))
+    pts, plans = outliers.written(pts, "mcd-points"), []
+
+    def noted(df, name, write=outliers.written):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return write(df, name)
+
+    monkeypatch.setattr(outliers, "written", noted)
+    est = outliers.fit(pts, 6, steps=1, keep=1.0).where("level = 0").first()
+    factor = np.linalg.cholesky(np.cov(x.T, bias=True) + np.diag(outliers.FLOORS) ** 2)
+    assert all(np.isclose(est[f"l_{i}_{j}"], factor[i, j]) for i in range(6) for j in range(i + 1))
+    assert max(len(re.findall(r"Relation \[.*x_0#", p)) for p in plans) == 2  # one for each level
+    assert max(len(re.findall(r"\bProject \[", p)) for p in plans) < 21
+
+
 # --- HTML ------------------------------------------------------------------------------------
 
 def test_page_lines_and_marks():
